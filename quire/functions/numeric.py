@@ -24,14 +24,14 @@ def trunc_div(a, b) -> Column:
 
 def ratio_decimal(num, den, precision: int = 10, scale: int = 2) -> Column:
     """num / den rounded half-up to DECIMAL(precision, scale); NULL when den is 0."""
-    n = _c(num).cast("decimal(38,6)")
+    n = _c(num).cast("decimal(28,10)")
     return F.try_divide(n, _c(den).cast("decimal(38,0)")).cast(f"decimal({precision},{scale})")
 
 
 def percent(num, den, scale: int = 2, precision: int = 20) -> Column:
     """100 * num / den rounded half-up to DECIMAL(precision, scale)."""
-    n = _c(num).cast("decimal(38,6)") * 100
-    return F.round(F.try_divide(n, _c(den).cast("decimal(38,6)")), scale).cast(f"decimal({precision},{scale})")
+    n = _c(num).cast("decimal(28,10)") * 100
+    return F.round(F.try_divide(n, _c(den).cast("decimal(38,0)")), scale).cast(f"decimal({precision},{scale})")
 
 
 def mean4(c) -> Column:

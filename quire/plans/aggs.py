@@ -1 +1,162 @@
-"""Catalogue entries (aggs)."""
+"""Catalogue entries for the aggregation operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions.calendar import minutes_between
+from quire.operators import aggs as A
+from quire.plans.cleaning import NUM_RE
+from quire.plans.common import (DELIVERED_SQL, ITEM_PRICE_SQL, delivered_items, delivered_orders, deliveries,
+                                item_price, pct_sql, weekly)
+from quire.plans.registry import register
+from quire.sources.views import OPEN_END, Views
+
+TOTALS_SQL = """count(*) AS n_rows, CAST(sum(txn_amount) AS DECIMAL(38,2)) AS total_amount,
+       round(avg(CAST(txn_amount AS DOUBLE)), 4) AS avg_amount, min(txn_amount) AS min_amount, max(txn_amount) AS max_amount"""
+
+
+@register("totals_by", "W30", f"SELECT txn_type, {TOTALS_SQL} FROM v_txn GROUP BY txn_type")
+def q_totals_by(v: Views):
+    return A.totals_by(v.v_txn, ["txn_type"], "txn_amount")
+
+
+@register("total_global", "W30", f"SELECT {TOTALS_SQL} FROM v_txn")
+def q_total_global(v: Views):
+    return A.totals_by(v.v_txn, [], "txn_amount")
+
+
+@register("percentiles_by", "W31", """
+SELECT region_id, round(quantile_cont(d, 0.5), 4) AS median, round(quantile_cont(d, 0.8), 4) AS p80,
+       round(quantile_cont(d, 0.95), 4) AS p95
+FROM (SELECT region_id, date_diff('day', start_date, end_date) AS d FROM v_node WHERE end_date <> DATE '9999-12-31') t
+GROUP BY region_id""")
+def q_percentiles_by(v: Views):
+    closed = (v.v_node.where(F.col("end_date") != F.lit(OPEN_END).cast("date"))
+              .withColumn("duration", F.datediff("end_date", "start_date")))
+    return A.percentiles_by(closed, ["region_id"], "duration")
+
+
+@register("distinct_by", "W32", "SELECT region_id, count(DISTINCT node_id) AS n_nodes FROM v_node GROUP BY region_id")
+def q_distinct_by(v: Views):
+    return A.distinct_by(v.v_node, ["region_id"], "node_id", "n_nodes")
+
+
+@register("distinct_pairs", "W32", "SELECT DISTINCT region_id, node_id FROM v_node")
+def q_distinct_pairs(v: Views):
+    return A.distinct_pairs(v.v_node, ["region_id", "node_id"])
+
+
+@register("distinct_groups", "W32", """
+SELECT region_id, node_id, count(DISTINCT customer_id) AS n_customers FROM v_node GROUP BY region_id, node_id""")
+def q_distinct_groups(v: Views):
+    return A.distinct_by(v.v_node, ["region_id", "node_id"], "customer_id", "n_customers")
+
+
+@register("conditional_counts", "W33", """
+SELECT p.product_category, count(*) FILTER (WHERE e.event_type = 1) AS page_views,
+       count(*) FILTER (WHERE e.event_type = 2) AS cart_adds
+FROM v_event e JOIN v_page p ON p.page_id = e.page_id
+WHERE p.product_category IS NOT NULL GROUP BY p.product_category""")
+def q_conditional_counts(v: Views):
+    # v_page is a distinct over a fixed page domain: bounded, so broadcast
+    pages = F.broadcast(v.v_page.where(F.col("product_category").isNotNull()))
+    return A.conditional_counts(v.v_event.join(pages, "page_id"), ["product_category"],
+                                {"page_views": F.col("event_type") == 1, "cart_adds": F.col("event_type") == 2})
+
+
+@register("qualifying_groups", "W34", """
+SELECT month, count(*) AS customer_count FROM (
+  SELECT customer_id, CAST(month(txn_date) AS INTEGER) AS month,
+         count(*) FILTER (WHERE txn_type = 'deposit') AS d, count(*) FILTER (WHERE txn_type = 'purchase') AS p,
+         count(*) FILTER (WHERE txn_type = 'withdrawal') AS w
+  FROM v_txn GROUP BY 1, 2) t
+WHERE d >= 2 AND (p >= 1 OR w >= 1) GROUP BY month""")
+def q_qualifying_groups(v: Views):
+    rule = (F.col("deposit_count") >= 2) & ((F.col("purchase_count") >= 1) | (F.col("withdrawal_count") >= 1))
+    return A.qualifying_groups(v.v_txn, "customer_id", F.month("txn_date"), "txn_type", rule)
+
+
+@register("share_by_platform_month", "W35", f"""
+WITH m AS (SELECT CAST(year(week_date) AS INTEGER) AS calendar_year, CAST(month(week_date) AS INTEGER) AS month_number,
+                  platform, sum(sales) AS s FROM v_weekly GROUP BY 1, 2, 3),
+     t AS (SELECT *, sum(s) OVER (PARTITION BY calendar_year, month_number) AS tot FROM m)
+SELECT calendar_year, month_number, platform, CAST(s AS BIGINT) AS platform_monthly_sales,
+       {pct_sql('s', 'tot')} AS platform_perc
+FROM t""")
+def q_share_by_platform_month(v: Views):
+    return A.share_of_parent(weekly(v), ["calendar_year", "month_number"], ["platform"], "sales",
+                             "platform_monthly_sales", None, "platform_perc")
+
+
+@register("share_by_segment_year", "W35", f"""
+WITH m AS (SELECT CAST(year(week_date) AS INTEGER) AS calendar_year,
+                  CASE left(segment, 1) WHEN 'C' THEN 'Couples' WHEN 'F' THEN 'Families' ELSE 'Unknown' END AS demographic,
+                  sum(sales) AS s FROM v_weekly GROUP BY 1, 2),
+     t AS (SELECT *, sum(s) OVER (PARTITION BY calendar_year) AS tot FROM m)
+SELECT calendar_year, demographic, CAST(s AS BIGINT) AS demographic_sales, CAST(tot AS BIGINT) AS yearly_sales,
+       {pct_sql('s', 'tot')} AS demo_sales_perc
+FROM t""")
+def q_share_by_segment_year(v: Views):
+    return A.share_of_parent(weekly(v), ["calendar_year"], ["demographic"], "sales",
+                             "demographic_sales", "yearly_sales", "demo_sales_perc")
+
+
+@register("share_of_population", "W36", f"""
+SELECT total_customer, churn, {pct_sql('churn', 'total_customer', 1)} AS churn_perc FROM (
+  SELECT count(DISTINCT customer_id) AS total_customer, count(*) FILTER (WHERE plan_id = 4) AS churn FROM v_sub) t""")
+def q_share_of_population(v: Views):
+    return A.share_of_population(v.v_sub, "customer_id", F.col("plan_id") == 4, scale=1)
+
+
+@register("two_level_avg", "W37", """
+SELECT round(avg(CAST(n AS DOUBLE)), 4) AS avg_visits_per_user
+FROM (SELECT user_id, count(DISTINCT visit_id) AS n FROM v_event GROUP BY user_id) t""")
+def q_two_level_avg(v: Views):
+    return A.two_level_avg(v.v_event, "user_id", "visit_id", "avg_visits_per_user")
+
+
+@register("revenue_by_type", "W38", f"""
+SELECT item_name, count(*) AS n_items, CAST(count(*) * {ITEM_PRICE_SQL} AS BIGINT) AS revenue
+FROM v_item WHERE order_id IN (SELECT order_id FROM v_dirty WHERE {DELIVERED_SQL})
+GROUP BY item_name""")
+def q_revenue_by_type(v: Views):
+    return A.group_revenue(delivered_items(v), "item_name", item_price())
+
+
+@register("profit_after_cost", "W38", f"""
+SELECT CAST(round(sum(p), 2) AS DECIMAL(38,2)) AS profit FROM (
+  SELECT i.order_id, sum({ITEM_PRICE_SQL}) - avg(d.dist * 0.30) AS p
+  FROM v_item i JOIN (SELECT order_id, TRY_CAST(NULLIF(regexp_extract(distance, {NUM_RE}, 1), '') AS DECIMAL(10,2)) AS dist
+                      FROM v_dirty WHERE {DELIVERED_SQL}) d ON d.order_id = i.order_id
+  GROUP BY i.order_id) t""")
+def q_profit_after_cost(v: Views):
+    items = v.v_item.join(delivered_orders(v).select("order_id", "distance"), "order_id")
+    return A.profit_after_cost(items, "order_id", item_price(), "distance")
+
+
+@register("weighted_vs_plain_avg", "W39", """
+SELECT CAST(year(week_date) AS INTEGER) AS calendar_year, platform,
+       CAST(sum(sales) // sum(transactions) AS BIGINT) AS correct_avg,
+       CAST(CAST((2 * sum(a_cents) + count(*)) // (2 * count(*)) AS DECIMAL(38,0)) * 0.01 AS DECIMAL(12,2)) AS incorrect_avg
+FROM (SELECT *, (200 * CAST(sales AS HUGEINT) + transactions) // (2 * transactions) AS a_cents FROM v_weekly) t
+GROUP BY 1, 2""")
+def q_weighted_vs_plain_avg(v: Views):
+    return A.weighted_vs_plain_avg(weekly(v), ["calendar_year", "platform"], "sales", "transactions",
+                                   "avg_transaction")
+
+
+@register("success_rate", "W40", f"""
+SELECT runner_id, {pct_sql('count(order_id) - count(c)', 'count(order_id)')} AS success_pct
+FROM (SELECT runner_id, order_id, CASE WHEN cancellation IN ('null', '') THEN NULL ELSE cancellation END AS c FROM v_dirty) t
+GROUP BY runner_id""")
+def q_success_rate(v: Views):
+    return A.success_rate(deliveries(v), "runner_id", "order_id", "cancellation")
+
+
+@register("range_of_elapsed", "W41", """
+SELECT round(max(m) - min(m), 4) AS difference FROM (
+  SELECT date_diff('second', order_time, TRY_CAST(CASE WHEN pickup_time IN ('null', '') THEN NULL ELSE pickup_time END AS TIMESTAMP)) / 60.0 AS m
+  FROM v_dirty) t""")
+def q_range_of_elapsed(v: Views):
+    return A.range_of(deliveries(v), minutes_between("order_time", "pickup_time"))
