@@ -37,3 +37,19 @@ def percent(num, den, scale: int = 2, precision: int = 20) -> Column:
 def mean4(c) -> Column:
     """Arithmetic mean as a double rounded to 4 places (the documented form of every average)."""
     return F.round(F.avg(_c(c).cast("double")), 4)
+
+
+def mean_exact(c, in_scale: int = 2, out_scale: int = 4) -> Column:
+    """Exact mean of a DECIMAL(_, in_scale) column as DECIMAL(38, out_scale), rounded half away from zero.
+
+    Computed in integer units (sum of scaled values, then one truncating
+    division), so the result does not depend on summation order the way a
+    floating-point mean does.
+    """
+    x = _c(c)
+    s = F.sum((x * (10 ** in_scale)).cast("decimal(38,0)"))
+    n = F.count(x)
+    factor = 10 ** (out_scale - in_scale)
+    q = trunc_div(F.abs(s) * (2 * factor) + n, n * 2)
+    q = F.when(s < 0, -q).otherwise(q)
+    return (q.cast("decimal(38,0)") / (10 ** out_scale)).cast(f"decimal(38,{out_scale})")

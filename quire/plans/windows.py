@@ -1 +1,269 @@
-"""Catalogue entries (windows)."""
+"""Catalogue entries for the window and state operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions.calendar import minutes_between
+from quire.operators import windows as Wn
+from quire.plans.cleaning import NUM_RE
+from quire.plans.common import DELIVERED_SQL, delivered_orders, deliveries, pct_sql
+from quire.plans.joins import SALE_ORDER
+from quire.plans.registry import register
+from quire.sources.views import OPEN_END, Views
+
+SUB_ORDER = ["start_date", "event_id"]
+YEAR = 1997            # year filter of the transition questions
+ASOF = "1998-12-31"    # as-of date of the plan-mix question
+HORIZON = "1996-12-31"  # last day of the payment schedule
+
+# plan ids of the subscription fixture: 0 trial, 1 basic monthly, 2 pro monthly, 3 pro annual, 4 churn
+TRIAL, BASIC, PRO, ANNUAL, CHURN = 0, 1, 2, 3, 4
+
+N_CUST_SQL = "(SELECT count(DISTINCT customer_id) FROM v_sub)"
+SEQ_SQL = """(SELECT *, row_number() OVER w AS rn, lag(plan_id) OVER w AS prev_state,
+                     lead(plan_id) OVER w AS next_state, lead(start_date) OVER w AS next_date
+              FROM v_sub WINDOW w AS (PARTITION BY customer_id ORDER BY start_date, event_id))"""
+SIGNED_SQL = "(SELECT *, CASE WHEN txn_type = 'deposit' THEN txn_amount ELSE -txn_amount END AS signed_amount FROM v_txn)"
+MONTHLY_SQL = f"""(SELECT customer_id, month, CAST(mb AS DECIMAL(38,2)) AS monthly_balance,
+                   CAST(sum(mb) OVER (PARTITION BY customer_id ORDER BY month) AS DECIMAL(38,2)) AS closing_balance
+                   FROM (SELECT customer_id, CAST(date_trunc('month', txn_date) AS DATE) AS month, sum(signed_amount) AS mb
+                         FROM {SIGNED_SQL} s GROUP BY 1, 2) m)"""
+RUNNING_SQL = f"""(SELECT customer_id, txn_id, txn_date, txn_type, signed_amount,
+                   CAST(sum(signed_amount) OVER (PARTITION BY customer_id ORDER BY txn_date) AS DECIMAL(38,2)) AS running_balance
+                   FROM {SIGNED_SQL} s)"""
+DELIV_SQL = f"""(SELECT order_id, runner_id, customer_id, order_time,
+                 TRY_CAST(CASE WHEN pickup_time IN ('null', '') THEN NULL ELSE pickup_time END AS TIMESTAMP) AS pk,
+                 TRY_CAST(NULLIF(regexp_extract(distance, {NUM_RE}, 1), '') AS DECIMAL(10,2)) AS dist,
+                 TRY_CAST(NULLIF(regexp_extract(duration, {NUM_RE}, 1), '') AS INTEGER) AS dur,
+                 {DELIVERED_SQL} AS delivered
+                 FROM v_dirty)"""
+SPEED_SQL = ("CAST(CAST((2 * 60 * CAST(dist * 100 AS BIGINT) + dur) // (2 * dur) AS DECIMAL(38,0)) * 0.01"
+             " AS DECIMAL(12,2))")
+
+
+def signed_txn(v: Views):
+    return Wn.signed(v.v_txn)
+
+
+@register("first_per_key", "W42", """
+SELECT customer_id, order_date, order_id, line_no, product_id, product_name, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id, line_no, product_id, price) AS rn
+  FROM v_sale) t WHERE rn = 1""")
+def q_first_per_key(v: Views):
+    return Wn.first_per_key(v.v_sale, "customer_id", SALE_ORDER,
+                            ["order_date", "order_id", "line_no", "product_id", "product_name", "price"])
+
+
+@register("top_by_count_per_key", "W43", """
+SELECT customer_id, product_name, n FROM (
+  SELECT customer_id, product_name, count(*) AS n, rank() OVER (PARTITION BY customer_id ORDER BY count(*) DESC) AS r
+  FROM v_sale GROUP BY customer_id, product_name) t WHERE r = 1""")
+def q_top_by_count_per_key(v: Views):
+    return Wn.top_by_count_per_key(v.v_sale, "customer_id", "product_name")
+
+
+@register("nth_state", "W44", f"""
+SELECT plan_id, count(*) AS n_customers, {pct_sql('count(*)', N_CUST_SQL)} AS percent
+FROM {SEQ_SQL} s WHERE rn = 2 GROUP BY plan_id""")
+def q_nth_state(v: Views):
+    return Wn.nth_state(v.v_sub, "customer_id", SUB_ORDER, 2)
+
+
+@register("immediate_transition_share", "W45", f"""
+SELECT n AS n_customers, {pct_sql('n', N_CUST_SQL)} AS percent FROM (
+  SELECT count(*) AS n FROM {SEQ_SQL} s WHERE prev_state = {TRIAL} AND rn = 2 AND plan_id = {CHURN}) t""")
+def q_immediate_transition_share(v: Views):
+    return Wn.immediate_transition_share(v.v_sub, "customer_id", SUB_ORDER, TRIAL, CHURN)
+
+
+@register("later_state_in_year", "W45", f"""
+SELECT count(DISTINCT customer_id) AS n_customers FROM {SEQ_SQL} s
+WHERE rn > 1 AND plan_id = {ANNUAL} AND year(start_date) = {YEAR}""")
+def q_later_state_in_year(v: Views):
+    return Wn.later_state_in_year(v.v_sub, "customer_id", SUB_ORDER, ANNUAL, YEAR)
+
+
+@register("downgrade_count", "W45", f"""
+SELECT count(*) AS n_downgrades FROM {SEQ_SQL} s
+WHERE plan_id = {PRO} AND next_state = {BASIC} AND year(next_date) = {YEAR}""")
+def q_downgrade_count(v: Views):
+    return Wn.downgrade_count(v.v_sub, "customer_id", SUB_ORDER, PRO, BASIC, YEAR)
+
+
+@register("state_asof_written", "W46", f"""
+WITH u AS (SELECT customer_id, plan_id FROM v_sub WHERE plan_id NOT IN ({TRIAL}, {CHURN}) AND start_date < DATE '{ASOF}'
+           UNION
+           SELECT customer_id, plan_id FROM v_sub WHERE plan_id = {TRIAL} AND start_date BETWEEN DATE '{ASOF}' - 6 AND DATE '{ASOF}')
+SELECT plan_id, count(DISTINCT customer_id) AS n_customers,
+       {pct_sql('count(DISTINCT customer_id)', '(SELECT count(*) FROM u)')} AS percent
+FROM u GROUP BY plan_id""")
+def q_state_asof_written(v: Views):
+    return Wn.state_asof_written(v.v_sub, "customer_id", ASOF)
+
+
+@register("state_asof_latest", "W46", f"""
+WITH l AS (SELECT customer_id, plan_id FROM (
+             SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY start_date DESC, event_id DESC) AS rn
+             FROM v_sub WHERE start_date <= DATE '{ASOF}') t WHERE rn = 1)
+SELECT plan_id, count(*) AS n_customers, {pct_sql('count(*)', '(SELECT count(*) FROM l)')} AS percent
+FROM l GROUP BY plan_id""")
+def q_state_asof_latest(v: Views):
+    return Wn.state_asof_latest(v.v_sub, "customer_id", ASOF, SUB_ORDER)
+
+
+DAYS_SQL = f"""(SELECT d FROM (
+  SELECT customer_id, date_diff('day', min(start_date) FILTER (WHERE plan_id = {TRIAL}),
+                                min(start_date) FILTER (WHERE plan_id = {ANNUAL})) AS d
+  FROM v_sub GROUP BY customer_id) x WHERE d > 0)"""
+
+
+@register("days_between_states", "W47", f"""
+SELECT round(avg(CAST(d AS DOUBLE)), 4) AS avg_days, count(*) AS n_customers FROM {DAYS_SQL} t""")
+def q_days_between_states(v: Views):
+    return Wn.avg_days_between_states(v.v_sub, "customer_id", TRIAL, ANNUAL)
+
+
+@register("bucket_histogram", "W48", f"""
+WITH d AS {DAYS_SQL},
+     b AS (SELECT CAST(unnest(range(0, (SELECT max(d) // 30 FROM d) + 1)) AS INTEGER) AS k)
+SELECT k * 30 AS r_from, k * 30 + 29 AS r_to, round(avg(CAST(d.d AS DOUBLE)), 4) AS average_days,
+       count(d.d) AS customer_count
+FROM b LEFT JOIN d ON d.d // 30 = b.k GROUP BY k""")
+def q_bucket_histogram(v: Views):
+    return Wn.bucket_histogram(Wn.days_between_states(v.v_sub, "customer_id", TRIAL, ANNUAL), "days", 30)
+
+
+@register("expand_schedule", "W49", f"""
+WITH s AS (SELECT customer_id, plan_id, event_id, start_date, price,
+                  lead(start_date) OVER (PARTITION BY customer_id ORDER BY start_date, event_id) AS nxt
+           FROM v_sub WHERE plan_id <> {TRIAL} AND start_date <= DATE '{HORIZON}'),
+     e AS (SELECT *, CASE WHEN plan_id = {ANNUAL} THEN start_date WHEN plan_id = {CHURN} THEN NULL
+                          ELSE coalesce(nxt, DATE '{HORIZON}') END AS en FROM s),
+     p AS (SELECT *, CAST(start_date + to_months(CAST(i AS INTEGER)) AS DATE) AS payment_date FROM (
+             SELECT e.*, unnest(range(0, date_diff('month', start_date, en) + 2)) AS i FROM e WHERE en IS NOT NULL) x),
+     q AS (SELECT * FROM p WHERE (i = 0 AND start_date <= en) OR (i >= 1 AND payment_date < en))
+SELECT customer_id, plan_id, payment_date,
+       CAST(CASE WHEN lag(plan_id) OVER w <> plan_id AND date_diff('day', lag(payment_date) OVER w, payment_date) < 30
+                 THEN price - lag(price) OVER w ELSE price END AS DECIMAL(7,2)) AS amount,
+       CAST(rank() OVER (PARTITION BY customer_id ORDER BY payment_date) AS INTEGER) AS payment_order
+FROM q WINDOW w AS (PARTITION BY customer_id ORDER BY payment_date, plan_id, event_id, i)""")
+def q_expand_schedule(v: Views):
+    return Wn.expand_schedule(v.v_sub, HORIZON)
+
+
+@register("period_growth", "W50", """
+WITH m AS (SELECT CAST(year(start_date) AS INTEGER) AS year, CAST(month(start_date) AS INTEGER) AS month, count(*) AS cur
+           FROM v_sub WHERE plan_id <> 4 GROUP BY 1, 2)
+SELECT year, month, cur AS current_number_of_customers, lag(cur) OVER w AS past_number_of_customers,
+       CAST((100 * (cur - lag(cur) OVER w)) // lag(cur) OVER w AS VARCHAR) || '%' AS growth
+FROM m WINDOW w AS (ORDER BY year, month)""")
+def q_period_growth(v: Views):
+    return Wn.period_growth(v.v_sub.where(F.col("plan_id") != CHURN), "start_date")
+
+
+@register("period_balance", "W51", f"SELECT * FROM {MONTHLY_SQL} t")
+def q_period_balance(v: Views):
+    pb = Wn.period_balance(signed_txn(v), "customer_id", "txn_date", "signed_amount")
+    return pb.select("customer_id", "month", F.col("monthly_balance").cast("decimal(38,2)").alias("monthly_balance"),
+                     F.col("closing_balance").cast("decimal(38,2)").alias("closing_balance"))
+
+
+@register("running_balance", "W51", f"SELECT * FROM {RUNNING_SQL} t")
+def q_running_balance(v: Views):
+    rb = Wn.running_balance(signed_txn(v), "customer_id", "txn_date", "signed_amount")
+    return rb.select("customer_id", "txn_id", "txn_date", "txn_type", "signed_amount",
+                     F.col("running_balance").cast("decimal(38,2)").alias("running_balance"))
+
+
+@register("period_end_balance", "W51", f"""
+SELECT customer_id, CAST(date_trunc('month', txn_date) AS DATE) AS month,
+       CAST(arg_max(running_balance, txn_date) AS DECIMAL(38,2)) AS end_balance
+FROM {RUNNING_SQL} r GROUP BY 1, 2""")
+def q_period_end_balance(v: Views):
+    pe = Wn.period_end_balance(signed_txn(v), "customer_id", "txn_date", "signed_amount")
+    return pe.select("customer_id", "month", F.col("end_balance").cast("decimal(38,2)").alias("end_balance"))
+
+
+@register("balance_growth_share", "W51", f"""
+WITH p AS (SELECT *, lag(closing_balance) OVER (PARTITION BY customer_id ORDER BY month) AS prev
+           FROM {MONTHLY_SQL} m WHERE closing_balance > 0)
+SELECT n AS n_growing, tot AS total_customers, CAST(n * 100 // tot AS BIGINT) AS cust_perc
+FROM (SELECT count(DISTINCT customer_id) AS n FROM p WHERE (closing_balance - prev) * 100 >= 6 * prev) a,
+     (SELECT count(DISTINCT customer_id) AS tot FROM v_txn) b""")
+def q_balance_growth_share(v: Views):
+    return Wn.balance_growth_share(signed_txn(v), "customer_id", "txn_date", "signed_amount")
+
+
+@register("min_avg_max_by", "W30", f"""
+SELECT customer_id, min_bal, max_bal,
+       CAST(CAST(sign(s) * ((2 * 100 * abs(s) + n) // (2 * n)) AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(38,4)) AS avg_bal
+FROM (SELECT customer_id, min(running_balance) AS min_bal, max(running_balance) AS max_bal,
+             sum(CAST(running_balance * 100 AS HUGEINT)) AS s, count(running_balance) AS n
+      FROM {RUNNING_SQL} r GROUP BY customer_id) a""")
+def q_min_avg_max_by(v: Views):
+    rb = Wn.running_balance(signed_txn(v), "customer_id", "txn_date", "signed_amount")
+    rb = rb.withColumn("running_balance", F.col("running_balance").cast("decimal(38,2)"))
+    return Wn.min_avg_max(rb, "customer_id", "running_balance")
+
+
+@register("elapsed_avg", "W53", f"""
+SELECT d.runner_id, round(avg(date_diff('second', d.order_time, d.pk) / 60.0), 4) AS avg_minutes
+FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id GROUP BY d.runner_id""")
+def q_elapsed_avg(v: Views):
+    rows = v.v_item.select("order_id").join(deliveries(v), "order_id")
+    return (rows.groupBy("runner_id")
+            .agg(F.round(F.avg(minutes_between("order_time", "pickup_time")), 4).alias("avg_minutes")))
+
+
+@register("elapsed_with_count", "W53", f"""
+SELECT d.order_id, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS minutes, count(*) AS no_of_pizza
+FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id WHERE d.delivered
+GROUP BY d.order_id, d.order_time, d.pk""")
+def q_elapsed_with_count(v: Views):
+    counts = v.v_item.groupBy("order_id").agg(F.count(F.lit(1)).alias("no_of_pizza"))
+    return (delivered_orders(v).join(counts, "order_id")
+            .select("order_id", F.round(minutes_between("order_time", "pickup_time"), 4).alias("minutes"),
+                    "no_of_pizza"))
+
+
+@register("speed_vs_average", "W53", f"""
+SELECT order_id, item_no, runner_id, sp AS order_speed,
+       round(avg(CAST(sp AS DOUBLE)) OVER (PARTITION BY runner_id), 4) AS runner_average, hour_of_day
+FROM (SELECT i.order_id, i.item_no, d.runner_id, {SPEED_SQL} AS sp, CAST(hour(d.order_time) AS INTEGER) AS hour_of_day
+      FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id) t""")
+def q_speed_vs_average(v: Views):
+    rows = (v.v_item.select("order_id", "item_no").join(deliveries(v), "order_id")
+            .select("order_id", "item_no", "runner_id", Wn.speed("distance", "duration").alias("order_speed"),
+                    F.hour("order_time").alias("hour_of_day")))
+    # per-runner mean as a partial+final aggregate joined back (a window over
+    # a low-cardinality key would put a tenth of all rows in one task)
+    avg = rows.groupBy("runner_id").agg(F.round(F.avg(F.col("order_speed").cast("double")), 4)
+                                        .alias("runner_average"))
+    return rows.join(avg, "runner_id").select("order_id", "item_no", "runner_id", "order_speed",
+                                              "runner_average", "hour_of_day")
+
+
+@register("delivery_fact", "W53", f"""
+SELECT r.customer_id, r.order_id, r.runner_id, r.rating, strftime(d.order_time, '%H:%M:%S') AS order_clock,
+       strftime(d.pk, '%H:%M:%S') AS pickup_clock, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS preparation_minutes,
+       d.dur AS duration, {SPEED_SQL} AS average_speed, c.n AS number_of_pizza
+FROM v_rating r JOIN {DELIV_SQL} d ON d.order_id = r.order_id
+JOIN (SELECT order_id, count(*) AS n FROM v_item GROUP BY order_id) c ON c.order_id = r.order_id
+WHERE d.delivered""")
+def q_delivery_fact(v: Views):
+    counts = v.v_item.groupBy("order_id").agg(F.count(F.lit(1)).alias("number_of_pizza"))
+    d = delivered_orders(v).drop("runner_id", "customer_id")
+    return (v.v_rating.join(d, "order_id").join(counts, "order_id")
+            .select("customer_id", "order_id", "runner_id", "rating",
+                    F.date_format("order_time", "HH:mm:ss").alias("order_clock"),
+                    F.date_format("pickup_time", "HH:mm:ss").alias("pickup_clock"),
+                    F.round(minutes_between("order_time", "pickup_time"), 4).alias("preparation_minutes"),
+                    "duration", Wn.speed("distance", "duration").alias("average_speed"), "number_of_pizza"))
+
+
+@register("interval_length", "W54", f"""
+SELECT round(avg(CAST(date_diff('day', start_date, end_date) AS DOUBLE)), 4) AS average_days
+FROM v_node WHERE end_date <> DATE '{OPEN_END}'""")
+def q_interval_length(v: Views):
+    return Wn.interval_length(v.v_node, "start_date", "end_date", OPEN_END)
