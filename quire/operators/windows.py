@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.calendar import sunday_weeks_between
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
 
 
@@ -266,3 +267,55 @@ def speed(distance: Column | str, minutes: Column | str) -> Column:
     d = (distance if isinstance(distance, Column) else F.col(distance)).cast("decimal(12,2)")
     m = (minutes if isinstance(minutes, Column) else F.col(minutes)).cast("decimal(12,0)")
     return F.round(F.try_divide(d * 60, m), 2).cast("decimal(12,2)")
+
+
+def _change_columns(before: str, after: str) -> list[Column]:
+    return [F.col(before), F.col(after), (F.col(after) - F.col(before)).alias("change_in_sales"),
+            percent(F.col(after) - F.col(before), F.col(before)).alias("percentage_of_change")]
+
+
+def before_after(df: DataFrame, date_col: str, anchor: str, weeks: int, value: str = "sales",
+                 by: list[str] | None = None) -> DataFrame:
+    """Sum of ``value`` in the ``weeks`` weeks before an anchor date and the ``weeks`` weeks
+    from it, the change and its percent (W52).
+
+    Weeks are counted in Sunday boundaries from the row's date to the anchor:
+    before = 1..weeks, after = -(weeks-1)..0. Both sums come from one pass
+    of conditional sums (no self-join of two filtered scans); groups
+    missing either side are dropped.
+    """
+    off = sunday_weeks_between(F.col(date_col), F.lit(anchor).cast("date"))
+    b = F.sum(F.when(off.between(1, weeks), F.col(value))).cast("bigint").alias("total_sales_before")
+    a = F.sum(F.when(off.between(-(weeks - 1), 0), F.col(value))).cast("bigint").alias("total_sales_after")
+    scoped = df.where(off.between(-(weeks - 1), weeks))
+    g = scoped.groupBy(*by).agg(b, a) if by else scoped.agg(b, a)
+    g = g.where(F.col("total_sales_before").isNotNull() & F.col("total_sales_after").isNotNull())
+    return g.select(*(by or []), *_change_columns("total_sales_before", "total_sales_after"))
+
+
+def before_after_by_week_number(df: DataFrame, week_col: str, anchor_week: int, weeks: int,
+                                by: list[str], value: str = "sales") -> DataFrame:
+    """Per group: sum over week numbers [anchor-weeks, anchor-1] versus
+    [anchor, anchor+weeks-1] (the per-year comparison of W52)."""
+    w = F.col(week_col)
+    b = F.sum(F.when(w.between(anchor_week - weeks, anchor_week - 1), F.col(value))).cast("bigint")
+    a = F.sum(F.when(w.between(anchor_week, anchor_week + weeks - 1), F.col(value))).cast("bigint")
+    g = (df.where(w.between(anchor_week - weeks, anchor_week + weeks - 1)).groupBy(*by)
+         .agg(b.alias("total_sales_before"), a.alias("total_sales_after")))
+    g = g.where(F.col("total_sales_before").isNotNull() & F.col("total_sales_after").isNotNull())
+    return g.select(*by, *_change_columns("total_sales_before", "total_sales_after"))
+
+
+def before_after_by_dimension(df: DataFrame, date_col: str, anchor: str, weeks: int, dims: list[str],
+                              value: str = "sales") -> DataFrame:
+    """W52 for each of several dimensions at once: (dimension, value) rows.
+
+    Each input row is expanded into one (dimension name, dimension value)
+    pair per dimension and aggregated once — the same Expand + single
+    aggregation a GROUPING SETS ((d1), (d2), ...) plan uses, instead of one
+    scan per dimension.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+                                for d in dims]))
+    x = df.select(date_col, value, pairs.alias("_d")).select(date_col, value, "_d.dimension", "_d.value")
+    return before_after(x, date_col, anchor, weeks, value, by=["dimension", "value"])

@@ -40,7 +40,8 @@ def weekly(v: Views) -> DataFrame:
 
 
 def pct_sql(num: str, den: str, scale: int = 2, precision: int = 20) -> str:
-    """Exact half-up percent of non-negative integers in DuckDB, as DECIMAL(precision, scale)."""
+    """Exact percent of integers (positive denominator) in DuckDB, rounded half away
+    from zero, as DECIMAL(precision, scale)."""
     f = 10 ** scale
-    return (f"CAST(CAST((2 * {100 * f} * CAST({num} AS HUGEINT) + ({den})) // (2 * ({den})) AS DECIMAL(38,0))"
-            f" * {1 / f:.{scale}f} AS DECIMAL({precision},{scale}))")
+    return (f"CAST(CAST(sign({num}) * ((2 * {100 * f} * abs(CAST({num} AS HUGEINT)) + ({den})) // (2 * ({den})))"
+            f" AS DECIMAL(38,0)) * {1 / f:.{scale}f} AS DECIMAL({precision},{scale}))")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.calendar import minutes_between
 from quire.operators import windows as Wn
 from quire.plans.cleaning import NUM_RE
-from quire.plans.common import DELIVERED_SQL, delivered_orders, deliveries, pct_sql
+from quire.plans.common import DELIVERED_SQL, delivered_orders, deliveries, pct_sql, weekly
 from quire.plans.joins import SALE_ORDER
 from quire.plans.registry import register
 from quire.sources.views import OPEN_END, Views
@@ -267,3 +267,53 @@ SELECT round(avg(CAST(date_diff('day', start_date, end_date) AS DOUBLE)), 4) AS
 FROM v_node WHERE end_date <> DATE '{OPEN_END}'""")
 def q_interval_length(v: Views):
     return Wn.interval_length(v.v_node, "start_date", "end_date", OPEN_END)
+
+
+# -- W52 before / after ---------------------------------------------------------
+BA_ANCHOR = "1998-06-15"        # a Monday; its Sunday-start week number is 25
+BA_ANCHOR_WEEK = 25
+BA_DIMS = ["region", "platform", "age_band", "demographic", "customer_type"]
+_OFF = "(date_diff('day', CAST(week_date AS DATE) - CAST(dayofweek(week_date) AS INTEGER), " \
+       f"DATE '{BA_ANCHOR}' - CAST(dayofweek(DATE '{BA_ANCHOR}') AS INTEGER)) // 7)"
+_AGE = ("CASE right(segment, 1) WHEN '1' THEN 'Young Adults' WHEN '2' THEN 'Middle Aged' WHEN '3' THEN 'Retirees' "
+        "WHEN '4' THEN 'Retirees' ELSE 'Unknown' END")
+_DEMO = "CASE left(segment, 1) WHEN 'C' THEN 'Couples' WHEN 'F' THEN 'Families' ELSE 'Unknown' END"
+_TSQL_WEEK = "((dayofyear(week_date) + dayofweek(make_date(year(week_date), 1, 1)) - 1) // 7 + 1)"
+
+
+def _ba_select(keys: str) -> str:
+    return (f"SELECT {keys}b AS total_sales_before, a AS total_sales_after, a - b AS change_in_sales, "
+            f"{pct_sql('a - b', 'b')} AS percentage_of_change FROM t WHERE a IS NOT NULL AND b IS NOT NULL")
+
+
+@register("before_after_total", "W52", f"""
+WITH w AS (SELECT sales, {_OFF} AS off FROM v_weekly),
+     t AS (SELECT CAST(sum(sales) FILTER (WHERE off BETWEEN 1 AND 4) AS BIGINT) AS b,
+                  CAST(sum(sales) FILTER (WHERE off BETWEEN -3 AND 0) AS BIGINT) AS a
+           FROM w WHERE off BETWEEN -3 AND 4)
+{_ba_select('')}""")
+def q_before_after_total(v: Views):
+    return Wn.before_after(weekly(v), "week_date", BA_ANCHOR, 4)
+
+
+@register("before_after_by_year", "W52", f"""
+WITH w AS (SELECT CAST(year(week_date) AS INTEGER) AS calendar_year, {_TSQL_WEEK} AS wk, sales FROM v_weekly),
+     t AS (SELECT calendar_year,
+                  CAST(sum(sales) FILTER (WHERE wk BETWEEN {BA_ANCHOR_WEEK - 4} AND {BA_ANCHOR_WEEK - 1}) AS BIGINT) AS b,
+                  CAST(sum(sales) FILTER (WHERE wk BETWEEN {BA_ANCHOR_WEEK} AND {BA_ANCHOR_WEEK + 3}) AS BIGINT) AS a
+           FROM w WHERE wk BETWEEN {BA_ANCHOR_WEEK - 4} AND {BA_ANCHOR_WEEK + 3} GROUP BY calendar_year)
+{_ba_select('calendar_year, ')}""")
+def q_before_after_by_year(v: Views):
+    return Wn.before_after_by_week_number(weekly(v), "week_number", BA_ANCHOR_WEEK, 4, ["calendar_year"])
+
+
+@register("before_after_by_dimension", "W52", f"""
+WITH w0 AS (SELECT *, {_OFF} AS off, {_AGE} AS age_band, {_DEMO} AS demographic FROM v_weekly),
+     d AS ({' UNION ALL '.join(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS value, off, sales FROM w0"
+                               for c in BA_DIMS)}),
+     t AS (SELECT dimension, value, CAST(sum(sales) FILTER (WHERE off BETWEEN 1 AND 12) AS BIGINT) AS b,
+                  CAST(sum(sales) FILTER (WHERE off BETWEEN -11 AND 0) AS BIGINT) AS a
+           FROM d WHERE off BETWEEN -11 AND 12 GROUP BY dimension, value)
+{_ba_select('dimension, value, ')}""")
+def q_before_after_by_dimension(v: Views):
+    return Wn.before_after_by_dimension(weekly(v), "week_date", BA_ANCHOR, 12, BA_DIMS)
