@@ -48,6 +48,12 @@ def _s(c) -> F.Column:
     return (c if isinstance(c, F.Column) else F.col(c)).cast("string")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small literal table built JVM-side (a local relation, no Python-RDD scan)."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 class Views:
     """Lazily built fixture views over one scale-factor folder."""
 
@@ -166,7 +172,7 @@ class Views:
 
     @cached_property
     def v_campaign(self) -> DataFrame:
-        return self.spark.createDataFrame(CAMPAIGNS, "campaign_name string, s string, e string").select(
+        return literal_table(self.spark, CAMPAIGNS, ["campaign_name", "s", "e"]).select(
             "campaign_name",
             F.to_timestamp_ntz(F.col("s")).alias("start_date"),
             F.to_timestamp_ntz(F.col("e")).alias("end_date"))
@@ -174,32 +180,33 @@ class Views:
     # -- case 2 -----------------------------------------------------------
     @cached_property
     def v_recipe(self) -> DataFrame:
-        return self.spark.createDataFrame(RECIPES, "item_name string, toppings string")
+        return literal_table(self.spark, RECIPES, ["item_name", "toppings"])
 
     @cached_property
     def v_topping(self) -> DataFrame:
-        return self.spark.createDataFrame(TOPPINGS, "topping_id int, topping_name string")
+        return literal_table(self.spark, TOPPINGS, ["topping_id", "topping_name"])
 
     @cached_property
     def v_item(self) -> DataFrame:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                     "l_extendedprice", "l_tax", "l_discount", "l_returnflag", "l_linestatus")
         p = self.t.part.select("p_partkey", "p_type")
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-                                                     "l_extendedprice", "l_tax", "l_discount")
         ln, rf, sk = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_suppkey")
         excl = (F.when(rf == "R", F.concat(_s(ln), F.lit(", "), _s(ln + 2)))
                 .when(rf == "A", F.lit("null"))
                 .otherwise(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.lit("4"))))
         extras = (F.when(sk % 4 == 0, _s(1 + sk % 12)).when(sk % 4 == 1, F.lit("null"))
                   .when(sk % 4 == 2, F.lit("")))
-        return (li.join(p, F.col("p_partkey") == F.col("l_partkey"))
-                .select(F.col("l_orderkey").alias("order_id"),
-                        F.row_number().over(w).cast("int").alias("item_no"),
-                        F.col("l_partkey").alias("part_id"),
-                        F.col("p_type").alias("item_name"),
-                        excl.alias("exclusions"),
-                        extras.alias("extras")))
+        # alias the order key *before* the window so the window's hash
+        # partitioning is on ``order_id`` and later groupings by it reuse it
+        base = (li.join(p, F.col("p_partkey") == F.col("l_partkey"))
+                .select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"),
+                        F.col("p_type").alias("item_name"), excl.alias("exclusions"), extras.alias("extras"),
+                        "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_tax", "l_discount"))
+        w = Window.partitionBy("order_id").orderBy("l_linenumber", "part_id", "l_suppkey", "l_shipdate",
+                                                   "l_extendedprice", "l_tax", "l_discount")
+        return base.select("order_id", F.row_number().over(w).cast("int").alias("item_no"), "part_id",
+                           "item_name", "exclusions", "extras")
 
     @cached_property
     def v_dirty(self) -> DataFrame:
