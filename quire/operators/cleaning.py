@@ -74,14 +74,17 @@ def decode_segment(df: DataFrame, col: str = "segment") -> DataFrame:
     })
 
 
-def add_row_id(df: DataFrame, partition_cols: list[str], order_cols: list[str], name: str = "item_no") -> DataFrame:
+def add_row_id(df: DataFrame, partition_cols: list[str], order_cols: list[str], name: str = "item_no",
+               strategy: str = "range") -> DataFrame:
     """Number rows 1..n inside a natural partition under a total order.
 
     (partition key, number) is the surrogate key. A dense global id would
-    need a one-partition window; this one shuffles by the natural key only.
+    need a one-partition window; this one is a skew-safe ``sequence`` over
+    the natural key (``strategy='window'`` for the plain per-key window).
     """
-    w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-    return df.withColumn(name, F.row_number().over(w).cast("int"))
+    from quire.operators.sequence import sequence
+    s = sequence(df, partition_cols, order_cols, rn_name="_rn", strategy=strategy)
+    return s.withColumn(name, F.col("_rn").cast("int")).drop("_rn")
 
 
 def safe_ratio(df: DataFrame, num: str, den: str, out: str = "avg_transaction",

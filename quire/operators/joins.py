@@ -75,14 +75,16 @@ def flag_since(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
 
 def rank_flagged(fact: DataFrame, starts: DataFrame, order_cols: list[str], key: str = "customer_id",
                  date_col: str = "order_date", start_col: str = "join_date",
-                 flag: str = "member", rank_name: str = "ranking") -> DataFrame:
+                 flag: str = "member", rank_name: str = "ranking", strategy: str = "range") -> DataFrame:
     """W25 plus a running number of the 'Y' rows per key; NULL for 'N' rows.
 
-    ``order_cols`` must make the order total so the numbering is repeatable.
+    ``order_cols`` must make the order total so the numbering is repeatable;
+    the numbering is a skew-safe ``sequence`` over (key, flag).
     """
-    w = Window.partitionBy(key, flag).orderBy(*order_cols)
+    from quire.operators.sequence import sequence
     df = flag_since(fact, starts, key, date_col, start_col, flag)
-    return df.withColumn(rank_name, F.when(F.col(flag) == "Y", F.row_number().over(w)))
+    s = sequence(df, [key, flag], order_cols, rn_name="_rn", strategy=strategy)
+    return s.withColumn(rank_name, F.when(F.col(flag) == "Y", F.col("_rn").cast("int"))).drop("_rn")
 
 
 def semi_join_keys(df: DataFrame, marker: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 
 from quire.functions.calendar import sunday_weeks_between
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
+from quire.operators.sequence import sequence
+
+# How per-key ordered operators number and shift rows: "range" spreads a hot
+# key over many tasks (skew-safe); "window" is a plain per-key window.
+DEFAULT_STRATEGY = "range"
 
 
 def first_per_key(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
@@ -39,27 +44,29 @@ def top_by_count_per_key(df: DataFrame, key: str, item: str, count_name: str = "
     return counts.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
 
 
-def state_sequence(df: DataFrame, key: str, order_cols: list[str], state: str = "plan_id") -> DataFrame:
-    """Each state row with its position, previous and next state per key."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumns({"rn": F.row_number().over(w),
-                           "prev_state": F.lag(state).over(w),
-                           "next_state": F.lead(state).over(w)})
+def state_sequence(df: DataFrame, key: str, order_cols: list[str], state: str = "plan_id",
+                   date_col: str | None = None, strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+    """Each state row with its position ``rn``, ``prev_state`` and ``next_state``
+    (and ``next_date`` when ``date_col`` is given) per key."""
+    lead = [state] + ([date_col] if date_col else [])
+    s = sequence(df, [key], order_cols, lag_cols=[state], lead_cols=lead, strategy=strategy)
+    s = s.withColumnRenamed(f"prev_{state}", "prev_state").withColumnRenamed(f"next_{state}", "next_state")
+    return s.withColumnRenamed(f"next_{date_col}", "next_date") if date_col else s
 
 
-def nth_state(df: DataFrame, key: str, order_cols: list[str], n: int = 2, state: str = "plan_id") -> DataFrame:
+def nth_state(df: DataFrame, key: str, order_cols: list[str], n: int = 2, state: str = "plan_id",
+              strategy: str = DEFAULT_STRATEGY) -> DataFrame:
     """Distribution of the n-th state over keys, with percent of all keys."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    nth = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == n)
+    nth = sequence(df, [key], order_cols, strategy=strategy).where(F.col("rn") == n)
     total = df.select(F.countDistinct(key)).scalar()
     return (nth.groupBy(state).agg(F.count(F.lit(1)).alias("n_customers"))
             .withColumn("percent", percent(F.col("n_customers"), total)))
 
 
 def immediate_transition_share(df: DataFrame, key: str, order_cols: list[str], frm, to,
-                               state: str = "plan_id") -> DataFrame:
+                               state: str = "plan_id", strategy: str = DEFAULT_STRATEGY) -> DataFrame:
     """Keys whose second state is ``to`` straight after a first state ``frm``."""
-    s = state_sequence(df, key, order_cols, state)
+    s = state_sequence(df, key, order_cols, state, strategy=strategy)
     hit = s.where((F.col("prev_state") == frm) & (F.col("rn") == 2) & (F.col(state) == to))
     total = df.select(F.countDistinct(key)).scalar()
     return (hit.agg(F.count(F.lit(1)).alias("n_customers"))
@@ -67,24 +74,24 @@ def immediate_transition_share(df: DataFrame, key: str, order_cols: list[str], f
 
 
 def later_state_in_year(df: DataFrame, key: str, order_cols: list[str], to, year: int,
-                        date_col: str = "start_date", state: str = "plan_id") -> DataFrame:
+                        date_col: str = "start_date", state: str = "plan_id",
+                        strategy: str = DEFAULT_STRATEGY) -> DataFrame:
     """Distinct keys that reached ``to`` as a non-first state within ``year``."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    s = df.withColumn("_rn", F.row_number().over(w))
-    return (s.where((F.col("_rn") > 1) & (F.col(state) == to) & (F.year(date_col) == year))
+    s = sequence(df, [key], order_cols, strategy=strategy)
+    return (s.where((F.col("rn") > 1) & (F.col(state) == to) & (F.year(date_col) == year))
             .agg(F.countDistinct(key).alias("n_customers")))
 
 
 def downgrade_count(df: DataFrame, key: str, order_cols: list[str], frm, to, year: int,
-                    date_col: str = "start_date", state: str = "plan_id") -> DataFrame:
+                    date_col: str = "start_date", state: str = "plan_id",
+                    strategy: str = DEFAULT_STRATEGY) -> DataFrame:
     """Rows whose *next* state is ``to`` after ``frm``, the change dated in ``year``.
 
     The next state is taken before filtering (the filter-then-lead form
     can never see a change).
     """
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    s = df.withColumns({"_next": F.lead(state).over(w), "_next_date": F.lead(date_col).over(w)})
-    return (s.where((F.col(state) == frm) & (F.col("_next") == to) & (F.year("_next_date") == year))
+    s = state_sequence(df, key, order_cols, state, date_col=date_col, strategy=strategy)
+    return (s.where((F.col(state) == frm) & (F.col("next_state") == to) & (F.year("next_date") == year))
             .agg(F.count(F.lit(1)).alias("n_downgrades")))
 
 
@@ -151,7 +158,8 @@ def bucket_histogram(values: DataFrame, col: str, width: int = 30) -> DataFrame:
 
 def expand_schedule(df: DataFrame, horizon_end: str, key: str = "customer_id", state: str = "plan_id",
                     date_col: str = "start_date", amount: str = "price", tie: str = "event_id",
-                    once_state=3, end_state=4, skip_state=0, prorate_days: int = 30) -> DataFrame:
+                    once_state=3, end_state=4, skip_state=0, prorate_days: int = 30,
+                    strategy: str = DEFAULT_STRATEGY) -> DataFrame:
     """Recurring payment schedule.
 
     Each paid state pays on its start date and then monthly (dates anchored
@@ -159,30 +167,37 @@ def expand_schedule(df: DataFrame, horizon_end: str, key: str = "customer_id", s
     or, for the last state, up to the horizon; a once-only state pays once;
     the end state pays nothing. A payment made within ``prorate_days`` of a
     payment for a different state is reduced by that payment's amount.
-    ``payment_order`` ranks the payments per key by date.
+    ``payment_order`` ranks the payments per key by date (ties share a rank).
+
+    Both per-key orderings (next state start; previous payment) use
+    ``sequence``, so a key with very many states is spread over many tasks;
+    the rank only needs a window per (key, payment date), which a hot key
+    does not concentrate.
     """
     h = F.lit(horizon_end).cast("date")
-    w = Window.partitionBy(key).orderBy(date_col, tie)
-    s = (df.where((F.col(state) != skip_state) & (F.col(date_col) <= h))
-         .withColumn("_next", F.lead(date_col).over(w)))
+    s = df.where((F.col(state) != skip_state) & (F.col(date_col) <= h))
+    s = sequence(s, [key], [date_col, tie], lead_cols=[date_col], rn_name="_srn", strategy=strategy) \
+        .withColumnRenamed(f"next_{date_col}", "_next").drop("_srn")
     end = (F.when(F.col(state) == once_state, F.col(date_col))
            .when(F.col(state) == end_state, F.lit(None).cast("date"))
            .otherwise(F.coalesce("_next", h)))
     s = s.withColumn("_end", end)
     n = F.floor(F.months_between("_end", date_col)).cast("int") + 1
     s = s.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))))
-    pay = F.add_months(date_col, F.col("_i"))
-    s = (s.withColumn("payment_date", pay)
+    s = (s.withColumn("payment_date", F.add_months(date_col, F.col("_i")))
          .where(((F.col("_i") == 0) & (F.col(date_col) <= F.col("_end")))
-                | ((F.col("_i") >= 1) & (F.col("payment_date") < F.col("_end")))))
-    wp = Window.partitionBy(key).orderBy("payment_date", state, tie, "_i")
-    prev_state, prev_date, prev_amt = (F.lag(state).over(wp), F.lag("payment_date").over(wp),
-                                       F.lag(amount).over(wp))
-    amt = (F.when((prev_state != F.col(state)) & (F.datediff("payment_date", prev_date) < prorate_days),
-                  F.col(amount) - prev_amt)
+                | ((F.col("_i") >= 1) & (F.col("payment_date") < F.col("_end"))))
+         .select(key, state, tie, "_i", "payment_date", amount))
+    p = sequence(s, [key], ["payment_date", state, tie, "_i"], lag_cols=[state, "payment_date", amount],
+                 strategy=strategy)
+    amt = (F.when((F.col(f"prev_{state}") != F.col(state))
+                  & (F.datediff("payment_date", "prev_payment_date") < prorate_days),
+                  F.col(amount) - F.col(f"prev_{amount}"))
            .otherwise(F.col(amount)))
-    return s.select(key, state, "payment_date", amt.cast("decimal(7,2)").alias("amount"),
-                    F.rank().over(Window.partitionBy(key).orderBy("payment_date")).alias("payment_order"))
+    peer = Window.partitionBy(key, "payment_date").orderBy(state, tie, "_i")
+    order = (F.col("rn") - F.row_number().over(peer) + 1).cast("int")
+    return p.select(key, state, "payment_date", amt.cast("decimal(7,2)").alias("amount"),
+                    order.alias("payment_order"))
 
 
 def period_growth(df: DataFrame, date_col: str, count_name: str = "current_number_of_customers") -> DataFrame:
