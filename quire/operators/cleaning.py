@@ -7,7 +7,7 @@ exception (uniqueness needs a grouping).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import calendar as cal
@@ -75,7 +75,7 @@ def decode_segment(df: DataFrame, col: str = "segment") -> DataFrame:
 
 
 def add_row_id(df: DataFrame, partition_cols: list[str], order_cols: list[str], name: str = "item_no",
-               strategy: str = "range") -> DataFrame:
+               strategy: str | None = None) -> DataFrame:
     """Number rows 1..n inside a natural partition under a total order.
 
     (partition key, number) is the surrogate key. A dense global id would
@@ -125,9 +125,10 @@ def rejected_rows(df: DataFrame, unique: dict[str, list[str]], checks: dict[str,
     """The violating rows themselves, tagged with the rule they break."""
     parts = [df.where(~F.coalesce(c, F.lit(True))).withColumn("rule", F.lit(n)) for n, c in checks.items()]
     for name, keys in unique.items():
-        w = Window.partitionBy(*keys)
-        parts.append(df.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1").drop("_n")
-                     .withColumn("rule", F.lit(name)))
+        # duplicated keys by a partial+final count, joined back (a hot key is split
+        # by the skew-join handling instead of landing in one window task)
+        dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+        parts.append(df.join(dup, keys, "left_semi").withColumn("rule", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -75,7 +75,7 @@ def flag_since(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
 
 def rank_flagged(fact: DataFrame, starts: DataFrame, order_cols: list[str], key: str = "customer_id",
                  date_col: str = "order_date", start_col: str = "join_date",
-                 flag: str = "member", rank_name: str = "ranking", strategy: str = "range") -> DataFrame:
+                 flag: str = "member", rank_name: str = "ranking", strategy: str | None = None) -> DataFrame:
     """W25 plus a running number of the 'Y' rows per key; NULL for 'N' rows.
 
     ``order_cols`` must make the order total so the numbering is repeatable;

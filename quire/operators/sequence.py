@@ -237,10 +237,19 @@ def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols:
     return joined.mapInPandas(_sequence_fn(keys, lag_cols, lead_cols, rn_name, out_cols), T.StructType(out_fields))
 
 
+STRATEGY_CONF = "quire.sequence.strategy"
+
+
 def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols=(), lead_cols=(), rn_name: str = "rn",
-             strategy: str = "range") -> DataFrame:
+             strategy: str | None = None) -> DataFrame:
     """``ordered_sequence`` (``strategy='range'``, skew-safe) or the equivalent
-    per-key window (``strategy='window'``, one hash shuffle, a key's rows in one task)."""
+    per-key window (``strategy='window'``, one hash shuffle, a key's rows in one task).
+
+    Without an explicit strategy the session setting ``quire.sequence.strategy``
+    decides (default ``range``).
+    """
+    if strategy is None:
+        strategy = df.sparkSession.conf.get(STRATEGY_CONF, "range")
     if strategy == "range":
         return ordered_sequence(df, keys, order, lag_cols, lead_cols, rn_name)
     w = Window.partitionBy(*keys).orderBy(*order)

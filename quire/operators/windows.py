@@ -26,9 +26,10 @@ from quire.functions.calendar import sunday_weeks_between
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
 from quire.operators.sequence import sequence
 
-# How per-key ordered operators number and shift rows: "range" spreads a hot
-# key over many tasks (skew-safe); "window" is a plain per-key window.
-DEFAULT_STRATEGY = "range"
+# How per-key ordered operators number and shift rows: None defers to the
+# session setting quire.sequence.strategy ("range" — a hot key is spread over
+# many tasks — unless set to "window", a plain per-key window).
+DEFAULT_STRATEGY = None
 
 
 def first_per_key(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
@@ -262,8 +263,9 @@ def balance_growth_share(df: DataFrame, key: str, date_col: str, value: str, thr
     inc = trunc_div((F.col("closing_balance") - F.col("_prev")) * 100, F.col("_prev"))
     grown = g.where(inc > threshold).agg(F.countDistinct(key).alias("n_growing"))
     total = df.select(F.countDistinct(key)).scalar()
-    return grown.select("n_growing", total.alias("total_customers"),
-                        trunc_div(F.col("n_growing") * 100, total).alias("cust_perc"))
+    # bind the scalar subquery once as a column, then use the column
+    return (grown.select("n_growing", total.alias("total_customers"))
+            .withColumn("cust_perc", trunc_div(F.col("n_growing") * 100, F.col("total_customers"))))
 
 
 def min_avg_max(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.sequence import sequence
 from quire.sources.tables import Tables
 
 OPEN_END = "9999-12-31"
@@ -102,15 +103,16 @@ class Views:
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         c = self.t.customer.select("c_custkey", "c_nationkey")
         n = self.t.nation.select("n_nationkey", "n_regionkey")
-        w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-        start = F.col("o_orderdate").cast("date")
-        return (o.join(c, F.col("c_custkey") == F.col("o_custkey"))
+        base = (o.join(c, F.col("c_custkey") == F.col("o_custkey"))
                 .join(n, F.col("n_nationkey") == F.col("c_nationkey"))
-                .select(F.col("o_custkey").alias("customer_id"),
-                        F.col("n_regionkey").alias("region_id"),
+                .select(F.col("o_custkey").alias("customer_id"), F.col("n_regionkey").alias("region_id"),
                         F.col("o_orderpriority").alias("node_id"),
-                        start.alias("start_date"),
-                        F.coalesce(F.lead(start).over(w), F.lit(OPEN_END).cast("date")).alias("end_date")))
+                        F.col("o_orderdate").cast("date").alias("start_date"), "o_orderdate", "o_orderkey"))
+        # next start per customer: a skew-safe ordered sequence, not a per-customer window
+        s = sequence(base, ["customer_id"], ["o_orderdate", "o_orderkey"], lead_cols=["start_date"],
+                     rn_name="_rn")
+        return s.select("customer_id", "region_id", "node_id", "start_date",
+                        F.coalesce("next_start_date", F.lit(OPEN_END).cast("date")).alias("end_date"))
 
     @cached_property
     def v_txn(self) -> DataFrame:
@@ -197,16 +199,15 @@ class Views:
                 .otherwise(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.lit("4"))))
         extras = (F.when(sk % 4 == 0, _s(1 + sk % 12)).when(sk % 4 == 1, F.lit("null"))
                   .when(sk % 4 == 2, F.lit("")))
-        # alias the order key *before* the window so the window's hash
-        # partitioning is on ``order_id`` and later groupings by it reuse it
         base = (li.join(p, F.col("p_partkey") == F.col("l_partkey"))
                 .select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"),
                         F.col("p_type").alias("item_name"), excl.alias("exclusions"), extras.alias("extras"),
                         "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_tax", "l_discount"))
-        w = Window.partitionBy("order_id").orderBy("l_linenumber", "part_id", "l_suppkey", "l_shipdate",
-                                                   "l_extendedprice", "l_tax", "l_discount")
-        return base.select("order_id", F.row_number().over(w).cast("int").alias("item_no"), "part_id",
-                           "item_name", "exclusions", "extras")
+        # item number inside the order: a skew-safe ordered sequence
+        s = sequence(base, ["order_id"], ["l_linenumber", "part_id", "l_suppkey", "l_shipdate",
+                                          "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn")
+        return s.select("order_id", F.col("_rn").cast("int").alias("item_no"), "part_id",
+                        "item_name", "exclusions", "extras")
 
     @cached_property
     def v_dirty(self) -> DataFrame:

@@ -15,22 +15,29 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-# queries whose per-key ordering runs through the skew-safe ordered_sequence
-# (range exchange + Arrow-batched pandas pass); no other query touches Python
-SEQUENCE_KEYS = {"add_row_id", "rank_flagged", "nth_state", "immediate_transition_share",
-                 "later_state_in_year", "downgrade_count", "expand_schedule"}
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_row_at_a_time_python(spark, name):
+    """No Python UDF, no Python-RDD scan; the only Python is the Arrow pass of a
+    skew-safe ordered sequence, which always sits on a range exchange."""
     txt = plan(QUERIES[name](spark, SMALL_SF))
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|Scan ExistingRDD", txt)
-    if name not in SEQUENCE_KEYS:
-        assert "MapInPandas" not in txt
-    else:
+    if "MapInPandas" in txt:
         assert "rangepartitioning" in txt
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_window_over_a_bare_entity_key(spark, name):
+    """Per-key row numbers / neighbours never come from a window partitioned by a
+    customer or order key alone (one task per key); windows partitioned by a key
+    plus a calendar part, or over aggregated frames, are fine."""
+    txt = plan(QUERIES[name](spark, SMALL_SF))
+    for m in re.finditer(r"\n[ :+-]*Window \[.*?\], \[([^\]]*)\], \[", txt):
+        attrs = [a.split("#")[0].strip() for a in m.group(1).split(",") if a.strip()]
+        if attrs in (["customer_id"], ["order_id"], ["o_custkey"], ["l_orderkey"]):
+            # only allowed on per-(key, period) aggregates: the window's input is an aggregate
+            assert "HashAggregate" in txt[m.end():], (name, m.group(1))
+
+
 @pytest.mark.parametrize("name", ["first_per_key", "state_asof_latest", "item_funnel", "visit_summary",
                                   "viewed_without_buying", "days_between_states", "funnel_leaders"])
 def test_aggregate_not_window(spark, name):
@@ -50,10 +57,3 @@ def test_running_balance_windows_per_day_aggregate(spark):
     # the Window sits above a HashAggregate (one row per key-day), not above the raw scan
     after_window = txt[txt.index("Window"):]
     assert "HashAggregate" in after_window
-
-
-def test_list_regrouping_reuses_order_partitioning(spark):
-    """describe_item regroups exploded members by the item key; the only shuffle is the one
-    that numbers the items (hash on order_id)."""
-    txt = plan(QUERIES["describe_item"](spark, SMALL_SF))
-    assert len(re.findall(r"Exchange hashpartitioning", txt)) == 1
