@@ -11,8 +11,8 @@ cannot split a window. ``ordered_sequence`` instead
    the number of partitions;
 3. stitches partition boundaries on that summary (carried row offset,
    value before the first row, value after the last row) and broadcasts it;
-4. numbers and shifts rows inside each sorted partition with pandas over
-   Arrow batches, carrying state across batches.
+4. numbers and shifts rows inside each sorted partition with Arrow compute
+   over record batches, carrying state across batches.
 
 Only one full shuffle (the range exchange, reused by the summary branch)
 is needed, no task ever holds more than one range partition, and the
@@ -29,153 +29,164 @@ from pyspark.sql import types as T
 PID = "_seq_pid"
 
 
-def _key_eq(a, b, n):
-    """Row-wise equality of two key frames (None == None counts as equal)."""
+def _arrow_schema(struct: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(struct)
+
+
+def _eq_prev(batch, keys):
+    """bool array: row i has the same key as row i-1 (row 0: False)."""
     import numpy as np
-    eq = np.ones(len(a), dtype=bool)
-    for i in range(n):
-        x, y = a.iloc[:, i], b.iloc[:, i]
-        eq &= ((x == y) | (x.isna() & y.isna())).to_numpy(dtype=bool)
-    return eq
+    import pyarrow.compute as pc
+    n = batch.num_rows
+    same = np.zeros(n, dtype=bool)
+    if n > 1:
+        acc = np.ones(n - 1, dtype=bool)
+        for k in keys:
+            a = batch.column(k)
+            cur, prev = a.slice(1), a.slice(0, n - 1)
+            e = pc.or_kleene(pc.equal(cur, prev), pc.and_(pc.is_null(cur), pc.is_null(prev)))
+            acc &= np.asarray(pc.fill_null(e, False).to_numpy(zero_copy_only=False), dtype=bool)
+        same[1:] = acc
+    return same
+
 
+def _key_at(batch, keys, i):
+    return [batch.column(k)[i].as_py() for k in keys]
 
-def _summary_fn(keys, lag_cols, lead_cols):
-    import pandas as pd
 
+def _summary_fn(keys, lag_cols, lead_cols, schema):
     def fn(it):
+        import pyarrow as pa
         first = last = None
-        n_last = 0
-        n_rows = 0
+        last_key = None
+        n_last = n_rows = 0
         pid = None
-        for pdf in it:
-            if pdf.empty:
+        for b in it:
+            if b.num_rows == 0:
                 continue
-            pid = int(pdf[PID].iloc[0])
             if first is None:
-                first = pdf.iloc[0]
-            kk = pdf[keys]
-            tail = pdf.iloc[-1]
-            tail_key = kk.iloc[[-1] * len(pdf)].reset_index(drop=True)
-            same = _key_eq(kk.reset_index(drop=True), tail_key, len(keys))
-            # rows of the batch's last key form a suffix (the batch is sorted)
-            run = int(same[::-1].cumprod().sum())
-            if last is not None and run == len(pdf) and \
-                    _key_eq(pd.DataFrame([last[keys].tolist()]), pd.DataFrame([tail[keys].tolist()]), len(keys))[0]:
+                first = b.slice(0, 1)
+                pid = b.column(PID)[0].as_py()
+            same = _eq_prev(b, keys)
+            # rows of the batch's last key are a suffix (the partition is sorted)
+            breaks = (~same).nonzero()[0]
+            run = b.num_rows - int(breaks[-1])
+            tk = _key_at(b, keys, b.num_rows - 1)
+            if last_key is not None and run == b.num_rows and tk == last_key:
                 n_last += run
             else:
                 n_last = run
-            last = tail
-            n_rows += len(pdf)
+            last_key, last = tk, b.slice(b.num_rows - 1, 1)
+            n_rows += b.num_rows
         if first is None:
             return
-        row = {PID: pid, "_n_last": n_last, "_n_rows": n_rows}
+        row = {PID: [pid], "_n_last": [n_last], "_n_rows": [n_rows]}
         for i, k in enumerate(keys):
-            row[f"_fk{i}"] = first[k]
-            row[f"_lk{i}"] = last[k]
+            row[f"_fk{i}"] = [first.column(k)[0].as_py()]
+            row[f"_lk{i}"] = [last.column(k)[0].as_py()]
         for c in lead_cols:
-            row[f"_fv_{c}"] = first[c]
+            row[f"_fv_{c}"] = [first.column(c)[0].as_py()]
         for c in lag_cols:
-            row[f"_lv_{c}"] = last[c]
-        yield pd.DataFrame([row])
+            row[f"_lv_{c}"] = [last.column(c)[0].as_py()]
+        yield pa.RecordBatch.from_pydict(row, schema=schema)
 
     return fn
 
 
-def _sequence_fn(keys, lag_cols, lead_cols, rn_name, out_cols):
-    import numpy as np
-    import pandas as pd
-
-    nk = len(keys)
-
-    def emit(df):
-        return df[out_cols]
-
+def _sequence_fn(keys, lag_cols, lead_cols, rn_name, in_cols, schema):
     def fn(it):
-        buf = None            # rows held back until their successor is known
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        buf = None            # the last row, held back until its successor is known
         last_key = None       # key of the last emitted row
         last_rn = 0
-        last_vals = None      # lag-source values of the last emitted row
+        last_vals = None      # lag-source values (arrow scalars) of the last emitted row
         carry = None
         seen = 0
-        for pdf in it:
-            if pdf.empty:
+
+        def shifted(col, idx, valid, head=None):
+            """col[idx] where valid, else NULL; optionally row 0 replaced by ``head``."""
+            out = pc.take(col, pa.array(np.clip(idx, 0, len(col) - 1)))
+            out = pc.if_else(pa.array(valid), out, pa.nulls(len(col), type=col.type))
+            if head is not None:
+                first = np.zeros(len(col), dtype=bool)
+                first[0] = True
+                out = pc.if_else(pa.array(first), pa.scalar(head.as_py(), type=col.type), out)
+            return out
+
+        def build(t, rn, lags, leads, upto):
+            arrays = [t.column(c).slice(0, upto) for c in in_cols]
+            arrays.append(pa.array(rn[:upto], type=pa.int64()))
+            arrays += [a.slice(0, upto) for a in lags] + [a.slice(0, upto) for a in leads]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        def head_state(t):
+            hk = _key_at(t, keys, 0)
+            if last_key is not None:
+                cont = hk == last_key
+                return cont, (last_rn if cont else 0), (last_vals if cont else None)
+            cont = bool(carry["_linked_in"]) and hk == [carry[f"_fk{i}"] for i in range(len(keys))]
+            vals = [carry_scalars[f"_in_{c}"] for c in lag_cols] if cont else None
+            return cont, (int(carry["_offset"]) if cont else 0), vals
+
+        for b in it:
+            if b.num_rows == 0:
                 continue
             if carry is None:
-                carry = pdf.iloc[0]
-                fk = pd.DataFrame([[carry[f"_fk{i}"] for i in range(nk)]])
-                if pd.isna(carry["_n_rows"]) or not _key_eq(pd.DataFrame([pdf[keys].iloc[0].tolist()]), fk, nk)[0]:
+                carry = {name: b.column(name)[0].as_py() for name in b.schema.names
+                         if name.startswith("_") and name != PID}
+                carry_scalars = {name: b.column(name)[0] for name in b.schema.names if name.startswith("_in_")}
+                if carry.get("_n_rows") is None or \
+                        _key_at(b, keys, 0) != [carry[f"_fk{i}"] for i in range(len(keys))]:
                     raise RuntimeError("ordered_sequence: partition summary does not match the partition "
                                        "(the range exchange was not reused)")
-            seen += len(pdf)
-            df = pdf if buf is None else pd.concat([buf, pdf], ignore_index=True)
-            df = df.reset_index(drop=True)
-            kk = df[keys].reset_index(drop=True)
-            prev_k = kk.shift(1)
-            same_prev = _key_eq(kk, prev_k, nk)
-            same_prev[0] = False
-            next_k = kk.shift(-1)
-            same_next = _key_eq(kk, next_k, nk)
-            same_next[-1] = False
-            # does the first row continue the key of the last emitted row / previous partition?
-            head_key = pd.DataFrame([kk.iloc[0].tolist()])
-            if last_key is not None:
-                head_cont = _key_eq(head_key, pd.DataFrame([last_key]), nk)[0]
-                head_off, head_vals = last_rn, last_vals
-            else:
-                fk = pd.DataFrame([[carry[f"_fk{i}"] for i in range(nk)]])
-                head_cont = bool(carry["_linked_in"]) and _key_eq(head_key, fk, nk)[0]
-                head_off = int(carry["_offset"]) if head_cont else 0
-                head_vals = [carry[f"_in_{c}"] for c in lag_cols] if head_cont else None
-            grp = np.cumsum(~same_prev)
-            pos = pd.Series(np.ones(len(df), dtype=np.int64)).groupby(grp).cumsum().to_numpy()
-            first_grp = grp == grp[0]
-            rn = pos + np.where(first_grp, head_off if head_cont else 0, 0)
-            df[rn_name] = rn
-            for c in lag_cols:
-                col = df[c].astype(object).shift(1, fill_value=None)
-                col[~same_prev] = None
-                if head_cont and head_vals is not None:
-                    col.iloc[0] = head_vals[lag_cols.index(c)]
-                df[f"prev_{c}"] = col
-            for c in lead_cols:
-                col = df[c].astype(object).shift(-1, fill_value=None)
-                col[~same_next] = None
-                df[f"next_{c}"] = col
-            # hold back the last row: its successor may be in the next batch
-            out, buf = df.iloc[:-1], df.iloc[[-1]][pdf.columns]
-            if len(out):
-                last_key = out[keys].iloc[-1].tolist()
-                last_rn = int(out[rn_name].iloc[-1])
-                last_vals = [out[c].iloc[-1] for c in lag_cols]
-                yield emit(out)
+            seen += b.num_rows
+            t = b if buf is None else pa.Table.from_batches([buf, b]).combine_chunks().to_batches()[0]
+            n = t.num_rows
+            same_prev = _eq_prev(t, keys)
+            same_next = np.zeros(n, dtype=bool)
+            same_next[:-1] = same_prev[1:]
+            cont, off, vals = head_state(t)
+            starts = (~same_prev).nonzero()[0]
+            grp = np.cumsum(~same_prev) - 1
+            rn = np.arange(n, dtype=np.int64) - starts[grp] + 1
+            if cont:
+                rn[grp == 0] += off
+            idx = np.arange(n)
+            lags = [shifted(t.column(c), idx - 1, same_prev, vals[j] if cont and vals is not None else None)
+                    for j, c in enumerate(lag_cols)]
+            leads = [shifted(t.column(c), idx + 1, same_next) for c in lead_cols]
+            if n > 1:
+                yield build(t, rn, lags, leads, n - 1)
+                last_key = _key_at(t, keys, n - 2)
+                last_rn = int(rn[n - 2])
+                last_vals = [t.column(c)[n - 2] for c in lag_cols]
+            buf = t.slice(n - 1, 1)
         if carry is not None and seen != int(carry["_n_rows"]):
             raise RuntimeError("ordered_sequence: partition row count differs from its summary")
         if buf is not None:
-            df = buf.reset_index(drop=True)
-            kk = df[keys]
-            head_key = pd.DataFrame([kk.iloc[0].tolist()])
-            if last_key is not None:
-                cont = _key_eq(head_key, pd.DataFrame([last_key]), nk)[0]
-                off, vals = (last_rn, last_vals) if cont else (0, None)
-            else:
-                fk = pd.DataFrame([[carry[f"_fk{i}"] for i in range(nk)]])
-                cont = bool(carry["_linked_in"]) and _key_eq(head_key, fk, nk)[0]
-                off = int(carry["_offset"]) if cont else 0
-                vals = [carry[f"_in_{c}"] for c in lag_cols] if cont else None
-            df[rn_name] = [off + 1]
-            for i, c in enumerate(lag_cols):
-                df[f"prev_{c}"] = pd.Series([vals[i] if vals is not None else None], dtype=object)
-            lk = pd.DataFrame([[carry[f"_lk{i}"] for i in range(nk)]])
-            tail_cont = bool(carry["_linked_out"]) and _key_eq(head_key, lk, nk)[0]
+            t = buf
+            cont, off, vals = head_state(t)
+            rn = np.array([off + 1], dtype=np.int64)
+            lags = [shifted(t.column(c), np.array([-1]), np.array([False]),
+                            vals[j] if cont and vals is not None else None) for j, c in enumerate(lag_cols)]
+            tail = bool(carry["_linked_out"]) and _key_at(t, keys, 0) == [carry[f"_lk{i}"] for i in range(len(keys))]
+            leads = []
             for c in lead_cols:
-                df[f"next_{c}"] = pd.Series([carry[f"_out_{c}"] if tail_cont else None], dtype=object)
-            yield emit(df)
+                col = t.column(c)
+                v = carry.get(f"_out_{c}") if tail else None
+                leads.append(pa.array([v], type=col.type))
+            yield build(t, rn, lags, leads, 1)
 
     return fn
 
 
 def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[str] = (),
-                     lead_cols: list[str] = (), rn_name: str = "rn", partitions: int | None = None) -> DataFrame:
+                     lead_cols: list[str] = (), rn_name: str = "rn", partitions: int | None = None,
+                     keep: list[str] | None = None) -> DataFrame:
     """Add ``rn_name`` (1-based position of the row within its key under ``order``),
     ``prev_<c>`` for each ``lag_cols`` and ``next_<c>`` for each ``lead_cols``.
 
@@ -187,8 +198,10 @@ def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = keys + [c for c in order if c not in keys]
+    # columns carried past the sort (``keep``: sort-only columns stay in the JVM)
+    out_names = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
     r = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-         .withColumn(PID, F.spark_partition_id()))
+         .select(*out_names, F.spark_partition_id().alias(PID)))
     fields = {f.name: f for f in r.schema.fields}
 
     # 2. one summary row per non-empty partition. It reads the same range exchange
@@ -200,7 +213,8 @@ def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols:
         sfields += [T.StructField(f"_fk{i}", fields[k].dataType), T.StructField(f"_lk{i}", fields[k].dataType)]
     sfields += [T.StructField(f"_fv_{c}", fields[c].dataType) for c in lead_cols]
     sfields += [T.StructField(f"_lv_{c}", fields[c].dataType) for c in lag_cols]
-    summary = r.mapInPandas(_summary_fn(keys, lag_cols, lead_cols), T.StructType(sfields))
+    sschema = T.StructType(sfields)
+    summary = r.mapInArrow(_summary_fn(keys, lag_cols, lead_cols, _arrow_schema(sschema)), sschema)
 
     # 3. stitch boundaries over the (partition-count bounded) summary, in partition order
     w = Window.orderBy(PID)
@@ -229,19 +243,21 @@ def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols:
     # 4. number and shift inside each sorted partition; the summary is broadcast
     #    (one row per partition), so the sorted rows keep their partition and order
     joined = r.join(F.broadcast(carry), PID, "left")
-    out_fields = [f for f in df.schema.fields]
+    out_fields = [fields[c] for c in out_names]
     out_fields.append(T.StructField(rn_name, T.LongType()))
     out_fields += [T.StructField(f"prev_{c}", fields[c].dataType) for c in lag_cols]
     out_fields += [T.StructField(f"next_{c}", fields[c].dataType) for c in lead_cols]
-    out_cols = [f.name for f in out_fields]
-    return joined.mapInPandas(_sequence_fn(keys, lag_cols, lead_cols, rn_name, out_cols), T.StructType(out_fields))
+    out_schema = T.StructType(out_fields)
+    in_cols = out_names
+    return joined.mapInArrow(_sequence_fn(keys, lag_cols, lead_cols, rn_name, in_cols, _arrow_schema(out_schema)),
+                             out_schema)
 
 
 STRATEGY_CONF = "quire.sequence.strategy"
 
 
 def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols=(), lead_cols=(), rn_name: str = "rn",
-             strategy: str | None = None) -> DataFrame:
+             strategy: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``ordered_sequence`` (``strategy='range'``, skew-safe) or the equivalent
     per-key window (``strategy='window'``, one hash shuffle, a key's rows in one task).
 
@@ -251,9 +267,12 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols=(), lead
     if strategy is None:
         strategy = df.sparkSession.conf.get(STRATEGY_CONF, "range")
     if strategy == "range":
-        return ordered_sequence(df, keys, order, lag_cols, lead_cols, rn_name)
+        return ordered_sequence(df, keys, order, lag_cols, lead_cols, rn_name, keep=keep)
     w = Window.partitionBy(*keys).orderBy(*order)
     cols = {rn_name: F.row_number().over(w).cast("long")}
     cols.update({f"prev_{c}": F.lag(c).over(w) for c in lag_cols})
     cols.update({f"next_{c}": F.lead(c).over(w) for c in lead_cols})
-    return df.withColumns(cols)
+    out = df.withColumns(cols)
+    if keep:
+        out = out.select(*dict.fromkeys(keep + list(keys) + list(lag_cols) + list(lead_cols)), *cols)
+    return out

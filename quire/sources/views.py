@@ -110,7 +110,7 @@ class Views:
                         F.col("o_orderdate").cast("date").alias("start_date"), "o_orderdate", "o_orderkey"))
         # next start per customer: a skew-safe ordered sequence, not a per-customer window
         s = sequence(base, ["customer_id"], ["o_orderdate", "o_orderkey"], lead_cols=["start_date"],
-                     rn_name="_rn")
+                     rn_name="_rn", keep=["customer_id", "region_id", "node_id", "start_date"])
         return s.select("customer_id", "region_id", "node_id", "start_date",
                         F.coalesce("next_start_date", F.lit(OPEN_END).cast("date")).alias("end_date"))
 
@@ -205,7 +205,8 @@ class Views:
                         "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_tax", "l_discount"))
         # item number inside the order: a skew-safe ordered sequence
         s = sequence(base, ["order_id"], ["l_linenumber", "part_id", "l_suppkey", "l_shipdate",
-                                          "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn")
+                                          "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn",
+                     keep=["order_id", "part_id", "item_name", "exclusions", "extras"])
         return s.select("order_id", F.col("_rn").cast("int").alias("item_no"), "part_id",
                         "item_name", "exclusions", "extras")
 
