@@ -100,7 +100,7 @@ def q_mean_conversion(v: Views):
     return Fn.conversion_means(funnel(v))
 
 
-@register("visit_summary", "W57", """
+VISIT_SUMMARY_SQL = """
 SELECT s.user_id, s.visit_id, s.visit_start_time, s.page_views, s.cart_adds, s.purchase, c.campaign_name,
        s.impression, s.click
 FROM (SELECT user_id, visit_id, min(event_time) AS visit_start_time,
@@ -108,7 +108,10 @@ FROM (SELECT user_id, visit_id, min(event_time) AS visit_start_time,
              CAST(max(CASE WHEN event_type = 3 THEN 1 ELSE 0 END) AS INTEGER) AS purchase,
              count(*) FILTER (WHERE event_type = 4) AS impression, count(*) FILTER (WHERE event_type = 5) AS click
       FROM v_event GROUP BY user_id, visit_id) s
-LEFT JOIN v_campaign c ON s.visit_start_time BETWEEN c.start_date AND c.end_date""")
+LEFT JOIN v_campaign c ON s.visit_start_time BETWEEN c.start_date AND c.end_date"""
+
+
+@register("visit_summary", "W57", VISIT_SUMMARY_SQL)
 def q_visit_summary(v: Views):
     return Fn.visit_summary(v.v_event, v.v_campaign)
 
@@ -129,3 +132,10 @@ SELECT {pct_sql('n', 'd')} AS checkout_without_purchase_perc FROM
   (SELECT count(DISTINCT visit_id) AS d FROM v_event WHERE page_id = {CHECKOUT_PAGE}) b""")
 def q_viewed_without_buying(v: Views):
     return Fn.viewed_without_buying(v.v_event, CHECKOUT_PAGE)
+
+
+@register("visit_summary_stream", "W57", VISIT_SUMMARY_SQL)
+def q_visit_summary_stream(v: Views):
+    """W57 computed incrementally: the event file replayed as a stream (available-now)."""
+    from quire.streaming.visits import run_visit_summary
+    return run_visit_summary(v.spark, v.t.sf_dir, v.v_campaign, glob="events.parquet")

@@ -55,6 +55,20 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def event_view(events: DataFrame) -> DataFrame:
+    """Raw web events -> the case-study event shape (row-local, so it also works on a stream)."""
+    et = F.col("event_type")
+    code = F.lit(5)
+    for name, c in reversed(list(EVENT_CODES.items())):
+        code = F.when(et == name, F.lit(c)).otherwise(code)
+    return events.select(
+        "event_id", "user_id",
+        F.concat(_s("user_id"), F.lit("-"), _s(F.col("ts").cast("date"))).alias("visit_id"),
+        F.col("ts").alias("event_time"),
+        code.alias("event_type"),
+        (F.col("event_id") % 13).cast("int").alias("page_id"))
+
+
 class Views:
     """Lazily built fixture views over one scale-factor folder."""
 
@@ -150,16 +164,7 @@ class Views:
     # -- case 6 -----------------------------------------------------------
     @cached_property
     def v_event(self) -> DataFrame:
-        et = F.col("event_type")
-        code = F.lit(5)
-        for name, c in reversed(list(EVENT_CODES.items())):
-            code = F.when(et == name, F.lit(c)).otherwise(code)
-        return self.t.events.select(
-            "event_id", "user_id",
-            F.concat(_s("user_id"), F.lit("-"), _s(F.col("ts").cast("date"))).alias("visit_id"),
-            F.col("ts").alias("event_time"),
-            code.alias("event_type"),
-            (F.col("event_id") % 13).cast("int").alias("page_id"))
+        return event_view(self.t.events)
 
     @cached_property
     def v_page(self) -> DataFrame:
