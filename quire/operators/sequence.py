@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import estimated_size, partitions_for
+
 PID = "_seq_pid"
 
 
@@ -196,7 +198,10 @@ def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols:
     keys, order = list(keys), list(order)
     lag_cols, lead_cols = list(lag_cols), list(lead_cols)
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # enough ranges for ~256 MB each by the plan's size estimate, never fewer than the
+    # session's shuffle partitions: a key holding a third of the data is cut into
+    # (size / 3) / 256 MB consecutive ranges
+    n = partitions or partitions_for(estimated_size(df), minimum=int(spark.conf.get("spark.sql.shuffle.partitions")))
     sort_cols = keys + [c for c in order if c not in keys]
     # columns carried past the sort (``keep``: sort-only columns stay in the JVM)
     out_names = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))

@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # AQE coalesces small shuffle partitions up to this size and splits larger ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -44,6 +46,31 @@ def get_session(master: str | None = None, app: str = "quire",
     return spark
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def partitions_for(size_bytes: int, minimum: int = 1, target: int = TARGET_PARTITION_BYTES,
+                   maximum: int = 200_000) -> int:
+    """Number of partitions so that each holds about ``target`` bytes."""
+    return int(max(minimum, min(maximum, -(-int(size_bytes) // target))))
+
+
+def estimated_size(df) -> int:
+    """Catalyst's size estimate of a DataFrame's optimised plan (no job is run)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def scale_conf(input_bytes: int, cores: int) -> dict:
+    """Settings for a job reading ``input_bytes`` on ``cores`` cores: enough shuffle
+    partitions for ~256 MB each (at least 2 per core; AQE coalesces down), and
+    128 MB scan splits."""
+    return {
+        "spark.sql.shuffle.partitions": str(partitions_for(input_bytes, minimum=2 * cores)),
+        "spark.sql.files.maxPartitionBytes": "128m",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables and checkpoints.
 
