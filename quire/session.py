@@ -55,10 +55,27 @@ def partitions_for(size_bytes: int, minimum: int = 1, target: int = TARGET_PARTI
     return int(max(minimum, min(maximum, -(-int(size_bytes) // target))))
 
 
+def _big(v) -> int:
+    return int(v if isinstance(v, int) else v.toString())
+
+
+# in-memory rows take roughly this many times their compressed columnar size
+EXPANSION = 3
+
+
 def estimated_size(df) -> int:
-    """Catalyst's size estimate of a DataFrame's optimised plan (no job is run)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
+    """A size estimate of a DataFrame (no job is run): Catalyst's plan estimate,
+    capped by the inputs it reads times ``EXPANSION``.
+
+    Without column statistics Catalyst estimates a join as the product of its
+    inputs, which is useless for sizing; the inputs' own sizes are a sound
+    bound for the filters, projections, aggregations and key joins used here.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    est = _big(plan.stats().sizeInBytes())
+    leaves = plan.collectLeaves()
+    inputs = sum(_big(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(est, EXPANSION * inputs) if inputs else est
 
 
 def scale_conf(input_bytes: int, cores: int) -> dict:
