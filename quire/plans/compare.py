@@ -21,6 +21,26 @@ def duck_connect(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT",
+                 "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "boolean": "BOOLEAN"}
+
+
+def duck_type_of(spark_type: str) -> str:
+    """DuckDB spelling of a Spark simpleString type (decimal(p,s) -> DECIMAL(p,s))."""
+    if spark_type.startswith("decimal("):
+        return spark_type.upper()
+    return SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
+def type_differences(df: DataFrame, con, sql: str) -> dict:
+    """{column: (spark type, oracle type)} for columns whose types differ."""
+    s = {f.name: duck_type_of(f.dataType.simpleString()) for f in df.schema.fields}
+    rel = con.sql(sql)
+    o = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), o.get(c)) for c in set(s) | set(o) if s.get(c) != o.get(c)}
+
+
 def _canon(v) -> str:
     if v is None:
         return "∅"

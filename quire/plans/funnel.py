@@ -57,8 +57,10 @@ def q_item_funnel(v: Views):
 
 
 @register("category_funnel", "W56", f"""
-SELECT product_category, sum(product_views) AS product_views, sum(product_added_to_cart) AS product_added_to_cart,
-       sum(total_abandoned_carts) AS total_abandoned_carts, sum(total_purchases) AS total_purchases
+SELECT product_category, CAST(sum(product_views) AS BIGINT) AS product_views,
+       CAST(sum(product_added_to_cart) AS BIGINT) AS product_added_to_cart,
+       CAST(sum(total_abandoned_carts) AS BIGINT) AS total_abandoned_carts,
+       CAST(sum(total_purchases) AS BIGINT) AS total_purchases
 FROM {FUNNEL_SQL} f GROUP BY product_category""")
 def q_category_funnel(v: Views):
     out = Fn.category_funnel(funnel(v))

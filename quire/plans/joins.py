@@ -58,8 +58,8 @@ def q_flag_since(v: Views):
 
 @register("rank_flagged", "W26", """
 SELECT customer_id, order_date, order_id, line_no, product_id, product_name, price, member,
-       CASE WHEN member = 'Y' THEN row_number() OVER (PARTITION BY customer_id, member
-            ORDER BY order_date, order_id, line_no, product_id, price) END AS ranking
+       CASE WHEN member = 'Y' THEN CAST(row_number() OVER (PARTITION BY customer_id, member
+            ORDER BY order_date, order_id, line_no, product_id, price) AS INTEGER) END AS ranking
 FROM (SELECT s.*, CASE WHEN s.order_date >= m.join_date THEN 'Y' ELSE 'N' END AS member
       FROM v_sale s LEFT JOIN v_member m ON m.customer_id = s.customer_id) t""")
 def q_rank_flagged(v: Views):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.plans.compare import compare, duck_connect
+from quire.plans.compare import compare, duck_connect, type_differences
 from quire.plans.registry import oracle_sql, queries
 
 from conftest import SMALL_SF
@@ -24,3 +24,8 @@ def test_every_query_has_an_oracle():
 def test_matches_oracle(spark, con, name):
     r = compare(name, QUERIES[name](spark, SMALL_SF), con, ORACLES[name])
     assert r.ok, r.detail
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_types_match_oracle(spark, con, name):
+    assert type_differences(QUERIES[name](spark, SMALL_SF), con, ORACLES[name]) == {}
