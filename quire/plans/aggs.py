@@ -39,18 +39,18 @@ def q_percentiles_by(v: Views):
 
 @register("distinct_by", "W32", "SELECT region_id, count(DISTINCT node_id) AS n_nodes FROM v_node GROUP BY region_id")
 def q_distinct_by(v: Views):
-    return A.distinct_by(v.v_node, ["region_id"], "node_id", "n_nodes")
+    return A.distinct_by(v.v_node_lines, ["region_id"], "node_id", "n_nodes")
 
 
 @register("distinct_pairs", "W32", "SELECT DISTINCT region_id, node_id FROM v_node")
 def q_distinct_pairs(v: Views):
-    return A.distinct_pairs(v.v_node, ["region_id", "node_id"])
+    return A.distinct_pairs(v.v_node_lines, ["region_id", "node_id"])
 
 
 @register("distinct_groups", "W32", """
 SELECT region_id, node_id, count(DISTINCT customer_id) AS n_customers FROM v_node GROUP BY region_id, node_id""")
 def q_distinct_groups(v: Views):
-    return A.distinct_by(v.v_node, ["region_id", "node_id"], "customer_id", "n_customers")
+    return A.distinct_by(v.v_node_lines, ["region_id", "node_id"], "customer_id", "n_customers")
 
 
 @register("conditional_counts", "W33", """
@@ -131,7 +131,7 @@ SELECT CAST(round(sum(p), 2) AS DECIMAL(38,2)) AS profit FROM (
                       FROM v_dirty WHERE {DELIVERED_SQL}) d ON d.order_id = i.order_id
   GROUP BY i.order_id) t""")
 def q_profit_after_cost(v: Views):
-    items = v.v_item.join(delivered_orders(v).select("order_id", "distance"), "order_id")
+    items = v.v_item_lines.join(delivered_orders(v).select("order_id", "distance"), "order_id")
     return A.profit_after_cost(items, "order_id", item_price(), "distance")
 
 

@@ -180,7 +180,7 @@ SELECT 'SUPREME', string_agg(CAST(m AS VARCHAR), ', ' ORDER BY m) FROM (
   WHERE TRY_CAST(trim(x) AS INTEGER) IS NOT NULL) b""")
 def q_append_rows(v: Views):
     # the new row lists every member id that was ever added as an extra
-    members = (v.v_item.select(F.explode(split_int_list("extras")).alias("m"))
+    members = (v.v_item_lines.select(F.explode(split_int_list("extras")).alias("m"))
                .where(F.col("m").isNotNull()).distinct())
     # distinct members are bounded by the member dimension, so one small group
     supreme = members.agg(F.array_join(F.array_sort(F.collect_list("m")), ", ").alias("toppings")) \

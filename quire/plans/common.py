@@ -30,9 +30,11 @@ def delivered_orders(v: Views) -> DataFrame:
     return deliveries(v).where(F.col("cancellation").isNull())
 
 
-def delivered_items(v: Views) -> DataFrame:
-    """Ordered items whose order was delivered (left-semi join on the order)."""
-    return v.v_item.join(delivered_orders(v).select("order_id"), "order_id", "left_semi")
+def delivered_items(v: Views, numbered: bool = False) -> DataFrame:
+    """Ordered items whose order was delivered (left-semi join on the order);
+    ``numbered`` adds the item number inside the order."""
+    items = v.v_item if numbered else v.v_item_lines
+    return items.join(delivered_orders(v).select("order_id"), "order_id", "left_semi")
 
 
 def weekly(v: Views) -> DataFrame:

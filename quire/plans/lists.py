@@ -51,12 +51,12 @@ JOIN v_topping t ON t.topping_id = u.id GROUP BY topping_name ORDER BY n DESC, t
 
 @register("top_extra", "W13", _top_sql(EXT))
 def q_top_extra(v: Views):
-    return L.top_list_member(v.v_item, "extras", v.v_topping)
+    return L.top_list_member(v.v_item_lines, "extras", v.v_topping)
 
 
 @register("top_exclusion", "W13", _top_sql(EXC))
 def q_top_exclusion(v: Views):
-    return L.top_list_member(v.v_item, "exclusions", v.v_topping)
+    return L.top_list_member(v.v_item_lines, "exclusions", v.v_topping)
 
 
 @register("zip_lists", "W14", f"""
@@ -71,7 +71,7 @@ SELECT item_name, string_agg(DISTINCT topping_name, ', ' ORDER BY topping_name)
 FROM (SELECT item_name, unnest({EXT}) AS id FROM v_item) u JOIN v_topping t ON t.topping_id = u.id
 GROUP BY item_name""")
 def q_join_list(v: Views):
-    named = L.explode_list(v.v_item, "extras", ["item_name"], v.v_topping)
+    named = L.explode_list(v.v_item_lines, "extras", ["item_name"], v.v_topping)
     return L.join_list(named, ["item_name"], "topping_name")
 
 
@@ -110,7 +110,7 @@ WITH {_edits_sql(DELIVERED_ITEMS_SQL)}
 SELECT a.id AS topping_id, t.topping_name, count(*) AS n_used
 FROM a JOIN v_topping t ON t.topping_id = a.id GROUP BY 1, 2""")
 def q_member_totals(v: Views):
-    return L.member_totals(delivered_items(v), ITEM_KEYS, "item_name", v.v_recipe, "toppings", "exclusions",
+    return L.member_totals(delivered_items(v), ["order_id"], "item_name", v.v_recipe, "toppings", "exclusions",
                            "extras", v.v_topping)
 
 

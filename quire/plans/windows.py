@@ -211,7 +211,7 @@ def q_min_avg_max_by(v: Views):
 SELECT d.runner_id, round(avg(date_diff('second', d.order_time, d.pk) / 60.0), 4) AS avg_minutes
 FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id GROUP BY d.runner_id""")
 def q_elapsed_avg(v: Views):
-    rows = v.v_item.select("order_id").join(deliveries(v), "order_id")
+    rows = v.v_item_lines.select("order_id").join(deliveries(v), "order_id")
     return (rows.groupBy("runner_id")
             .agg(F.round(F.avg(minutes_between("order_time", "pickup_time")), 4).alias("avg_minutes")))
 
@@ -221,7 +221,7 @@ SELECT d.order_id, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS m
 FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id WHERE d.delivered
 GROUP BY d.order_id, d.order_time, d.pk""")
 def q_elapsed_with_count(v: Views):
-    counts = v.v_item.groupBy("order_id").agg(F.count(F.lit(1)).alias("no_of_pizza"))
+    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("no_of_pizza"))
     return (delivered_orders(v).join(counts, "order_id")
             .select("order_id", F.round(minutes_between("order_time", "pickup_time"), 4).alias("minutes"),
                     "no_of_pizza"))
@@ -252,7 +252,7 @@ FROM v_rating r JOIN {DELIV_SQL} d ON d.order_id = r.order_id
 JOIN (SELECT order_id, count(*) AS n FROM v_item GROUP BY order_id) c ON c.order_id = r.order_id
 WHERE d.delivered""")
 def q_delivery_fact(v: Views):
-    counts = v.v_item.groupBy("order_id").agg(F.count(F.lit(1)).alias("number_of_pizza"))
+    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("number_of_pizza"))
     d = delivered_orders(v).drop("runner_id", "customer_id")
     return (v.v_rating.join(d, "order_id").join(counts, "order_id")
             .select("customer_id", "order_id", "runner_id", "rating",

@@ -113,17 +113,25 @@ class Views:
 
     # -- case 4 -----------------------------------------------------------
     @cached_property
-    def v_node(self) -> DataFrame:
+    def v_node_lines(self) -> DataFrame:
+        """v_node without end_date (no ordering work), for queries that do not need it."""
+        return self._node_base.select("customer_id", "region_id", "node_id", "start_date")
+
+    @cached_property
+    def _node_base(self) -> DataFrame:
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         c = self.t.customer.select("c_custkey", "c_nationkey")
         n = self.t.nation.select("n_nationkey", "n_regionkey")
-        base = (o.join(c, F.col("c_custkey") == F.col("o_custkey"))
+        return (o.join(c, F.col("c_custkey") == F.col("o_custkey"))
                 .join(n, F.col("n_nationkey") == F.col("c_nationkey"))
                 .select(F.col("o_custkey").alias("customer_id"), F.col("n_regionkey").alias("region_id"),
                         F.col("o_orderpriority").alias("node_id"),
                         F.col("o_orderdate").cast("date").alias("start_date"), "o_orderdate", "o_orderkey"))
+
+    @cached_property
+    def v_node(self) -> DataFrame:
         # next start per customer: a skew-safe ordered sequence, not a per-customer window
-        s = sequence(base, ["customer_id"], ["o_orderdate", "o_orderkey"], lead_cols=["start_date"],
+        s = sequence(self._node_base, ["customer_id"], ["o_orderdate", "o_orderkey"], lead_cols=["start_date"],
                      rn_name="_rn", keep=["customer_id", "region_id", "node_id", "start_date"])
         return s.select("customer_id", "region_id", "node_id", "start_date",
                         F.coalesce("next_start_date", F.lit(OPEN_END).cast("date")).alias("end_date"))
@@ -194,7 +202,7 @@ class Views:
         return literal_table(self.spark, TOPPINGS, ["topping_id", "topping_name"])
 
     @cached_property
-    def v_item(self) -> DataFrame:
+    def _item_base(self) -> DataFrame:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                     "l_extendedprice", "l_tax", "l_discount", "l_returnflag", "l_linestatus")
         p = self.t.part.select("p_partkey", "p_type")
@@ -204,13 +212,21 @@ class Views:
                 .otherwise(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.lit("4"))))
         extras = (F.when(sk % 4 == 0, _s(1 + sk % 12)).when(sk % 4 == 1, F.lit("null"))
                   .when(sk % 4 == 2, F.lit("")))
-        base = (li.join(p, F.col("p_partkey") == F.col("l_partkey"))
+        return (li.join(p, F.col("p_partkey") == F.col("l_partkey"))
                 .select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"),
                         F.col("p_type").alias("item_name"), excl.alias("exclusions"), extras.alias("extras"),
                         "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_tax", "l_discount"))
+
+    @cached_property
+    def v_item_lines(self) -> DataFrame:
+        """v_item without item_no (no ordering work), for queries that do not need the row id."""
+        return self._item_base.select("order_id", "part_id", "item_name", "exclusions", "extras")
+
+    @cached_property
+    def v_item(self) -> DataFrame:
         # item number inside the order: a skew-safe ordered sequence
-        s = sequence(base, ["order_id"], ["l_linenumber", "part_id", "l_suppkey", "l_shipdate",
-                                          "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn",
+        s = sequence(self._item_base, ["order_id"], ["l_linenumber", "part_id", "l_suppkey", "l_shipdate",
+                                                     "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn",
                      keep=["order_id", "part_id", "item_name", "exclusions", "extras"])
         return s.select("order_id", F.col("_rn").cast("int").alias("item_no"), "part_id",
                         "item_name", "exclusions", "extras")
