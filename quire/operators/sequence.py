@@ -31,6 +31,20 @@ from quire.session import estimated_size, partitions_for
 PID = "_seq_pid"
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's task functions by value, so executors run the Arrow
+    passes without having the package installed (only pyarrow and numpy)."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # an older cloudpickle: executors then need the package
+        pass
+
+
+_ship_by_value()
+
+
 def _arrow_schema(struct: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(struct)
