@@ -15,7 +15,7 @@ from quire.sources.views import OPEN_END, Views
 SUB_ORDER = ["start_date", "event_id"]
 YEAR = 1997            # year filter of the transition questions
 ASOF = "1998-12-31"    # as-of date of the plan-mix question
-HORIZON = "1996-12-31"  # last day of the payment schedule
+HORIZON = "2001-12-31"  # last day of the payment schedule (the data ends in 2001)
 
 # plan ids of the subscription fixture: 0 trial, 1 basic monthly, 2 pro monthly, 3 pro annual, 4 churn
 TRIAL, BASIC, PRO, ANNUAL, CHURN = 0, 1, 2, 3, 4
