@@ -233,13 +233,17 @@ SELECT order_id, item_no, runner_id, sp AS order_speed,
 FROM (SELECT i.order_id, i.item_no, d.runner_id, {SPEED_SQL} AS sp, CAST(hour(d.order_time) AS INTEGER) AS hour_of_day
       FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id) t""")
 def q_speed_vs_average(v: Views):
-    rows = (v.v_item.select("order_id", "item_no").join(deliveries(v), "order_id")
-            .select("order_id", "item_no", "runner_id", Wn.speed("distance", "duration").alias("order_speed"),
-                    F.hour("order_time").alias("hour_of_day")))
-    # per-runner mean as a partial+final aggregate joined back (a window over
-    # a low-cardinality key would put a tenth of all rows in one task)
-    avg = rows.groupBy("runner_id").agg(F.round(F.avg(F.col("order_speed").cast("double")), 4)
-                                        .alias("runner_average"))
+    orders = deliveries(v).select("order_id", "runner_id", Wn.speed("distance", "duration").alias("order_speed"),
+                                  F.hour("order_time").alias("hour_of_day"))
+    # per-runner mean over item rows = per-order speeds weighted by the order's item count:
+    # a partial+final aggregate on un-numbered items (a window over a low-cardinality
+    # runner key would put a tenth of all rows in one task)
+    n = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    w = F.when(F.col("order_speed").isNotNull(), F.col("_n"))
+    avg = (orders.join(n, "order_id").groupBy("runner_id")
+           .agg(F.round((F.sum(F.col("order_speed") * F.col("_n")) / F.sum(w)).cast("double"), 4)
+                .alias("runner_average")))
+    rows = v.v_item.select("order_id", "item_no").join(orders, "order_id")
     return rows.join(avg, "runner_id").select("order_id", "item_no", "runner_id", "order_speed",
                                               "runner_average", "hour_of_day")
 

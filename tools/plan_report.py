@@ -22,7 +22,7 @@ PATTERNS = {
     "single": r"Exchange SinglePartition",
     "bcast": r"BroadcastExchange",
     "window": r"\bWindow(GroupLimit)?\b",
-    "python": r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|PythonUDF)",
+    "python": r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|MapInArrow|PythonUDF)",
     "nlj": r"(BroadcastNestedLoopJoin|CartesianProduct)",
     "scan": r"FileScan parquet",
 }
