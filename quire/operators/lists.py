@@ -4,8 +4,8 @@ Lists live in text columns ('1, 5', '4', 'null', ''). They are parsed with
 ``split`` into typed arrays and handled with array functions inside the
 row where possible; member names come from a small dimension table that
 is broadcast (its size is bounded by the member domain). Where members
-must be regrouped per row, the grouping key starts with the row's natural
-key, so a plan already partitioned by that key needs no extra exchange.
+must be regrouped per row, that is one aggregation keyed by the row's
+natural key (order, item number), so no group is larger than one row's list.
 """
 
 from __future__ import annotations
@@ -114,14 +114,26 @@ def edited_members(df: DataFrame, keys: list[str], item: str, base: DataFrame, b
 def apply_list_edits(df: DataFrame, keys: list[str], item: str, base: DataFrame, base_col: str,
                      removed: str, added: str, names: DataFrame, id_name: str = "topping_id",
                      name_col: str = "topping_name", out: str = "ingredients") -> DataFrame:
-    """Ingredient text per row: 'item: a, 2x b, c' in alphabetical order."""
-    m = edited_members(df, keys, item, base, base_col, removed, added, id_name)
-    c = (m.join(F.broadcast(names), id_name)
-         .groupBy(*keys, item, name_col).agg(F.count(F.lit(1)).alias("_n")))
+    """Ingredient text per row: 'item: a, 2x b, c' in alphabetical order.
+
+    Member multiplicities are counted inside the row (array functions), so
+    one exploded row per *distinct* member is named through the broadcast
+    lookup and the rows are regrouped once per item.
+    """
+    b = base.select(F.col(item), split_int_list(base_col).alias("_base"))
+    j = df.join(F.broadcast(b), item)
+    empty = F.array().cast("array<int>")
+    kept = F.array_except(F.coalesce("_base", empty), F.coalesce(split_int_list(removed), empty))
+    every = F.filter(F.concat(kept, F.coalesce(split_int_list(added), empty)), lambda x: x.isNotNull())
+    counted = F.transform(F.array_distinct(every),
+                          lambda x: F.struct(x.alias("id"), F.size(F.filter(every, lambda y: y == x)).alias("n")))
+    m = (j.select(*keys, item, F.explode(counted).alias("_m"))
+         .select(*keys, item, F.col("_m.id").alias(id_name), F.col("_m.n").alias("_n"))
+         .join(F.broadcast(names), id_name))
     label = F.when(F.col("_n") == 1, F.col(name_col)).otherwise(
         F.concat(F.col("_n").cast("string"), F.lit("x "), F.col(name_col)))
     # sort by name, then render: the struct's first field orders the array
-    g = c.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(name_col), label.alias("l"))))
+    g = m.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(name_col), label.alias("l"))))
                                    .alias("_ls"))
     return g.select(*keys, F.concat(F.col(item), F.lit(": "),
                                     F.array_join(F.transform("_ls", lambda s: s["l"]), ", ")).alias(out))
