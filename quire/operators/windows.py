@@ -327,12 +327,23 @@ def before_after_by_dimension(df: DataFrame, date_col: str, anchor: str, weeks:
                               value: str = "sales") -> DataFrame:
     """W52 for each of several dimensions at once: (dimension, value) rows.
 
-    Each input row is expanded into one (dimension name, dimension value)
-    pair per dimension and aggregated once — the same Expand + single
-    aggregation a GROUPING SETS ((d1), (d2), ...) plan uses, instead of one
-    scan per dimension.
+    One ``GROUPING SETS ((d1), (d2), ...)`` aggregation — a single scan
+    expanded once per dimension and aggregated partial + final — instead of
+    one scan and one join per dimension; ``grouping_id()`` tells which
+    dimension a row belongs to.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-                                for d in dims]))
-    x = df.select(date_col, value, pairs.alias("_d")).select(date_col, value, "_d.dimension", "_d.value")
-    return before_after(x, date_col, anchor, weeks, value, by=["dimension", "value"])
+    off = sunday_weeks_between(F.col(date_col), F.lit(anchor).cast("date"))
+    scoped = df.where(off.between(-(weeks - 1), weeks)).withColumn("_off", off)
+    b = F.sum(F.when(F.col("_off").between(1, weeks), F.col(value))).cast("bigint").alias("total_sales_before")
+    a = F.sum(F.when(F.col("_off").between(-(weeks - 1), 0), F.col(value))).cast("bigint").alias("total_sales_after")
+    g = scoped.groupingSets([[d] for d in dims], *dims).agg(b, a, F.grouping_id().alias("_gid"))
+    full = (1 << len(dims)) - 1
+    gid = {d: full - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
+    dim = F.lit(None).cast("string")
+    val = F.lit(None).cast("string")
+    for d in reversed(dims):
+        dim = F.when(F.col("_gid") == gid[d], F.lit(d)).otherwise(dim)
+        val = F.when(F.col("_gid") == gid[d], F.col(d).cast("string")).otherwise(val)
+    g = g.where(F.col("total_sales_before").isNotNull() & F.col("total_sales_after").isNotNull())
+    return g.select(dim.alias("dimension"), val.alias("value"),
+                    *_change_columns("total_sales_before", "total_sales_after"))
