@@ -11,7 +11,7 @@ from quire.session import checkpoint_dir
 
 
 def materialize(df: DataFrame, name: str, how: str = "parquet", partition_by: list[str] | None = None,
-                path: str | None = None) -> DataFrame:
+                path: str | None = None, mode: str = "overwrite") -> DataFrame:
     """Keep a derived table for later steps and return a DataFrame over it.
 
     ``how``:
@@ -20,6 +20,9 @@ def materialize(df: DataFrame, name: str, how: str = "parquet", partition_by: li
                        cuts the lineage, so a lost executor re-reads files
                        instead of recomputing the upstream plan
       * ``checkpoint`` reliable ``DataFrame.checkpoint`` in ``spark.checkpoint.dir``
+
+    ``mode='append'`` adds the rows to an existing table at ``path`` (the
+    append-a-query-result sink); the returned frame reads the whole table.
     """
     spark = df.sparkSession
     if how == "view":
@@ -31,7 +34,11 @@ def materialize(df: DataFrame, name: str, how: str = "parquet", partition_by: li
     if how != "parquet":
         raise ValueError(how)
     target = path or f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
+    if mode not in ("overwrite", "append"):
+        raise ValueError(mode)
+    if mode == "append" and path is None:
+        raise ValueError("append needs the path of the table to append to")
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
