@@ -1,0 +1,21 @@
+"""Helpers shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.session import estimated_size
+
+# dimension tables up to this estimated size are broadcast
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def maybe_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only when the table's estimated size (Catalyst's plan
+    statistics, bounded by its inputs; no job is run) is at most ``max_bytes``.
+
+    Beyond that the join is left to the planner: a shuffled join, which AQE may
+    still turn into a broadcast once the real shuffle size is known.
+    """
+    return F.broadcast(dim) if estimated_size(dim) <= max_bytes else dim

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.numeric import percent
 from quire.operators.joins import interval_join
+from quire.operators.common import maybe_broadcast
 
 # Event type codes of the web events.
 VIEW, ADD_TO_CART, PURCHASE, IMPRESSION, CLICK = 1, 2, 3, 4, 5
@@ -49,15 +50,19 @@ def visit_pairs(events: DataFrame, visit: str = "visit_id", page: str = "page_id
 
 
 def item_funnel(events: DataFrame, pages: DataFrame, page: str = "page_id", etype: str = "event_type",
-                name: str = "page_name", category: str = "product_category") -> DataFrame:
+                name: str = "page_name", category: str = "product_category",
+                pages_bounded: bool = False) -> DataFrame:
     """Per product page: visits viewing, visits adding to cart, adds in visits without a
     purchase (abandoned) and adds in buying visits (purchases) (W56).
 
     Products with no purchase or no abandonment are dropped, as the
-    reference's inner joins drop them.
+    reference's inner joins drop them. The page table is broadcast when its
+    estimated size is small, or always with ``pages_bounded=True`` (a page
+    dimension whose row count is bounded by construction).
     """
     d = visit_pairs(events, page=page, etype=etype)
-    p = F.broadcast(pages.where(F.col(category).isNotNull()).select(page, name, category))
+    p = pages.where(F.col(category).isNotNull()).select(page, name, category)
+    p = F.broadcast(p) if pages_bounded else maybe_broadcast(p)
     add = F.col(etype) == ADD_TO_CART
     f = (d.join(p, page).groupBy(name, category)
          .agg(F.count_if(F.col(etype) == VIEW).alias("product_views"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import split_int_list
+from quire.operators.common import maybe_broadcast
 
 
 def explode_list(df: DataFrame, col: str, keys: list[str], names: DataFrame | None = None,
@@ -22,7 +23,7 @@ def explode_list(df: DataFrame, col: str, keys: list[str], names: DataFrame | No
     out = (df.select(*keys, F.explode(split_int_list(col)).alias(id_name))
            .where(F.col(id_name).isNotNull()))
     if names is not None:
-        out = out.join(F.broadcast(names), id_name)
+        out = out.join(maybe_broadcast(names), id_name)
     return out
 
 
@@ -82,7 +83,7 @@ def describe_item(df: DataFrame, keys: list[str], item: str, a: str, b: str, nam
                     lambda x: F.struct(F.lit("B").alias("t"), x.alias("id"))))
     m = (df.select(*keys, item, F.explode_outer(tagged).alias("_m"))
          .select(*keys, item, F.col("_m.t").alias("_t"), F.col("_m.id").alias(id_name)))
-    m = m.join(F.broadcast(names), id_name, "left")
+    m = m.join(maybe_broadcast(names), id_name, "left")
     g = m.groupBy(*keys, item).agg(
         _names_text(F.collect_list(F.when(F.col("_t") == "A", F.col(name_col)))).alias("_a"),
         _names_text(F.collect_list(F.when(F.col("_t") == "B", F.col(name_col)))).alias("_b"))
@@ -103,7 +104,7 @@ def edited_members(df: DataFrame, keys: list[str], item: str, base: DataFrame, b
     inside the row.
     """
     b = base.select(F.col(item), split_int_list(base_col).alias("_base"))
-    j = df.join(F.broadcast(b), item)
+    j = df.join(maybe_broadcast(b), item)
     kept = F.array_except(F.coalesce("_base", F.array().cast("array<int>")),
                           F.coalesce(split_int_list(removed), F.array().cast("array<int>")))
     every = F.concat(kept, F.coalesce(split_int_list(added), F.array().cast("array<int>")))
@@ -121,7 +122,7 @@ def apply_list_edits(df: DataFrame, keys: list[str], item: str, base: DataFrame,
     lookup and the rows are regrouped once per item.
     """
     b = base.select(F.col(item), split_int_list(base_col).alias("_base"))
-    j = df.join(F.broadcast(b), item)
+    j = df.join(maybe_broadcast(b), item)
     empty = F.array().cast("array<int>")
     kept = F.array_except(F.coalesce("_base", empty), F.coalesce(split_int_list(removed), empty))
     every = F.filter(F.concat(kept, F.coalesce(split_int_list(added), empty)), lambda x: x.isNotNull())
@@ -129,7 +130,7 @@ def apply_list_edits(df: DataFrame, keys: list[str], item: str, base: DataFrame,
                           lambda x: F.struct(x.alias("id"), F.size(F.filter(every, lambda y: y == x)).alias("n")))
     m = (j.select(*keys, item, F.explode(counted).alias("_m"))
          .select(*keys, item, F.col("_m.id").alias(id_name), F.col("_m.n").alias("_n"))
-         .join(F.broadcast(names), id_name))
+         .join(maybe_broadcast(names), id_name))
     label = F.when(F.col("_n") == 1, F.col(name_col)).otherwise(
         F.concat(F.col("_n").cast("string"), F.lit("x "), F.col(name_col)))
     # sort by name, then render: the struct's first field orders the array
@@ -145,7 +146,7 @@ def member_totals(df: DataFrame, keys: list[str], item: str, base: DataFrame, ba
     """Total use of each member over all rows after edits, most used first."""
     m = edited_members(df, keys, item, base, base_col, removed, added, id_name)
     return (m.groupBy(id_name).agg(F.count(F.lit(1)).alias("n_used"))
-            .join(F.broadcast(names), id_name)
+            .join(maybe_broadcast(names), id_name)
             .select(id_name, name_col, "n_used"))
 
 

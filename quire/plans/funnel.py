@@ -31,7 +31,8 @@ FUNNEL_SQL = """(
 
 
 def funnel(v: Views):
-    return Fn.item_funnel(v.v_event, v.v_page)
+    # v_page is a distinct over a 13-value page domain: bounded by construction
+    return Fn.item_funnel(v.v_event, v.v_page, pages_bounded=True)
 
 
 @register("item_points", "W55", f"""
