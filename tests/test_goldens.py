@@ -39,7 +39,7 @@ RUNNERS = [(1, 1, "2020-01-01 18:15:34", "20km", "32 minutes", ""),
            (8, 2, "2020-01-10 00:15:02", "23.4 km", "15 minute", "null"),
            (9, 2, "null", "null", "null", "Customer Cancellation"),
            (10, 1, "2020-01-11 18:50:20", "10km", "10minutes", "null")]
-NAMES = [(1, "Meatlovers"), (2, "Vegetarian")]
+NAMES = [(1, "Classic"), (2, "Garden")]
 RECIPES = [(1, "1, 2, 3, 4, 5, 6, 8, 10"), (2, "4, 6, 7, 9, 11, 12")]
 TOPPINGS = [(1, "Bacon"), (2, "BBQ Sauce"), (3, "Beef"), (4, "Cheese"), (5, "Chicken"), (6, "Mushrooms"),
             (7, "Onions"), (8, "Pepperoni"), (9, "Peppers"), (10, "Salami"), (11, "Tomatoes"),
@@ -47,7 +47,7 @@ TOPPINGS = [(1, "Bacon"), (2, "BBQ Sauce"), (3, "Beef"), (4, "Cheese"), (5, "Chi
 
 
 @pytest.fixture(scope="module")
-def diner(spark):
+def sales_case(spark):
     sales = spark.createDataFrame(SALES, "customer_id string, d string, product_id int") \
         .select("customer_id", F.to_date("d").alias("order_date"), "product_id")
     menu = spark.createDataFrame(MENU, "product_id int, product_name string, price int")
@@ -57,15 +57,15 @@ def diner(spark):
 
 
 @pytest.fixture(scope="module")
-def pizza(spark):
-    orders = spark.createDataFrame(ORDERS, "order_id int, customer_id int, pizza_id int, exclusions string, "
+def orders_case(spark):
+    orders = spark.createDataFrame(ORDERS, "order_id int, customer_id int, kind_id int, exclusions string, "
                                            "extras string, t string") \
         .select("*", F.to_timestamp_ntz("t").alias("order_time")).drop("t")
-    orders = C.add_row_id(orders, ["order_id"], ["pizza_id", "exclusions", "extras"], "item_no")
+    orders = C.add_row_id(orders, ["order_id"], ["kind_id", "exclusions", "extras"], "item_no")
     runners = spark.createDataFrame(RUNNERS, "order_id int, runner_id int, pickup_time string, distance string, "
                                              "duration string, cancellation string")
-    names = spark.createDataFrame(NAMES, "pizza_id int, pizza_name string")
-    recipes = spark.createDataFrame(RECIPES, "pizza_id int, toppings string")
+    names = spark.createDataFrame(NAMES, "kind_id int, kind_name string")
+    recipes = spark.createDataFrame(RECIPES, "kind_id int, toppings string")
     toppings = spark.createDataFrame(TOPPINGS, "topping_id int, topping_name string")
     return orders, C.clean_deliveries(runners), names, recipes, toppings
 
@@ -74,54 +74,54 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_total_per_customer(diner):
-    sales, _ = diner
+def test_total_per_customer(sales_case):
+    sales, _ = sales_case
     out = J.enrich_total(sales, ["customer_id"], "price")
     assert rows(out, "customer_id", "total_amount") == [("A", 76), ("B", 74), ("C", 36)]
 
 
-def test_visit_days(diner):
-    sales, _ = diner
+def test_visit_days(sales_case):
+    sales, _ = sales_case
     out = A.distinct_by(sales, ["customer_id"], "order_date", "days")
     assert rows(out, "customer_id", "days") == [("A", 4), ("B", 6), ("C", 2)]
 
 
-def test_most_bought(diner):
-    sales, _ = diner
+def test_most_bought(sales_case):
+    sales, _ = sales_case
     assert rows(Fn.top_k(sales, ["product_name"], k=1), "product_name", "n") == [("ramen", 8)]
 
 
-def test_favourite_ties_kept(diner):
-    sales, _ = diner
+def test_favourite_ties_kept(sales_case):
+    sales, _ = sales_case
     out = Wn.top_by_count_per_key(sales, "customer_id", "product_name")
     assert rows(out, "customer_id", "product_name") == [
         ("A", "ramen"), ("B", "curry"), ("B", "ramen"), ("B", "sushi"), ("C", "ramen")]
     assert rows(out.where("customer_id = 'C'"), "n") == [(3,)]
 
 
-def test_first_after_and_last_before(diner):
-    sales, members = diner
+def test_first_after_and_last_before(sales_case):
+    sales, members = sales_case
     assert rows(J.first_after(sales, members), "customer_id", "product_name") == [("A", "curry"), ("B", "sushi")]
     assert rows(J.last_before(sales, members), "customer_id", "product_name") == [
         ("A", "curry"), ("A", "sushi"), ("B", "sushi")]
 
 
-def test_total_before(diner):
-    sales, members = diner
+def test_total_before(sales_case):
+    sales, members = sales_case
     assert rows(J.total_before(sales, members), "customer_id", "n_items", "total_amount") == [
         ("A", 2, 25), ("B", 3, 40)]
 
 
-def test_points(diner):
-    sales, members = diner
+def test_points(sales_case):
+    sales, members = sales_case
     out = Fn.item_points(sales, "customer_id", "price", "product_name", "sushi")
     assert rows(out, "customer_id", "points") == [("A", 860), ("B", 940), ("C", 360)]
     out = Fn.join_week_points(sales, members, "customer_id", "price", "product_name", "sushi", "2021-01-31")
     assert rows(out, "customer_id", "points") == [("A", 1370), ("B", 820)]
 
 
-def test_member_flag_ranking(diner):
-    sales, members = diner
+def test_member_flag_ranking(sales_case):
+    sales, members = sales_case
     out = J.rank_flagged(sales, members, ["order_date", "product_id"])
     got = rows(out.where("customer_id = 'A'"), "order_date", "member", "ranking")
     assert got[:2] == [(D("2021-01-01"), "N", None), (D("2021-01-01"), "N", None)]
@@ -129,14 +129,14 @@ def test_member_flag_ranking(diner):
     assert rows(out.where("customer_id = 'C'"), "member") == [("N",)] * 3
 
 
-def test_pizza_counts(pizza):
-    orders, *_ = pizza
+def test_pizza_counts(orders_case):
+    orders, *_ = orders_case
     assert orders.count() == 14
     assert A.distinct_pairs(orders, ["order_id", "customer_id"]).count() == 10
 
 
-def test_cleaning(pizza):
-    _, deliv, *_ = pizza
+def test_cleaning(orders_case):
+    _, deliv, *_ = orders_case
     got = dict((r.order_id, (r.distance, r.duration)) for r in deliv.collect())
     assert got[3] == (Decimal("13.40"), 20)
     assert got[8] == (Decimal("23.40"), 15)
@@ -145,8 +145,8 @@ def test_cleaning(pizza):
     assert rows(deliv.where("cancellation IS NULL"), "order_id") == [(i,) for i in (1, 2, 3, 4, 5, 7, 8, 10)]
 
 
-def test_success_rate(pizza):
-    _, deliv, *_ = pizza
+def test_success_rate(orders_case):
+    _, deliv, *_ = orders_case
     out = A.success_rate(deliv, "runner_id", "order_id", "cancellation")
     assert rows(out, "runner_id", "success_pct") == [(1, Decimal("100.00")), (2, Decimal("75.00")),
                                                      (3, Decimal("50.00"))]
@@ -157,47 +157,47 @@ def _delivered(orders, deliv):
 
 
 def price():
-    return F.when(F.col("pizza_id") == 1, 12).otherwise(10)
+    return F.when(F.col("kind_id") == 1, 12).otherwise(10)
 
 
-def test_revenue_and_surcharge(pizza):
-    orders, deliv, *_ = pizza
+def test_revenue_and_surcharge(orders_case):
+    orders, deliv, *_ = orders_case
     d = _delivered(orders, deliv)
-    rev = A.group_revenue(d, "pizza_id", price()).agg(F.sum("revenue")).first()[0]
+    rev = A.group_revenue(d, "kind_id", price()).agg(F.sum("revenue")).first()[0]
     assert rev == 138
     assert L.list_surcharge(d, price(), "extras").first()[0] == 142
 
 
-def test_profit_after_mileage(pizza):
-    orders, deliv, *_ = pizza
+def test_profit_after_mileage(orders_case):
+    orders, deliv, *_ = orders_case
     out = A.profit_after_cost(_delivered(orders, deliv), "order_id", price(), "distance")
     assert out.first()[0] == Decimal("94.44")
 
 
-def test_describe_item(pizza):
-    orders, _, names, _, toppings = pizza
-    items = orders.join(names, "pizza_id").withColumnRenamed("pizza_name", "item_name")
+def test_describe_item(orders_case):
+    orders, _, names, _, toppings = orders_case
+    items = orders.join(names, "kind_id").withColumnRenamed("kind_name", "item_name")
     out = L.describe_item(items, ["order_id", "item_no"], "item_name", "exclusions", "extras",
                           toppings)
     texts = [r[0] for r in rows(out, "order_item")]
-    assert "Meatlovers - Exclude BBQ Sauce, Mushrooms - Extra Bacon, Cheese" in texts
-    assert "Meatlovers - Exclude Cheese - Extra Bacon, Chicken" in texts
-    assert "Vegetarian - Exclude Cheese" in texts
-    assert texts.count("Meatlovers") == 5 and len(texts) == 14
+    assert "Classic - Exclude BBQ Sauce, Mushrooms - Extra Bacon, Cheese" in texts
+    assert "Classic - Exclude Cheese - Extra Bacon, Chicken" in texts
+    assert "Garden - Exclude Cheese" in texts
+    assert texts.count("Classic") == 5 and len(texts) == 14
 
 
-def test_apply_list_edits(pizza):
-    orders, _, names, recipes, toppings = pizza
-    items = orders.join(names, "pizza_id").withColumnRenamed("pizza_name", "item_name")
-    base = recipes.join(names, "pizza_id").withColumnRenamed("pizza_name", "item_name")
+def test_apply_list_edits(orders_case):
+    orders, _, names, recipes, toppings = orders_case
+    items = orders.join(names, "kind_id").withColumnRenamed("kind_name", "item_name")
+    base = recipes.join(names, "kind_id").withColumnRenamed("kind_name", "item_name")
     out = L.apply_list_edits(items, ["order_id", "item_no"], "item_name", base, "toppings",
                              "exclusions", "extras", toppings)
     texts = [r[0] for r in rows(out, "ingredients")]
-    assert "Meatlovers: 2x Bacon, Beef, 2x Cheese, Chicken, Pepperoni, Salami" in texts
-    assert "Vegetarian: Mushrooms, Onions, Peppers, Tomato Sauce, Tomatoes" in texts
+    assert "Classic: 2x Bacon, Beef, 2x Cheese, Chicken, Pepperoni, Salami" in texts
+    assert "Garden: Mushrooms, Onions, Peppers, Tomato Sauce, Tomatoes" in texts
 
 
-def test_top_extra_and_exclusion(pizza):
-    orders, *_, toppings = pizza
+def test_top_extra_and_exclusion(orders_case):
+    orders, *_, toppings = orders_case
     assert rows(L.top_list_member(orders, "extras", toppings), "topping_name", "n") == [("Bacon", 4)]
     assert rows(L.top_list_member(orders, "exclusions", toppings), "topping_name", "n") == [("Cheese", 4)]
