@@ -217,14 +217,14 @@ def q_elapsed_avg(v: Views):
 
 
 @register("elapsed_with_count", "W53", f"""
-SELECT d.order_id, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS minutes, count(*) AS no_of_pizza
+SELECT d.order_id, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS minutes, count(*) AS no_of_items
 FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id WHERE d.delivered
 GROUP BY d.order_id, d.order_time, d.pk""")
 def q_elapsed_with_count(v: Views):
-    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("no_of_pizza"))
+    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("no_of_items"))
     return (delivered_orders(v).join(counts, "order_id")
             .select("order_id", F.round(minutes_between("order_time", "pickup_time"), 4).alias("minutes"),
-                    "no_of_pizza"))
+                    "no_of_items"))
 
 
 @register("speed_vs_average", "W53", f"""
@@ -251,19 +251,19 @@ def q_speed_vs_average(v: Views):
 @register("delivery_fact", "W53", f"""
 SELECT r.customer_id, r.order_id, r.runner_id, r.rating, strftime(d.order_time, '%H:%M:%S') AS order_clock,
        strftime(d.pk, '%H:%M:%S') AS pickup_clock, round(date_diff('second', d.order_time, d.pk) / 60.0, 4) AS preparation_minutes,
-       d.dur AS duration, {SPEED_SQL} AS average_speed, c.n AS number_of_pizza
+       d.dur AS duration, {SPEED_SQL} AS average_speed, c.n AS number_of_items
 FROM v_rating r JOIN {DELIV_SQL} d ON d.order_id = r.order_id
 JOIN (SELECT order_id, count(*) AS n FROM v_item GROUP BY order_id) c ON c.order_id = r.order_id
 WHERE d.delivered""")
 def q_delivery_fact(v: Views):
-    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("number_of_pizza"))
+    counts = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("number_of_items"))
     d = delivered_orders(v).drop("runner_id", "customer_id")
     return (v.v_rating.join(d, "order_id").join(counts, "order_id")
             .select("customer_id", "order_id", "runner_id", "rating",
                     F.date_format("order_time", "HH:mm:ss").alias("order_clock"),
                     F.date_format("pickup_time", "HH:mm:ss").alias("pickup_clock"),
                     F.round(minutes_between("order_time", "pickup_time"), 4).alias("preparation_minutes"),
-                    "duration", Wn.speed("distance", "duration").alias("average_speed"), "number_of_pizza"))
+                    "duration", Wn.speed("distance", "duration").alias("average_speed"), "number_of_items"))
 
 
 @register("interval_length", "W54", f"""

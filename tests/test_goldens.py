@@ -129,7 +129,7 @@ def test_member_flag_ranking(sales_case):
     assert rows(out.where("customer_id = 'C'"), "member") == [("N",)] * 3
 
 
-def test_pizza_counts(orders_case):
+def test_order_counts(orders_case):
     orders, *_ = orders_case
     assert orders.count() == 14
     assert A.distinct_pairs(orders, ["order_id", "customer_id"]).count() == 10
