@@ -293,6 +293,9 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols=(), lead
     """
     if strategy is None:
         strategy = df.sparkSession.conf.get(STRATEGY_CONF, "range")
+    if strategy == "range" and df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        # the range form needs its two passes to share one exchange
+        strategy = "window"
     if strategy == "range":
         return ordered_sequence(df, keys, order, lag_cols, lead_cols, rn_name, keep=keep)
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -62,3 +62,14 @@ def test_composite_key_and_pruned_output(spark, subs):
     assert same(got.select("customer_id", "half", "event_id", "rn"), exp.select("customer_id", "half", "event_id", "rn"),
                 ["customer_id", "half", "event_id", "rn"])
     assert same(got, exp)
+
+
+def test_falls_back_to_window_without_exchange_reuse(spark, subs):
+    from quire.operators.sequence import sequence
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sequence(subs[1], ["customer_id"], ["start_date", "event_id"], lag_cols=["plan_id"],
+                       lead_cols=["plan_id", "start_date"])
+        assert same(got, expected(subs[1], ["customer_id"]))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
