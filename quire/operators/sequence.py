@@ -22,7 +22,8 @@ the order columns make a total order inside each key.
 Range bounds come from a sample taken per exchange, so the summary and the
 numbering pass must read the *same* exchange: both consume all columns of
 the sorted ranges, which makes their subplans identical and Spark reuses the
-exchange. If it ever did not (exchange reuse switched off), the numbering
+exchange. ``sequence`` uses the plain window when a session switches
+exchange reuse off; should the exchanges ever differ anyway, the numbering
 pass detects that its partition disagrees with the summary and raises
 instead of returning wrong numbers. A retried task re-reads the same shuffle
 blocks in the same sorted order, so results survive executor loss.
