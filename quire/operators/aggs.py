@@ -26,19 +26,28 @@ def totals_by(df: DataFrame, keys: list[str], measure: str, prefix: str = "amoun
 
 
 def percentiles_by(df: DataFrame, keys: list[str], col: str, ps=(0.5, 0.8, 0.95),
-                   names=("median", "p80", "p95")) -> DataFrame:
+                   names=("median", "p80", "p95"), approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Exact, linearly interpolated percentiles per group (PERCENTILE_CONT).
 
     Spark's exact ``percentile`` keeps a value->count map per group and
     merges maps across tasks, so memory grows with the number of distinct
-    values (days here), not with rows. ``percentile_approx`` is the
-    fixed-memory alternative when the measure is continuous.
+    values (days here), not with rows. ``approx=True`` switches to
+    ``percentile_approx`` (a fixed-size sketch per group, relative rank error
+    about 1/accuracy) for continuous measures with unbounded distinct values.
     """
+    if approx:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(col, p, accuracy).cast("double").alias(n)
+                                       for p, n in zip(ps, names)])
     return df.groupBy(*keys).agg(*[F.round(F.percentile(col, p), 4).alias(n) for p, n in zip(ps, names)])
 
 
-def distinct_by(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
-    """Distinct count of ``col`` per key."""
+def distinct_by(df: DataFrame, keys: list[str], col: str, name: str, approx: bool = False,
+                rsd: float = 0.01) -> DataFrame:
+    """Distinct count of ``col`` per key (W32); ``approx=True`` uses a HyperLogLog++
+    sketch (``approx_count_distinct``, relative standard deviation ``rsd``) whose
+    partial aggregates have a fixed size instead of carrying every distinct value."""
+    if approx:
+        return df.groupBy(*keys).agg(F.approx_count_distinct(col, rsd).alias(name))
     return df.groupBy(*keys).agg(F.countDistinct(col).alias(name))
 
 

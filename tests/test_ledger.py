@@ -147,3 +147,19 @@ def test_l24_two_digit_year_pivot(spark):
     df = spark.createDataFrame([("15/6/98",), ("1/1/20",), ("31/8/49",), ("1/2/50",)], "s string")
     got = [r[0] for r in df.select(cal.parse_short_date("s")).collect()]
     assert got == [D("1998-06-15"), D("2020-01-01"), D("2049-08-31"), D("1950-02-01")]
+
+
+def test_approximate_opt_ins_are_close(spark):
+    from quire.operators import aggs as A
+    v = Views(spark, SMALL_SF)
+    exact = {r.region_id: r.n_customers for r in
+             A.distinct_by(v.v_node_lines, ["region_id"], "customer_id", "n_customers").collect()}
+    approx = {r.region_id: r.n_customers for r in
+              A.distinct_by(v.v_node_lines, ["region_id"], "customer_id", "n_customers", approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
+    closed = (v.v_node.where(F.col("end_date") != F.lit("9999-12-31").cast("date"))
+              .withColumn("duration", F.datediff("end_date", "start_date")))
+    ex = {r.region_id: r.median for r in A.percentiles_by(closed, ["region_id"], "duration").collect()}
+    ap = {r.region_id: r.median for r in A.percentiles_by(closed, ["region_id"], "duration", approx=True).collect()}
+    assert all(abs(ap[k] - ex[k]) <= 2 for k in ex)
