@@ -62,13 +62,14 @@ def conditional_counts(df: DataFrame, keys: list[str], cases: dict[str, Column])
 
 
 def qualifying_groups(df: DataFrame, key: str, period: Column, type_col: str,
-                      rule: Column, period_name: str = "month") -> DataFrame:
+                      rule: Column, period_name: str = "month",
+                      types=("deposit", "purchase", "withdrawal")) -> DataFrame:
     """Count keys per period whose per-(key, period) type counts satisfy ``rule``.
 
-    ``rule`` is written over columns ``<type>_count`` produced for each
-    distinct value of ``type_col`` listed in it (e.g. ``deposit_count``).
+    One column ``<type>_count`` is counted per value in ``types`` (a single
+    conditional pass); ``rule`` is written over those columns, e.g.
+    ``deposit_count >= 2``.
     """
-    types = ["deposit", "purchase", "withdrawal"]
     per = (df.groupBy(F.col(key), period.alias(period_name))
            .agg(*[F.count_if(F.col(type_col) == t).alias(f"{t}_count") for t in types]))
     return (per.where(rule).groupBy(period_name)
@@ -90,11 +91,12 @@ def share_of_parent(df: DataFrame, parent: list[str], child: list[str], measure:
     return out
 
 
-def share_of_population(df: DataFrame, key: str, cond: Column, scale: int = 1) -> DataFrame:
+def share_of_population(df: DataFrame, key: str, cond: Column, scale: int = 1,
+                        names=("total_customer", "churn", "churn_perc")) -> DataFrame:
     """Distinct keys overall, rows meeting ``cond`` and their percent of the keys."""
-    return (df.agg(F.countDistinct(key).alias("total_customer"),
-                   F.count_if(cond).alias("churn"))
-            .withColumn("churn_perc", percent("churn", "total_customer", scale)))
+    total, hits, pct = names
+    return (df.agg(F.countDistinct(key).alias(total), F.count_if(cond).alias(hits))
+            .withColumn(pct, percent(hits, total, scale)))
 
 
 def two_level_avg(df: DataFrame, key: str, counted: str, name: str) -> DataFrame:
