@@ -55,3 +55,62 @@ def test_mean_exact(spark, cents):
     got = df.agg(mean_exact("x")).first()[0]
     exact = (sum(Decimal(c) for c in cents) / 100 / len(cents))
     assert got == exact.quantize(Decimal("0.0001"), rounding=ROUND_HALF_UP)
+
+
+# -- list operators against a direct implementation of their semantics ---------------
+from quire.operators import lists as L  # noqa: E402
+
+NAMES = {1: "Bacon", 2: "BBQ Sauce", 3: "Beef", 4: "Cheese", 5: "Chicken", 6: "Mushrooms"}
+BASE = {"A": "1, 2, 3", "B": "4,5", "C": "6"}
+
+
+def _parse(text):
+    if text is None or text in ("null", ""):
+        return None
+    return [int(x) for x in text.replace(" ", "").split(",")]
+
+
+def _fmt(ids):
+    return ", ".join(sorted(NAMES[i] for i in ids))
+
+
+list_text = st.one_of(
+    st.none(), st.sampled_from(["null", ""]),
+    st.tuples(st.lists(st.integers(1, 6), min_size=1, max_size=4), st.sampled_from([", ", ","]))
+    .map(lambda t: t[1].join(map(str, t[0]))))
+
+
+@SETTINGS
+@given(items=st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), list_text, list_text), min_size=1, max_size=12))
+def test_list_operators_match_direct_semantics(spark, items):
+    rows = [(i, kind, exc, ext) for i, (kind, exc, ext) in enumerate(items)]
+    df = spark.createDataFrame(rows, "item_no int, item_name string, exclusions string, extras string")
+    names = spark.createDataFrame(sorted(NAMES.items()), "topping_id int, topping_name string")
+    base = spark.createDataFrame(sorted(BASE.items()), "item_name string, toppings string")
+
+    got = {r.item_no: r.order_item for r in
+           L.describe_item(df, ["item_no"], "item_name", "exclusions", "extras", names).collect()}
+    for i, kind, exc, ext in rows:
+        a, b = _parse(exc), _parse(ext)
+        text = kind
+        if a and b:
+            text = f"{kind} - Exclude {_fmt(a)} - Extra {_fmt(b)}"
+        elif b:
+            text = f"{kind} - Extra {_fmt(b)}"
+        elif a:
+            text = f"{kind} - Exclude {_fmt(a)}"
+        assert got[i] == text
+
+    got = {r.item_no: r.ingredients for r in
+           L.apply_list_edits(df, ["item_no"], "item_name", base, "toppings", "exclusions", "extras",
+                              names).collect()}
+    for i, kind, exc, ext in rows:
+        kept = set(_parse(BASE[kind])) - set(_parse(exc) or [])
+        counts = {m: 1 for m in kept}
+        for m in _parse(ext) or []:
+            counts[m] = counts.get(m, 0) + 1
+        if not counts:
+            assert i not in got
+            continue
+        parts = [(NAMES[m], NAMES[m] if n == 1 else f"{n}x {NAMES[m]}") for m, n in counts.items()]
+        assert got[i] == f"{kind}: " + ", ".join(label for _, label in sorted(parts))
