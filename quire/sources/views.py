@@ -41,8 +41,6 @@ TOPPINGS = [
 ]
 # event type codes of the web events: source event name -> code
 EVENT_CODES = {"view": 1, "click": 2, "purchase": 3, "signup": 4}  # anything else -> 5
-# names of the codes (case 6 event_identifier)
-EVENT_NAMES = {1: "Page View", 2: "Add to Cart", 3: "Purchase", 4: "Ad Impression", 5: "Ad Click"}
 
 
 def _s(c) -> F.Column:
