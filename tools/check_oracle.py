@@ -1,4 +1,5 @@
-"""Run every catalogue query in Spark and its DuckDB oracle; print one line per key.
+"""Run every catalogue query in Spark and its DuckDB oracle; print one line per key
+(rows, column names, value multiset and column types must all agree).
 
 usage: python tools/check_oracle.py [sf_dir] [key ...]
 """
@@ -11,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from quire.plans.compare import compare, duck_connect  # noqa: E402
+from quire.plans.compare import compare, duck_connect, type_differences  # noqa: E402
 from quire.plans.registry import oracle_sql, queries  # noqa: E402
 from quire.session import get_session  # noqa: E402
 
@@ -34,10 +35,12 @@ def main(argv: list[str]) -> int:
                 print(f"NOSQL {name:32s} rows={n} {time.time()-t0:.1f}s", flush=True)
                 continue
             r = compare(name, df, con, ors[name])
-            tag = "OK   " if r.ok else "FAIL "
-            bad += not r.ok
+            types = type_differences(df, con, ors[name])
+            ok = r.ok and not types
+            tag = "OK   " if ok else "FAIL "
+            bad += not ok
             print(f"{tag} {name:32s} spark={r.rows_spark} oracle={r.rows_oracle} "
-                  f"{time.time()-t0:.1f}s {r.detail}", flush=True)
+                  f"{time.time()-t0:.1f}s {r.detail}{' types ' + str(types) if types else ''}", flush=True)
         except Exception as e:  # report and continue
             bad += 1
             msg = str(e).strip().splitlines()[0][:300] if str(e).strip() else repr(e)
