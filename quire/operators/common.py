@@ -18,4 +18,5 @@ def maybe_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Dat
     Beyond that the join is left to the planner: a shuffled join, which AQE may
     still turn into a broadcast once the real shuffle size is known.
     """
-    return F.broadcast(dim) if estimated_size(dim) <= max_bytes else dim
+    size = estimated_size(dim)
+    return F.broadcast(dim) if size is not None and size <= max_bytes else dim

@@ -49,9 +49,11 @@ def get_session(master: str | None = None, app: str = "quire",
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def partitions_for(size_bytes: int, minimum: int = 1, target: int = TARGET_PARTITION_BYTES,
+def partitions_for(size_bytes: int | None, minimum: int = 1, target: int = TARGET_PARTITION_BYTES,
                    maximum: int = 200_000) -> int:
-    """Number of partitions so that each holds about ``target`` bytes."""
+    """Number of partitions so that each holds about ``target`` bytes (``minimum`` if unknown)."""
+    if size_bytes is None:
+        return minimum
     return int(max(minimum, min(maximum, -(-int(size_bytes) // target))))
 
 
@@ -63,7 +65,7 @@ def _big(v) -> int:
 EXPANSION = 3
 
 
-def estimated_size(df) -> int:
+def estimated_size(df) -> int | None:
     """A size estimate of a DataFrame (no job is run): Catalyst's plan estimate,
     capped by the inputs it reads times ``EXPANSION``.
 
@@ -71,10 +73,13 @@ def estimated_size(df) -> int:
     inputs, which is useless for sizing; the inputs' own sizes are a sound
     bound for the filters, projections, aggregations and key joins used here.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    est = _big(plan.stats().sizeInBytes())
-    leaves = plan.collectLeaves()
-    inputs = sum(_big(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        est = _big(plan.stats().sizeInBytes())
+        leaves = plan.collectLeaves()
+        inputs = sum(_big(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except Exception:  # no JVM handle (e.g. a Spark Connect session): size unknown
+        return None
     return min(est, EXPANSION * inputs) if inputs else est
 
 
