@@ -57,3 +57,18 @@ def test_running_balance_windows_per_day_aggregate(spark):
     # the Window sits above a HashAggregate (one row per key-day), not above the raw scan
     after_window = txt[txt.index("Window"):]
     assert "HashAggregate" in after_window
+
+
+@pytest.mark.parametrize("name", ["enrich_total", "totals_by", "distinct_by", "conditional_counts",
+                                  "first_per_key", "state_asof_latest", "item_funnel", "visit_summary",
+                                  "viewed_without_buying", "before_after_by_dimension", "qualifying_groups",
+                                  "member_totals", "percentiles_by"])
+def test_map_side_partial_aggregation(spark, name):
+    """Aggregates run partial before their shuffle, so a hot key sends one row per task."""
+    txt = plan(QUERIES[name](spark, SMALL_SF))
+    assert re.search(r"functions=\[[^\]]*partial_", txt), txt
+
+
+def test_per_dimension_before_after_is_one_grouping_sets_pass(spark):
+    txt = plan(QUERIES["before_after_by_dimension"](spark, SMALL_SF))
+    assert txt.count("Expand [") == 1
