@@ -11,15 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.numeric import mean4, percent, trunc_div
+from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
 
 
 def totals_by(df: DataFrame, keys: list[str], measure: str, prefix: str = "amount",
-              count_name: str = "n_rows") -> DataFrame:
-    """count, sum, mean, min and max of ``measure`` per key; no keys = one global row."""
+              count_name: str = "n_rows", money_scale: int | None = None) -> DataFrame:
+    """count, sum, mean, min and max of ``measure`` per key; no keys = one global row.
+
+    With ``money_scale`` (the measure is DECIMAL(_, money_scale)) the mean is
+    exact, DECIMAL(38, 4) rounded half away from zero, instead of a double.
+    """
+    mean = mean_exact(measure, money_scale) if money_scale is not None else mean4(measure)
     aggs = [F.count(F.lit(1)).alias(count_name),
             F.sum(measure).cast("decimal(38,2)").alias(f"total_{prefix}"),
-            mean4(measure).alias(f"avg_{prefix}"),
+            mean.alias(f"avg_{prefix}"),
             F.min(measure).alias(f"min_{prefix}"),
             F.max(measure).alias(f"max_{prefix}")]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

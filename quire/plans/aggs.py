@@ -12,18 +12,21 @@ from quire.plans.common import (DELIVERED_SQL, ITEM_PRICE_SQL, delivered_items,
 from quire.plans.registry import register
 from quire.sources.views import OPEN_END, Views
 
-TOTALS_SQL = """count(*) AS n_rows, CAST(sum(txn_amount) AS DECIMAL(38,2)) AS total_amount,
-       round(avg(CAST(txn_amount AS DOUBLE)), 4) AS avg_amount, min(txn_amount) AS min_amount, max(txn_amount) AS max_amount"""
+# exact mean in 1e-4 units, rounded half away from zero (cents summed as integers)
+EXACT_MEAN_SQL = ("CAST(CAST(sign(sum(CAST(txn_amount * 100 AS HUGEINT))) * ((2 * 100 * abs(sum(CAST(txn_amount * 100 AS HUGEINT)))"
+                  " + count(txn_amount)) // (2 * count(txn_amount))) AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(38,4))")
+TOTALS_SQL = f"""count(*) AS n_rows, CAST(sum(txn_amount) AS DECIMAL(38,2)) AS total_amount,
+       {EXACT_MEAN_SQL} AS avg_amount, min(txn_amount) AS min_amount, max(txn_amount) AS max_amount"""
 
 
 @register("totals_by", "W30", f"SELECT txn_type, {TOTALS_SQL} FROM v_txn GROUP BY txn_type")
 def q_totals_by(v: Views):
-    return A.totals_by(v.v_txn, ["txn_type"], "txn_amount")
+    return A.totals_by(v.v_txn, ["txn_type"], "txn_amount", money_scale=2)
 
 
 @register("total_global", "W30", f"SELECT {TOTALS_SQL} FROM v_txn")
 def q_total_global(v: Views):
-    return A.totals_by(v.v_txn, [], "txn_amount")
+    return A.totals_by(v.v_txn, [], "txn_amount", money_scale=2)
 
 
 @register("percentiles_by", "W31", """
