@@ -208,12 +208,13 @@ def q_min_avg_max_by(v: Views):
 
 
 @register("elapsed_avg", "W53", f"""
-SELECT d.runner_id, round(avg(date_diff('second', d.order_time, d.pk) / 60.0), 4) AS avg_minutes
+SELECT d.runner_id, round(avg(date_diff('second', d.order_time, d.pk)) / 60.0, 4) AS avg_minutes
 FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id GROUP BY d.runner_id""")
 def q_elapsed_avg(v: Views):
     rows = v.v_item_lines.select("order_id").join(deliveries(v), "order_id")
-    return (rows.groupBy("runner_id")
-            .agg(F.round(F.avg(minutes_between("order_time", "pickup_time")), 4).alias("avg_minutes")))
+    # mean of whole seconds (an exact integer sum), then minutes: independent of summation order
+    secs = F.timestamp_diff("SECOND", F.col("order_time"), F.col("pickup_time"))
+    return rows.groupBy("runner_id").agg(F.round(F.avg(secs) / 60.0, 4).alias("avg_minutes"))
 
 
 @register("elapsed_with_count", "W53", f"""
