@@ -39,6 +39,17 @@ def mean4(c) -> Column:
     return F.round(F.avg(_c(c).cast("double")), 4)
 
 
+def exact_mean_of_units(units_sum, count, out_units: int = 10_000, in_units: int = 100,
+                        out_scale: int = 4) -> Column:
+    """sum / count where ``units_sum`` is a sum of values scaled by ``in_units`` (an
+    exact integer), as DECIMAL(38, out_scale) rounded half away from zero."""
+    s, n = units_sum, count
+    factor = out_units // in_units
+    q = trunc_div(F.abs(s) * (2 * factor) + n, n * 2)
+    q = F.when(s < 0, -q).otherwise(q)
+    return (q.cast("decimal(38,0)") / out_units).cast(f"decimal(38,{out_scale})")
+
+
 def mean_exact(c, in_scale: int = 2, out_scale: int = 4) -> Column:
     """Exact mean of a DECIMAL(_, in_scale) column as DECIMAL(38, out_scale), rounded half away from zero.
 
@@ -47,9 +58,5 @@ def mean_exact(c, in_scale: int = 2, out_scale: int = 4) -> Column:
     floating-point mean does.
     """
     x = _c(c)
-    s = F.sum((x * (10 ** in_scale)).cast("decimal(38,0)"))
-    n = F.count(x)
-    factor = 10 ** (out_scale - in_scale)
-    q = trunc_div(F.abs(s) * (2 * factor) + n, n * 2)
-    q = F.when(s < 0, -q).otherwise(q)
-    return (q.cast("decimal(38,0)") / (10 ** out_scale)).cast(f"decimal(38,{out_scale})")
+    units = F.sum((x * (10 ** in_scale)).cast("decimal(38,0)"))
+    return exact_mean_of_units(units, F.count(x), 10 ** out_scale, 10 ** in_scale, out_scale)

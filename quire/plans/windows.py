@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.calendar import minutes_between
+from quire.functions.numeric import exact_mean_of_units
 from quire.operators import windows as Wn
 from quire.plans.cleaning import NUM_RE
 from quire.plans.common import DELIVERED_SQL, delivered_orders, deliveries, pct_sql, weekly
@@ -230,9 +231,12 @@ def q_elapsed_with_count(v: Views):
 
 @register("speed_vs_average", "W53", f"""
 SELECT order_id, item_no, runner_id, sp AS order_speed,
-       round(avg(CAST(sp AS DOUBLE)) OVER (PARTITION BY runner_id), 4) AS runner_average, hour_of_day
-FROM (SELECT i.order_id, i.item_no, d.runner_id, {SPEED_SQL} AS sp, CAST(hour(d.order_time) AS INTEGER) AS hour_of_day
-      FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id) t""")
+       CAST(CAST(sign(s) * ((2 * 100 * abs(s) + c) // (2 * c)) AS DECIMAL(38,0)) * 0.0001 AS DECIMAL(38,4)) AS runner_average,
+       hour_of_day
+FROM (SELECT *, sum(CAST(sp * 100 AS HUGEINT)) OVER (PARTITION BY runner_id) AS s,
+             count(sp) OVER (PARTITION BY runner_id) AS c
+      FROM (SELECT i.order_id, i.item_no, d.runner_id, {SPEED_SQL} AS sp, CAST(hour(d.order_time) AS INTEGER) AS hour_of_day
+            FROM v_item i JOIN {DELIV_SQL} d ON d.order_id = i.order_id) t) u""")
 def q_speed_vs_average(v: Views):
     orders = deliveries(v).select("order_id", "runner_id", Wn.speed("distance", "duration").alias("order_speed"),
                                   F.hour("order_time").alias("hour_of_day"))
@@ -241,9 +245,9 @@ def q_speed_vs_average(v: Views):
     # runner key would put a tenth of all rows in one task)
     n = v.v_item_lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
     w = F.when(F.col("order_speed").isNotNull(), F.col("_n"))
+    cents = (F.col("order_speed") * 100).cast("decimal(38,0)") * F.col("_n")
     avg = (orders.join(n, "order_id").groupBy("runner_id")
-           .agg(F.round((F.sum(F.col("order_speed") * F.col("_n")) / F.sum(w)).cast("double"), 4)
-                .alias("runner_average")))
+           .agg(exact_mean_of_units(F.sum(cents), F.sum(w)).alias("runner_average")))
     rows = v.v_item.select("order_id", "item_no").join(orders, "order_id")
     return rows.join(avg, "runner_id").select("order_id", "item_no", "runner_id", "order_speed",
                                               "runner_average", "hour_of_day")
