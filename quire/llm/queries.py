@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from quire.llm.language import op7_language_id
+from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quire.llm.mixing import OP2_SQL, op2_mixing
 from quire.llm.packing import op10_packing
+from quire.llm.tokenfiles import op6_token_files, op8_token_counts
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
+    "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op2_mixing": OP2_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op9_line_dedup": OP9_SQL}
