@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 800_000
 MAX_CACHED_PIECES = 900_000
 
 
