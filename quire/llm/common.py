@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,21 +49,17 @@ def random_key(*parts: Column) -> Column:
 ROWS_PER_BUCKET = 4096
 
 
-def running_sum(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str,
-                small_groups: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str) -> DataFrame:
     """Exclusive prefix sum of ``value`` within ``group`` in the order of (``key``, ``ties``).
 
-    ``key`` is a hash-random long of 60 bits. Its high bits cut every group into ranges of about
-    ``ROWS_PER_BUCKET`` rows, as many as the group's size asks for, so a group with a third of all
-    rows is sorted by many tasks; the sums of whole ranges are prefix-summed on the small range
-    table and added to the running sum inside each range. ``small_groups`` states that the number
-    of groups is bounded, so the table of group sizes may be broadcast.
+    ``key`` is a hash-random long of 60 bits. Its high bits cut every group into ranges, so many that
+    a range of a group that held all rows would have about ``ROWS_PER_BUCKET``: a group with a third
+    of all rows is sorted by many tasks. The sums of whole ranges are prefix-summed on the small
+    range table and added to the running sum inside each range. ``df`` should be a stage table, as it
+    is read three times.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    bits = sizes.select(F.col(group).alias("_g"), F.greatest(
-        F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(ROWS_PER_BUCKET)))).cast("int").alias("_bits"))
-    cut = (df.join(F.broadcast(bits) if small_groups else bits, F.col(group) == F.col("_g"))
-           .withColumn("_bucket", F.expr(f"shiftright({key}, 60 - _bits)")).drop("_g", "_bits"))
+    bits = max(0, math.ceil(math.log2(max(1, df.count()) / ROWS_PER_BUCKET)))
+    cut = df.withColumn("_bucket", F.shiftright(key, 60 - bits))
     ranges = (cut.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b"))
               .agg(F.sum(value).alias("_sum"))
               .withColumn("_before", F.coalesce(F.sum("_sum").over(

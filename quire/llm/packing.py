@@ -145,7 +145,7 @@ def pack(parts: DataFrame, ties: list[str], capacity: int = CAPACITY, seed: str
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = best_fit_decreasing(histogram, capacity)
     ranked = parts.withColumn("_one", F.lit(1))
-    ranked = running_sum(ranked, "length", "_key", ties, "_one", "_rank", small_groups=True).drop("_one", "_key")
+    ranked = running_sum(ranked, "length", "_key", ties, "_one", "_rank").drop("_one", "_key")
     out = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = to_arrow_schema(out)

@@ -6,10 +6,14 @@ from quire.llm.language import op7_language_id
 from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quire.llm.mixing import OP2_SQL, op2_mixing
 from quire.llm.packing import op10_packing
+from quire.llm.quality import op1_quality_rules
 from quire.llm.tokenfiles import op6_token_files, op8_token_counts
+from quire.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
