@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm.jaccard import op4_jaccard_join
 from quire.llm.language import op7_language_id
 from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quire.llm.mixing import OP2_SQL, op2_mixing
@@ -13,6 +14,7 @@ from quire.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,

@@ -31,7 +31,7 @@ SECOND_PERSON = ("you your yours yourself u ur du dich dir dein deine ihr euch s
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 FEATURES = ("lexicon_density", "lexicon_hits", "beginning_density", "beginning_hits", "hidden_density", "hidden_hits",
             "second_person_density", "near_density", "capital_rate", "capital_word_rate", "punctuation_rate",
-            "exclamation_rate", "obfuscation_rate", "stretched_rate", "log_words")
+            "exclamation_rate", "obfuscation_rate", "stretched_rate", "log_words", "strongest_entry", "second_entry")
 
 
 def crc_fold(doc_id: str = "doc_id", folds: int = 5):
@@ -72,7 +72,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     counts = (rows.mapInArrow(_lexicon_counts, "entry string, toxic long, n long").groupBy("entry")
               .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
                    F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b")))
-    odds = (F.log((F.col("a") + 0.1) / (n1 + 0.2 - F.col("a") + 0.1)) - F.log((F.col("b") + 0.1) / (n0 + 0.2 - F.col("b") + 0.1)))
+    odds = (F.log((F.col("a") + 0.5) / (n1 + 0.5 - F.col("a"))) - F.log((F.col("b") + 0.5) / (n0 + 0.5 - F.col("b"))))
     best = (counts.filter(F.col("a") >= MIN_TOXIC_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
             .orderBy(F.desc("a"), "entry").limit(MAX_LEXICON))
     return {r["entry"]: float(r["odds"]) for r in best.collect()}
@@ -94,20 +94,23 @@ class Featurizer:
         self.seen: dict[str, tuple] = {}
 
     def classed(self, token: str) -> tuple:
-        """(lexicon, beginning, hidden, second person, capital, obfuscated, stretched) of a token."""
+        """(lexicon, beginning, hidden, second person, capital, obfuscated, stretched, log odds of the
+        strongest entry) of a token."""
         m = self.word(token)
         word = m[0].lower() if m else ""
+        entries = _entries(word) if word else [""]
         direct = word in self.lexicon
-        begins = any(e in self.lexicon for e in _entries(word)[1:]) if word else False
+        begins = any(e in self.lexicon for e in entries[1:])
         mixed = bool(self.hidden.match(token))
         hidden = False
         if mixed:
             low = token.lower()
             plain = "".join(LOOKALIKES.get(c, c) for c in low)
             for form in ("".join(c for c in plain if c.isalpha()), "".join(c for c in low if c.isalpha())):
-                hidden = hidden or form in self.lexicon or any(e in self.lexicon for e in _entries(form)[1:])
+                hidden = hidden or any(e in self.lexicon for e in _entries(form))
+                entries = entries + _entries(form)
         return (direct, begins, hidden, word in self.second, bool(m) and len(m[0]) > 1 and m[0].isupper(), mixed,
-                bool(self.stretched.search(token)))
+                bool(self.stretched.search(token)), max(self.lexicon.get(e, 0.0) for e in entries))
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
@@ -119,14 +122,15 @@ class Featurizer:
         for t in set(tokens).difference(seen):
             seen[t] = self.classed(t)
         sums = [0] * 7
-        hits, seconds = [], []
-        plain = (False,) * 7
+        hits, seconds, odds = [], [], {}
+        plain = (False,) * 7 + (0.0,)
         for i, c in enumerate(map(seen.__getitem__, tokens)):
             if c != plain:
                 for k in range(7):
                     sums[k] += c[k]
                 if c[0] or c[1] or c[2]:
                     hits.append(i)
+                    odds[tokens[i]] = c[7]
                 if c[3]:
                     seconds.append(i)
         near = j = 0
@@ -136,10 +140,12 @@ class Featurizer:
             near += j < len(seconds) and seconds[j] <= i + NEAR
         chars = max(1, len(text))
         marks = self.marks(text)
+        strongest = [*sorted(odds.values(), reverse=True)[:2], 0.0, 0.0]
         return [100 * sums[0] / n, math.log1p(sums[0]), 100 * sums[1] / n, math.log1p(sums[1]),
                 100 * sums[2] / n, math.log1p(sums[2]), 100 * sums[3] / n, 100 * near / n,
                 sum(map(str.isupper, text)) / chars if not text.islower() else 0.0, sums[4] / n, len(marks) / chars,
-                text.count("!") / n, sums[5] / n, sums[6] / n, math.log1p(len(tokens))]
+                text.count("!") / n, sums[5] / n, sums[6] / n, math.log1p(len(tokens)),
+                strongest[0], strongest[1]]
 
 
 def text_features(docs: DataFrame, lexicon: dict[str, float], carry: list[str]) -> DataFrame:
