@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm.embeddings import op3_embedding_dedup
 from quire.llm.jaccard import op4_jaccard_join
 from quire.llm.language import op7_language_id
 from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -14,6 +15,7 @@ from quire.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
