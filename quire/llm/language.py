@@ -71,10 +71,15 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> di
     ``GRAMS_PER_LANGUAGE`` n-grams of each length per language. Rows without text or label are left
     out; without any row the model is empty.
     """
-    order = Window.partitionBy("lang").orderBy("_h", "_t")
-    sample = (labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-              .select("lang", F.xxhash64("doc_id").alias("_h"), F.col("text").alias("_t"))
-              .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_language))
+    usable = (labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+              .select("lang", F.xxhash64("doc_id").alias("_h"), F.col("text").alias("_t")))
+    order = Window.partitionBy("lang").orderBy("_h")
+    # the hash of the last document of each language's sample is found without moving texts
+    last = (usable.select("lang", "_h").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_language)
+            .groupBy("lang").agg(F.max("_h").alias("_last")))
+    sample = (usable.join(last, "lang").filter("_h <= _last")
+              .withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t")))
+              .filter(F.col("_r") <= docs_per_language))
     words = (sample.select("lang", "_t", "_h").repartition("_h").mapInArrow(_word_counts, "lang string, w string, n long")
              .groupBy("lang", "w").agg(F.sum("n").alias("n")))
     words = stage(words, "language-words")
