@@ -1,14 +1,87 @@
-"""A corpus pipeline over the training-data operators: STAGES, run() and its SQL form."""
+"""A corpus pipeline over the training-data operators: STAGES, run() and its SQL form.
+
+Every stage takes the documents that its predecessor kept, and all but the last return documents
+with the columns they came with (texts changed where a stage changes texts). Whatever columns there
+are besides doc_id, text, lang and source travel in one struct, so their names cannot clash with an
+operator's. Rows that share a doc_id are copies of one document; rows without one are told apart by
+their texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import jaccard, language, line_dedup, mixing, packing
 from quire.llm.common import stage
 
-STAGES: list = []
+MIN_LANGUAGE_SCORE = 0.5
+BOX = "__document__"
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(text, row, BOX): the text, an id of the row, and all other columns in a struct. A row without
+    doc_id gets an id above 2^62 from its text."""
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    row = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    return docs.select("text", row.alias("row"), other.alias(BOX))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    was = {c: F.col("text") if c == "text" else F.col(BOX)[c] for c in docs.columns}
+    return rows.select(*[(changed or {}).get(c, was[c]).alias(c) for c in docs.columns])
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score of at least one half; texts that are null or
+    without letters go. The model learns from the labelled documents among those at hand."""
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    found = language.predict(boxed(docs), model, ["text", BOX])
+    return unboxed(found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long lines that other documents repeat; n_chars follows the text. A
+    document that loses nothing keeps its text as it is."""
+    rows = line_dedup.dedup_lines(boxed(docs), "row", carry=[BOX])
+    lost, kept = F.col("n_dropped") > 0, F.array_join("kept", "\n")
+    changed = {"text": F.when(lost, kept).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(lost, F.length(kept).cast("long")).otherwise(F.col(BOX)["n_chars"])
+    return unboxed(rows, docs, changed)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    rows = boxed(docs)
+    firsts = (jaccard.jaccard_components(rows, "row").filter("row = component_id").select("row").distinct())
+    return unboxed(rows.join(firsts, "row", "left_semi").dropDuplicates(["row"]), docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, documents as often as it takes them."""
+    rows = boxed(docs).withColumn("source", F.col(BOX)["source"])
+    return unboxed(mixing.mix_documents(rows, "row"), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents packed into sequences of 4096 ids; a repeated document is packed as
+    often as it is there."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-# the language model is learned, so SQL cannot express the result
+# the language model is learned and the tokenizer is a library, so SQL cannot express the result
 ORACLE_SQL = None
 
 
@@ -17,4 +90,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,12 +77,13 @@ def apply_runs(lines: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), lines).otherwise(let(lines, cut))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
-    """``docs`` with ``kept`` (array of kept lines), ``n_lines`` and ``n_dropped`` added.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", carry: list[str] = (), **limits) -> DataFrame:
+    """Id, text and carried columns of ``docs`` with ``kept`` (array of kept lines), ``n_lines`` and
+    ``n_dropped``.
 
     The text side is not sorted: the bitmaps build the hash table of a shuffled hash join."""
     marks = keep_bitmaps(docs, id_col, **limits).withColumnRenamed("id", "_id")
-    return (docs.join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    return (docs.select(id_col, "text", *carry).join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
             .withColumn("_lines", split_lines(F.col("text")))
             .withColumn("kept", apply_runs(F.col("_lines"), F.col("keep_runs")))
             .withColumn("n_lines", F.size("_lines").cast("long"))
