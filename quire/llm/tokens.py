@@ -46,6 +46,8 @@ class WordEncoder:
         self.runs = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.core = re.compile(r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.+?)"
                                r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)").fullmatch
+        # a comma or full stop between a letter or digit and white space is a piece of its own
+        self.stops = re.compile(r"(?<=[A-Za-z0-9])([,.])(?=[ \n])").sub
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -59,8 +61,6 @@ class WordEncoder:
             return None
         if word.isascii():
             return self.runs(word.lower())
-        if word.isalpha():
-            return [word]
         m = self.core(word)
         if m and m[2].isalpha():
             return [p for p in m.groups() if p]
@@ -84,20 +84,36 @@ class WordEncoder:
             else:  # a letter that lower-cases into several pieces: one by one
                 self.pieces.update(zip(part, self._whole(part)))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words met for the first time; they are kept for later texts."""
         if len(self.words) + len(new) > MAX_CACHED_WORDS:
             self.words.clear()
         if len(self.pieces) > MAX_CACHED_PIECES:
             self.pieces.clear()
-        split = {w: self._split(w) for w in new}
-        known = self.pieces
-        unknown = list(dict.fromkeys(p for s in split.values() if s for p in s if p not in known))
-        self._learn_pieces(unknown)
-        whole = [w for w, s in split.items() if s is None]
-        self.words.update(zip(whole, self._whole(whole)))
-        for w, s in split.items():
-            if s is not None:
-                self.words[w] = known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s))
+        words, known = {}, self.pieces
+        single, several, whole = [], [], []
+        for w in new:
+            if w.isalpha():
+                p = w.lower() if w.isascii() else w
+                ids = known.get(p)
+                if ids is None:
+                    single.append((w, p))
+                else:
+                    words[w] = ids
+            elif (split := self._split(w)) is None:
+                whole.append(w)
+            else:
+                several.append((w, split))
+        unknown = dict.fromkeys(p for _, p in single)
+        unknown.update(dict.fromkeys(p for _, split in several for p in split))
+        self._learn_pieces([p for p in unknown if p not in known])
+        for w, p in single:
+            words[w] = known[p]
+        for w, split in several:
+            words[w] = b"".join(map(known.__getitem__, split))
+        words.update(zip(whole, self._whole(whole)))
+        self.words.update(words)
+        return words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text; none for null."""
@@ -109,21 +125,19 @@ class WordEncoder:
         chars = 0
 
         def flush():
-            words = self.words
-            for _ in range(2):  # a table emptied to make room is filled with this group's words
-                new = set().union(*group).difference(words)
-                if not new:
-                    break
-                self._learn(new)
-            for ws in group:
-                try:
-                    out.append(b"".join(map(words.__getitem__, ws)))
-                except KeyError:  # more distinct words than the table holds
-                    out.extend(self._whole([" ".join(ws)]))
+            get = self.words.get
+            found = [list(map(get, ws)) for ws in group]
+            gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+            new = {ws[i] for ws, at in zip(group, gaps) for i in at}
+            learned = self._learn(new)
+            for ws, f, at in zip(group, found, gaps):
+                for i in at:
+                    f[i] = learned[ws[i]]
+                out.append(b"".join(f))
             group.clear()
 
         for t in texts:
-            group.append([w for w in (t or "").replace("\n", " ").split(" ") if w])
+            group.append(self.stops(r" \1", t or "").replace("\n", " ").split(" "))
             chars += len(t or "")
             if chars > 8_000_000:
                 flush()
