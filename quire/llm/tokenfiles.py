@@ -149,11 +149,12 @@ def by_doc_id(docs: DataFrame) -> DataFrame:
     return (rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h"))
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat: bool, literal_specials: bool = False) -> DataFrame:
-    """Write the ids of every whole text (null: empty), each followed by ``end_id``, in ascending
-    doc_id order. Returns one row per document: doc_id, part and number of its file (files sort by
-    these in document order), its ordinal in the file, the file's path and length in ids. A null
-    doc_id is written as the smallest long."""
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat_type: str = "", literal_specials: bool = False) -> DataFrame:
+    """Write the ids of every whole text (null: empty), each followed by ``end_id``, in the order of
+    the rows, to packed files, or to flat files of ids of ``flat_type`` ("<u2" or "<u4"). Returns one
+    row per document: doc_id, part and number of its file (files sort by these in document order), its
+    ordinal in the file, the file's path and length in ids. A null doc_id is written as the smallest
+    long. An id that ``flat_type`` cannot hold is an error."""
     folder = shared_path(docs.sparkSession, "token-files")
     ddl = "doc_id long, part int, number int, ordinal long, path string, file_ids long"
     schema = arrow_schema(ddl)
@@ -181,8 +182,10 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat: bool, litera
             path = f"{folder}/part-{part:06d}-{number:05d}-{uuid.uuid4().hex}"
             where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
             where.create_dir(name.rpartition("/")[0], recursive=True)
+            if flat_type and len(ids) and int(ids.max()) > np.iinfo(flat_type).max:
+                raise ValueError(f"an id does not fit {flat_type}")
             with where.open_output_stream(name) as f:
-                f.write(ids.tobytes() if flat else file_bytes(keys, lengths, ids))
+                f.write(ids.astype(flat_type).tobytes() if flat_type else file_bytes(keys, lengths, ids))
             m = len(doc_ids)
             out = pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, pa.int64()), pa.array([part] * m, pa.int32()), pa.array([number] * m, pa.int32()),
@@ -202,7 +205,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat: bool, litera
         if doc_ids:
             yield close()
 
-    return stage(by_doc_id(docs).mapInArrow(run, ddl), "token-manifest")
+    return stage(docs.select("doc_id", "text").mapInArrow(run, ddl), "token-manifest")
 
 
 def files_of(manifest: DataFrame) -> DataFrame:
@@ -247,7 +250,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, flat=False)
+    manifest = write_files(by_doc_id(docs), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     files = files_of(manifest)
     back = read_documents(spark, files)
     return (back.join(files.select("path", "before"), "path")
@@ -303,17 +306,14 @@ def scan_flat_files(files: DataFrame, end_id: int, width: int = 4, block: int =
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all documents as flat files of plain ids, each ended by id 49407, and count every
-    document's tokens by scanning the files for that id: doc_id, start (ids before it in all
-    files), n_tokens (without the separator). The scan itself sees ids alone; the ordinals it finds
-    are matched with the order in which the documents were written."""
+    """Write all documents, as they come, to flat files of plain 16-bit ids, each ended by id 49407,
+    and count every document's tokens by scanning the files for that id: doc_id, n_tokens (without
+    the separator). The scan itself sees ids alone; the ordinals it finds are matched with the order
+    in which the documents were written."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=49407, flat=True,
+    manifest = write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=49407, flat_type="<u2",
                            literal_specials=True)
-    files = files_of(manifest)
-    scanned = scan_flat_files(files, 49407)
-    return (scanned.join(files.select("path", "before"), "path")
-            .join(manifest.select("path", "ordinal", "doc_id"), ["path", "ordinal"])
-            .select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens"))
+    scanned = scan_flat_files(files_of(manifest), 49407, width=2)
+    return (scanned.join(manifest.select("path", "ordinal", "doc_id"), ["path", "ordinal"]).select("doc_id", "n_tokens"))
