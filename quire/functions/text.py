@@ -34,9 +34,14 @@ def split_list(c, sep: str = LIST_SEPARATOR, tokens=MISSING_TOKENS) -> Column:
     return F.when(clean.isNull(), F.lit(None)).otherwise(F.split(F.trim(clean), sep))
 
 
+def split_typed_list(c, sep: str = LIST_SEPARATOR, member_type: str = "int", tokens=MISSING_TOKENS) -> Column:
+    """Delimited text -> array of a type (members that do not parse become NULL)."""
+    return F.transform(split_list(c, sep, tokens), lambda x: F.trim(x).try_cast(member_type))
+
+
 def split_int_list(c, sep: str = LIST_SEPARATOR, tokens=MISSING_TOKENS) -> Column:
     """Delimited text -> array<int> (members that are not numbers become NULL)."""
-    return F.transform(split_list(c, sep, tokens), lambda x: F.trim(x).try_cast("int"))
+    return split_typed_list(c, sep, "int", tokens)
 
 
 def decode(c, mapping: dict, default: str | None = None) -> Column:

@@ -43,7 +43,9 @@ def percentiles_by(df: DataFrame, keys: list[str], col: str, ps=(0.5, 0.8, 0.95)
     if approx:
         return df.groupBy(*keys).agg(*[F.percentile_approx(col, p, accuracy).cast("double").alias(n)
                                        for p, n in zip(ps, names)])
-    return df.groupBy(*keys).agg(*[F.round(F.percentile(col, p), 4).alias(n) for p, n in zip(ps, names)])
+    # all percentiles from one value map
+    out = df.groupBy(*keys).agg(F.percentile(col, [float(p) for p in ps]).alias("_p"))
+    return out.select(*keys, *[F.round(F.get("_p", F.lit(i)), 4).alias(n) for i, n in enumerate(names)])
 
 
 def distinct_by(df: DataFrame, keys: list[str], col: str, name: str, approx: bool = False,
@@ -98,12 +100,22 @@ def share_of_parent(df: DataFrame, parent: list[str], child: list[str], measure:
 
 def share_of_population(df: DataFrame, key: str, cond: Column, scale: int = 1,
                         names=("total_customer", "churn", "churn_perc")) -> DataFrame:
-    """Distinct keys overall, rows meeting ``cond`` and their percent of the keys."""
+    """Distinct keys overall, *rows* meeting ``cond`` and their percent of the keys (W36, for tables
+    with at most one such row per key); ``share_of_keys`` counts keys on both sides."""
     total, hits, pct = names
     return (df.agg(F.countDistinct(key).alias(total), F.count_if(cond).alias(hits))
             .withColumn(pct, percent(hits, total, scale)))
 
 
+def share_of_keys(df: DataFrame, key: str, cond: Column, scale: int = 2,
+                  names=("n_keys", "n_meeting", "percent")) -> DataFrame:
+    """Distinct keys overall, distinct keys with a row meeting ``cond`` and their percent."""
+    total, hits, pct = names
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.coalesce(cond, F.lit(False))).alias("_hit"))
+    return (per.agg(F.count(F.lit(1)).alias(total), F.count_if("_hit").alias(hits))
+            .withColumn(pct, percent(hits, total, scale)))
+
+
 def two_level_avg(df: DataFrame, key: str, counted: str, name: str) -> DataFrame:
     """Average over keys of the per-key distinct count of ``counted``."""
     per = df.groupBy(key).agg(F.countDistinct(counted).alias("_n"))
@@ -125,10 +137,11 @@ def profit_after_cost(df: DataFrame, order_key: str, price: Column, distance: st
 
 
 def weighted_vs_plain_avg(df: DataFrame, keys: list[str], num: str, den: str, ratio: str) -> DataFrame:
-    """Truncating sum(num)/sum(den) beside the (misleading) mean of row ratios."""
+    """Truncating sum(num)/sum(den) beside the (misleading) mean of row ratios (W39). ``ratio`` has
+    two decimal places; its mean is exact and rounded once."""
     return (df.groupBy(*keys)
             .agg(trunc_div(F.sum(num), F.sum(den)).alias("correct_avg"),
-                 F.round(F.avg(ratio), 2).cast("decimal(12,2)").alias("incorrect_avg")))
+                 mean_exact(ratio, 2, 2).cast("decimal(12,2)").alias("incorrect_avg")))
 
 
 def success_rate(df: DataFrame, key: str, id_col: str, fail_col: str) -> DataFrame:

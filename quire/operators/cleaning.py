@@ -74,16 +74,15 @@ def decode_segment(df: DataFrame, col: str = "segment") -> DataFrame:
     })
 
 
-def add_row_id(df: DataFrame, partition_cols: list[str], order_cols: list[str], name: str = "item_no",
-               strategy: str | None = None) -> DataFrame:
+def add_row_id(df: DataFrame, partition_cols: list[str], order_cols: list[str], name: str = "item_no") -> DataFrame:
     """Number rows 1..n inside a natural partition under a total order.
 
     (partition key, number) is the surrogate key. A dense global id would
-    need a one-partition window; this one is a skew-safe ``sequence`` over
-    the natural key (``strategy='window'`` for the plain per-key window).
+    need a one-partition window; this one is a two-level ``sequence`` over
+    the natural key.
     """
     from quire.operators.sequence import sequence
-    s = sequence(df, partition_cols, order_cols, rn_name="_rn", strategy=strategy)
+    s = sequence(df, partition_cols, order_cols, rn_name="_rn")
     return s.withColumn(name, F.col("_rn").cast("int")).drop("_rn")
 
 

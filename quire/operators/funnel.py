@@ -1,10 +1,8 @@
 """Loyalty points, purchase funnel, visit summaries and top-k.
 
 Visit-level facts (did the visit buy, which (page, event) pairs it holds)
-are computed in one partial+final aggregation per visit. The per-visit
-set of (page, event) pairs is bounded by the page x event-type domain, so
-even a visit holding a third of all events contributes a bounded set per
-map task, and everything after it works on deduplicated rows.
+are partially aggregated before they are shuffled, and everything after works
+on distinct (visit, page, event) rows.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.numeric import percent
 from quire.operators.joins import interval_join
-from quire.operators.common import maybe_broadcast
 
 # Event type codes of the web events.
 VIEW, ADD_TO_CART, PURCHASE, IMPRESSION, CLICK = 1, 2, 3, 4, 5
@@ -31,44 +28,40 @@ def join_week_points(sales: DataFrame, members: DataFrame, key: str, price: str,
                      bonus_item: str, cutoff: str, date_col: str = "order_date", join_col: str = "join_date",
                      days: int = 7, rate: int = 10, bonus_rate: int = 20) -> DataFrame:
     """Points of members up to ``cutoff``: bonus rate in the first ``days`` days from joining
-    (join day included) or on the bonus item, base rate otherwise (W55)."""
+    (join day included) or on the bonus item, base rate otherwise (W55). Sales are summed per
+    (key, day, bonus item) before they meet the members, so a hot key brings its days."""
     s = (sales.where(F.col(date_col) <= F.lit(cutoff).cast("date"))
+         .groupBy(key, date_col, (F.col(item_col) == bonus_item).alias("_bonus")).agg(F.sum(price).alias("_sum"))
          .join(members.select(key, join_col), key))
-    bonus = F.datediff(date_col, join_col).between(0, days - 1) | (F.col(item_col) == bonus_item)
+    bonus = F.datediff(date_col, join_col).between(0, days - 1) | F.col("_bonus")
     r = F.when(bonus, F.lit(bonus_rate)).otherwise(F.lit(rate))
-    return s.groupBy(key).agg(F.sum(F.col(price) * r).cast("decimal(38,2)").alias("points"))
+    return s.groupBy(key).agg(F.sum(F.col("_sum") * r).cast("decimal(38,2)").alias("points"))
 
 
 def visit_pairs(events: DataFrame, visit: str = "visit_id", page: str = "page_id",
                 etype: str = "event_type") -> DataFrame:
-    """Distinct (visit, page, event type) rows with the visit's buyer flag."""
-    per_visit = events.groupBy(visit).agg(
-        F.collect_set(F.struct(F.col(page).alias("p"), F.col(etype).alias("e"))).alias("_pe"),
-        F.max((F.col(etype) == PURCHASE).cast("int")).alias("buyer"))
-    return (per_visit.select(visit, "buyer", F.explode("_pe").alias("_x"))
-            .select(visit, "buyer", F.col("_x.p").alias(page), F.col("_x.e").alias(etype)))
+    """Distinct (visit, page, event type) rows with the visit's buyer flag: a distinct (partial hash
+    aggregation) and a left join of the buying visits; no visit is gathered."""
+    pairs = events.select(visit, page, etype).distinct()
+    buyers = events.where(F.col(etype) == PURCHASE).select(visit).distinct().withColumn("_b", F.lit(1))
+    return pairs.join(buyers, visit, "left").select(visit, F.coalesce("_b", F.lit(0)).alias("buyer"), page, etype)
 
 
 def item_funnel(events: DataFrame, pages: DataFrame, page: str = "page_id", etype: str = "event_type",
-                name: str = "page_name", category: str = "product_category",
-                pages_bounded: bool = False) -> DataFrame:
+                name: str = "page_name", category: str = "product_category") -> DataFrame:
     """Per product page: visits viewing, visits adding to cart, adds in visits without a
     purchase (abandoned) and adds in buying visits (purchases) (W56).
 
-    Products with no purchase or no abandonment are dropped, as the
-    reference's inner joins drop them. The page table is broadcast when its
-    estimated size is small, or always with ``pages_bounded=True`` (a page
-    dimension whose row count is bounded by construction).
+    Products with no purchase or no abandonment are dropped, as an inner join of
+    both would. Counts are taken per page before they meet the page table.
     """
-    d = visit_pairs(events, page=page, etype=etype)
-    p = pages.where(F.col(category).isNotNull()).select(page, name, category)
-    p = F.broadcast(p) if pages_bounded else maybe_broadcast(p)
     add = F.col(etype) == ADD_TO_CART
-    f = (d.join(p, page).groupBy(name, category)
-         .agg(F.count_if(F.col(etype) == VIEW).alias("product_views"),
-              F.count_if(add).alias("product_added_to_cart"),
-              F.count_if(add & (F.col("buyer") == 0)).alias("total_abandoned_carts"),
-              F.count_if(add & (F.col("buyer") == 1)).alias("total_purchases")))
+    measures = {"product_views": F.col(etype) == VIEW, "product_added_to_cart": add,
+                "total_abandoned_carts": add & (F.col("buyer") == 0), "total_purchases": add & (F.col("buyer") == 1)}
+    per_page = visit_pairs(events, page=page, etype=etype).groupBy(page).agg(
+        *[F.count_if(c).alias(m) for m, c in measures.items()])
+    p = pages.where(F.col(category).isNotNull()).select(page, name, category)
+    f = per_page.join(p, page).groupBy(name, category).agg(*[F.sum(m).alias(m) for m in measures])
     return f.where((F.col("total_abandoned_carts") > 0) & (F.col("total_purchases") > 0))
 
 

@@ -1,15 +1,14 @@
 """Join operators.
 
-Dimension tables with a proven size bound (literal dimension tables, a
-number range, a per-key aggregate of a bounded domain) are broadcast
-explicitly; everything else is left to the planner, whose AQE re-plan
-broadcasts only sides whose *measured* shuffle output is small and splits
-skewed partitions of sort-merge joins.
+No join carries a broadcast hint: adaptive execution broadcasts sides whose
+*measured* shuffle output is small. It splits a skewed join only if nothing
+above the join needs the same key again, so operators that join and then group
+or rank by one key first reduce the fact to one row per key and day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,39 +28,36 @@ def enrich_total(fact: DataFrame, keys: list[str], measure: str,
                  F.count(F.lit(1)).alias(count_name)))
 
 
-def _dated(fact: DataFrame, starts: DataFrame, key: str, date_col: str, start_col: str,
-           op: str) -> DataFrame:
-    cond = {">=": F.col(date_col) >= F.col(start_col), "<": F.col(date_col) < F.col(start_col)}[op]
-    return fact.join(starts.select(key, start_col), key).where(cond)
+def _edge_dates(fact: DataFrame, starts: DataFrame, key: str, date_col: str, start_col: str, after: bool) -> DataFrame:
+    """(key, date): the first date on/after or the last date before each key's start. The fact is
+    reduced to its (key, date) pairs before it meets the starts, so a hot key brings its days."""
+    days = fact.select(key, date_col).distinct().join(starts.select(key, start_col), key)
+    if after:
+        return days.where(F.col(date_col) >= F.col(start_col)).groupBy(key).agg(F.min(date_col).alias(date_col))
+    return days.where(F.col(date_col) < F.col(start_col)).groupBy(key).agg(F.max(date_col).alias(date_col))
 
 
 def first_after(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
                 date_col: str = "order_date", start_col: str = "join_date") -> DataFrame:
     """Rows on the first date on/after each key's start date, ties kept.
 
-    ``rank() = 1`` is planned as a WindowGroupLimit on both sides of the
-    shuffle, so only each task's earliest rows per key are exchanged.
-    """
-    w = Window.partitionBy(key).orderBy(F.col(date_col))
-    return (_dated(fact, starts, key, date_col, start_col, ">=")
-            .withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r", start_col))
+    ``starts`` has one row per key. The rows come back by a join on (key, date)."""
+    return fact.join(_edge_dates(fact, starts, key, date_col, start_col, True), [key, date_col], "left_semi")
 
 
 def last_before(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
                 date_col: str = "order_date", start_col: str = "join_date") -> DataFrame:
     """Rows on the last date strictly before each key's start date, ties kept."""
-    w = Window.partitionBy(key).orderBy(F.col(date_col).desc())
-    return (_dated(fact, starts, key, date_col, start_col, "<")
-            .withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r", start_col))
+    return fact.join(_edge_dates(fact, starts, key, date_col, start_col, False), [key, date_col], "left_semi")
 
 
 def total_before(fact: DataFrame, starts: DataFrame, measure: str = "price", key: str = "customer_id",
                  date_col: str = "order_date", start_col: str = "join_date") -> DataFrame:
-    """Count and sum of the measure strictly before each key's start date."""
-    return (_dated(fact, starts, key, date_col, start_col, "<")
+    """Count and sum of the measure strictly before each key's start date (W24), from per-day sums."""
+    days = fact.groupBy(key, date_col).agg(F.count(F.lit(1)).alias("_n"), F.sum(measure).alias("_sum"))
+    return (days.join(starts.select(key, start_col), key).where(F.col(date_col) < F.col(start_col))
             .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n_items"),
-                 F.sum(measure).cast("decimal(38,2)").alias("total_amount")))
+            .agg(F.sum("_n").alias("n_items"), F.sum("_sum").cast("decimal(38,2)").alias("total_amount")))
 
 
 def flag_since(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
@@ -75,15 +71,15 @@ def flag_since(fact: DataFrame, starts: DataFrame, key: str = "customer_id",
 
 def rank_flagged(fact: DataFrame, starts: DataFrame, order_cols: list[str], key: str = "customer_id",
                  date_col: str = "order_date", start_col: str = "join_date",
-                 flag: str = "member", rank_name: str = "ranking", strategy: str | None = None) -> DataFrame:
+                 flag: str = "member", rank_name: str = "ranking") -> DataFrame:
     """W25 plus a running number of the 'Y' rows per key; NULL for 'N' rows.
 
     ``order_cols`` must make the order total so the numbering is repeatable;
-    the numbering is a skew-safe ``sequence`` over (key, flag).
+    the numbering is a two-level ``sequence`` over (key, flag).
     """
     from quire.operators.sequence import sequence
     df = flag_since(fact, starts, key, date_col, start_col, flag)
-    s = sequence(df, [key, flag], order_cols, rn_name="_rn", strategy=strategy)
+    s = sequence(df, [key, flag], order_cols, rn_name="_rn")
     return s.withColumn(rank_name, F.when(F.col(flag) == "Y", F.col("_rn").cast("int"))).drop("_rn")
 
 
@@ -116,26 +112,36 @@ def missing_in_range(df: DataFrame, col: str, lo: int, hi: int, name: str | None
     return rng.join(present, name, "left_anti")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str,
-                  bucket: str = "day", broadcast_max_rows: int = 10_000) -> DataFrame:
+SLOT_LEVELS = 7   # slot widths of 1, 16, 256, ... days: the last covers 16 million days
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """Left join of points to every closed interval [start, end] holding them.
 
     Unmatched points are kept with NULL interval columns; a point inside
-    overlapping intervals appears once per interval. ``broadcast_max_rows``
-    bounds the interval table: at or below it the table is broadcast (its
-    size is checked by counting it); above it each interval is exploded to
-    the ``bucket``-sized calendar slots it covers and joined to the points
-    on the slot (an equi-join that shuffles), with the exact bounds kept as
-    a residual predicate.
+    overlapping intervals appears once per interval; an interval that ends
+    before it starts, or has a null end, holds nothing.
+
+    One plan for all sizes, an equi-join: an interval is filed under the slots
+    it covers at the width that follows its length (powers of 16 days, so 17
+    slots at most, also for an open end such as 9999-12-31), a point's time
+    under one slot for each width that occurs. Only distinct times meet the
+    intervals; the points then join on their time.
     """
-    n = intervals.count()
-    if n <= broadcast_max_rows:
-        cond = (F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))
-        return points.join(F.broadcast(intervals), cond, "left")
-    unit = {"day": "1 day", "hour": "1 hour"}[bucket]
-    slots = intervals.withColumn(
-        "_islot", F.explode(F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, end),
-                                       F.expr(f"INTERVAL {unit}"))))
-    p = points.withColumn("_pslot", F.date_trunc(bucket, ts))
-    cond = (F.col("_pslot") == F.col("_islot")) & (F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))
-    return p.join(slots, cond, "left").drop("_pslot", "_islot")
+    def day(c):
+        return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+
+    length = F.greatest(F.col("_b") - F.col("_a"), F.lit(1))
+    level = F.least(F.ceil(F.log2(length) / 4) - 1, F.lit(SLOT_LEVELS - 1))
+    good = (intervals.where(F.col(start) <= F.col(end)).withColumns({"_a": day(start), "_b": day(end)})
+            .withColumn("_level", F.greatest(level, F.lit(0)).cast("int")))
+    levels = good.agg(F.collect_set("_level")).scalar()
+    slots = (good.withColumn("_slot", F.explode(F.sequence(F.expr("shiftright(_a, 4 * _level)"), F.expr("shiftright(_b, 4 * _level)"))))
+             .drop("_a", "_b"))
+    times = (points.select(F.col(ts).alias("_ts")).where("_ts IS NOT NULL").distinct()
+             .withColumns({"_day": day("_ts"), "_plevel": F.explode(levels)})
+             .withColumn("_pslot", F.expr("shiftright(_day, 4 * _plevel)")))
+    held = times.join(slots, (F.col("_pslot") == F.col("_slot")) & (F.col("_plevel") == F.col("_level"))
+                      & (F.col("_ts") >= F.col(start)) & (F.col("_ts") <= F.col(end)))
+    held = held.select("_ts", *intervals.columns)
+    return points.join(held, F.col(ts) == F.col("_ts"), "left").drop("_ts")

@@ -1,32 +1,16 @@
-"""Skew-safe ordered sequences: row number, previous and next values per key.
-
-``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
-task; if one key holds a third of the data, so does one task, and AQE
-cannot split a window. ``ordered_sequence`` instead
-
-1. range-partitions the rows on (key, order) — a hot key is spread over
-   many consecutive partitions — and sorts each partition;
-2. summarises every partition in one row (first/last key, the boundary
-   rows' values, how many rows the last key has); the summary is bounded by
-   the number of partitions;
-3. stitches partition boundaries on that summary (carried row offset,
-   value before the first row, value after the last row) and broadcasts it;
-4. numbers and shifts rows inside each sorted partition with Arrow compute
-   over record batches, carrying state across batches.
-
-Only one full shuffle (the range exchange, reused by the summary branch)
-is needed, no task ever holds more than one range partition, and the
-result equals ``row_number``/``lag``/``lead`` over the key's window when
-the order columns make a total order inside each key.
-
-Range bounds come from a sample taken per exchange, so the summary and the
-numbering pass must read the *same* exchange: both consume all columns of
-the sorted ranges, which makes their subplans identical and Spark reuses the
-exchange. ``sequence`` uses the plain window when a session switches
-exchange reuse off; should the exchanges ever differ anyway, the numbering
-pass detects that its partition disagrees with the summary and raises
-instead of returning wrong numbers. A retried task re-reads the same shuffle
-blocks in the same sorted order, so results survive executor loss.
+"""Row number, previous and next values per key, in two levels.
+
+``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task, and no
+re-planning splits a window. ``sequence`` cuts each key into ranges of its first order
+column (a timestamp's day, else the value itself), numbers and shifts the rows inside
+each (key, range), and joins what a range needs from its neighbours: the number of rows
+before it, the last row of the range before and the first row of the range after. These
+come from one partially aggregated row per (key, range), so a key that holds a third of
+the rows is spread over as many tasks as it has days, and only its days meet in one.
+
+The result equals ``row_number`` / ``lag`` / ``lead`` over the key's window; ``order``
+must make a total order inside each key. Null keys and null order values are values like
+any other, as in a window: ranges are compared as structs, whose null fields are equal.
 """
 
 from __future__ import annotations
@@ -35,275 +19,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import estimated_size, partitions_for
-
-PID = "_seq_pid"
-
-
-def _ship_by_value() -> None:
-    """Pickle this module's task functions by value, so executors run the Arrow
-    passes without having the package installed (only pyarrow and numpy)."""
-    import sys
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except Exception:  # an older cloudpickle: executors then need the package
-        pass
-
-
-_ship_by_value()
-
-
-def _arrow_schema(struct: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(struct)
-
-
-def _eq_prev(batch, keys):
-    """bool array: row i has the same key as row i-1 (row 0: False)."""
-    import numpy as np
-    import pyarrow.compute as pc
-    n = batch.num_rows
-    same = np.zeros(n, dtype=bool)
-    if n > 1:
-        acc = np.ones(n - 1, dtype=bool)
-        for k in keys:
-            a = batch.column(k)
-            cur, prev = a.slice(1), a.slice(0, n - 1)
-            e = pc.or_kleene(pc.equal(cur, prev), pc.and_(pc.is_null(cur), pc.is_null(prev)))
-            acc &= np.asarray(pc.fill_null(e, False).to_numpy(zero_copy_only=False), dtype=bool)
-        same[1:] = acc
-    return same
-
-
-def _key_at(batch, keys, i):
-    return [batch.column(k)[i].as_py() for k in keys]
-
-
-def _summary_fn(keys, lag_cols, lead_cols, schema):
-    def fn(it):
-        import pyarrow as pa
-        first = last = None
-        last_key = None
-        n_last = n_rows = 0
-        pid = None
-        for b in it:
-            if b.num_rows == 0:
-                continue
-            if first is None:
-                first = b.slice(0, 1)
-                pid = b.column(PID)[0].as_py()
-            same = _eq_prev(b, keys)
-            # rows of the batch's last key are a suffix (the partition is sorted)
-            breaks = (~same).nonzero()[0]
-            run = b.num_rows - int(breaks[-1])
-            tk = _key_at(b, keys, b.num_rows - 1)
-            if last_key is not None and run == b.num_rows and tk == last_key:
-                n_last += run
-            else:
-                n_last = run
-            last_key, last = tk, b.slice(b.num_rows - 1, 1)
-            n_rows += b.num_rows
-        if first is None:
-            return
-        row = {PID: [pid], "_n_last": [n_last], "_n_rows": [n_rows]}
-        for i, k in enumerate(keys):
-            row[f"_fk{i}"] = [first.column(k)[0].as_py()]
-            row[f"_lk{i}"] = [last.column(k)[0].as_py()]
-        for c in lead_cols:
-            row[f"_fv_{c}"] = [first.column(c)[0].as_py()]
-        for c in lag_cols:
-            row[f"_lv_{c}"] = [last.column(c)[0].as_py()]
-        yield pa.RecordBatch.from_pydict(row, schema=schema)
-
-    return fn
-
-
-def _sequence_fn(keys, lag_cols, lead_cols, rn_name, in_cols, schema):
-    def fn(it):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        buf = None            # the last row, held back until its successor is known
-        last_key = None       # key of the last emitted row
-        last_rn = 0
-        last_vals = None      # lag-source values (arrow scalars) of the last emitted row
-        carry = None
-        seen = 0
-
-        def shifted(col, idx, valid, head=None):
-            """col[idx] where valid, else NULL; optionally row 0 replaced by ``head``."""
-            out = pc.take(col, pa.array(np.clip(idx, 0, len(col) - 1)))
-            out = pc.if_else(pa.array(valid), out, pa.nulls(len(col), type=col.type))
-            if head is not None:
-                first = np.zeros(len(col), dtype=bool)
-                first[0] = True
-                out = pc.if_else(pa.array(first), pa.scalar(head.as_py(), type=col.type), out)
-            return out
-
-        def build(t, rn, lags, leads, upto):
-            arrays = [t.column(c).slice(0, upto) for c in in_cols]
-            arrays.append(pa.array(rn[:upto], type=pa.int64()))
-            arrays += [a.slice(0, upto) for a in lags] + [a.slice(0, upto) for a in leads]
-            return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-        def head_state(t):
-            hk = _key_at(t, keys, 0)
-            if last_key is not None:
-                cont = hk == last_key
-                return cont, (last_rn if cont else 0), (last_vals if cont else None)
-            cont = bool(carry["_linked_in"]) and hk == [carry[f"_fk{i}"] for i in range(len(keys))]
-            vals = [carry_scalars[f"_in_{c}"] for c in lag_cols] if cont else None
-            return cont, (int(carry["_offset"]) if cont else 0), vals
-
-        for b in it:
-            if b.num_rows == 0:
-                continue
-            if carry is None:
-                carry = {name: b.column(name)[0].as_py() for name in b.schema.names
-                         if name.startswith("_") and name != PID}
-                carry_scalars = {name: b.column(name)[0] for name in b.schema.names if name.startswith("_in_")}
-                if carry.get("_n_rows") is None or \
-                        _key_at(b, keys, 0) != [carry[f"_fk{i}"] for i in range(len(keys))]:
-                    raise RuntimeError("ordered_sequence: partition summary does not match the partition "
-                                       "(the range exchange was not reused)")
-            seen += b.num_rows
-            t = b if buf is None else pa.Table.from_batches([buf, b]).combine_chunks().to_batches()[0]
-            n = t.num_rows
-            same_prev = _eq_prev(t, keys)
-            same_next = np.zeros(n, dtype=bool)
-            same_next[:-1] = same_prev[1:]
-            cont, off, vals = head_state(t)
-            starts = (~same_prev).nonzero()[0]
-            grp = np.cumsum(~same_prev) - 1
-            rn = np.arange(n, dtype=np.int64) - starts[grp] + 1
-            if cont:
-                rn[grp == 0] += off
-            idx = np.arange(n)
-            lags = [shifted(t.column(c), idx - 1, same_prev, vals[j] if cont and vals is not None else None)
-                    for j, c in enumerate(lag_cols)]
-            leads = [shifted(t.column(c), idx + 1, same_next) for c in lead_cols]
-            if n > 1:
-                yield build(t, rn, lags, leads, n - 1)
-                last_key = _key_at(t, keys, n - 2)
-                last_rn = int(rn[n - 2])
-                last_vals = [t.column(c)[n - 2] for c in lag_cols]
-            buf = t.slice(n - 1, 1)
-        if carry is not None and seen != int(carry["_n_rows"]):
-            raise RuntimeError("ordered_sequence: partition row count differs from its summary")
-        if buf is not None:
-            t = buf
-            cont, off, vals = head_state(t)
-            rn = np.array([off + 1], dtype=np.int64)
-            lags = [shifted(t.column(c), np.array([-1]), np.array([False]),
-                            vals[j] if cont and vals is not None else None) for j, c in enumerate(lag_cols)]
-            tail = bool(carry["_linked_out"]) and _key_at(t, keys, 0) == [carry[f"_lk{i}"] for i in range(len(keys))]
-            leads = []
-            for c in lead_cols:
-                col = t.column(c)
-                v = carry.get(f"_out_{c}") if tail else None
-                leads.append(pa.array([v], type=col.type))
-            yield build(t, rn, lags, leads, 1)
-
-    return fn
-
-
-def ordered_sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[str] = (),
-                     lead_cols: list[str] = (), rn_name: str = "rn", partitions: int | None = None,
-                     keep: list[str] | None = None) -> DataFrame:
-    """Add ``rn_name`` (1-based position of the row within its key under ``order``),
-    ``prev_<c>`` for each ``lag_cols`` and ``next_<c>`` for each ``lead_cols``.
-
-    ``order`` must be a total order within each key (add a unique tie-break
-    column), which also makes the result repeatable when a task is retried.
-    """
-    keys, order = list(keys), list(order)
-    lag_cols, lead_cols = list(lag_cols), list(lead_cols)
-    spark = df.sparkSession
-    # enough ranges for ~256 MB each by the plan's size estimate, never fewer than the
-    # session's shuffle partitions: a key holding a third of the data is cut into
-    # (size / 3) / 256 MB consecutive ranges
-    n = partitions or partitions_for(estimated_size(df), minimum=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sort_cols = keys + [c for c in order if c not in keys]
-    # columns carried past the sort (``keep``: sort-only columns stay in the JVM)
-    out_names = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
-    r = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-         .select(*out_names, F.spark_partition_id().alias(PID)))
-    fields = {f.name: f for f in r.schema.fields}
-
-    # 2. one summary row per non-empty partition. It reads the same range exchange
-    #    as step 4 with all columns, so Spark reuses that exchange and both see the
-    #    same bounds (range bounds come from a per-shuffle sample).
-    sfields = [T.StructField(PID, T.IntegerType()), T.StructField("_n_last", T.LongType()),
-               T.StructField("_n_rows", T.LongType())]
-    for i, k in enumerate(keys):
-        sfields += [T.StructField(f"_fk{i}", fields[k].dataType), T.StructField(f"_lk{i}", fields[k].dataType)]
-    sfields += [T.StructField(f"_fv_{c}", fields[c].dataType) for c in lead_cols]
-    sfields += [T.StructField(f"_lv_{c}", fields[c].dataType) for c in lag_cols]
-    sschema = T.StructType(sfields)
-    summary = r.mapInArrow(_summary_fn(keys, lag_cols, lead_cols, _arrow_schema(sschema)), sschema)
-
-    # 3. stitch boundaries over the (partition-count bounded) summary, in partition order
-    w = Window.orderBy(PID)
-    fk = F.struct(*[F.col(f"_fk{i}") for i in range(len(keys))])
-    lk = F.struct(*[F.col(f"_lk{i}") for i in range(len(keys))])
-    all_same = fk == lk
-    s = (summary.withColumn("_fk", fk).withColumn("_lk", lk)
-         .withColumn("_linked_in", F.coalesce(F.lag("_lk").over(w) == F.col("_fk"), F.lit(False)))
-         .withColumn("_linked_out", F.coalesce(F.lead("_fk").over(w) == F.col("_lk"), F.lit(False))))
-    # rows of the last key carried forward: cumulative n_last inside segments where
-    # each partition after the first is entirely the same key as its predecessor's last key
-    s = s.withColumn("_seg", F.sum(F.when(F.col("_linked_in") & all_same, 0).otherwise(1)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    s = s.withColumn("_carry", F.sum("_n_last").over(
-        Window.partitionBy("_seg").orderBy(PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    s = s.withColumn("_offset", F.when(F.col("_linked_in"), F.lag("_carry").over(w)).otherwise(0))
-    for c in lag_cols:
-        s = s.withColumn(f"_in_{c}", F.when(F.col("_linked_in"), F.lag(f"_lv_{c}").over(w)))
-    for c in lead_cols:
-        s = s.withColumn(f"_out_{c}", F.when(F.col("_linked_out"), F.lead(f"_fv_{c}").over(w)))
-    carry_cols = ([PID, "_linked_in", "_linked_out", "_offset", "_n_rows"] + [f"_fk{i}" for i in range(len(keys))]
-                  + [f"_lk{i}" for i in range(len(keys))] + [f"_in_{c}" for c in lag_cols]
-                  + [f"_out_{c}" for c in lead_cols])
-    carry = s.select(*carry_cols)
-
-    # 4. number and shift inside each sorted partition; the summary is broadcast
-    #    (one row per partition), so the sorted rows keep their partition and order
-    joined = r.join(F.broadcast(carry), PID, "left")
-    out_fields = [fields[c] for c in out_names]
-    out_fields.append(T.StructField(rn_name, T.LongType()))
-    out_fields += [T.StructField(f"prev_{c}", fields[c].dataType) for c in lag_cols]
-    out_fields += [T.StructField(f"next_{c}", fields[c].dataType) for c in lead_cols]
-    out_schema = T.StructType(out_fields)
-    in_cols = out_names
-    return joined.mapInArrow(_sequence_fn(keys, lag_cols, lead_cols, rn_name, in_cols, _arrow_schema(out_schema)),
-                             out_schema)
-
-
-STRATEGY_CONF = "quire.sequence.strategy"
-
-
-def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols=(), lead_cols=(), rn_name: str = "rn",
-             strategy: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``ordered_sequence`` (``strategy='range'``, skew-safe) or the equivalent
-    per-key window (``strategy='window'``, one hash shuffle, a key's rows in one task).
 
-    Without an explicit strategy the session setting ``quire.sequence.strategy``
-    decides (default ``range``).
-    """
-    if strategy is None:
-        strategy = df.sparkSession.conf.get(STRATEGY_CONF, "range")
-    if strategy == "range" and df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        # the range form needs its two passes to share one exchange
-        strategy = "window"
-    if strategy == "range":
-        return ordered_sequence(df, keys, order, lag_cols, lead_cols, rn_name, keep=keep)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cols = {rn_name: F.row_number().over(w).cast("long")}
-    cols.update({f"prev_{c}": F.lag(c).over(w) for c in lag_cols})
-    cols.update({f"next_{c}": F.lead(c).over(w) for c in lead_cols})
-    out = df.withColumns(cols)
-    if keep:
-        out = out.select(*dict.fromkeys(keep + list(keys) + list(lag_cols) + list(lead_cols)), *cols)
-    return out
+def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[str] = (),
+             lead_cols: list[str] = (), rn_name: str = "rn", keep: list[str] | None = None) -> DataFrame:
+    """Add ``rn_name``, ``prev_<c>`` for each of ``lag_cols`` and ``next_<c>`` for each of
+    ``lead_cols``; ``keep`` names the columns to carry besides keys and shifted ones."""
+    keys, order, lag_cols, lead_cols = list(keys), list(order), list(lag_cols), list(lead_cols)
+    first = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        first = first.cast("date")
+    d = df.withColumn("_range", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], first.alias("r")))
+    by = F.struct(*order)
+    none = F.lit(None).cast("int")
+    ranges = d.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by(F.struct(*lag_cols) if lag_cols else none, by).alias("_last"),
+        F.min_by(F.struct(*lead_cols) if lead_cols else none, by).alias("_first"))
+    w = Window.partitionBy(*[F.col(f"_range.k{i}") for i in range(len(keys))]).orderBy("_range.r")
+    ranges = ranges.select(
+        F.col("_range").alias("_of"), "_n",
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(w).alias("_prev"), F.lead("_first").over(w).alias("_next"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    d = d.withColumns({"_i": F.row_number().over(inside), **{f"_lag{j}": F.lag(c).over(inside) for j, c in enumerate(lag_cols)},
+                       **{f"_lead{j}": F.lead(c).over(inside) for j, c in enumerate(lead_cols)}})
+    j = d.join(ranges, F.col("_range") == F.col("_of"))
+    carried = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
+    return j.select(
+        *carried, (F.col("_before") + F.col("_i")).cast("long").alias(rn_name),
+        *[F.when(F.col("_i") == 1, F.col("_prev")[c]).otherwise(F.col(f"_lag{k}")).alias(f"prev_{c}")
+          for k, c in enumerate(lag_cols)],
+        *[F.when(F.col("_i") == F.col("_n"), F.col("_next")[c]).otherwise(F.col(f"_lead{k}")).alias(f"next_{c}")
+          for k, c in enumerate(lead_cols)])

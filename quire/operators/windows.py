@@ -11,10 +11,8 @@ Scale notes
   (same-day rows share one total) exactly.
 * Global windows (no PARTITION BY) only ever run over already-aggregated,
   calendar-bounded frames (one row per month).
-* Per-key windows that must see every row of a key in order (lead/lag of
-  state sequences, payment schedules) partition by the key; AQE splits
-  skewed *joins* but not windows, so these are the operators to watch
-  when one key dominates.
+* Operators that must see every row of a key in order (lead/lag of state
+  sequences, payment schedules) use ``sequence``, which works per (key, day).
 """
 
 from __future__ import annotations
@@ -26,11 +24,6 @@ from quire.functions.calendar import sunday_weeks_between
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
 from quire.operators.sequence import sequence
 
-# How per-key ordered operators number and shift rows: None defers to the
-# session setting quire.sequence.strategy ("range" — a hot key is spread over
-# many tasks — unless set to "window", a plain per-key window).
-DEFAULT_STRATEGY = None
-
 
 def first_per_key(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
     """The first row per key under a total order, as one partial+final aggregate."""
@@ -46,52 +39,60 @@ def top_by_count_per_key(df: DataFrame, key: str, item: str, count_name: str = "
 
 
 def state_sequence(df: DataFrame, key: str, order_cols: list[str], state: str = "plan_id",
-                   date_col: str | None = None, strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+                   date_col: str | None = None) -> DataFrame:
     """Each state row with its position ``rn``, ``prev_state`` and ``next_state``
     (and ``next_date`` when ``date_col`` is given) per key."""
     lead = [state] + ([date_col] if date_col else [])
-    s = sequence(df, [key], order_cols, lag_cols=[state], lead_cols=lead, strategy=strategy)
+    s = sequence(df, [key], order_cols, lag_cols=[state], lead_cols=lead)
     s = s.withColumnRenamed(f"prev_{state}", "prev_state").withColumnRenamed(f"next_{state}", "next_state")
     return s.withColumnRenamed(f"next_{date_col}", "next_date") if date_col else s
 
 
-def nth_state(df: DataFrame, key: str, order_cols: list[str], n: int = 2, state: str = "plan_id",
-              strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+def _first_rows(df: DataFrame, key: str, order_cols: list[str], state: str, n: int) -> DataFrame:
+    """(key, state, rn) of the first ``n`` rows per key: a row number with an upper bound is planned
+    as a group limit on both sides of the shuffle, so a hot key sends ``n`` rows per task."""
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    cols = list(dict.fromkeys([key, state, *order_cols]))
+    return df.select(*cols).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select(key, state, "rn")
+
+
+def nth_state(df: DataFrame, key: str, order_cols: list[str], n: int = 2, state: str = "plan_id") -> DataFrame:
     """Distribution of the n-th state over keys, with percent of all keys."""
-    nth = sequence(df, [key], order_cols, strategy=strategy).where(F.col("rn") == n)
-    total = df.select(F.countDistinct(key)).scalar()
-    return (nth.groupBy(state).agg(F.count(F.lit(1)).alias("n_customers"))
-            .withColumn("percent", percent(F.col("n_customers"), total)))
+    per = _first_rows(df, key, order_cols, state, n).groupBy(state).agg(
+        F.count_if(F.col("rn") == n).alias("n_customers"), F.count_if((F.col("rn") == 1) & F.col(key).isNotNull()).alias("_f"))
+    total = F.sum("_f").over(Window.partitionBy())  # one row per state
+    return (per.withColumn("_total", total).where("n_customers > 0")
+            .select(state, "n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent")))
 
 
 def immediate_transition_share(df: DataFrame, key: str, order_cols: list[str], frm, to,
-                               state: str = "plan_id", strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+                               state: str = "plan_id") -> DataFrame:
     """Keys whose second state is ``to`` straight after a first state ``frm``."""
-    s = state_sequence(df, key, order_cols, state, strategy=strategy)
-    hit = s.where((F.col("prev_state") == frm) & (F.col("rn") == 2) & (F.col(state) == to))
-    total = df.select(F.countDistinct(key)).scalar()
-    return (hit.agg(F.count(F.lit(1)).alias("n_customers"))
-            .withColumn("percent", percent(F.col("n_customers"), total)))
+    two = _first_rows(df, key, order_cols, state, 2).groupBy(key).agg(
+        F.max(F.when(F.col("rn") == 1, F.col(state))).alias("_1"), F.max(F.when(F.col("rn") == 2, F.col(state))).alias("_2"))
+    return (two.agg(F.count_if((F.col("_1") == frm) & (F.col("_2") == to)).alias("n_customers"),
+                    F.count(key).alias("_total"))
+            .select("n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent")))
 
 
 def later_state_in_year(df: DataFrame, key: str, order_cols: list[str], to, year: int,
-                        date_col: str = "start_date", state: str = "plan_id",
-                        strategy: str = DEFAULT_STRATEGY) -> DataFrame:
-    """Distinct keys that reached ``to`` as a non-first state within ``year``."""
-    s = sequence(df, [key], order_cols, strategy=strategy)
-    return (s.where((F.col("rn") > 1) & (F.col(state) == to) & (F.year(date_col) == year))
-            .agg(F.countDistinct(key).alias("n_customers")))
+                        date_col: str = "start_date", state: str = "plan_id") -> DataFrame:
+    """Distinct keys that reached ``to`` as a non-first state within ``year`` (W45): the last such
+    row of the key lies after the key's first row. One partial aggregation, no ordering."""
+    at = F.struct(*order_cols)
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(at).alias("_first"), F.max(F.when((F.col(state) == to) & (F.year(date_col) == year), at)).alias("_hit"))
+    return per.agg(F.count_if(F.col("_hit") > F.col("_first")).alias("n_customers"))
 
 
 def downgrade_count(df: DataFrame, key: str, order_cols: list[str], frm, to, year: int,
-                    date_col: str = "start_date", state: str = "plan_id",
-                    strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+                    date_col: str = "start_date", state: str = "plan_id") -> DataFrame:
     """Rows whose *next* state is ``to`` after ``frm``, the change dated in ``year``.
 
     The next state is taken before filtering (the filter-then-lead form
     can never see a change).
     """
-    s = state_sequence(df, key, order_cols, state, date_col=date_col, strategy=strategy)
+    s = state_sequence(df, key, order_cols, state, date_col=date_col)
     return (s.where((F.col(state) == frm) & (F.col("next_state") == to) & (F.year("next_date") == year))
             .agg(F.count(F.lit(1)).alias("n_downgrades")))
 
@@ -99,19 +100,25 @@ def downgrade_count(df: DataFrame, key: str, order_cols: list[str], frm, to, yea
 def state_asof_written(df: DataFrame, key: str, asof: str, trial_days: int = 7,
                        state: str = "plan_id", date_col: str = "start_date",
                        trial_state=0, end_state=4) -> DataFrame:
-    """Plan counts at a date, reproducing the reference's union-of-filters form.
+    """Plan counts at a date, counting every state that was ever paid (W46, as written).
 
     Paid states starting strictly before the date, plus trial states that
-    started in the week ending on the date; percent of the union's rows.
+    started in the week ending on the date; percent of the distinct (key, state)
+    pairs. One scan, one filter.
     """
     d = F.lit(asof).cast("date")
-    paid = df.where(~F.col(state).isin(trial_state, end_state) & (F.col(date_col) < d))
-    trial = df.where((F.col(state) == trial_state)
-                     & F.col(date_col).between(F.date_sub(d, trial_days - 1), d))
-    u = paid.select(key, state).unionByName(trial.select(key, state)).distinct()
-    total = u.select(F.count(F.lit(1))).scalar()
-    return (u.groupBy(state).agg(F.countDistinct(key).alias("n_customers"))
-            .withColumn("percent", percent(F.col("n_customers"), total)))
+    started = F.col(date_col)
+    counted = F.when(F.col(state) == trial_state, started.between(F.date_sub(d, trial_days - 1), d)).otherwise(
+        (F.col(state) != end_state) & (started < d))
+    return _state_shares(df.where(counted).select(key, state).distinct(), key, state)
+
+
+def _state_shares(pairs: DataFrame, key: str, state: str) -> DataFrame:
+    """Keys per state and their percent of all (key, state) rows; the total is that of the state rows."""
+    per = pairs.groupBy(state).agg(F.count(key).alias("n_customers"), F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    return (per.withColumn("_total", total)
+            .select(state, "n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent")))
 
 
 def state_asof_latest(df: DataFrame, key: str, asof: str, order_cols: list[str],
@@ -120,9 +127,10 @@ def state_asof_latest(df: DataFrame, key: str, asof: str, order_cols: list[str],
     d = F.lit(asof).cast("date")
     latest = (df.where(F.col(date_col) <= d).groupBy(key)
               .agg(F.max_by(state, F.struct(*order_cols)).alias(state)))
-    total = latest.select(F.count(F.lit(1))).scalar()
-    return (latest.groupBy(state).agg(F.count(F.lit(1)).alias("n_customers"))
-            .withColumn("percent", percent(F.col("n_customers"), total)))
+    per = latest.groupBy(state).agg(F.count(F.lit(1)).alias("n_customers"))
+    total = F.sum("n_customers").over(Window.partitionBy())
+    return (per.withColumn("_total", total)
+            .select(state, "n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent")))
 
 
 def days_between_states(df: DataFrame, key: str, a, b, state: str = "plan_id",
@@ -159,8 +167,7 @@ def bucket_histogram(values: DataFrame, col: str, width: int = 30) -> DataFrame:
 
 def expand_schedule(df: DataFrame, horizon_end: str, key: str = "customer_id", state: str = "plan_id",
                     date_col: str = "start_date", amount: str = "price", tie: str = "event_id",
-                    once_state=3, end_state=4, skip_state=0, prorate_days: int = 30,
-                    strategy: str = DEFAULT_STRATEGY) -> DataFrame:
+                    once_state=3, end_state=4, skip_state=0, prorate_days: int = 30) -> DataFrame:
     """Recurring payment schedule.
 
     Each paid state pays on its start date and then monthly (dates anchored
@@ -171,13 +178,12 @@ def expand_schedule(df: DataFrame, horizon_end: str, key: str = "customer_id", s
     ``payment_order`` ranks the payments per key by date (ties share a rank).
 
     Both per-key orderings (next state start; previous payment) use
-    ``sequence``, so a key with very many states is spread over many tasks;
-    the rank only needs a window per (key, payment date), which a hot key
-    does not concentrate.
+    ``sequence``, so a key with very many states is spread over its days;
+    the rank only needs a window per (key, payment date).
     """
     h = F.lit(horizon_end).cast("date")
     s = df.where((F.col(state) != skip_state) & (F.col(date_col) <= h))
-    s = sequence(s, [key], [date_col, tie], lead_cols=[date_col], rn_name="_srn", strategy=strategy) \
+    s = sequence(s, [key], [date_col, tie], lead_cols=[date_col], rn_name="_srn") \
         .withColumnRenamed(f"next_{date_col}", "_next").drop("_srn")
     end = (F.when(F.col(state) == once_state, F.col(date_col))
            .when(F.col(state) == end_state, F.lit(None).cast("date"))
@@ -189,8 +195,7 @@ def expand_schedule(df: DataFrame, horizon_end: str, key: str = "customer_id", s
          .where(((F.col("_i") == 0) & (F.col(date_col) <= F.col("_end")))
                 | ((F.col("_i") >= 1) & (F.col("payment_date") < F.col("_end"))))
          .select(key, state, tie, "_i", "payment_date", amount))
-    p = sequence(s, [key], ["payment_date", state, tie, "_i"], lag_cols=[state, "payment_date", amount],
-                 strategy=strategy)
+    p = sequence(s, [key], ["payment_date", state, tie, "_i"], lag_cols=[state, "payment_date", amount])
     amt = (F.when((F.col(f"prev_{state}") != F.col(state))
                   & (F.datediff("payment_date", "prev_payment_date") < prorate_days),
                   F.col(amount) - F.col(f"prev_{amount}"))
@@ -291,6 +296,14 @@ def _change_columns(before: str, after: str) -> list[Column]:
             percent(F.col(after) - F.col(before), F.col(before)).alias("percentage_of_change")]
 
 
+def before_after_label(df: DataFrame, date_col: str, anchor: str, weeks: int, name: str = "period",
+                       before: str = "before", after: str = "after") -> DataFrame:
+    """Adds the label of the row's side of an anchor date: within ``weeks`` Sunday-bounded weeks
+    before it, from it on, or null outside both (W52)."""
+    off = sunday_weeks_between(F.col(date_col), F.lit(anchor).cast("date"))
+    return df.withColumn(name, F.when(off.between(1, weeks), before).when(off.between(-(weeks - 1), 0), after))
+
+
 def before_after(df: DataFrame, date_col: str, anchor: str, weeks: int, value: str = "sales",
                  by: list[str] | None = None) -> DataFrame:
     """Sum of ``value`` in the ``weeks`` weeks before an anchor date and the ``weeks`` weeks

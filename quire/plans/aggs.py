@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.calendar import minutes_between
+from quire.functions.text import null_if_token
 from quire.operators import aggs as A
 from quire.plans.cleaning import NUM_RE
 from quire.plans.common import (DELIVERED_SQL, ITEM_PRICE_SQL, delivered_items, delivered_orders, deliveries,
@@ -62,8 +63,7 @@ SELECT p.product_category, count(*) FILTER (WHERE e.event_type = 1) AS page_view
 FROM v_event e JOIN v_page p ON p.page_id = e.page_id
 WHERE p.product_category IS NOT NULL GROUP BY p.product_category""")
 def q_conditional_counts(v: Views):
-    # v_page is a distinct over a fixed page domain: bounded, so broadcast
-    pages = F.broadcast(v.v_page.where(F.col("product_category").isNotNull()))
+    pages = v.v_page.where(F.col("product_category").isNotNull())
     return A.conditional_counts(v.v_event.join(pages, "page_id"), ["product_category"],
                                 {"page_views": F.col("event_type") == 1, "cart_adds": F.col("event_type") == 2})
 
@@ -163,3 +163,26 @@ SELECT round(max(m) - min(m), 4) AS difference FROM (
   FROM v_dirty) t""")
 def q_range_of_elapsed(v: Views):
     return A.range_of(deliveries(v), minutes_between("order_time", "pickup_time"))
+
+
+@register("share_of_visits_buying", "W36", f"""
+SELECT count(*) AS n_visits, count(*) FILTER (WHERE b) AS n_buying, {pct_sql('count(*) FILTER (WHERE b)', 'count(*)')} AS buying_perc
+FROM (SELECT visit_id, bool_or(event_type = 3) AS b FROM v_event GROUP BY visit_id) t""")
+def q_share_of_visits_buying(v: Views):
+    return A.share_of_keys(v.v_event, "visit_id", F.col("event_type") == 3, names=("n_visits", "n_buying", "buying_perc"))
+
+
+@register("visits_per_month", "W32", """
+SELECT CAST(month(event_time) AS INTEGER) AS month_number, count(DISTINCT visit_id) AS n_visits FROM v_event GROUP BY 1""")
+def q_visits_per_month(v: Views):
+    return A.distinct_by(v.v_event.withColumn("month_number", F.month("event_time")), ["month_number"], "visit_id", "n_visits")
+
+
+@register("item_change_counts", "W33", """
+SELECT item_name, count(*) FILTER (WHERE e OR x) AS n_changed, count(*) FILTER (WHERE NOT (e OR x)) AS n_unchanged,
+       count(*) FILTER (WHERE e AND x) AS n_both
+FROM (SELECT item_name, coalesce(exclusions NOT IN ('null', ''), false) AS e,
+             coalesce(extras NOT IN ('null', ''), false) AS x FROM v_item) t GROUP BY item_name""")
+def q_item_change_counts(v: Views):
+    e, x = (null_if_token(c).isNotNull() for c in ("exclusions", "extras"))
+    return A.conditional_counts(v.v_item_lines, ["item_name"], {"n_changed": e | x, "n_unchanged": ~(e | x), "n_both": e & x})

@@ -74,13 +74,13 @@ def q_parse_short_date(v: Views):
 
 
 @register("calendar_parts", "W05", f"""
-SELECT d AS txn_date, CAST(month(d) AS INTEGER) AS month_number, CAST(year(d) AS INTEGER) AS calendar_year,
+SELECT txn_id, d AS txn_date, CAST(month(d) AS INTEGER) AS month_number, CAST(year(d) AS INTEGER) AS calendar_year,
        CAST(isodow(d) AS INTEGER) AS iso_weekday, CAST(dayofweek(d) + 1 AS INTEGER) AS sunday_weekday,
        CAST(weekofyear(d) AS INTEGER) AS iso_week, {tsql_week_sql('d')} AS week_number,
        {week_offset_sql('d')} AS week_offset
-FROM (SELECT DISTINCT txn_date AS d FROM v_txn) t""")
+FROM (SELECT txn_id, txn_date AS d FROM v_txn) t""")
 def q_calendar_parts(v: Views):
-    return C.calendar_parts(v.v_txn.select("txn_date").distinct(), "txn_date", anchor=ANCHOR)
+    return C.calendar_parts(v.v_txn.select("txn_id", "txn_date"), "txn_date", anchor=ANCHOR)
 
 
 @register("count_by_hour", "W05", """
@@ -104,9 +104,9 @@ def q_count_by_iso_week(v: Views):
 
 
 @register("week_offset", "W05", f"""
-SELECT week_date, {week_offset_sql('week_date')} AS week_offset FROM (SELECT DISTINCT week_date FROM v_weekly) t""")
+SELECT week_date, region, platform, segment, customer_type, {week_offset_sql('week_date')} AS week_offset FROM v_weekly""")
 def q_week_offset(v: Views):
-    return (v.v_weekly.select("week_date").distinct()
+    return (v.v_weekly.select("week_date", "region", "platform", "segment", "customer_type")
             .withColumn("week_offset", cal.sunday_weeks_between("week_date", F.lit(ANCHOR).cast("date"))))
 
 
@@ -157,6 +157,17 @@ def q_check_constraints(v: Views):
         checks={"rating_between_1_and_5": F.col("rating").between(1, 5)})
 
 
+@register("rejected_rows", "W09", """
+SELECT order_id, runner_id, customer_id, rating, 'rating_between_1_and_5' AS rule FROM v_rating
+WHERE NOT (rating BETWEEN 1 AND 5)
+UNION ALL
+SELECT order_id, runner_id, customer_id, rating, 'pk_order_id' FROM (
+  SELECT *, count(*) OVER (PARTITION BY order_id) AS n FROM v_rating) t WHERE n > 1""")
+def q_rejected_rows(v: Views):
+    return C.rejected_rows(v.v_rating, unique={"pk_order_id": ["order_id"]},
+                           checks={"rating_between_1_and_5": F.col("rating").between(1, 5)})
+
+
 @register("materialize", "W10", """
 SELECT txn_id, customer_id, txn_date, txn_type,
        CASE WHEN txn_type = 'deposit' THEN txn_amount ELSE -txn_amount END AS signed_amount,

@@ -31,8 +31,7 @@ FUNNEL_SQL = """(
 
 
 def funnel(v: Views):
-    # v_page is a distinct over a 13-value page domain: bounded by construction
-    return Fn.item_funnel(v.v_event, v.v_page, pages_bounded=True)
+    return Fn.item_funnel(v.v_event, v.v_page)
 
 
 @register("item_points", "W55", f"""
@@ -123,7 +122,7 @@ def q_visit_summary(v: Views):
 SELECT p.page_name, count(*) AS no_of_page_view FROM v_event e JOIN v_page p ON p.page_id = e.page_id
 WHERE e.event_type = 1 GROUP BY p.page_name ORDER BY no_of_page_view DESC, p.page_name LIMIT 3""")
 def q_top_k(v: Views):
-    views = v.v_event.where(F.col("event_type") == Fn.VIEW).join(F.broadcast(v.v_page), "page_id")
+    views = v.v_event.where(F.col("event_type") == Fn.VIEW).join(v.v_page, "page_id")
     return Fn.top_k(views, ["page_name"], k=3, name="no_of_page_view")
 
 
@@ -141,4 +140,4 @@ def q_viewed_without_buying(v: Views):
 def q_visit_summary_stream(v: Views):
     """W57 computed incrementally: the event file replayed as a stream (available-now)."""
     from quire.streaming.visits import run_visit_summary
-    return run_visit_summary(v.spark, v.t.sf_dir, v.v_campaign, glob="events.parquet")
+    return run_visit_summary(v.spark, v.t.path("events"), v.v_campaign)

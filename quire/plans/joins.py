@@ -19,6 +19,16 @@ def q_enrich_total(v: Views):
     return J.enrich_total(v.v_sale, ["customer_id"], "price")
 
 
+@register("enrich_total_dims", "W20", """
+SELECT c.c_mktsegment AS segment, p.p_brand AS brand, CAST(sum(s.price) AS DECIMAL(38,2)) AS total_amount, count(*) AS n_items
+FROM v_sale s JOIN customer c ON c.c_custkey = s.customer_id JOIN part p ON p.p_partkey = s.product_id GROUP BY 1, 2""")
+def q_enrich_total_dims(v: Views):
+    segments = v.t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+    brands = v.t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
+    return J.enrich_total(v.v_sale, ["segment", "brand"], "price",
+                          dims=[(segments, ["customer_id"]), (brands, ["product_id"])])
+
+
 @register("first_after", "W21", """
 SELECT customer_id, order_date, product_id, product_name FROM (
   SELECT s.customer_id, s.order_date, s.product_id, s.product_name,
@@ -78,7 +88,7 @@ def q_semi_join_keys(v: Views):
     buyers = v.v_event.where(F.col("event_type") == 3)
     adds = v.v_event.where(F.col("event_type") == 2)
     return (J.semi_join_keys(adds, buyers, ["visit_id"])
-            .join(F.broadcast(v.v_page.where(F.col("product_id") > 0)), "page_id")
+            .join(v.v_page.where(F.col("product_id") > 0), "page_id")
             .groupBy("page_name").agg(F.count(F.lit(1)).alias("n_purchases")))
 
 

@@ -118,3 +118,24 @@ def q_member_totals(v: Views):
 SELECT CAST(sum({ITEM_PRICE_SQL} + coalesce(len({EXT}), 0)) AS BIGINT) AS total_revenue FROM {DELIVERED_ITEMS_SQL} i""")
 def q_list_surcharge(v: Views):
     return L.list_surcharge(delivered_items(v), item_price(), "extras")
+
+
+RECIPE = "list_transform(string_split(toppings, ','), lambda s: TRY_CAST(trim(s) AS INTEGER))"
+
+
+@register("explode_recipe", "W12", f"""
+SELECT u.order_id, u.item_no, u.id AS topping_id, t.topping_name
+FROM (SELECT i.order_id, i.item_no, unnest({RECIPE}) AS id FROM v_item i JOIN v_recipe r ON r.item_name = i.item_name) u
+JOIN v_topping t ON t.topping_id = u.id""")
+def q_explode_recipe(v: Views):
+    made = v.v_item.join(v.v_recipe, "item_name")
+    return L.explode_list(made, "toppings", ITEM_KEYS, v.v_topping).select("order_id", "item_no", "topping_id", "topping_name")
+
+
+@register("recipe_text", "W15", f"""
+SELECT i.order_id, i.item_no, r.members FROM v_item i JOIN (
+  SELECT item_name, string_agg(topping_name, ', ' ORDER BY topping_name) AS members
+  FROM (SELECT item_name, unnest({RECIPE}) AS id FROM v_recipe) u JOIN v_topping t ON t.topping_id = u.id
+  GROUP BY item_name) r ON r.item_name = i.item_name""")
+def q_recipe_text(v: Views):
+    return L.list_text(v.v_item.join(v.v_recipe, "item_name"), ITEM_KEYS, "toppings", v.v_topping)

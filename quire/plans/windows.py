@@ -326,3 +326,14 @@ WITH w0 AS (SELECT *, {_OFF} AS off, {_AGE} AS age_band, {_DEMO} AS demographic
 {_ba_select('dimension, value, ')}""")
 def q_before_after_by_dimension(v: Views):
     return Wn.before_after_by_dimension(weekly(v), "week_date", BA_ANCHOR, 12, BA_DIMS)
+
+
+@register("before_after_label", "W52", f"""
+SELECT region, period, CAST(sum(sales) AS BIGINT) AS total_sales FROM (
+  SELECT region, sales, CASE WHEN o BETWEEN 1 AND 4 THEN 'before' WHEN o BETWEEN -3 AND 0 THEN 'after' END AS period
+  FROM (SELECT region, sales, {_OFF} AS o FROM v_weekly) t) u
+WHERE period IS NOT NULL GROUP BY region, period""")
+def q_before_after_label(v: Views):
+    labelled = Wn.before_after_label(v.v_weekly, "week_date", BA_ANCHOR, 4)
+    return (labelled.where(F.col("period").isNotNull()).groupBy("region", "period")
+            .agg(F.sum("sales").cast("bigint").alias("total_sales")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,38 +50,11 @@ def get_session(master: str | None = None, app: str = "quire",
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def partitions_for(size_bytes: int | None, minimum: int = 1, target: int = TARGET_PARTITION_BYTES,
-                   maximum: int = 200_000) -> int:
+def partitions_for(size_bytes: int | None, minimum: int = 1, target: int = TARGET_PARTITION_BYTES) -> int:
     """Number of partitions so that each holds about ``target`` bytes (``minimum`` if unknown)."""
     if size_bytes is None:
         return minimum
-    return int(max(minimum, min(maximum, -(-int(size_bytes) // target))))
-
-
-def _big(v) -> int:
-    return int(v if isinstance(v, int) else v.toString())
-
-
-# in-memory rows take roughly this many times their compressed columnar size
-EXPANSION = 3
-
-
-def estimated_size(df) -> int | None:
-    """A size estimate of a DataFrame (no job is run): Catalyst's plan estimate,
-    capped by the inputs it reads times ``EXPANSION``.
-
-    Without column statistics Catalyst estimates a join as the product of its
-    inputs, which is useless for sizing; the inputs' own sizes are a sound
-    bound for the filters, projections, aggregations and key joins used here.
-    """
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        est = _big(plan.stats().sizeInBytes())
-        leaves = plan.collectLeaves()
-        inputs = sum(_big(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except Exception:  # no JVM handle (e.g. a Spark Connect session): size unknown
-        return None
-    return min(est, EXPANSION * inputs) if inputs else est
+    return int(max(minimum, -(-int(size_bytes) // target)))
 
 
 def scale_conf(input_bytes: int, cores: int) -> dict:
@@ -109,7 +83,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if path:
         return path
     master = conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before materialising tables")
     path = tempfile.mkdtemp(prefix="quire-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)

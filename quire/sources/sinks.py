@@ -38,6 +38,10 @@ def materialize(df: DataFrame, name: str, how: str = "parquet", partition_by: li
         raise ValueError(mode)
     if mode == "append" and path is None:
         raise ValueError("append needs the path of the table to append to")
+    if partition_by:
+        # rows of one partition value meet in few tasks, so a value gets few files; a large value is
+        # split again by adaptive execution (rebalance), not left to one task
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

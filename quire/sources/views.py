@@ -128,7 +128,7 @@ class Views:
 
     @cached_property
     def v_node(self) -> DataFrame:
-        # next start per customer: a skew-safe ordered sequence, not a per-customer window
+        # next start per customer: numbered per (customer, day), not in one per-customer window
         s = sequence(self._node_base, ["customer_id"], ["o_orderdate", "o_orderkey"], lead_cols=["start_date"],
                      rn_name="_rn", keep=["customer_id", "region_id", "node_id", "start_date"])
         return s.select("customer_id", "region_id", "node_id", "start_date",
@@ -222,7 +222,7 @@ class Views:
 
     @cached_property
     def v_item(self) -> DataFrame:
-        # item number inside the order: a skew-safe ordered sequence
+        # item number inside the order
         s = sequence(self._item_base, ["order_id"], ["l_linenumber", "part_id", "l_suppkey", "l_shipdate",
                                                      "l_extendedprice", "l_tax", "l_discount"], rn_name="_rn",
                      keep=["order_id", "part_id", "item_name", "exclusions", "extras"])

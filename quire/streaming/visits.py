@@ -1,16 +1,13 @@
 """Incremental visit summary (W57) with Structured Streaming.
 
-The batch ``visit_summary`` re-reads all events. Here events arrive as a
-stream; per-visit aggregates live in Spark's state store, keyed by
-(user, visit, visit day), and a watermark on the visit day evicts a visit's
-state once events ``lateness`` past its day have been seen.
-
-Output uses ``update`` mode: every micro-batch emits the visits it changed.
-``foreachBatch`` enriches those rows with the campaigns (the batch
-``interval_join``) and writes them under ``batch_id=<id>`` in a changelog
-folder, overwriting that folder on a retry, so a replayed batch is
-idempotent. ``read_latest`` keeps, per visit, the rows of its latest batch —
-an aggregate plus a semi-join, nothing per visit reaches the driver.
+Events arrive as a stream of files. Each micro-batch is reduced to one partial row per
+visit (minimum of the start, sums of the counts, maximum of the purchase flag) and written
+under ``batch_id=<id>`` in a changelog folder, overwriting that folder on a retry, so a
+replayed batch is idempotent. All these aggregates can be merged, so ``read_summary`` gets
+the visits by merging the partial rows and joining the campaigns: the result is that of the
+batch operator for any order of the files, any number of files per batch and any lateness.
+No event is dropped, no state is held between batches, and nothing per visit reaches the
+driver. ``compact`` merges a changelog that has grown long.
 """
 
 from __future__ import annotations
@@ -27,14 +24,13 @@ from quire.sources.views import event_view
 
 OUTPUT = ["user_id", "visit_id", "visit_start_time", "page_views", "cart_adds", "purchase", "campaign_name",
           "impression", "click"]
+COUNTS = ["page_views", "cart_adds", "impression", "click"]
 
 
-def visit_summary_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Streaming per-visit aggregates (events in the case-study shape)."""
-    e = (events.withColumn("_day", F.to_timestamp(F.to_date("event_time")))
-         .withWatermark("_day", lateness))
+def partial_visits(events: DataFrame) -> DataFrame:
+    """One mergeable row per visit of some events (in the case-study shape)."""
     t = F.col("event_type")
-    return e.groupBy("user_id", "visit_id", "_day").agg(
+    return events.groupBy("user_id", "visit_id").agg(
         F.min("event_time").alias("visit_start_time"),
         F.count_if(t == VIEW).alias("page_views"),
         F.count_if(t == ADD_TO_CART).alias("cart_adds"),
@@ -43,85 +39,52 @@ def visit_summary_stream(events: DataFrame, lateness: str = "1 day") -> DataFram
         F.count_if(t == CLICK).alias("click"))
 
 
-class WatermarkTracker:
-    """The watermark in effect for the next micro-batch, tracked on the driver.
+def merge_visits(partials: DataFrame) -> DataFrame:
+    """Partial rows of the same visits merged to one row per visit."""
+    return partials.groupBy("user_id", "visit_id").agg(
+        F.min("visit_start_time").alias("visit_start_time"), F.max("purchase").alias("purchase"),
+        *[F.sum(c).alias(c) for c in COUNTS])
 
-    The watermark is defined on the visit-day column, so Spark's value for
-    batch N is max(visit day seen in batches < N) - lateness; every event
-    updates its visit's row, so the emitted rows carry that maximum. On a
-    restart the maximum is recovered from the changelog.
-    """
-
-    def __init__(self, path: str, lateness: str):
-        self.path, self.lateness, self.max_day = path, lateness, None
-
-    def recover(self, spark: SparkSession) -> None:
-        try:
-            m = spark.read.parquet(self.path).agg(F.max(F.to_date("visit_start_time"))).first()[0]
-        except Exception:  # no changelog yet
-            m = None
-        self.max_day = m
-
-    def bound(self):
-        if self.max_day is None:
-            return None
-        return F.to_timestamp(F.lit(self.max_day)) - F.expr(f"INTERVAL {self.lateness}")
-
-    def observe(self, rows: DataFrame) -> None:
-        m = rows.agg(F.max(F.to_date("visit_start_time"))).first()[0]
-        if m is not None and (self.max_day is None or m > self.max_day):
-            self.max_day = m
 
-
-def changelog_writer(path: str, campaigns: DataFrame, tracker: WatermarkTracker | None = None):
-    """foreachBatch function: enrich one micro-batch and write it idempotently.
-
-    Spark only promises not to drop rows *within* the watermark delay; older
-    rows may still be aggregated into a fresh group after the visit's state
-    was evicted. Such a group would hold only the late rows, so groups whose
-    visit day is at or below the watermark in effect are dropped here —
-    late data never overwrites a finished visit.
-    """
+def changelog_writer(path: str):
+    """foreachBatch function: reduce one micro-batch and write it idempotently."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        if tracker is not None and tracker.max_day is None:
-            tracker.recover(batch.sparkSession)
-        wm = tracker.bound() if tracker is not None else None
-        if wm is not None:
-            batch = batch.where(F.col("_day") > wm)
-        rows = interval_join(batch.drop("_day"), campaigns, "visit_start_time", "start_date", "end_date")
-        out = rows.select(*OUTPUT).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if tracker is not None:
-            tracker.observe(batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id}"))
+        partial_visits(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The current visit summary: every visit's rows from its most recent batch."""
-    log = spark.read.parquet(path)
-    latest = log.groupBy("visit_id").agg(F.max("batch_id").alias("batch_id"))
-    return log.join(latest, ["visit_id", "batch_id"], "left_semi").select(*OUTPUT)
+def read_summary(spark: SparkSession, path: str, campaigns: DataFrame) -> DataFrame:
+    """The visit summary of all batches of a changelog."""
+    visits = merge_visits(spark.read.parquet(path))
+    return interval_join(visits, campaigns, "visit_start_time", "start_date", "end_date").select(*OUTPUT)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """A changelog merged into one batch of a new folder, with the same summary. Run it while no
+    stream writes to ``path``."""
+    merge_visits(spark.read.parquet(path)).write.mode("errorifexists").parquet(f"{target}/batch_id=0")
+    return spark.read.parquet(target)
 
 
-def run_visit_summary(spark: SparkSession, source_dir: str, campaigns: DataFrame, out_dir: str | None = None,
-                      glob: str = "events*.parquet", max_files_per_trigger: int | None = None,
-                      lateness: str = "1 day") -> DataFrame:
-    """Replay the event files under ``source_dir`` as a stream (available-now trigger)
-    and return the resulting visit summary.
+def run_visit_summary(spark: SparkSession, source: str, campaigns: DataFrame, out_dir: str | None = None,
+                      glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Replay the event files of ``source`` (a Parquet file or folder; ``glob`` narrows the names)
+    as a stream (available-now trigger) and return the resulting visit summary.
 
     Checkpoint and changelog live in the shared folder (``spark.checkpoint.dir``)
     unless ``out_dir`` is given, so a restarted driver resumes where it stopped.
     """
     base = out_dir or f"{checkpoint_dir(spark).rstrip('/')}/streams/visit_summary-{uuid.uuid4().hex}"
-    sample = spark.read.option("pathGlobFilter", glob).parquet(source_dir)
-    reader = spark.readStream.schema(sample.schema).option("pathGlobFilter", glob)
+    options = {"pathGlobFilter": glob} if glob else {}
+    schema = spark.read.options(**options).parquet(source).schema
+    reader = spark.readStream.schema(schema).options(**options)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = event_view(reader.parquet(source_dir))
-    tracker = WatermarkTracker(f"{base}/changelog", lateness)
-    q = (visit_summary_stream(events, lateness).writeStream.outputMode("update")
-         .foreachBatch(changelog_writer(f"{base}/changelog", campaigns, tracker))
+    # a pattern that matches the one name: a stream takes a single file only by a pattern
+    name = source.rstrip("/")
+    q = (event_view(reader.parquet(f"{name[:-1]}[{name[-1]}]")).writeStream
+         .foreachBatch(changelog_writer(f"{base}/changelog"))
          .option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_latest(spark, f"{base}/changelog")
+    return read_summary(spark, f"{base}/changelog", campaigns)

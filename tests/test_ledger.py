@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import calendar as cal
@@ -44,14 +45,13 @@ def test_l3_tie_break_makes_first_row_repeatable(spark):
 
 
 def test_l4_constraints_reported_not_enforced(spark):
-    rows = [(1, 1, 101, 5), (2, 1, 101, 3), (4, 2, 103, 4), (5, 3, 104, 5), (7, 2, 105, 4), (8, 2, 102, 5),
-            (10, 1, 104, 2), (1, 1, 111, 5), (1, 1, 101, 78)]
+    rows = [(1, 1, 1, 4), (2, 1, 1, 2), (2, 3, 4, 5), (3, 2, 2, 9), (3, 2, 2, 1)]
     df = spark.createDataFrame(rows, "order_id int, runner_id int, customer_id int, rating int")
     out = C.check_constraints(df, {"pk": ["order_id"], "uniq": ["order_id", "runner_id", "customer_id"]},
                               {"range": F.col("rating").between(1, 5)})
-    assert dict((r.rule, r.violations) for r in out.collect()) == {"pk": 3, "uniq": 2, "range": 1}
+    assert dict((r.rule, r.violations) for r in out.collect()) == {"pk": 4, "uniq": 2, "range": 1}
     bad = C.rejected_rows(df, {"pk": ["order_id"]}, {"range": F.col("rating").between(1, 5)})
-    assert bad.where("rule = 'range'").count() == 1 and bad.where("rule = 'pk'").count() == 3
+    assert bad.where("rule = 'range'").count() == 1 and bad.where("rule = 'pk'").count() == 4
 
 
 def test_l5_top_member_ties_by_name(spark):
@@ -91,16 +91,59 @@ def test_l9_growth_of_5_9_percent_is_not_above_5(spark):
     assert (out.n_growing, out.total_customers, out.cust_perc) == (1, 2, 50)
 
 
-def test_l10_interval_join_closed_unmatched_overlap(spark):
-    v = Views(spark, SMALL_SF)
-    small = J.interval_join(v.v_event, v.v_campaign, "event_time", "start_date", "end_date")
-    bucketed = J.interval_join(v.v_event, v.v_campaign, "event_time", "start_date", "end_date",
-                               broadcast_max_rows=0)
-    cols = ["event_id", "campaign_name"]
-    assert sorted(map(tuple, small.select(cols).collect()), key=str) == \
-        sorted(map(tuple, bucketed.select(cols).collect()), key=str)
-    assert small.count() == v.v_event.count() + small.where("campaign_name = 'c3'")\
-        .join(small.where("campaign_name = 'c2'").select("event_id"), "event_id").count()
+def test_l10_interval_join_equals_comparing_every_pair(spark):
+    times = ["2024-01-01 00:00:00", "2024-01-07 23:59:59", "2024-01-08 00:00:00", "2024-03-01 12:00:00",
+             "1969-12-31 23:00:00", None, "2024-01-01 00:00:00", "9999-12-31 00:00:00"]
+    spans = [("day", "2024-01-01 00:00:00", "2024-01-01 23:59:59"), ("week", "2024-01-01 00:00:00", "2024-01-07 23:59:59"),
+             ("backwards", "2024-02-01 00:00:00", "2023-02-01 00:00:00"), ("open", "2024-01-08 00:00:00", "9999-12-31 00:00:00"),
+             ("years", "1960-05-05 00:00:00", "2024-01-31 00:00:00"), ("none", "2024-01-01 00:00:00", None),
+             ("instant", "2024-03-01 12:00:00", "2024-03-01 12:00:00")]
+    p = spark.createDataFrame(list(enumerate(times)), "id int, t string").select("id", F.to_timestamp_ntz(F.col("t")).alias("ts"))
+    i = spark.createDataFrame(spans, "name string, a string, b string").select(
+        "name", F.to_timestamp_ntz(F.col("a")).alias("a"), F.to_timestamp_ntz(F.col("b")).alias("b"))
+    got = J.interval_join(p, i, "ts", "a", "b")
+    want = set()
+    for k, t in enumerate(times):
+        inside = {(k, n) for n, a, b in spans if t and b and a <= t <= b}
+        want |= inside or {(k, None)}
+    assert sorted(((r.id, r.name) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    none = J.interval_join(p, i.limit(0), "ts", "a", "b")
+    assert none.count() == len(times) and none.where("name IS NOT NULL").count() == 0
+
+
+def test_w39_mean_is_rounded_once(spark):
+    from quire.operators import aggs as A
+    df = spark.range(10_001).select(F.lit(1).alias("k"), F.lit(1).alias("n"), F.lit(1).alias("d"),
+                                    F.when(F.col("id") < 5000, F.lit("0.01")).otherwise("0.00").cast("decimal(10,2)").alias("r"))
+    # 50.00 / 10001 = 0.00499..., not 0.01
+    assert A.weighted_vs_plain_avg(df, ["k"], "n", "d", "r").first()["incorrect_avg"] == Decimal("0.00")
+
+
+def test_share_counts_keys_once(spark):
+    from quire.operators import aggs as A
+    df = spark.createDataFrame([(1, 4), (1, 4), (2, 1), (3, 4), (None, 4)], "k int, s int")
+    assert tuple(A.share_of_keys(df, "k", F.col("s") == 4).first()) == (3, 2, Decimal("66.67"))
+
+
+@pytest.mark.parametrize("form", ["first_after", "last_before", "total_before"])
+def test_hot_key_meets_the_starts_by_day(spark, form):
+    """A key with a third of all rows brings one row per day to the join with the starts."""
+    fact = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500 + 1000).cast("int").alias("customer_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("order_date"),
+        F.lit(1).alias("price"))
+    starts = fact.select("customer_id").distinct().withColumn("join_date", F.lit("2024-01-20").cast("date"))
+    out = getattr(J, form)(fact, starts)
+    if form == "total_before":
+        assert out.agg(F.sum("n_items")).first()[0] == fact.where("order_date < '2024-01-20'").count()
+    else:
+        day = "2024-01-20" if form == "first_after" else "2024-01-19"
+        hot = out.where("customer_id = 7")
+        assert hot.count() == fact.where(f"customer_id = 7 AND order_date = '{day}'").count() and hot.count() > 0
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    join = text[text.rindex("Join Inner"):]
+    assert "Aggregate [customer_id" in join and "order_date" in join.split("Aggregate [customer_id")[1][:40]
 
 
 def test_l12_not_in_with_null_key(spark):

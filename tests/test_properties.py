@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.numeric import mean_exact, percent, trunc_div
-from quire.operators.sequence import ordered_sequence
+from quire.operators.sequence import sequence
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -18,17 +18,12 @@ rows_strategy = st.lists(
 
 
 @SETTINGS
-@given(rows=rows_strategy, parts=st.integers(1, 9), batch=st.sampled_from([1, 2, 7, 10000]))
-def test_sequence_equals_window(spark, rows, parts, batch):
+@given(rows=rows_strategy)
+def test_sequence_equals_window(spark, rows):
     data = [(k, o, v, i) for i, (k, o, v) in enumerate(rows)]  # i: unique tie-break
     df = spark.createDataFrame(data, "k int, o int, v int, i int")
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    try:
-        got = ordered_sequence(df, ["k"], ["o", "i"], lag_cols=["v"], lead_cols=["v", "o"], partitions=parts)
-        got_rows = sorted(tuple(r) for r in got.select("i", "rn", "prev_v", "next_v", "next_o").collect())
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = sequence(df, ["k"], ["o", "i"], lag_cols=["v"], lead_cols=["v", "o"])
+    got_rows = sorted(tuple(r) for r in got.select("i", "rn", "prev_v", "next_v", "next_o").collect())
     w = Window.partitionBy("k").orderBy("o", "i")
     exp = df.select("i", F.row_number().over(w).cast("long").alias("rn"), F.lag("v").over(w),
                     F.lead("v").over(w), F.lead("o").over(w))

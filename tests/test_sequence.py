@@ -1,10 +1,10 @@
-"""ordered_sequence equals row_number / lag / lead over the key window, skewed or not."""
+"""sequence equals row_number / lag / lead over the key window, skewed or not."""
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators.sequence import ordered_sequence
+from quire.operators.sequence import sequence
 from quire.sources.views import Views
 
 from conftest import SMALL_SF
@@ -12,13 +12,17 @@ from conftest import SMALL_SF
 COLS = ["customer_id", "event_id", "rn", "prev_plan_id", "next_plan_id", "next_start_date"]
 
 
-def expected(df, keys):
-    w = Window.partitionBy(*keys).orderBy("start_date", "event_id")
+def expected(df, keys, order=("start_date", "event_id")):
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumns({"rn": F.row_number().over(w).cast("long"), "prev_plan_id": F.lag("plan_id").over(w),
                            "next_plan_id": F.lead("plan_id").over(w),
                            "next_start_date": F.lead("start_date").over(w)})
 
 
+def got(df, keys, order=("start_date", "event_id"), **kw):
+    return sequence(df, keys, list(order), lag_cols=["plan_id"], lead_cols=["plan_id", "start_date"], **kw)
+
+
 def same(a, b, cols=COLS):
     a, b = a.select(cols), b.select(cols)
     return a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -33,43 +37,28 @@ def subs(spark):
     return base, hot
 
 
-@pytest.mark.parametrize("parts", [1, 7, 32])
-def test_matches_window_plain_and_hot_key(spark, subs, parts):
+def test_matches_window_plain_and_hot_key(spark, subs):
     for df in subs:
-        got = ordered_sequence(df, ["customer_id"], ["start_date", "event_id"], lag_cols=["plan_id"],
-                               lead_cols=["plan_id", "start_date"], partitions=parts)
-        assert same(got, expected(df, ["customer_id"]))
-
-
-@pytest.mark.parametrize("batch", [1, 3])
-def test_tiny_arrow_batches(spark, subs, batch):
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    try:
-        df = subs[1].where("customer_id < 40 OR customer_id = 7")
-        got = ordered_sequence(df, ["customer_id"], ["start_date", "event_id"], lag_cols=["plan_id"],
-                               lead_cols=["plan_id", "start_date"], partitions=5)
-        assert same(got, expected(df, ["customer_id"]))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert same(got(df, ["customer_id"]), expected(df, ["customer_id"]))
 
 
 def test_composite_key_and_pruned_output(spark, subs):
     df = subs[1].withColumn("half", (F.col("event_id") % 2).cast("int"))
-    got = ordered_sequence(df, ["customer_id", "half"], ["start_date", "event_id"], lag_cols=["plan_id"],
-                           lead_cols=["plan_id", "start_date"], partitions=9)
-    exp = expected(df, ["customer_id", "half"])
-    assert same(got.select("customer_id", "half", "event_id", "rn"), exp.select("customer_id", "half", "event_id", "rn"),
-                ["customer_id", "half", "event_id", "rn"])
-    assert same(got, exp)
-
-
-def test_falls_back_to_window_without_exchange_reuse(spark, subs):
-    from quire.operators.sequence import sequence
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        got = sequence(subs[1], ["customer_id"], ["start_date", "event_id"], lag_cols=["plan_id"],
-                       lead_cols=["plan_id", "start_date"])
-        assert same(got, expected(subs[1], ["customer_id"]))
-    finally:
-        spark.conf.set("spark.sql.exchange.reuse", "true")
+    out, exp = got(df, ["customer_id", "half"], keep=["event_id"]), expected(df, ["customer_id", "half"])
+    assert set(out.columns) == {"event_id", "customer_id", "half", "plan_id", "start_date", "rn", "prev_plan_id",
+                                "next_plan_id", "next_start_date"}
+    assert same(out, exp, [*COLS, "half"])
+
+
+def test_null_keys_null_order_values_and_null_neighbours(spark):
+    rows = [(None, 3, None, 1), (None, 1, None, 2), (1, 5, None, None), (1, 2, None, 3), (2, 4, None, 7)]
+    df = spark.createDataFrame(rows, "customer_id int, event_id int, start_date date, plan_id int")
+    dated = df.unionByName(df.withColumns({"start_date": F.lit("2020-01-01").cast("date"), "event_id": F.col("event_id") + 10}))
+    assert same(got(dated, ["customer_id"]), expected(dated, ["customer_id"]))
+
+
+def test_timestamps_are_cut_into_days(spark, subs):
+    df = subs[1].withColumn("start_date", F.to_timestamp("start_date") + F.expr("make_interval(0, 0, 0, 0, event_id % 24)"))
+    assert same(got(df, ["customer_id"]), expected(df, ["customer_id"]))
+    plan = got(df, ["customer_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan
