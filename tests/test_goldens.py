@@ -162,9 +162,9 @@ def test_item_texts_by_map_and_by_join(spark, orders_case, wide):
     base = fillings.join(names, "kind_id").withColumnRenamed("kind_name", "item_name")
     keys = ["order_id", "item_no"]
     out = L.describe_item(items, keys, "item_name", "exclusions", "extras", toppings)
-    assert [r[0] for r in rows(out, "order_item")] == DESCRIBED
+    assert sorted(r.order_item for r in out.collect()) == DESCRIBED
     out = L.apply_list_edits(items, keys, "item_name", base, "toppings", "exclusions", "extras", toppings)
-    assert [r[0] for r in rows(out, "ingredients")] == EDITED
+    assert sorted(r.ingredients for r in out.collect()) == EDITED
     out = L.list_text(fillings, ["kind_id"], "toppings", toppings)
     assert rows(out, "kind_id", "members") == [(1, "Beet, Cress, Dill"), (2, "Cress, Egg")]
 
