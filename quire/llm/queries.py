@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.llm.embeddings import op3_embedding_dedup
-from quire.llm.jaccard import op4_jaccard_join
+from quire.llm.embeddings import OP3_SQL, op3_embedding_dedup
+from quire.llm.jaccard import OP4_SQL, op4_jaccard_join
 from quire.llm.language import op7_language_id
 from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quire.llm.mixing import OP2_SQL, op2_mixing
@@ -25,4 +25,9 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op2_mixing": OP2_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {
+    "op2_mixing": OP2_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
