@@ -1,5 +1,5 @@
 """Structured Streaming forms of batch operators.
 
-``visits``: the visit summary (W57) as a watermarked, update-mode streaming
-aggregation with an idempotent per-batch changelog.
+``visits``: the visit summary (W57) from mergeable partial rows per micro-batch,
+with an idempotent changelog.
 """
