@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-MAX_CACHED_WORDS = 800_000
-MAX_CACHED_PIECES = 900_000
+MAX_CACHED_WORDS = 600_000
+MAX_CACHED_PIECES = 800_000
 
 
 class WordEncoder:
