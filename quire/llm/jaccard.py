@@ -85,9 +85,20 @@ def _by_key(keys, order_also, *arrays):
         yield int(keys[s]), [x[s:e] for x in arrays]
 
 
-def _emit_shingles(id_col: str, k: int, buckets: int):
+def _bucket_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` hash partitions a key that lands in it, so that as many buckets as there
+    are partitions are dealt evenly. Few large buckets keep the shingles of a set together, whose id
+    then compresses away."""
+    rows = (spark.range(64 * parts + 1024).select(F.col("id").cast("int").alias("key"))
+            .groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("p")).agg(F.min("key").alias("key")).collect())
+    keys = {r["p"]: r["key"] for r in rows}
+    return [keys.get(p, p) for p in range(parts)]
+
+
+def _emit_shingles(id_col: str, k: int, bucket_keys: list[int]):
     """Packs the shingles of a chunk of texts into a row per shingle range. A shingle that HOT or
     more sets of the chunk have is counted here and travels with its sets, not with the counts."""
+    buckets = len(bucket_keys)
     schema = arrow_schema(_ROW)
 
     def run(batches):
@@ -100,7 +111,7 @@ def _emit_shingles(id_col: str, k: int, buckets: int):
 
         def flush():
             ids, set_ids, checks, sizes = (np.array([s[i] for s in sets], np.int64) for i in range(4))
-            rows = [(abs(hash((len(sets), held))) % buckets, SET_ROW, ids.tobytes(), set_ids.tobytes(),
+            rows = [(bucket_keys[int(ids[0]) % buckets], SET_ROW, ids.tobytes(), set_ids.tobytes(),
                      checks.tobytes(), sizes.tobytes())]
             names = np.fromiter(seen, np.int64, len(seen))
             lens = np.array([len(v) for v in seen.values()], np.int64)
@@ -114,10 +125,10 @@ def _emit_shingles(id_col: str, k: int, buckets: int):
             is_hot = np.repeat(hot, n)
             for key, (t, c) in _by_key((tok[start[hot]] % np.uint64(buckets)).astype(np.int64), tok[start[hot]],
                                        tok[start[hot]], n[hot]):
-                rows.append((key, COUNT_ROW, t.tobytes(), c.astype(np.int64).tobytes(), None, None))
+                rows.append((bucket_keys[key], COUNT_ROW, t.tobytes(), c.astype(np.int64).tobytes(), None, None))
             cold_t, cold_s = tok[~is_hot], own[~is_hot]
             for key, (t, s) in _by_key((cold_t % np.uint64(buckets)).astype(np.int64), cold_s, cold_t, cold_s):
-                rows.append((key, PAIR_ROW, t.tobytes(), s.tobytes(), None, None))
+                rows.append((bucket_keys[key], PAIR_ROW, t.tobytes(), s.tobytes(), None, None))
             hot_t, hot_s = tok[is_hot], own[is_hot]
             order = np.argsort(hot_s, kind="stable")
             hot_t, hot_s = hot_t[order], hot_s[order]
@@ -125,7 +136,7 @@ def _emit_shingles(id_col: str, k: int, buckets: int):
             at = np.arange(len(names))
             for key, (i,) in _by_key(names % buckets, at, at):
                 each = [hot_t[lo[x]:hi[x]] for x in i]
-                rows.append((key, SIZE_ROW, names[i].tobytes(), lens[i].tobytes(), (hi[i] - lo[i]).astype(np.int64).tobytes(),
+                rows.append((bucket_keys[key], SIZE_ROW, names[i].tobytes(), lens[i].tobytes(), (hi[i] - lo[i]).astype(np.int64).tobytes(),
                              np.concatenate(each).tobytes()))
             seen.clear()
             sets.clear()
@@ -162,9 +173,10 @@ def _cat(parts, kind):
     return np.frombuffer(b"".join(parts), dtype=kind)
 
 
-def _count_shingles(buckets: int):
+def _count_shingles(bucket_keys: list[int]):
     """Counts every shingle of a range of hashes and hands those of two sets and more back to the
     sets, which are packed by range of set ids."""
+    buckets = len(bucket_keys)
     schema = arrow_schema(_ROW)
 
     def run(batches):
@@ -205,7 +217,7 @@ def _count_shingles(buckets: int):
         t, s, df = t[two], s[two], df[two].astype(np.uint8)
         rows = []
         for key, (x, y, z) in _by_key(s % buckets, s, t, s, df):
-            rows.append((key, PAIR_ROW, x.tobytes(), y.tobytes(), z.tobytes(), None))
+            rows.append((bucket_keys[key], PAIR_ROW, x.tobytes(), y.tobytes(), z.tobytes(), None))
             if len(rows) == 64:
                 yield _rows(rows, schema)
                 rows = []
@@ -279,9 +291,9 @@ def shingle_sets(docs: DataFrame, id_col: str, k: int, percent: int) -> DataFram
     """Stage table of two kinds of rows: kind 0, (id, set_id, chk, n) of every text; kind 1, every
     set that is filed under some shared shingle, with these keys, its shared shingles and bitmap."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, min(8 * parts, 4096))
-    packed = docs.select(id_col, "text").mapInArrow(_emit_shingles(id_col, k, buckets), _ROW)
-    counted = packed.repartition(parts, "key").mapInArrow(_count_shingles(buckets), _ROW)
+    keys = _bucket_keys(docs.sparkSession, parts)
+    packed = docs.select(id_col, "text").mapInArrow(_emit_shingles(id_col, k, keys), _ROW)
+    counted = packed.repartition(parts, "key").mapInArrow(_count_shingles(keys), _ROW)
     filed = counted.repartition(parts, "key").mapInArrow(_file_sets(percent), _SETS)
     return stage(filed, "shingle-sets")
 
