@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_schema, stage
+from quire.llm.common import arrow_schema, release, stage
 from quire.llm.graph import connected_components
 from quire.llm.tokens import text_batches
 
@@ -392,6 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", k: int = N_WORDS
     low = -(1 << 63)
     ids = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(low)))
     table = shingle_sets(ids, "_id", k, percent)
+    release(docs.sparkSession)
     rows = table.filter("kind = 0").select("id", "set_id", "chk", "n")
     names = (rows.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("first"), F.min("chk").alias("c1"),
                                                         F.max("chk").alias("c2")))
