@@ -25,7 +25,7 @@ from quire.llm.tokens import text_batches
 N_WORDS = 5
 PERCENT = 75           # similarity in percent
 HOT = 64               # counts are told apart below this
-CHUNK_PAIRS = 2_000_000
+CHUNK_PAIRS = 800_000
 LEAF = 32
 SIG_WORDS = 16         # 64-bit words of a token bitmap
 
@@ -37,7 +37,7 @@ def shingler(k: int):
 
     class Hashes(dict):
         def __missing__(self, word):
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             h = self[word] = xxhash.xxh3_64_intdigest(word)
             return h
@@ -103,6 +103,7 @@ def _emit_shingles(id_col: str, k: int, bucket_keys: list[int]):
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
 
         shingles = shingler(k)
         seen: dict[int, object] = {}
@@ -164,13 +165,17 @@ def _emit_shingles(id_col: str, k: int, bucket_keys: list[int]):
                     held = 0
         if sets:
             yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _cat(parts, kind):
+    """The packed parts as one array; the list is emptied."""
     import numpy as np
-    return np.frombuffer(b"".join(parts), dtype=kind)
+    out = np.frombuffer(b"".join(parts), dtype=kind)
+    parts.clear()
+    return out
 
 
 def _count_shingles(bucket_keys: list[int]):
@@ -181,6 +186,7 @@ def _count_shingles(bucket_keys: list[int]):
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
 
         tok, own, hot_t, hot_n = [], [], [], []
         for b in batches:
@@ -223,6 +229,7 @@ def _count_shingles(bucket_keys: list[int]):
                 rows = []
         if rows:
             yield _rows(rows, schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -283,6 +290,7 @@ def _file_sets(percent: int):
                 out = []
         if out:
             yield _rows(out, schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -290,7 +298,8 @@ def _file_sets(percent: int):
 def shingle_sets(docs: DataFrame, id_col: str, k: int, percent: int) -> DataFrame:
     """Stage table of two kinds of rows: kind 0, (id, set_id, chk, n) of every text; kind 1, every
     set that is filed under some shared shingle, with these keys, its shared shingles and bitmap."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # every shingle passes here once: twice the usual partitions halve what a task holds
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _bucket_keys(docs.sparkSession, parts)
     packed = docs.select(id_col, "text").mapInArrow(_emit_shingles(id_col, k, keys), _ROW)
     counted = packed.repartition(parts, "key").mapInArrow(_count_shingles(keys), _ROW)
