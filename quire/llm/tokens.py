@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-MAX_CACHED_WORDS = 600_000
-MAX_CACHED_PIECES = 800_000
+MAX_CACHED_WORDS = 400_000
+MAX_CACHED_PIECES = 600_000
 
 
 class WordEncoder:
