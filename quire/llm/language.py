@@ -16,8 +16,8 @@ from quire.llm.common import stage
 from quire.llm.tokens import text_batches
 
 DOCS_PER_LANGUAGE = 1500     # bound of the labelled sample
-WORDS_PER_LANGUAGE = 40_000  # bound of the word model
-GRAMS_PER_LANGUAGE = 10_000  # bound of the n-gram model, for each length
+WORDS_PER_LANGUAGE = 20_000  # bound of the word model
+GRAMS_PER_LANGUAGE = 5_000   # bound of the n-gram model, for each length
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
@@ -91,20 +91,30 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> di
     rows = (both.withColumn("_r", F.row_number().over(top))
             .withColumn("_all", F.sum("n").over(Window.partitionBy("lang", "k")))
             .filter(F.when(F.col("k") == 0, F.col("_r") <= WORDS_PER_LANGUAGE).otherwise(F.col("_r") <= GRAMS_PER_LANGUAGE))
-            .select("lang", "k", "w", "n", "_all").collect())
-    langs = sorted({r["lang"] for r in rows})
-    totals = {(r["lang"], r["k"]): r["_all"] for r in rows}
-    model: dict = {"langs": langs, "tables": {k: {} for k in (0, *GRAM_LENGTHS)}}
-    import math
-    at = {lang: i for i, lang in enumerate(langs)}
-    for r in rows:
-        model["tables"][r["k"]].setdefault(r["w"], {})[at[r["lang"]]] = r["n"]
-    for k, table in model["tables"].items():
-        size = len(table) + 1
-        floor = [math.log(0.5 / (totals.get((lang, k), 0) + size)) for lang in langs]
-        for w, n in table.items():
-            table[w] = [math.log((n[i] + 0.5) / (totals.get((lang, k), 0) + size)) if i in n else floor[i]
-                        for i, lang in enumerate(langs)]
+            .select("lang", "k", "w", "n", "_all").toArrow())
+    return _tables(rows)
+
+
+def _tables(rows) -> dict:
+    """{"langs", "at": {k: {word: row}}, "logs": {k: matrix of log frequencies}} from an Arrow table
+    (lang, k, w, n, total); k is 0 for words, else the length of the n-grams. A word that a language
+    does not have gets half an occurrence there."""
+    import numpy as np
+
+    lang = np.array(rows["lang"].to_pylist(), dtype=object)
+    langs = sorted(set(lang))
+    model: dict = {"langs": langs, "at": {}, "logs": {}}
+    ks, n, total = (rows[c].to_numpy() for c in ("k", "n", "_all"))
+    for k in (0, *GRAM_LENGTHS):
+        own = np.flatnonzero(ks == k)
+        words = rows["w"].take(own).to_pylist()
+        at = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        counts, totals = np.zeros((len(at), len(langs))), np.zeros(len(langs))
+        where = np.array([langs.index(x) for x in lang[own]], dtype=np.int64)
+        counts[[at[w] for w in words], where] = n[own]
+        totals[where] = total[own]
+        model["at"][k] = at
+        model["logs"][k] = np.log((counts + 0.5) / (totals + len(at) + 1))
     return model
 
 
@@ -115,22 +125,24 @@ class Scorer:
         import numpy as np
         import regex
 
-        self.np, self.langs, self.tables, self.kept = np, model["langs"], model["tables"], kept
+        self.np, self.langs, self.kept = np, model["langs"], kept
+        self.places, self.logs = model["at"], model["logs"]
         self.letters = regex.compile(LETTERS).findall
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
 
-    def word(self, w: str) -> list[float]:
-        known = self.tables[0].get(w)
+    def word(self, w: str):
+        """Scores of a word in every language."""
+        known = self.places[0].get(w)
         if known is not None:
-            return known
+            return self.logs[0][known]
         padded = f" {w} "
         for k in GRAM_LENGTHS:
-            table = self.tables[k]
-            found = [v for i in range(len(padded) - k + 1) if (v := table.get(padded[i:i + k])) is not None]
+            places = self.places[k]
+            found = [v for i in range(len(padded) - k + 1) if (v := places.get(padded[i:i + k])) is not None]
             if found:
-                return [sum(x) / len(found) for x in zip(*found)]
-        return [0.0] * len(self.langs)
+                return self.logs[k][found].mean(axis=0)
+        return 0.0
 
     def text(self, text: str | None) -> tuple[str, float]:
         np = self.np
