@@ -1,14 +1,16 @@
 """Embedding near-dedup by NN-descent (operator 3).
 
-Each distinct vector keeps a list of its K most similar vectors. The lists start in the leaves of
-random projection trees and are refined by joining neighbours of neighbours: the members of a
-vector's list (and of the lists it is in) are compared with each other. Pairs at the threshold join
-their vectors to components. A list that is full of joined vectors is saturated and could hide
-further ones, so the next pass enlarges it: lists then hold the nearest vectors of *other*
-components. An audit compares a bounded sample with all vectors; passes go on until one brings
-nothing new and the audit's recall is reached. Link counts are then taken exactly inside each
-component, block against block, without emitting pairs; vectors so close to their component's
-centre that any two of them must be linked are counted without being compared.
+Each distinct vector keeps a list of its K most similar vectors of *other* components. A pass adds
+the leaves of new random projection trees to the lists and refines them by joining neighbours of
+neighbours, round after round, until a round changes no list: the members of a vector's list (and
+of the lists it is in) are compared with each other. Pairs at the threshold join their vectors to
+components; what a list holds of its own component then makes room, so a list that was full of links
+goes on with further vectors. Lists are carried from pass to pass. Passes that bring no link are
+followed by an audit, which compares a bounded sample with all vectors and only measures: the search
+goes on while its recall is below the bound, and fails if the bound is never reached. Link counts
+are then taken exactly inside each component, block against block, without emitting pairs; vectors
+so close to their component's centre that any two of them must be linked are counted without being
+compared.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from quire.llm.graph import connected_components
 THRESHOLD = 0.95
 K = 8               # length of a neighbour list
 LEAF = 128          # vectors in a tree leaf, on average
-TREES = 3           # trees per pass
-ROUNDS = 2          # neighbours-of-neighbours joins per pass
-PASSES = 6          # at most
+TREES = 6           # trees per pass
+QUIET = 2           # passes in a row without a new link after which the search has settled
+PASSES = 100        # a search that has not settled by then fails
 AUDIT = 1000        # audited vectors
-RECALL = 0.999
+RECALL = 0.999      # least mean share of an audited vector's links that are in its component
+LARGE = 0.01        # share of all vectors above which a component is large
 BLOCK = 256
 
 
@@ -63,10 +66,11 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[Dat
 def _leaf_lists(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     """(node, nbr, sim): the K nearest vectors of other components in the leaves of random trees.
 
-    A leaf is the sign pattern under random hyperplanes; a pattern with too many vectors is cut
-    along one more projection (at steps of a logistic curve fitted to it), and what is still too
-    large by hash."""
+    A leaf is the sign pattern under random hyperplanes. A pattern with too many vectors, like that
+    of a crowd, is cut by as many further hyperplanes through its own mean as it takes, and what is
+    still too large by hash."""
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
+    zs = [f"z{i}" for i in range(depth)]
 
     def code(batches):
         import numpy as np
@@ -76,23 +80,23 @@ def _leaf_lists(nodes: DataFrame, n: int, seed: int) -> DataFrame:
             if not b.num_rows:
                 continue
             dim = b.column("dim").to_numpy()
-            out = []
             for d in np.unique(dim).tolist():
                 at = np.flatnonzero(dim == d)
-                u = _matrix(b.column("u").take(pa.array(at)))
+                u, node = _matrix(b.column("u").take(pa.array(at))), b.column("node").take(pa.array(at))
                 for t in range(TREES):
-                    r = np.random.default_rng([seed, t, d]).standard_normal((d, depth + 1))
-                    p = u @ r
+                    p = u @ np.random.default_rng([seed, t, d]).standard_normal((d, 2 * depth))
                     codes = ((p[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64))).astype(np.int64)
-                    out.append((b.column("node").take(pa.array(at)), np.full(len(at), t * 100_000 + d, np.int64), codes, p[:, -1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([o[0] for o in out])] + [pa.array(np.concatenate([o[i] for o in out])) for i in (1, 2, 3)],
-                names=["node", "tree", "code", "z"])
-
-    coded = stage(nodes.select("node", "dim", "u").mapInArrow(code, "node long, tree long, code long, z double"), "nn-codes")
-    stats = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("c"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd"))
-    step = 1 / (1 + F.exp(-1.702 * (F.col("z") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(1e-12))))
-    cut = coded.join(stats, ["tree", "code"]).withColumn("cut", F.floor(F.ceil(F.col("c") / LEAF) * step)).select("node", "tree", "code", "cut")
+                    yield pa.RecordBatch.from_arrays(
+                        [node, pa.array(np.full(len(at), t * 100_000 + d, np.int64)), pa.array(codes),
+                         *(pa.array(np.ascontiguousarray(p[:, depth + i])) for i in range(depth))],
+                        names=["node", "tree", "code", *zs])
+
+    fields = "".join(f", {z} double" for z in zs)
+    coded = stage(nodes.select("node", "dim", "u").mapInArrow(code, f"node long, tree long, code long{fields}"), "nn-codes")
+    stats = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("c"), *[F.avg(z).alias(f"m{z}") for z in zs])
+    planes = F.ceil(F.log2(F.col("c") / LEAF))
+    cut = sum((F.when((planes > i) & (F.col(z) > F.col(f"m{z}")), F.lit(1 << i)).otherwise(F.lit(0)) for i, z in enumerate(zs)), F.lit(0))
+    cut = coded.join(stats, ["tree", "code"]).select("node", "tree", "code", cut.cast("long").alias("cut"))
     sizes = cut.groupBy("tree", "code", "cut").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("parts"))
     leaf = (cut.join(sizes, ["tree", "code", "cut"])
             .withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "node"), "parts")).drop("parts"))
@@ -122,19 +126,30 @@ def _leaf_lists(nodes: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _best(lists: DataFrame) -> DataFrame:
+    """The K best entries of each list; one is fresh if no round has seen it yet."""
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
-    return (lists.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
+    return (lists.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
             .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= K).drop("r"))
 
 
+def _carried(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lists without vectors of the own component; a list that lost some is to be joined again."""
+    comps = nodes.select("node", "comp")
+    both = (lists.join(comps, "node").join(comps.select(F.col("node").alias("nbr"), F.col("comp").alias("other")), "nbr")
+            .withColumn("lost", F.max(F.col("comp") == F.col("other")).over(Window.partitionBy("node"))))
+    return both.filter("comp != other").select("node", "nbr", "sim", F.col("lost").alias("fresh"))
+
+
 def _refine(nodes: DataFrame, lists: DataFrame, n: int) -> DataFrame:
     """One neighbours-of-neighbours join: better neighbours found among the members of each list
-    and of the (K best) lists that a vector is in."""
+    and of the (K best) lists that a vector is in, wherever one of these is fresh."""
     back = Window.partitionBy("nbr").orderBy(F.desc("sim"), "node")
     inverse = (lists.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= K)
-               .select(F.col("nbr").alias("pivot"), F.col("node").alias("member")))
-    members = (lists.select(F.col("node").alias("pivot"), F.col("nbr").alias("member")).unionByName(inverse)
-               .unionByName(lists.select(F.col("node").alias("pivot"), F.col("node").alias("member"))).distinct())
+               .select(F.col("nbr").alias("pivot"), F.col("node").alias("member"), "fresh"))
+    members = (lists.select(F.col("node").alias("pivot"), F.col("nbr").alias("member"), "fresh").unionByName(inverse)
+               .unionByName(lists.select(F.col("node").alias("pivot"), F.col("node").alias("member"), F.lit(False).alias("fresh")))
+               .groupBy("pivot", "member").agg(F.max("fresh").alias("fresh"))
+               .withColumn("live", F.max("fresh").over(Window.partitionBy("pivot"))).filter("live").select("pivot", "member"))
     floors = lists.groupBy("node").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(-1.0).alias("floor"))
     known = nodes.select("node", "u", "comp").join(floors, "node", "left").select(
         F.col("node").alias("member"), "u", "comp", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
@@ -155,14 +170,13 @@ def _refine(nodes: DataFrame, lists: DataFrame, n: int) -> DataFrame:
                 continue
             s = u[x:y] @ u[x:y].T
             s[comp[x:y, None] == comp[None, x:y]] = -2.0
-            for _ in range(min(2, y - x - 1)):
-                j = s.argmax(axis=1)
-                best = s[np.arange(y - x), j]
-                ok = best > np.maximum(floor[x:y], -1.5)
-                a.append(node[x:y][ok])
-                b.append(node[x:y][j[ok]])
-                c.append(best[ok])
-                s[np.arange(y - x), j] = -2.0
+            k = min(K, y - x - 1)
+            j = np.argpartition(-s, k - 1, axis=1)[:, :k].reshape(-1)
+            i = np.repeat(np.arange(y - x), k)
+            ok = s[i, j] > np.maximum(floor[x:y], -1.5)[i]
+            a.append(node[x:y][i[ok]])
+            b.append(node[x:y][j[ok]])
+            c.append(s[i[ok], j[ok]])
         none = np.zeros(0, np.int64)
         return pa.table({"node": np.concatenate([none, *a]), "nbr": np.concatenate([none, *b]),
                          "sim": np.concatenate([none.astype(float), *c])})
@@ -174,10 +188,17 @@ def _refine(nodes: DataFrame, lists: DataFrame, n: int) -> DataFrame:
             .applyInArrow(join, "node long, nbr long, sim double"))
 
 
-def _audit(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """(a, b, missed): links of a sample of AUDIT vectors with all vectors, counted; a row with a
-    and b for each link between two components, and one row per batch with the number of others."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(AUDIT).select("node", "comp", "dim", "u").toArrow()
+def _audit(nodes: DataFrame, threshold: float, seed: int) -> float:
+    """Recall measured on AUDIT vectors, compared with all vectors: the mean share of a vector's links
+    that lead into its component, over those that have links. One half of the sample is drawn from all
+    vectors, the other from those outside the large components, and the lower of the two counts.
+    Nothing that is found here enters the result."""
+    n = nodes.count()
+    large = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LARGE * n).select("comp")
+    draw = F.xxhash64(F.lit(seed), "node")
+    parts = [rows.orderBy(draw).limit(AUDIT // 2).select("node", "comp", "dim", "u", F.lit(k).alias("half"))
+             for k, rows in enumerate((nodes, nodes.join(large, "comp", "left_anti")))]
+    sample = parts[0].unionByName(parts[1]).toArrow()
     shared = nodes.sparkSession.sparkContext.broadcast(sample)  # AUDIT vectors at most
 
     def run(batches):
@@ -192,47 +213,53 @@ def _audit(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
             if not b.num_rows:
                 continue
             dim, node, comp = (b.column(c).to_numpy() for c in ("dim", "node", "comp"))
-            a, z, found = [], [], 0
+            found, missed = np.zeros(len(q_node), np.int64), np.zeros(len(q_node), np.int64)
             for d, (at_q, uq) in sets.items():
                 at = np.flatnonzero(dim == d)
                 if not len(at):
                     continue
                 i, j = np.nonzero(_matrix(b.column("u").take(pa.array(at))) @ uq.T >= threshold)
                 i, j = at[i], at_q[j]
+                i, j = i[node[i] != q_node[j]], j[node[i] != q_node[j]]
                 same = comp[i] == q_comp[j]
-                found += int(same.sum()) - int((node[i] == q_node[j]).sum())
-                a.append(node[i][~same])
-                z.append(q_node[j][~same])
-            a, z = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, z))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*a.tolist(), None], pa.int64()), pa.array([*z.tolist(), None], pa.int64()),
-                 pa.array([0] * len(a) + [found], pa.int64())], names=["a", "b", "found"])
+                found += np.bincount(j[same], minlength=len(found))
+                missed += np.bincount(j[~same], minlength=len(found))
+            at = np.flatnonzero(found + missed)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, found[at], missed[at])], names=["q", "found", "missed"])
 
-    return nodes.select("node", "comp", "dim", "u").mapInArrow(run, "a long, b long, found long")
+    sums = (nodes.select("node", "comp", "dim", "u").mapInArrow(run, "q long, found long, missed long")
+            .groupBy("q").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed")).collect())  # AUDIT rows at most
+    half = sample["half"].to_pylist()
+    shares: list[list[float]] = [[], []]
+    for r in sums:
+        shares[half[r["q"]]].append(r["found"] / (r["found"] + r["missed"]))
+    return min((sum(x) / len(x) for x in shares if x), default=1.0)
 
 
 def vector_components(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """(nodes with ``comp``, audited recall)."""
+    """(nodes with ``comp``, audited recall). Passes go on until QUIET in a row bring no link and the
+    audited recall is RECALL or more; it is an error if PASSES do not reach this."""
     n = nodes.count()
     current = nodes.withColumn("comp", F.col("node"))
-    links, recall = None, 1.0
+    lists = links = None
+    quiet, recall = 0, 0.0
     for p in range(PASSES):
-        lists = stage(_best(_leaf_lists(current, n, p)), "nn-lists")
-        for _ in range(ROUNDS):
-            lists = stage(_best(lists.unionByName(_refine(current, lists, n))), "nn-lists")
+        leaves = _leaf_lists(current, n, p).withColumn("fresh", F.lit(True))
+        lists = stage(_best(leaves if lists is None else leaves.unionByName(_carried(lists, current))), "nn-lists")
+        while lists.filter("fresh").limit(1).count():
+            better = _refine(current, lists, n).withColumn("fresh", F.lit(True))
+            lists = stage(_best(lists.withColumn("fresh", F.lit(False)).unionByName(better)), "nn-lists")
         new = lists.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("nbr").alias("b"))
-        settled = p > 0 and new.limit(1).count() == 0
-        links = stage(new if links is None else links.unionByName(new).distinct(), "nn-links")
-        current = _label(nodes, links)
-        audit = stage(_audit(current, threshold, p), "nn-audit")
-        missed, found = audit.agg(F.count("a"), F.coalesce(F.sum("found"), F.lit(0))).first()
-        recall = found / (missed + found) if missed else 1.0
-        if missed:  # a link is a link: it is kept, and the search goes on
-            links = stage(links.unionByName(audit.filter("a IS NOT NULL").select("a", "b")), "nn-links")
+        quiet += 1
+        if new.limit(1).count():
+            quiet = 0
+            links = stage(new if links is None else links.unionByName(new), "nn-links")
             current = _label(nodes, links)
-        if settled and recall >= RECALL:
-            break
-    return current, recall
+        elif quiet >= QUIET:
+            recall = _audit(current, threshold, p)
+            if recall >= RECALL:
+                return current, recall
+    raise RuntimeError(f"near vectors: not settled after {PASSES} passes, last audited recall {recall:.4f}, wanted {RECALL}")
 
 
 def _label(nodes: DataFrame, links: DataFrame) -> DataFrame:
