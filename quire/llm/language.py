@@ -2,7 +2,9 @@
 
 A known word is scored by its log frequency in every language. A word that no language knows
 falls back to its character n-grams: the longest known ones decide, progressively shorter ones
-are asked where none is known.
+are asked where none is known. The score of a text is its posterior probability, times the part of
+the text that the model knows: all of a known word, less of one known by n-grams only, nothing of a
+word whose letters were never learned.
 """
 
 from __future__ import annotations
@@ -19,10 +21,17 @@ DOCS_PER_LANGUAGE = 1500     # bound of the labelled sample
 WORDS_PER_LANGUAGE = 20_000  # bound of the word model
 GRAMS_PER_LANGUAGE = 5_000   # bound of the n-gram model, for each length
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
+EVIDENCE = 5                 # words that a text's words count as at most: its length alone makes nothing certain
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
 
 
+def _grams(word: str, k: int) -> list[str]:
+    """The n-grams of a word between spaces; single letters without the spaces, which every word has."""
+    padded = f" {word} " if k > 1 else word
+    return [padded[i:i + k] for i in range(len(padded) - k + 1)]
+
+
 def _word_counts(batches):
     """(lang, w, n) of batches of (lang, _t), added up over each batch."""
     from collections import Counter
@@ -52,10 +61,10 @@ def _gram_counts(batches):
     for b in batches:
         found: Counter = Counter()
         for lang, w, n in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "n"))):
-            padded, weight = f" {w} ", math.log2(n + 1)
+            weight = math.log2(n + 1)
             for k in GRAM_LENGTHS:
-                for i in range(len(padded) - k + 1):
-                    found[lang, k, padded[i:i + k]] += weight
+                for g in _grams(w, k):
+                    found[lang, k, g] += weight
         keys = list(zip(*found)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()),
@@ -129,20 +138,23 @@ class Scorer:
         self.places, self.logs = model["at"], model["logs"]
         self.letters = regex.compile(LETTERS).findall
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs)))
+        self.table = np.zeros((1024, len(self.langs) + 1))
 
     def word(self, w: str):
-        """Scores of a word in every language."""
+        """Scores of a word in every language, and how far it is known: 1 if it is known itself, else
+        the largest share of its n-grams of one length that are known, shorter ones counting less."""
         known = self.places[0].get(w)
         if known is not None:
-            return self.logs[0][known]
-        padded = f" {w} "
+            return self.logs[0][known], 1.0
+        scores, degree = 0.0, 0.0
         for k in GRAM_LENGTHS:
-            places = self.places[k]
-            found = [v for i in range(len(padded) - k + 1) if (v := places.get(padded[i:i + k])) is not None]
+            grams, places = _grams(w, k), self.places[k]
+            found = [v for g in grams if (v := places.get(g)) is not None]
             if found:
-                return self.logs[k][found].mean(axis=0)
-        return 0.0
+                if not degree:
+                    scores = self.logs[k][found].mean(axis=0)
+                degree = max(degree, k / GRAM_LENGTHS[0] * len(found) / len(grams))
+        return scores, degree
 
     def text(self, text: str | None) -> tuple[str, float]:
         np = self.np
@@ -154,19 +166,22 @@ class Scorer:
         at = self.at
         new = set(words).difference(at)
         if len(at) + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((len(at) + len(new), len(self.langs)))])
+            self.table = np.concatenate([self.table, np.zeros((len(at) + len(new), len(self.langs) + 1))])
         for w in new:
-            self.table[len(at)] = self.word(w)
+            self.table[len(at), :-1], self.table[len(at), -1] = self.word(w)
             at[w] = len(at)
         total = self.table[np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+        known, total = total[-1] / len(words), total[:-1] * min(1.0, EVIDENCE / len(words))
+        if not known:
+            return UNKNOWN, 0.0
         best = int(total.argmax())
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(known / np.exp(total - total[best]).sum())
 
 
 def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """(carried columns, lang_pred, score): the likeliest language of every whole text and its
-    posterior probability; ``und`` and 0 where the text is null or has no letter, or nothing was
-    learned. Ties go to the first language in alphabetical order."""
+    posterior probability times the known part of the text; ``und`` and 0 where the text is null or
+    has no letter that was learned. Ties go to the first language in alphabetical order."""
     out = T.StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = to_arrow_schema(out)
