@@ -79,58 +79,78 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 
 class Featurizer:
-    """Features of one text; remembers how it classed the words it has met."""
+    """Features of one text; remembers how it classed the tokens it has met."""
+
+    PLAIN = ((False,) * 7 + (0.0, ""),)
 
     def __init__(self, lexicon: dict[str, float]):
         import re
 
         self.tokens = re.compile(r"\S+").findall
-        self.word = re.compile(r"[^\W\d_]{2,}").search
-        self.hidden = re.compile(r"^[^\W_]*[^\W\d_][0-9@$!*.\-_+#]+[^\W\d_]")
-        self.stretched = re.compile(r"([^\W\d_])\1\1")
+        self.parts = re.compile(r"[\w@$!*.\-+#]+").findall
+        self.words = re.compile(r"[^\W\d_]{2,}").findall
+        self.split = re.compile(r"[!*.\-_+#]+").split
+        self.hidden = re.compile(r"^[^\W_]*[^\W\d_][0-9@$!*.\-_+#]+[^\W\d_]").match
+        self.stretched = re.compile(r"([^\W\d_])\1\1").search
         self.marks = re.compile(r"[^\w\s]").findall
         self.lexicon = lexicon
         self.second = frozenset(SECOND_PERSON)
         self.seen: dict[str, tuple] = {}
 
+    def spelled(self, part: str) -> list[str]:
+        """Lexicon entries behind a digit and symbol spelling."""
+        low = part.lower()
+        plain = "".join(LOOKALIKES.get(c, c) for c in low)
+        forms = ["".join(c for c in x if c.isalpha()) for x in (plain, low)]
+        return [e for form in forms for e in _entries(form) if e in self.lexicon]
+
     def classed(self, token: str) -> tuple:
-        """(lexicon, beginning, hidden, second person, capital, obfuscated, stretched, log odds of the
-        strongest entry) of a token."""
-        m = self.word(token)
-        word = m[0].lower() if m else ""
-        entries = _entries(word) if word else [""]
-        direct = word in self.lexicon
-        begins = any(e in self.lexicon for e in entries[1:])
-        mixed = bool(self.hidden.match(token))
-        hidden = False
-        if mixed:
-            low = token.lower()
-            plain = "".join(LOOKALIKES.get(c, c) for c in low)
-            for form in ("".join(c for c in plain if c.isalpha()), "".join(c for c in low if c.isalpha())):
-                hidden = hidden or any(e in self.lexicon for e in _entries(form))
-                entries = entries + _entries(form)
-        return (direct, begins, hidden, word in self.second, bool(m) and len(m[0]) > 1 and m[0].isupper(), mixed,
-                bool(self.stretched.search(token)), max(self.lexicon.get(e, 0.0) for e in entries))
+        """One unit for every word of a token, at least one: (lexicon, beginning, hidden, second person,
+        capital, obfuscated, stretched, log odds of the strongest entry, name). Hidden spellings are
+        looked for in each part of the token between signs that none of them uses, and in the pieces of
+        a part between its points, dashes and the like; they go to the part's first word."""
+        units = []
+        for part in self.parts(token):
+            words = self.words(part)
+            mixed, stretched = bool(self.hidden(part)), bool(self.stretched(part))
+            entries = []
+            if mixed:
+                entries = self.spelled(part) or [e for x in self.split(part) if self.hidden(x) for e in self.spelled(x)]
+            strongest = max((self.lexicon[e] for e in entries), default=0.0)
+            for i, w in enumerate(words or [""] * mixed):
+                low = w.lower()
+                own = _entries(low) if w else [""]
+                units.append((low in self.lexicon, any(e in self.lexicon for e in own[1:]), bool(entries) and i == 0,
+                              low in self.second, len(w) > 1 and w.isupper(), mixed and i == 0, stretched and i == 0,
+                              max(strongest if i == 0 else 0.0, max(self.lexicon.get(e, 0.0) for e in own)), w or part))
+        if len(units) == 1:
+            units = [(*units[0][:8], token)]
+        return tuple(units) if any(any(u[:8]) for u in units) else self.PLAIN * max(1, len(units))
 
     def features(self, text: str | None) -> list[float]:
+        from itertools import chain
+
         text = text or ""
         tokens = self.tokens(text)
-        n = max(1, len(tokens))
         if len(self.seen) > 200_000:
             self.seen.clear()
         seen = self.seen
         for t in set(tokens).difference(seen):
             seen[t] = self.classed(t)
+        units = list(chain.from_iterable(map(seen.__getitem__, tokens)))
+        for t in tokens if len(text) > 64 * len(tokens) else ():  # long tokens are not worth remembering
+            seen.pop(t, None)
+        n = max(1, len(units))
         sums = [0] * 7
         hits, seconds, odds = [], [], {}
-        plain = (False,) * 7 + (0.0,)
-        for i, c in enumerate(map(seen.__getitem__, tokens)):
-            if c != plain:
+        plain = self.PLAIN[0]
+        for i, c in enumerate(units):
+            if c is not plain:
                 for k in range(7):
                     sums[k] += c[k]
                 if c[0] or c[1] or c[2]:
                     hits.append(i)
-                    odds[tokens[i]] = c[7]
+                    odds[c[8]] = c[7]
                 if c[3]:
                     seconds.append(i)
         near = j = 0
@@ -144,7 +164,7 @@ class Featurizer:
         return [100 * sums[0] / n, math.log1p(sums[0]), 100 * sums[1] / n, math.log1p(sums[1]),
                 100 * sums[2] / n, math.log1p(sums[2]), 100 * sums[3] / n, 100 * near / n,
                 sum(map(str.isupper, text)) / chars if not text.islower() else 0.0, sums[4] / n, len(marks) / chars,
-                text.count("!") / n, sums[5] / n, sums[6] / n, math.log1p(len(tokens)),
+                text.count("!") / n, sums[5] / n, sums[6] / n, math.log1p(len(units)),
                 strongest[0], strongest[1]]
 
 
