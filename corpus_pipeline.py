@@ -3,8 +3,8 @@
 Every stage takes the documents that its predecessor kept, and all but the last return documents
 with the columns they came with (texts changed where a stage changes texts). Whatever columns there
 are besides doc_id, text, lang and source travel in one struct, so their names cannot clash with an
-operator's. Rows that share a doc_id are copies of one document; rows without one are told apart by
-their texts.
+operator's. Rows that share a doc_id and the text are copies of one document; rows that share only one
+of the two, or have no doc_id, are told apart by their texts and ids.
 """
 
 from __future__ import annotations
@@ -54,9 +54,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    rows = boxed(docs)
-    firsts = (jaccard.jaccard_components(rows, "row").filter("row = component_id").select("row").distinct())
-    return unboxed(rows.join(firsts, "row", "left_semi").dropDuplicates(["row"]), docs)
+    rows = boxed(docs).withColumn("key", F.xxhash64("row", "text"))
+    names = rows.select("key", "row").distinct()
+    groups = stage(jaccard.jaccard_components(rows, "key").select(F.col("key").alias("_key"), "component_id").distinct()
+                   .join(names, F.col("_key") == F.col("key")).select("key", "row", "component_id"), "near-groups")
+    if groups.groupBy("key").count().filter("count > 1").limit(1).count():
+        raise RuntimeError("two documents share a 64-bit name")
+    firsts = groups.groupBy("component_id").agg(F.min_by("key", F.struct("row", "key")).alias("key")).select("key")
+    return unboxed(rows.join(firsts, "key", "left_semi").dropDuplicates(["key"]), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

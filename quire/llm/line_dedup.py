@@ -36,35 +36,36 @@ def line_key(line: Column) -> Column:
 
 
 def long_lines(docs: DataFrame, id_col: str, min_chars: int) -> DataFrame:
-    """(h1, h2, id, pos) of every line whose key has ``min_chars`` code points or more; the 96 bits
-    of h1 and h2 stand for the key."""
+    """(h1, h2, id, text_hash, pos) of every line whose key has ``min_chars`` code points or more; the
+    96 bits of h1 and h2 stand for the key."""
     hashed = F.transform(split_lines(F.col("text")), lambda x: let(line_key(x), lambda k: F.when(
         F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.hash(F.lit(7), k).alias("h2")))))
-    return (docs.select(F.col(id_col).alias("id"), F.posexplode(hashed).alias("pos", "h"))
-            .filter("h IS NOT NULL").select("h.h1", "h.h2", "id", "pos"))
+    return (docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_hash"), F.posexplode(hashed).alias("pos", "h"))
+            .filter("h IS NOT NULL").select("h.h1", "h.h2", "id", "text_hash", "pos"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS,
                  min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, dropped, keep_runs) of every document that loses lines.
+    """(id, text_hash, n_dropped, keep_runs) of every document that loses lines.
 
     A key of at least ``min_chars`` code points that at least ``min_docs`` documents hold loses all
     its lines except in the largest id holding it. ``keep_runs`` is the document's keep bitmap in
     run lengths: the number of kept lines before each dropped one; what follows the last dropped
-    line is kept. Rows with the same id count as one document; a null id sorts before all others
+    line is kept. Rows with the same id count as one document, but where their texts differ each text has
+    its own bitmap; a null id sorts before all others
     and its rows lose nothing (no row to give them back to).
     """
     lines = stage(long_lines(docs.filter(F.col(id_col).isNotNull()), id_col, min_chars), "line-hashes")
     shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS))
-    ranged = lines.withColumn("shard", shard).repartitionByRange("h1", "h2", "shard")
+    ranged = lines.drop("text_hash").withColumn("shard", shard).repartitionByRange("h1", "h2", "shard")
     order = Window.partitionBy("h1", "h2", "shard").orderBy(F.desc("id"), "pos")
     firsts = ranged.withColumn("above", F.lag("id").over(order)).filter("above IS NULL OR above != id")
     frequent = (firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
                 .filter(F.col("n") >= min_docs))
     lost = lines.join(frequent, ["h1", "h2"]).filter("id < keeper")
-    dropped = lost.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    dropped = lost.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     gaps = F.transform("dropped", lambda p, i: p - F.when(i > 0, F.get(F.col("dropped"), i - 1)).otherwise(-1) - 1)
-    return dropped.select("id", F.size("dropped").cast("long").alias("n_dropped"), gaps.alias("keep_runs"))
+    return dropped.select("id", "text_hash", F.size("dropped").cast("long").alias("n_dropped"), gaps.alias("keep_runs"))
 
 
 def apply_runs(lines: Column, runs: Column) -> Column:
@@ -82,13 +83,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", carry: list[str] = (),
     ``n_dropped``.
 
     The text side is not sorted: the bitmaps build the hash table of a shuffled hash join."""
-    marks = keep_bitmaps(docs, id_col, **limits).withColumnRenamed("id", "_id")
-    return (docs.select(id_col, "text", *carry).join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    marks = keep_bitmaps(docs, id_col, **limits).withColumnsRenamed({"id": "_id", "text_hash": "_text_hash"})
+    own = (F.col(id_col) == F.col("_id")) & (F.xxhash64("text") == F.col("_text_hash"))
+    return (docs.select(id_col, "text", *carry).join(marks.hint("shuffle_hash"), own, "left")
             .withColumn("_lines", split_lines(F.col("text")))
             .withColumn("kept", apply_runs(F.col("_lines"), F.col("keep_runs")))
             .withColumn("n_lines", F.size("_lines").cast("long"))
             .withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)))
-            .drop("_id", "_lines", "keep_runs"))
+            .drop("_id", "_text_hash", "_lines", "keep_runs"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

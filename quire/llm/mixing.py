@@ -83,13 +83,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, row_id: str, seed: str = "mix") -> DataFrame:
     """The mix as documents: every document as often as the mix takes it, rounded to whole
     documents (half and more of a document's words count as one copy; documents without words are
-    kept once). ``row_id`` names a unique column, and the result has the columns of ``docs``."""
-    narrow = docs.select(F.col(row_id), source_key(F.col("source")).alias("_group"),
+    kept once). ``row_id`` and the text name a row, and the result has the columns of ``docs``."""
+    text_hash = F.xxhash64("text")
+    narrow = docs.select(F.col(row_id), source_key(F.col("source")).alias("_group"), text_hash.alias("_text"),
                          word_count(F.col("text")).alias("_size"))
-    plan = mix(narrow, "_group", "_size", [row_id], seed)
+    plan = mix(narrow, "_group", "_size", [row_id, "_text"], seed)
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("_size") + 0.5)).cast("int")
-    plan = plan.select(F.col(row_id).alias("_id"), copies.alias("_copies")).filter("_copies > 0")
-    return (docs.join(plan, F.col(row_id) == F.col("_id"))
+    plan = plan.select(F.col(row_id).alias("_id"), "_text", copies.alias("_copies")).filter("_copies > 0")
+    return (docs.join(plan, (F.col(row_id) == F.col("_id")) & (text_hash == F.col("_text")))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(*docs.columns))
 
