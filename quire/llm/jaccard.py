@@ -6,11 +6,13 @@
    similarity t or more share one of the first ``n - ceil(t n) + 1`` shingles of each in any such
    order, so a set is filed under these only, and a shingle that no other set has is no file at all.
 3. The sets filed under a shingle are compared with two pivots of that file; links found join them.
-4. What is still apart is compared by signature trees: a leaf is up to LEAF sets that are already
+4. What is still apart is compared by signature trees of one level, without inner nodes: a leaf is up to LEAF sets that are already
    joined, with the OR of their token bitmaps, their size range and their fewest bits; under every
    shingle the leaves of different components are traversed pairwise, and a pair goes on to its
    sets, then to the exact count, only while the largest overlap that the bitmaps and sizes
-   allow reaches the threshold. Sets of one component need no comparison.
+   allow reaches the threshold. Sets of one component need no comparison. Leaves do not span
+   components, so the unlinked sets that share a filed shingle are paired in full before the bitmaps
+   prune the pairs: no link is lost, but such a file costs the square of its sets.
 """
 
 from __future__ import annotations
@@ -350,7 +352,7 @@ def _bits(x) -> Column:
 
 
 def tree_pairs(keys: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that may still be linked, by signature trees.
+    """Pairs of sets of different components that may still be linked, by signature trees of one level.
 
     Each set's bit that is missing in the other side is a shingle the other side does not have, so
     the overlap of two sets is at most ``m - missing`` of each (m: its shared shingles), and of two
