@@ -36,3 +36,9 @@ def test_word_of_unlearned_letters_has_no_language():
     model = language._tables(pa.table(dict(zip(("lang", "k", "w", "n", "_all"), map(list, zip(*rows))))))
     assert language.Scorer(model).text("ከተማው ትልቅ") == ("und", 0.0)
     assert language.Scorer(model).text("the the the")[1] > 0.9
+
+
+def test_rare_words_of_a_language_are_kept(spark):
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(25_000)]
+    model = language.train(spark.createDataFrame([(1, " ".join(words), "en")], "doc_id long, text string, lang string"))
+    assert set(words) <= set(model["at"][0])
