@@ -62,7 +62,7 @@ def test_empty_pipeline(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", [q for q in sorted(QUERIES) if not q.startswith(("op3", "op10"))])
+@pytest.mark.parametrize("name", [q for q in sorted(QUERIES) if not q.startswith(("op3", "op10", "op11", "op13"))])
 def test_every_row_comes_back(spark, folder, name):
     assert QUERIES[name](spark, folder).count() == len(ROWS)
 
