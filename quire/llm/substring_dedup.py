@@ -6,6 +6,8 @@ joined by spaces) to the minimiser's bucket: equal windows have equal minimisers
 and a word travels about three times instead of 50. A bucket's windows are sorted by hash and document,
 equal neighbours are compared as text, and only ranges of words to remove travel back.
 
+The strings of a task go to each bucket as one compressed block; there Spark sorts them by minimiser.
+
 Frequent strings. Inside a task, equal packed strings are met before anything travels: all but the one
 with the smallest document are removed on the spot. Minimisers that many different strings share (the
 ends of a passage that a third of all documents hold) would fill one bucket; they are counted first, and
@@ -19,19 +21,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, release, stage
+from quire.llm.common import WORD, arrow_schema, release, stage
 
 WINDOW = 50
 GRAM = 8
 MAX_RUN = 512             # windows in one packed string
-SLICE_BYTES = 8_000_000   # text that a task handles at a time
+SLICE_BYTES = 3_000_000   # text that a task handles at a time
 SEGMENT_WORDS = 200_000   # longer documents are cut, overlapping by a window
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 HOT_STRINGS = 20_000      # a bucket with more strings is split, if it is also above
 HOT_SHARE = 20_000        # one part in so many of all strings: at most so many minimisers are hot
 BUCKET_WINDOWS = 1_000_000  # windows of a bucket that a task gathers
-SHARDS = 256
-GROUP_WINDOWS = 200_000   # windows of whole buckets that are sorted together
+SHARDS = 256              # tasks among which the holders of one window are dealt
+BUCKETS = 3               # buckets for each shuffle partition, as strings travel compressed and are sorted as they are
+GROUP_WINDOWS = 50_000   # windows of whole buckets that are sorted together
 
 
 def _mix(x):
@@ -190,12 +193,56 @@ def _record(kinds, columns):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types)], names=kinds.names)
 
 
-def _pack(window: int, gram: int, hot: list[int], wanted: bool):
-    """Task function: rows ROW of the super-k-mers whose minimiser is hot (``wanted``) or not. Rows
-    without ``packed`` are ranges of windows to remove, found inside the task. With ``hot`` None the
-    rows are (key, strings) counts."""
-    from quire.llm.common import arrow_schema
+BLOCK = "bucket int, rows binary"
+
+
+def _deflate(rows: list[tuple], parts: int):
+    """(bucket numbers, compressed blocks) of rows ROW dealt to ``parts`` buckets by key."""
+    import numpy as np
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    key, doc, name, start, n, packed = zip(*rows)
+    numbers = [np.array(x, dtype=np.int64) for x in (key, doc, name, start, n)]
+    length = np.array([-1 if x is None else len(x) for x in packed], dtype=np.int64)
+    bucket = numbers[0] % parts
+    order = np.argsort(bucket, kind="stable")
+    found, cuts = np.unique(bucket[order], return_index=True)
+    blocks = []
+    for part in np.split(order, cuts[1:]):
+        head = np.concatenate([[len(part)], *[x[part] for x in (*numbers, length)]])
+        blocks.append(press.compress(head.tobytes() + b"".join(packed[i] or b"" for i in part.tolist())))
+    return found, blocks
+
+
+def _inflate(kinds):
+    """Task function: rows ROW of the blocks of a bucket."""
+    def apply(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
 
+        for b in batches:
+            for block in b.column("rows"):
+                raw = zstandard.ZstdDecompressor().decompress(block.as_buffer())
+                count = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+                key, doc, name, start, n, length = np.frombuffer(raw, dtype=np.int64, offset=8, count=6 * count).reshape(6, count)
+                null = length < 0
+                ends = np.cumsum(np.where(null, 0, length))
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                valid = pa.array(~null).buffers()[1]
+                packed = pa.Array.from_buffers(pa.binary(), count, [valid, offsets, pa.py_buffer(raw[8 + 48 * count:])])
+                whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, doc, name, start, n), kinds.types)] + [packed], names=kinds.names)
+                for i in range(0, count, 10_000):
+                    yield whole.slice(i, 10_000)
+
+    return apply
+
+
+def _pack(window: int, gram: int, hot: list[int], wanted: bool, parts: int = 0):
+    """Task function: rows ROW of the super-k-mers whose minimiser is hot (``wanted``) or not, in
+    compressed blocks BLOCK for ``parts`` buckets if that is not 0. Rows without ``packed`` are ranges of
+    windows to remove, found inside the task. With ``hot`` None the rows are (key, strings) counts."""
     kinds = None if hot is None else arrow_schema(ROW)
 
     def apply(batches):
@@ -237,6 +284,12 @@ def _pack(window: int, gram: int, hot: list[int], wanted: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "strings"])
                 continue
             rows = [(*x, t if isinstance(t, bytes) else t[0]) for t, x in best.items()] + [(*x, None) for x in gone]
+            if parts and rows:
+                buckets, blocks = _deflate(rows, parts)
+                for i in range(0, len(blocks), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets[i:i + 64], pa.int32()), pa.array(blocks[i:i + 64], pa.binary())],
+                                                     names=["bucket", "rows"])
+                continue
             for i in range(0, len(rows), 20_000):
                 yield _record(kinds, list(zip(*rows[i:i + 20_000])))
 
@@ -317,8 +370,6 @@ def _repeats(packed, key, doc, n, window: int):
 
 def _count(window: int):
     """Task function over rows ROW sorted by key: rows FOUND."""
-    from quire.llm.common import arrow_schema
-
     kinds = arrow_schema(FOUND)
 
     def judged(t):
@@ -409,8 +460,6 @@ def _count(window: int):
 
 def _open_windows(window: int):
     """Task function over rows ROW of hot minimisers: rows FOUND, open by hash or already closed."""
-    from quire.llm.common import arrow_schema
-
     kinds = arrow_schema(FOUND)
 
     def apply(batches):
@@ -445,9 +494,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = counts.agg(F.sum("strings")).first()[0] or 0
     # at most HOT_SHARE keys can each have more than that share of the total
     hot = [r[0] for r in counts.filter(F.col("strings") > max(HOT_STRINGS, total // HOT_SHARE)).select("key").collect()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = (texts.mapInArrow(_pack(window, gram, hot, False), ROW)
-             .repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_count(window), FOUND))
+    parts = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = (texts.mapInArrow(_pack(window, gram, hot, False, parts), BLOCK).repartitionById(parts, F.col("bucket"))
+             .mapInArrow(_inflate(arrow_schema(ROW)), ROW).sortWithinPartitions("key").mapInArrow(_count(window), FOUND))
     if hot:
         found = found.unionByName(texts.mapInArrow(_pack(window, gram, hot, True), ROW)
                                   .mapInArrow(_open_windows(window), FOUND))
