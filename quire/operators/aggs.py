@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
+from quire.operators.ranges import search, split_points, value_ranges
 
 
 def totals_by(df: DataFrame, keys: list[str], measure: str, prefix: str = "amount",
@@ -48,6 +49,47 @@ def percentiles_by(df: DataFrame, keys: list[str], col: str, ps=(0.5, 0.8, 0.95)
     return out.select(*keys, *[F.round(F.get("_p", F.lit(i)), 4).alias(n) for i, n in enumerate(names)])
 
 
+def percentiles_by_rank(df: DataFrame, keys: list[str], col: str, ps=(0.5, 0.8, 0.95),
+                        names=("median", "p80", "p95")) -> DataFrame:
+    """``percentiles_by`` for measures with any number of distinct values (W31): the same exact,
+    interpolated percentiles by rank selection, without a value map or a sort of any group.
+
+    The values are cut into ranges (split points of a sample, so the result does not depend on
+    them). Counts per (group, range), summed over the ranges before, tell in which range each wanted
+    rank lies; only rows of those ranges are read again, counted per value, and ranked inside
+    their (group, range). A group's rows never meet: a range holds one part in
+    ``value_ranges`` of all rows, and a value that many rows share is one counted row. Nulls do not
+    count; groups without a value have null percentiles.
+    """
+    ranges = value_ranges(df)
+    rows = df.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("z")).alias("_k"), F.col(col).alias("_v"))
+    present = rows.where("_v IS NOT NULL")
+    cut = search(present, split_points(present, F.col("_v"), ranges), F.col("_v"), ranges, "_b").drop("_splits")
+    counts = cut.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_k")
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the two ranks around each percentile, from 0; both are the same where it falls on a row
+    at = F.array(*[F.struct(F.lit(i).alias("p"), ((F.col("_n") - 1) * F.lit(float(p))).alias("h")) for i, p in enumerate(ps)])
+    ranks = counts.withColumns({"_before": before, "_n": F.sum("_c").over(w)}).select("_k", "_b", "_c", "_before", F.explode(at).alias("_x"))
+    ranks = ranks.select("_k", "_b", "_c", "_before", "_x.p", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor("_x.h").alias("rank"), (F.col("_x.h") - F.floor("_x.h")).alias("part")),
+        F.struct(F.lit(1).alias("side"), F.ceil("_x.h").alias("rank"), (F.col("_x.h") - F.floor("_x.h")).alias("part")))).alias("_r"))
+    wanted = (ranks.where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_c")))
+              .select("_k", "_b", "p", "_r.side", "_r.part", (F.col("_r.rank") - F.col("_before")).alias("_at")))
+    held = cut.join(wanted.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi").groupBy("_k", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_k", "_b").orderBy("_v"))
+    placed = held.withColumn("_upto", upto).join(wanted, ["_k", "_b"]).where(
+        (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
+    value = F.col("_v").cast("double")
+    ends = placed.groupBy("_k", "p").agg(F.max(F.when(F.col("side") == 0, value)).alias("_lo"), F.max(F.when(F.col("side") == 1, value)).alias("_hi"),
+                                         F.max("part").alias("_part"))
+    found = ends.groupBy("_k").agg(*[F.max(F.when(F.col("p") == i, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))).alias(n)
+                                     for i, n in enumerate(names)])
+    groups = rows.select("_k").distinct().withColumnRenamed("_k", "_g")
+    return groups.join(found, F.col("_g") == F.col("_k"), "left").select(
+        *[F.col(f"_g.k{i}").alias(k) for i, k in enumerate(keys)], *[F.round(n, 4).alias(n) for n in names])
+
+
 def distinct_by(df: DataFrame, keys: list[str], col: str, name: str, approx: bool = False,
                 rsd: float = 0.01) -> DataFrame:
     """Distinct count of ``col`` per key (W32); ``approx=True`` uses a HyperLogLog++
@@ -58,6 +100,28 @@ def distinct_by(df: DataFrame, keys: list[str], col: str, name: str, approx: boo
     return df.groupBy(*keys).agg(F.countDistinct(col).alias(name))
 
 
+def daily_bitmaps(df: DataFrame, day: Column, id_col: str) -> DataFrame:
+    """(day, bucket, bits): the ids seen on each day as bitmaps of 32,768 ids (W32). Meant to be stored:
+    days are added or recomputed one by one, and any longer period is counted from the bitmaps alone.
+
+    Ids are whole numbers, dense ones for small bitmaps (a bitmap has 4 KB however many ids are in it).
+    Null ids and null days are left out, as ``count(DISTINCT)`` leaves out the former."""
+    rows = df.select(day.alias("day"), F.col(id_col).cast("bigint").alias("_id")).where("day IS NOT NULL AND _id IS NOT NULL")
+    return rows.groupBy("day", F.bitmap_bucket_number("_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits"))
+
+
+def distinct_rollup(bitmaps: DataFrame, period: str = "month", name: str = "n_distinct") -> DataFrame:
+    """Exact distinct counts per day, per ``period`` and over all days from stored bitmaps (W32): bitmaps
+    of a bucket are OR-ed (partial aggregation, 4 KB a bucket) and their bits are counted. One pass;
+    ``level`` tells the three apart, ``start`` is the first day of the day or period."""
+    b = bitmaps.withColumn("_period", F.trunc("day", period))
+    ored = b.groupingSets([["bucket", "day"], ["bucket", "_period"], ["bucket"]], "bucket", "day", "_period").agg(
+        F.bitmap_or_agg("bits").alias("_bits"), F.grouping_id().alias("_g"))
+    level = F.when(F.col("_g") == 1, "day").when(F.col("_g") == 2, period).otherwise("all")
+    return (ored.groupBy(level.alias("level"), F.coalesce("day", "_period").alias("start"))
+            .agg(F.sum(F.bitmap_count("_bits")).cast("bigint").alias(name)))
+
+
 def distinct_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct combinations of ``cols``."""
     return df.select(*cols).distinct()

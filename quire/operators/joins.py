@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ranges import estimated_rows, search, split_points
 
 def enrich_total(fact: DataFrame, keys: list[str], measure: str,
                  dims: list[tuple[DataFrame, list[str]]] = (),
@@ -112,7 +113,8 @@ def missing_in_range(df: DataFrame, col: str, lo: int, hi: int, name: str | None
     return rng.join(present, name, "left_anti")
 
 
-SLOT_LEVELS = 7   # slot widths of 1, 16, 256, ... days: the last covers 16 million days
+MAX_SLOTS = 4096      # slots that the end points of the intervals cut the line into
+FILED_PER_INTERVAL = 16
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str) -> DataFrame:
@@ -122,26 +124,31 @@ def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str,
     overlapping intervals appears once per interval; an interval that ends
     before it starts, or has a null end, holds nothing.
 
-    One plan for all sizes, an equi-join: an interval is filed under the slots
-    it covers at the width that follows its length (powers of 16 days, so 17
-    slots at most, also for an open end such as 9999-12-31), a point's time
-    under one slot for each width that occurs. Only distinct times meet the
-    intervals; the points then join on their time.
+    One plan for all sizes. The intervals' own end points cut the line into slots
+    with about equally many end points each, however they are spread; a point
+    finds its one slot by binary search in the task that reads it, an interval
+    is filed under the slots it touches. What is left is one left equi-join on
+    the slot: the points are shuffled once at most (not at all where the filed
+    intervals are measured small enough to broadcast), a hot slot's points are
+    split by the skew-join handling, and a point meets, besides the intervals
+    that hold it, only those that end or start in its slot. Where intervals are
+    so long that they touch more than ``FILED_PER_INTERVAL`` slots each on
+    average, neighbouring slots are merged until they do not.
     """
-    def day(c):
-        return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-
-    length = F.greatest(F.col("_b") - F.col("_a"), F.lit(1))
-    level = F.least(F.ceil(F.log2(length) / 4) - 1, F.lit(SLOT_LEVELS - 1))
-    good = (intervals.where(F.col(start) <= F.col(end)).withColumns({"_a": day(start), "_b": day(end)})
-            .withColumn("_level", F.greatest(level, F.lit(0)).cast("int")))
-    levels = good.agg(F.collect_set("_level")).scalar()
-    slots = (good.withColumn("_slot", F.explode(F.sequence(F.expr("shiftright(_a, 4 * _level)"), F.expr("shiftright(_b, 4 * _level)"))))
-             .drop("_a", "_b"))
-    times = (points.select(F.col(ts).alias("_ts")).where("_ts IS NOT NULL").distinct()
-             .withColumns({"_day": day("_ts"), "_plevel": F.explode(levels)})
-             .withColumn("_pslot", F.expr("shiftright(_day, 4 * _plevel)")))
-    held = times.join(slots, (F.col("_pslot") == F.col("_slot")) & (F.col("_plevel") == F.col("_level"))
-                      & (F.col("_ts") >= F.col(start)) & (F.col("_ts") <= F.col(end)))
-    held = held.select("_ts", *intervals.columns)
-    return points.join(held, F.col(ts) == F.col("_ts"), "left").drop("_ts")
+    good = intervals.where(F.col(start) <= F.col(end))
+    ends = good.select(F.explode(F.array(start, end)).alias("t"))
+    known = estimated_rows(good)
+    slots = MAX_SLOTS if known is None else min(MAX_SLOTS, max(16, 1 << (2 * known).bit_length()))
+    splits = split_points(ends, F.col("t"), slots)
+
+    def placed(df, at, out):
+        return search(df, splits, F.col(at), slots, out).drop("_splits")
+
+    filed = placed(placed(good, start, "_a"), end, "_z")
+    touched = filed.agg(F.sum(F.col("_z") - F.col("_a") + 1).alias("s"), F.count(F.lit(1)).alias("n"))
+    stride = touched.select(F.greatest(F.lit(1), F.ceil(F.col("s") / (FILED_PER_INTERVAL * F.col("n")))).cast("int").alias("w")).scalar()
+    filed = (filed.withColumn("_stride", F.coalesce(stride, F.lit(1)))
+             .withColumn("_slot", F.explode(F.sequence(F.expr("_a div _stride"), F.expr("_z div _stride")))).drop("_a", "_z", "_stride"))
+    at = placed(points, ts, "_at").withColumn("_stride", F.coalesce(stride, F.lit(1))).withColumn("_own", F.expr("_at div _stride")).drop("_at", "_stride")
+    return (at.join(filed, (F.col("_own") == F.col("_slot")) & (at[ts] >= filed[start]) & (at[ts] <= filed[end]), "left")
+            .drop("_own", "_slot"))

@@ -1,23 +1,59 @@
-"""Row number, previous and next values per key, in two levels.
+"""Row number, previous and next values per key by an ordered scan over ranges.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task, and no
-re-planning splits a window. ``sequence`` cuts each key into ranges of its first order
-column (a timestamp's day, else the value itself), numbers and shifts the rows inside
-each (key, range), and joins what a range needs from its neighbours: the number of rows
-before it, the last row of the range before and the first row of the range after. These
-come from one partially aggregated row per (key, range), so a key that holds a third of
-the rows is spread over as many tasks as it has days, and only its days meet in one.
-
-The result equals ``row_number`` / ``lag`` / ``lead`` over the key's window; ``order``
-must make a total order inside each key. Null keys and null order values are values like
-any other, as in a window: ranges are compared as structs, whose null fields are equal.
+re-planning splits a window. ``sequence`` cuts the order (key, order columns) inside every
+key that holds more than a small share of the rows, numbers and shifts the rows inside
+each (key, range), and adds what a range needs from its neighbours: the number of rows
+before it, the last row of the range before and the first row of the range after, one
+carry row per range, prefix-summed over the ranges of the key. A hot key may have unique
+order values or a few: its ranges hold about as many rows each either way (rows that agree
+in all order columns stay together). Keys below that share, such as an order's lines, are
+not cut, and what is left is one window.
+
+The table is shuffled once. The cuts come from a sample, the carries from a partial
+aggregation of the rows of cut keys; both are uncorrelated scalar subqueries with one array
+entry per range, so nothing runs before the query itself does and nothing is joined to the
+table.
+
+The result equals ``row_number`` / ``lag`` / ``lead`` over the key's window whatever the
+sample holds; ``order`` must make a total order inside each key. Null keys and null order
+values are values like any other, as in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quire.operators.ranges import MAX_RANGES, drawn, quantiles, search
+
+RANGES_PER_TASK = 8        # a range holds so small a part of a task's share of the rows
+
+
+def range_count(df: DataFrame) -> int:
+    """Number of ranges that the table is thought to have: some for each shuffle partition."""
+    return max(2, min(MAX_RANGES, RANGES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def hot_cuts(df: DataFrame, place: Column, ranges: int) -> Column:
+    """Sorted array of fewer than ``ranges`` values of ``place`` (a struct with the key as ``k``) that cut
+    every key with more than two of ``ranges`` equal parts of the rows into such parts, as a scalar
+    subquery over a sample whose size depends on ``ranges`` alone. Other keys have no cut."""
+    at = drawn(df, place, ranges).select(quantiles(ranges).alias("ps"))
+
+    def inside(p, i):  # the key is also at the quantile before or after
+        return (i > 0) & (i < ranges) & ((F.get("ps", i - 1)["k"] == p["k"]) | F.coalesce(F.get("ps", i + 1)["k"] == p["k"], F.lit(False)))
+
+    return at.select(F.array_distinct(F.filter("ps", inside)).alias("cuts")).scalar()
+
+
+def in_ranges(df: DataFrame, splits: Column, place: Column, key: Column, ranges: int) -> DataFrame:
+    """Add ``_b``, the range of a row, and whether its key is that of the split point at the start
+    (``_in``) or at the end (``_out``) of the range: a key that crosses ranges is."""
+    def held(i):
+        return F.coalesce(F.get("_splits", i)["k"] == key, F.lit(False))
+
+    return search(df, splits, place, ranges, "_b").withColumns({"_in": held(F.col("_b") - 1), "_out": held(F.col("_b"))}).drop("_splits")
 
 
 def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[str] = (),
@@ -25,29 +61,46 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[st
     """Add ``rn_name``, ``prev_<c>`` for each of ``lag_cols`` and ``next_<c>`` for each of
     ``lead_cols``; ``keep`` names the columns to carry besides keys and shifted ones."""
     keys, order, lag_cols, lead_cols = list(keys), list(order), list(lag_cols), list(lead_cols)
-    first = F.col(order[0])
-    if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
-        first = first.cast("date")
-    d = df.withColumn("_range", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], first.alias("r")))
-    by = F.struct(*order)
-    none = F.lit(None).cast("int")
-    ranges = d.groupBy("_range").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by(F.struct(*lag_cols) if lag_cols else none, by).alias("_last"),
-        F.min_by(F.struct(*lead_cols) if lead_cols else none, by).alias("_first"))
-    w = Window.partitionBy(*[F.col(f"_range.k{i}") for i in range(len(keys))]).orderBy("_range.r")
-    ranges = ranges.select(
-        F.col("_range").alias("_of"), "_n",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.lag("_last").over(w).alias("_prev"), F.lead("_first").over(w).alias("_next"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    d = d.withColumns({"_i": F.row_number().over(inside), **{f"_lag{j}": F.lag(c).over(inside) for j, c in enumerate(lag_cols)},
-                       **{f"_lead{j}": F.lead(c).over(inside) for j, c in enumerate(lead_cols)}})
-    j = d.join(ranges, F.col("_range") == F.col("_of"))
+    ranges = range_count(df)
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    place = F.struct(key.alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    cut = in_ranges(df, hot_cuts(df, place, ranges), place, key, ranges)
+    carry = _carries(cut, keys, order, lag_cols, lead_cols, ranges)
+
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    shifted = {"_i": F.row_number().over(inside), **{f"_lag{j}": F.lag(c).over(inside) for j, c in enumerate(lag_cols)},
+               **{f"_lead{j}": F.lead(c).over(inside) for j, c in enumerate(lead_cols)}}
+    if lead_cols:
+        shifted["_n"] = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b"))
+    d, at = cut.withColumns(shifted).withColumn("_carry", F.when(F.col("_in") | F.col("_out"), F.get(carry, F.col("_b")))), F.col("_carry")
+    before = F.when(F.col("_in"), F.coalesce(at["before"], F.lit(0))).otherwise(0)
     carried = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
-    return j.select(
-        *carried, (F.col("_before") + F.col("_i")).cast("long").alias(rn_name),
-        *[F.when(F.col("_i") == 1, F.col("_prev")[c]).otherwise(F.col(f"_lag{k}")).alias(f"prev_{c}")
-          for k, c in enumerate(lag_cols)],
-        *[F.when(F.col("_i") == F.col("_n"), F.col("_next")[c]).otherwise(F.col(f"_lead{k}")).alias(f"next_{c}")
-          for k, c in enumerate(lead_cols)])
+    return d.select(
+        *carried, (before + F.col("_i")).cast("long").alias(rn_name),
+        *[F.when(F.col("_in") & (F.col("_i") == 1), at["prev"][f"c{j}"]).otherwise(F.col(f"_lag{j}")).alias(f"prev_{c}")
+          for j, c in enumerate(lag_cols)],
+        *[F.when(F.col("_out") & (F.col("_i") == F.col("_n")), at["next"][f"c{j}"]).otherwise(F.col(f"_lead{j}")).alias(f"next_{c}")
+          for j, c in enumerate(lead_cols)])
+
+
+def _carries(cut: DataFrame, keys: list[str], order: list[str], lag_cols: list[str], lead_cols: list[str],
+             ranges: int) -> Column:
+    """Array with an entry per range: what the key that comes into it (``before``, ``prev``) and the key
+    that goes on after it (``next``) need from other ranges, as a scalar subquery."""
+    by, none = F.struct(*order), F.lit(None).cast("int")
+    last = F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(lag_cols)]) if lag_cols else none
+    first = F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(lead_cols)]) if lead_cols else none
+    pieces = cut.where("_in OR _out").groupBy(*keys, "_b", "_in", "_out").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max_by(last, by).alias("_last"), F.min_by(first, by).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    # at most two rows per range from here on
+    pieces = pieces.coalesce(1).select(
+        "_b", "_in", "_out", F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.lag("_last").over(w).alias("_prev"), F.lead("_first").over(w).alias("_next"))
+    per = pieces.groupBy("_b").agg(F.max(F.when(F.col("_in"), F.col("_before"))).alias("before"),
+                                   F.first(F.when(F.col("_in"), F.col("_prev")), ignorenulls=True).alias("prev"),
+                                   F.first(F.when(F.col("_out"), F.col("_next")), ignorenulls=True).alias("next"))
+    dense = cut.sparkSession.range(0, ranges, 1, 1).select(F.col("id").cast("int").alias("_r")).join(per, F.col("_r") == F.col("_b"), "left")
+    return (dense.agg(F.sort_array(F.collect_list(F.struct("_r", "before", "prev", "next"))).alias("all"))
+            .select(F.transform("all", lambda x: F.struct(x["before"].alias("before"), x["prev"].alias("prev"), x["next"].alias("next"))).alias("c"))
+            .scalar())

@@ -133,6 +133,84 @@ def state_asof_latest(df: DataFrame, key: str, asof: str, order_cols: list[str],
             .select(state, "n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent")))
 
 
+def state_mix(df: DataFrame, key: str, order_cols: list[str], state: str = "plan_id",
+              date_col: str = "start_date") -> DataFrame:
+    """``state_asof_latest`` for every month end at once (W46): keys per state and their percent.
+
+    A sweep line: a state row adds one to its state on its date and takes one from the state it ends
+    (the key's previous row, from ``sequence``), so the number of keys in a state at a date is a prefix
+    sum. The events are summed per (month, state) before anything is accumulated; the sums then run over
+    calendar months, from the first row's month to the last one's. States with no key at a month end
+    have no row there, as in the as-of query. Rows without a date are left out.
+    """
+    rows = df.where(F.col(date_col).isNotNull())
+    seq = sequence(rows.select(*dict.fromkeys([key, state, date_col, *order_cols])), [key], order_cols, lag_cols=[state], rn_name="_rn")
+    events = seq.select(F.last_day(date_col).alias("month_end"), F.explode(F.array(
+        F.struct(F.col(state).alias("s"), F.lit(1).alias("d")),
+        F.struct(F.col(f"prev_{state}").alias("s"), F.when(F.col("_rn") > 1, -1).otherwise(0).alias("d")))).alias("e"))
+    sums = events.groupBy("month_end", F.col("e.s").alias("_s")).agg(F.sum("e.d").alias("_d"))
+    months = sums.agg(F.min("month_end").alias("a"), F.max("month_end").alias("z")).select(F.transform(
+        F.sequence(F.trunc("a", "month"), F.trunc("z", "month"), F.expr("interval 1 month")), F.last_day)).scalar()
+    grid = sums.select("_s").distinct().withColumn("month_end", F.explode(months))  # calendar months times states
+    dense = grid.join(sums.select(F.col("month_end").alias("_m"), F.col("_s").alias("_t"), "_d"),
+                      (F.col("month_end") == F.col("_m")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+    upto = F.sum(F.coalesce("_d", F.lit(0))).over(Window.partitionBy("_s").orderBy("month_end"))
+    mix = dense.select("month_end", F.col("_s").alias(state), upto.alias("n_customers")).where("n_customers > 0")
+    total = F.sum("n_customers").over(Window.partitionBy("month_end"))
+    return mix.withColumn("_total", total).select("month_end", state, "n_customers", percent(F.col("n_customers"), F.col("_total")).alias("percent"))
+
+
+def missing_runs(df: DataFrame, col: str, names=("first_missing", "last_missing")) -> DataFrame:
+    """Runs of whole numbers (or dates) between the smallest and the largest value of ``col`` that never
+    occur, as (first, last, length) of each run (gaps and islands, W29).
+
+    The domain may have any size: nothing is generated. Distinct values are scanned in order over
+    ranges (``sequence`` without a key), so each value sees its successor although the neighbours may
+    be in different tasks. Nulls are no values."""
+    values = df.select(F.col(col).alias("_v")).where("_v IS NOT NULL").distinct()
+    is_date = dict(df.dtypes)[col] == "date"
+    step = (lambda c, n: F.date_add(c, n)) if is_date else (lambda c, n: c + n)
+    length = (F.datediff("next__v", "_v") if is_date else F.col("next__v") - F.col("_v")) - 1
+    seq = sequence(values, [], ["_v"], lead_cols=["_v"], rn_name="_rn")
+    return seq.where(length > 0).select(step(F.col("_v"), 1).alias(names[0]), step(F.col("next__v"), -1).alias(names[1]),
+                                        length.cast("bigint").alias("n_missing"))
+
+
+def prefix_cube(df: DataFrame, date_col: str, dims: list[str], value: str = "sales") -> DataFrame:
+    """(dimension, value, week, upto): per value of each dimension and Sunday week, the sum of ``value`` up
+    to the end of that week, for every week from the first to the last of the table (W52). Any span of
+    weeks is the difference of two rows. Meant to be stored; its size is that of the calendar times
+    the dimensions' values, and the table is read once (one grouping-sets pass)."""
+    week = F.date_sub(F.col(date_col), F.dayofweek(date_col) - 1)
+    sums = df.where(F.col(date_col).isNotNull()).groupBy(week.alias("week"), *dims).agg(F.sum(value).alias("_sum"))
+    g = sums.groupingSets([["week", d] for d in dims], "week", *dims).agg(F.sum("_sum").alias("_sum"), F.grouping_id().alias("_gid"))
+    dim, val = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, d in enumerate(dims):
+        here = F.col("_gid") == (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i))
+        dim, val = F.when(here, d).otherwise(dim), F.when(here, F.col(d).cast("string")).otherwise(val)
+    g = g.select("week", dim.alias("dimension"), val.alias("value"), "_sum")
+    weeks = sums.agg(F.min("week").alias("a"), F.max("week").alias("z")).select(F.sequence("a", "z", F.expr("interval 7 days"))).scalar()
+    grid = g.select("dimension", "value").distinct().withColumn("week", F.explode(weeks))  # calendar weeks times dimension values
+    of = g.select(F.col("week").alias("_w"), F.col("dimension").alias("_dim"), F.col("value").alias("_val"), "_sum")
+    dense = grid.join(of, (F.col("week") == F.col("_w")) & (F.col("dimension") == F.col("_dim")) & F.col("value").eqNullSafe(F.col("_val")), "left")
+    upto = F.sum("_sum").over(Window.partitionBy("dimension", "value").orderBy("week"))
+    return dense.select("dimension", "value", "week", F.coalesce(upto, F.lit(0)).cast("bigint").alias("upto"))
+
+
+def cube_before_after(cube: DataFrame, weeks: int) -> DataFrame:
+    """``before_after_by_dimension`` for every anchor week at once, from a ``prefix_cube`` alone (W52): the
+    ``weeks`` weeks before the anchor's week and the ``weeks`` weeks from it, each the difference of
+    two rows. Anchors whose weeks are not all inside the table are left out."""
+    w = Window.partitionBy("dimension", "value").orderBy("week")
+    # upto before the week, before the earlier weeks, and at the end of the later ones
+    at = cube.withColumns({"_mid": F.lag("upto", 1).over(w), "_from": F.lag("upto", weeks + 1).over(w), "_to": F.lead("upto", weeks - 1).over(w),
+                           "_n": F.row_number().over(w)})
+    at = at.where((F.col("_n") > weeks) & F.col("_to").isNotNull())
+    before = (F.col("_mid") - F.coalesce("_from", F.lit(0))).alias("total_sales_before")
+    return at.select("dimension", "value", "week", before, (F.col("_to") - F.col("_mid")).alias("total_sales_after")).select(
+        "dimension", "value", "week", *_change_columns("total_sales_before", "total_sales_after"))
+
+
 def days_between_states(df: DataFrame, key: str, a, b, state: str = "plan_id",
                         date_col: str = "start_date") -> DataFrame:
     """Per key: days from its first ``a`` state to its first ``b`` state (positive only)."""

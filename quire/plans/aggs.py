@@ -11,6 +11,7 @@ from quire.plans.cleaning import NUM_RE
 from quire.plans.common import (DELIVERED_SQL, ITEM_PRICE_SQL, delivered_items, delivered_orders, deliveries,
                                 item_price, pct_sql, weekly)
 from quire.plans.registry import register
+from quire.sources.sinks import materialize
 from quire.sources.views import OPEN_END, Views
 
 # exact mean in 1e-4 units, rounded half away from zero (cents summed as integers)
@@ -41,6 +42,25 @@ def q_percentiles_by(v: Views):
     return A.percentiles_by(closed, ["region_id"], "duration")
 
 
+@register("percentiles_by_rank", "W31", """
+SELECT l_returnflag AS return_flag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS median,
+       round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.8), 4) AS p80, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 4) AS p95
+FROM lineitem GROUP BY l_returnflag""")
+def q_percentiles_by_rank(v: Views):
+    lines = v.t.lineitem.select(F.col("l_returnflag").alias("return_flag"), F.col("l_extendedprice").cast("double").alias("price"))
+    return A.percentiles_by_rank(lines, ["return_flag"], "price")
+
+
+@register("distinct_rollup", "W32", """
+SELECT CASE WHEN d IS NOT NULL THEN 'day' WHEN m IS NOT NULL THEN 'month' ELSE 'all' END AS level,
+       CAST(coalesce(d, m) AS DATE) AS start, count(DISTINCT user_id) AS n_distinct
+FROM (SELECT user_id, CAST(event_time AS DATE) AS d, CAST(date_trunc('month', event_time) AS DATE) AS m FROM v_event) t
+GROUP BY GROUPING SETS ((d), (m), ())""")
+def q_distinct_rollup(v: Views):
+    stored = materialize(A.daily_bitmaps(v.v_event, F.col("event_time").cast("date"), "user_id"), "daily_users", partition_by=["day"])
+    return A.distinct_rollup(stored)
+
+
 @register("distinct_by", "W32", "SELECT region_id, count(DISTINCT node_id) AS n_nodes FROM v_node GROUP BY region_id")
 def q_distinct_by(v: Views):
     return A.distinct_by(v.v_node_lines, ["region_id"], "node_id", "n_nodes")

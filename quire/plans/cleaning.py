@@ -8,7 +8,7 @@ from quire.functions import calendar as cal
 from quire.functions.text import split_int_list
 from quire.operators import cleaning as C
 from quire.plans.registry import register
-from quire.sources.sinks import append_rows, materialize
+from quire.sources.sinks import append_rows, co_partition, materialize
 from quire.sources.tables import load_table
 from quire.sources.views import Views
 
@@ -197,3 +197,24 @@ def q_append_rows(v: Views):
     supreme = members.agg(F.array_join(F.array_sort(F.collect_list("m")), ", ").alias("toppings")) \
         .select(F.lit("SUPREME").alias("item_name"), "toppings")
     return append_rows(v.v_recipe, supreme)
+
+
+@register("co_partition", "W10", """
+SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, count(*) AS n_lines,
+       CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS line_total
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_custkey""")
+def q_co_partition(v: Views):
+    return order_totals(*co_partitioned_orders(v))
+
+
+def co_partitioned_orders(v: Views, buckets: int = 16):
+    """Orders and their lines as catalogue tables with the same buckets of the order id."""
+    orders = v.t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    lines = v.t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    return (co_partition(orders, "quire_orders_by_id", ["order_id"], buckets),
+            co_partition(lines, "quire_lines_by_order", ["order_id"], buckets))
+
+
+def order_totals(orders, lines):
+    return (orders.join(lines, "order_id").groupBy("order_id", "customer_id")
+            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("price").cast("decimal(38,2)").alias("line_total")))

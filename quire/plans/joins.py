@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.calendar import sunday_week
 from quire.operators import joins as J
+from quire.operators.windows import missing_runs
 from quire.plans.registry import register
 from quire.sources.views import Views
 
@@ -110,6 +111,23 @@ def q_missing_in_range(v: Views):
     return J.missing_in_range(weeks, "week_number", 1, 52)
 
 
+@register("missing_runs", "W29", """
+SELECT user_id + 1 AS first_missing, n - 1 AS last_missing, n - user_id - 1 AS n_missing
+FROM (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events) d) t
+WHERE n - user_id > 1""")
+def q_missing_runs(v: Views):
+    return missing_runs(v.t.events, "user_id")
+
+
+@register("missing_days", "W29", """
+SELECT CAST(d + 1 AS DATE) AS first_missing, CAST(n - 1 AS DATE) AS last_missing, CAST(n - d - 1 AS BIGINT) AS n_missing
+FROM (SELECT d, lead(d) OVER (ORDER BY d) AS n FROM (SELECT DISTINCT order_date AS d FROM v_sale WHERE product_id = 7) x) t
+WHERE n - d > 1""")
+def q_missing_days(v: Views):
+    """Stretches of days on which a product was not sold."""
+    return missing_runs(v.v_sale.where(F.col("product_id") == 7), "order_date")
+
+
 @register("interval_join", "W22", """
 SELECT e.event_id, e.event_time, c.campaign_name
 FROM v_event e LEFT JOIN v_campaign c ON e.event_time BETWEEN c.start_date AND c.end_date""")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.functions.calendar import minutes_between
 from quire.functions.numeric import exact_mean_of_units
 from quire.operators import windows as Wn
+from quire.operators.balances import merge_late, read_balances, store_balances
 from quire.plans.cleaning import NUM_RE
 from quire.plans.common import DELIVERED_SQL, delivered_orders, deliveries, pct_sql, weekly
 from quire.plans.joins import SALE_ORDER
 from quire.plans.registry import register
+from quire.session import checkpoint_dir
 from quire.sources.views import OPEN_END, Views
 
 SUB_ORDER = ["start_date", "event_id"]
@@ -337,3 +341,57 @@ def q_before_after_label(v: Views):
     labelled = Wn.before_after_label(v.v_weekly, "week_date", BA_ANCHOR, 4)
     return (labelled.where(F.col("period").isNotNull()).groupBy("region", "period")
             .agg(F.sum("sales").cast("bigint").alias("total_sales")))
+
+
+@register("state_mix", "W46", f"""
+WITH m AS (SELECT last_day(CAST(range AS DATE)) AS month_end FROM range((SELECT date_trunc('month', min(start_date)) FROM v_sub),
+               (SELECT max(start_date) FROM v_sub) + INTERVAL 1 DAY, INTERVAL 1 MONTH)),
+     s AS (SELECT m.month_end, v.customer_id, v.plan_id,
+                  row_number() OVER (PARTITION BY m.month_end, v.customer_id ORDER BY v.start_date DESC, v.event_id DESC) AS r
+           FROM m JOIN v_sub v ON v.start_date <= m.month_end),
+     c AS (SELECT month_end, plan_id, count(*) AS n_customers FROM s WHERE r = 1 GROUP BY month_end, plan_id),
+     t AS (SELECT *, CAST(sum(n_customers) OVER (PARTITION BY month_end) AS BIGINT) AS total FROM c)
+SELECT month_end, plan_id, n_customers, {pct_sql('n_customers', 'total')} AS percent FROM t""")
+def q_state_mix(v: Views):
+    return Wn.state_mix(v.v_sub, "customer_id", ["start_date", "event_id"])
+
+
+CUBE_WEEKS = 12
+
+
+@register("before_after_any_week", "W52", f"""
+WITH w0 AS (SELECT *, CAST(week_date - CAST(dayofweek(week_date) AS INT) AS DATE) AS wk, {_AGE} AS age_band, {_DEMO} AS demographic FROM v_weekly),
+     d AS ({' UNION ALL '.join(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS value, wk, sales FROM w0" for c in BA_DIMS)}),
+     s AS (SELECT dimension, value, wk, sum(sales) AS sales FROM d GROUP BY dimension, value, wk),
+     g AS (SELECT dimension, value, CAST(a.range AS DATE) AS week
+           FROM (SELECT DISTINCT dimension, value FROM s) v,
+                range((SELECT min(wk) FROM s), (SELECT max(wk) FROM s) + INTERVAL 1 DAY, INTERVAL 7 DAY) a),
+     t AS (SELECT g.dimension, g.value, g.week,
+                  CAST(coalesce(sum(s.sales) FILTER (WHERE s.wk < g.week), 0) AS BIGINT) AS b,
+                  CAST(coalesce(sum(s.sales) FILTER (WHERE s.wk >= g.week), 0) AS BIGINT) AS a
+           FROM g LEFT JOIN s ON s.dimension = g.dimension AND s.value IS NOT DISTINCT FROM g.value
+                AND s.wk >= g.week - {7 * CUBE_WEEKS} AND s.wk < g.week + {7 * CUBE_WEEKS}
+           WHERE g.week - {7 * CUBE_WEEKS} >= (SELECT min(wk) FROM s) AND g.week + {7 * (CUBE_WEEKS - 1)} <= (SELECT max(wk) FROM s)
+           GROUP BY g.dimension, g.value, g.week)
+{_ba_select('dimension, value, week, ')}""")
+def q_before_after_any_week(v: Views):
+    return Wn.cube_before_after(Wn.prefix_cube(weekly(v), "week_date", BA_DIMS), CUBE_WEEKS)
+
+
+@register("balances_by_delta", "W51", """
+WITH m AS (SELECT customer_id, CAST(date_trunc('month', txn_date) AS DATE) AS month,
+                  sum(CASE WHEN txn_type = 'deposit' THEN txn_amount ELSE -txn_amount END) AS net FROM v_txn GROUP BY 1, 2)
+SELECT customer_id, month, CAST(net AS DECIMAL(38,2)) AS monthly_balance,
+       CAST(sum(net) OVER (PARTITION BY customer_id ORDER BY month) AS DECIMAL(38,2)) AS closing_balance FROM m""")
+def q_balances_by_delta(v: Views):
+    """The whole ledger in four deliveries: a first load, and three batches that come late, in any order of
+    their dates."""
+    ledger = Wn.signed(v.v_txn)
+    batch = F.pmod(F.xxhash64("txn_id"), F.lit(4))
+    path = f"{checkpoint_dir(v.spark).rstrip('/')}/tables/balances-{uuid.uuid4().hex}"
+    args = ("customer_id", "txn_date", "signed_amount")
+    store_balances(ledger.where(batch == 0), path, *args)
+    for i in (1, 2, 3):
+        merge_late(v.spark, path, ledger.where(batch == i), *args)
+    return read_balances(v.spark, path).select("customer_id", "month", F.col("monthly_balance").cast("decimal(38,2)").alias("monthly_balance"),
+                                               F.col("closing_balance").cast("decimal(38,2)").alias("closing_balance"))

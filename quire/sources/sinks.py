@@ -49,6 +49,25 @@ def materialize(df: DataFrame, name: str, how: str = "parquet", partition_by: li
     return spark.read.parquet(target)
 
 
+def co_partition(df: DataFrame, name: str, keys: list[str], buckets: int, sort_by: list[str] | None = None,
+                 path: str | None = None) -> DataFrame:
+    """Keep a table in the catalogue, hash-bucketed by ``keys`` and sorted inside each bucket (W10), and
+    return a DataFrame over it. Tables with the same number of buckets on keys of the same types join,
+    group and window on these keys without any exchange, and merge-join without a sort when there
+    is one file per bucket, which the repartitioning before the write makes sure of.
+
+    The files go to the shared folder (or ``path``), not to the machine-local default warehouse. An
+    existing table of the name is replaced. Choose ``buckets`` so that one bucket of the largest table
+    fits a task; a key that holds much more than that is better joined by a plain, skew-handled join."""
+    spark = df.sparkSession
+    target = path or f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    w = (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", target)
+         .bucketBy(buckets, *keys).sortBy(*(sort_by or keys)))
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    w.saveAsTable(name)
+    return spark.table(name)
+
+
 def append_rows(base: DataFrame, *new: DataFrame) -> DataFrame:
     """UNION ALL by column name; new frames are cast to the base schema."""
     out = base
