@@ -144,11 +144,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, ts: str, start: str,
     def placed(df, at, out):
         return search(df, splits, F.col(at), slots, out).drop("_splits")
 
-    filed = placed(placed(good, start, "_a"), end, "_z")
-    touched = filed.agg(F.sum(F.col("_z") - F.col("_a") + 1).alias("s"), F.count(F.lit(1)).alias("n"))
-    stride = touched.select(F.greatest(F.lit(1), F.ceil(F.col("s") / (FILED_PER_INTERVAL * F.col("n")))).cast("int").alias("w")).scalar()
-    filed = (filed.withColumn("_stride", F.coalesce(stride, F.lit(1)))
-             .withColumn("_slot", F.explode(F.sequence(F.expr("_a div _stride"), F.expr("_z div _stride")))).drop("_a", "_z", "_stride"))
-    at = placed(points, ts, "_at").withColumn("_stride", F.coalesce(stride, F.lit(1))).withColumn("_own", F.expr("_at div _stride")).drop("_at", "_stride")
+    filed, at = placed(placed(good, start, "_a"), end, "_z"), placed(points, ts, "_own")
+    if slots > FILED_PER_INTERVAL:
+        touched = filed.agg(F.sum(F.col("_z") - F.col("_a") + 1).alias("s"), F.count(F.lit(1)).alias("n"))
+        stride = F.coalesce(touched.select(F.greatest(F.lit(1), F.ceil(F.col("s") / (FILED_PER_INTERVAL * F.col("n")))).cast("int")).scalar(), F.lit(1))
+        filed = filed.withColumns({c: F.floor(F.col(c) / stride).cast("int") for c in ("_a", "_z")})
+        at = at.withColumn("_own", F.floor(F.col("_own") / stride).cast("int"))
+    filed = filed.withColumn("_slot", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
     return (at.join(filed, (F.col("_own") == F.col("_slot")) & (at[ts] >= filed[start]) & (at[ts] <= filed[end]), "left")
             .drop("_own", "_slot"))

@@ -7,13 +7,13 @@ each (key, range), and adds what a range needs from its neighbours: the number o
 before it, the last row of the range before and the first row of the range after, one
 carry row per range, prefix-summed over the ranges of the key. A hot key may have unique
 order values or a few: its ranges hold about as many rows each either way (rows that agree
-in all order columns stay together). Keys below that share, such as an order's lines, are
-not cut, and what is left is one window.
+in all order columns stay together).
 
 The table is shuffled once. The cuts come from a sample, the carries from a partial
 aggregation of the rows of cut keys; both are uncorrelated scalar subqueries with one array
-entry per range, so nothing runs before the query itself does and nothing is joined to the
-table.
+entry per range, and nothing is joined to the table. Natural keys, such as an order's lines,
+need none of it: the keys of a sample are counted when the query is built (one small job;
+none for small tables), and where no key is hot the plan is one window.
 
 The result equals ``row_number`` / ``lag`` / ``lead`` over the key's window whatever the
 sample holds; ``order`` must make a total order inside each key. Null keys and null order
@@ -25,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.ranges import MAX_RANGES, drawn, quantiles, search
+from quire.operators.ranges import MAX_RANGES, SAMPLE_PER_RANGE, drawn, estimated_rows, quantiles, sampled, search
 
 RANGES_PER_TASK = 8        # a range holds so small a part of a task's share of the rows
+MIN_HOT_ROWS = 50_000      # keys with fewer rows, by estimate, are left whole
+DOUBT = 8                  # an estimate of rows may be too low by so much
 
 
 def range_count(df: DataFrame) -> int:
@@ -35,6 +37,18 @@ def range_count(df: DataFrame) -> int:
     return max(2, min(MAX_RANGES, RANGES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def has_hot_key(df: DataFrame, keys: list[str], ranges: int) -> bool:
+    """Whether a key of a sample holds more than two of ``ranges`` equal parts of it, and enough rows."""
+    rows = estimated_rows(df)
+    if rows is not None and DOUBT * rows < MIN_HOT_ROWS:
+        return False
+    counts = sampled(df.select(*keys), SAMPLE_PER_RANGE * ranges).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if not total or most * ranges <= 2 * total:
+        return False
+    return rows is None or DOUBT * rows * most >= MIN_HOT_ROWS * total
+
+
 def hot_cuts(df: DataFrame, place: Column, ranges: int) -> Column:
     """Sorted array of fewer than ``ranges`` values of ``place`` (a struct with the key as ``k``) that cut
     every key with more than two of ``ranges`` equal parts of the rows into such parts, as a scalar
@@ -62,6 +76,11 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[st
     ``lead_cols``; ``keep`` names the columns to carry besides keys and shifted ones."""
     keys, order, lag_cols, lead_cols = list(keys), list(order), list(lag_cols), list(lead_cols)
     ranges = range_count(df)
+    carried = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
+    if not has_hot_key(df, keys, ranges):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(*carried, F.row_number().over(w).cast("long").alias(rn_name), *[F.lag(c).over(w).alias(f"prev_{c}") for c in lag_cols],
+                         *[F.lead(c).over(w).alias(f"next_{c}") for c in lead_cols])
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     place = F.struct(key.alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     cut = in_ranges(df, hot_cuts(df, place, ranges), place, key, ranges)
@@ -74,7 +93,6 @@ def sequence(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[st
         shifted["_n"] = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b"))
     d, at = cut.withColumns(shifted).withColumn("_carry", F.when(F.col("_in") | F.col("_out"), F.get(carry, F.col("_b")))), F.col("_carry")
     before = F.when(F.col("_in"), F.coalesce(at["before"], F.lit(0))).otherwise(0)
-    carried = list(dict.fromkeys((keep or df.columns) + keys + lag_cols + lead_cols))
     return d.select(
         *carried, (before + F.col("_i")).cast("long").alias(rn_name),
         *[F.when(F.col("_in") & (F.col("_i") == 1), at["prev"][f"c{j}"]).otherwise(F.col(f"_lag{j}")).alias(f"prev_{c}")

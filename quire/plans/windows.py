@@ -389,7 +389,7 @@ def q_balances_by_delta(v: Views):
     ledger = Wn.signed(v.v_txn)
     batch = F.pmod(F.xxhash64("txn_id"), F.lit(4))
     path = f"{checkpoint_dir(v.spark).rstrip('/')}/tables/balances-{uuid.uuid4().hex}"
-    args = ("customer_id", "txn_date", "signed_amount")
+    args = ("customer_id", "txn_date", "signed_amount", 16)
     store_balances(ledger.where(batch == 0), path, *args)
     for i in (1, 2, 3):
         merge_late(v.spark, path, ledger.where(batch == i), *args)

@@ -23,6 +23,12 @@ def got(df, keys, order=("start_date", "event_id"), **kw):
     return sequence(df, keys, list(order), lag_cols=["plan_id"], lead_cols=["plan_id", "start_date"], **kw)
 
 
+@pytest.fixture(autouse=True)
+def cut_small_keys(monkeypatch):
+    import importlib
+    monkeypatch.setattr(importlib.import_module("quire.operators.sequence"), "MIN_HOT_ROWS", 0)
+
+
 def same(a, b, cols=COLS):
     a, b = a.select(cols), b.select(cols)
     return a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -130,6 +136,21 @@ def test_only_hot_keys_are_cut(spark, long_key):
     assert spark.range(1).select(hot_cuts(natural, place, 64).alias("c")).first()["c"] == []
 
 
+def test_natural_keys_are_one_window(spark, long_key):
+    natural = long_key.where("customer_id >= 0")
+    text = got(natural, ["customer_id"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and "Subquery" not in text and "_b" not in text
+    assert same(got(natural, ["customer_id"]), expected(natural, ["customer_id"]))
+
+
+def test_small_keys_are_left_whole_without_a_job(spark, subs, monkeypatch):
+    import importlib
+    module = importlib.import_module("quire.operators.sequence")
+    monkeypatch.setattr(module, "MIN_HOT_ROWS", 10**9)
+    monkeypatch.setattr(module, "sampled", None)
+    assert same(got(subs[1], ["customer_id"]), expected(subs[1], ["customer_id"]))
+
+
 def test_a_poor_sample_costs_nothing_but_balance(spark, long_key, monkeypatch):
     import importlib
 
@@ -137,4 +158,5 @@ def test_a_poor_sample_costs_nothing_but_balance(spark, long_key, monkeypatch):
     want = expected(long_key, ["customer_id"])
     for rows in (0, 3, 40):
         monkeypatch.setattr(module, "sampled", lambda df, n, rows=rows: df.limit(rows))
+        monkeypatch.setattr(importlib.import_module("quire.operators.sequence"), "has_hot_key", lambda *a: True)
         assert same(sequence(long_key, ["customer_id"], ["start_date", "event_id"], ["plan_id"], ["plan_id", "start_date"]), want)
