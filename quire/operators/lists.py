@@ -134,14 +134,25 @@ def apply_list_edits(df: DataFrame, keys: list[str], item: str, base: DataFrame,
                      name_col: str = "topping_name", out: str = "ingredients") -> DataFrame:
     """Ingredient text per row: 'item: a, 2x b, c' in alphabetical order.
 
-    Member multiplicities are counted inside the row; rows without a named
-    member give no text.
+    The text is made once per distinct (item, removed, added) and joined back on these three, so its
+    cost follows the different edits, not the rows. Rows without a named member give no text.
     """
+    edits = [item, removed, added]
+    texts = _edited_texts(df.select(*edits).distinct(), edits, item, base, base_col, removed, added, names, id_name, name_col, out)
+    texts = texts.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(edits)})
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(edits)]
+    return df.select(*dict.fromkeys([*keys, *edits])).join(texts, same[0] & same[1] & same[2]).select(*keys, out)
+
+
+def _edited_texts(df: DataFrame, keys: list[str], item: str, base: DataFrame, base_col: str, removed: str, added: str,
+                  names: DataFrame, id_name: str, name_col: str, out: str) -> DataFrame:
+    """(keys, text) of each row; multiplicities are counted inside the row."""
     b = base.select(F.col(item), split_int_list(base_col).alias("_base"))
     empty = F.array().cast("array<int>")
     kept = F.array_except(F.coalesce("_base", empty), F.coalesce(split_int_list(removed), empty))
     every = F.filter(F.concat(kept, F.coalesce(split_int_list(added), empty)), lambda x: x.isNotNull())
-    j = df.join(b, item).select(*keys, item, every.alias("_every"))
+    keys = list(dict.fromkeys([*keys, item]))
+    j = df.join(b, item).select(*keys, every.alias("_every"))
     j = j.withColumn("_ids", F.array_distinct("_every"))
     n_of = lambda x: F.size(F.filter(F.col("_every"), lambda y: y == x))
 
@@ -152,11 +163,11 @@ def apply_list_edits(df: DataFrame, keys: list[str], item: str, base: DataFrame,
     if look_up is not None:
         named = F.filter(F.transform("_ids", lambda x: F.struct(F.try_element_at(F.col("_map"), x).alias("name"), n_of(x).alias("n"))),
                          lambda s: s["name"].isNotNull())
-        g = j.withColumn("_map", look_up).select(*keys, item, F.array_sort(named).alias("_ls")).where(F.size("_ls") > 0)
+        g = j.withColumn("_map", look_up).select(*keys, F.array_sort(named).alias("_ls")).where(F.size("_ls") > 0)
     else:
-        m = (j.select(*keys, item, F.explode(F.transform("_ids", lambda x: F.struct(x.alias("id"), n_of(x).alias("n")))).alias("_m"))
-             .select(*keys, item, F.col("_m.id").alias(id_name), F.col("_m.n").alias("n")).join(names, id_name))
-        g = m.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(F.col(name_col).alias("name"), "n"))).alias("_ls"))
+        m = (j.select(*keys, F.explode(F.transform("_ids", lambda x: F.struct(x.alias("id"), n_of(x).alias("n")))).alias("_m"))
+             .select(*keys, F.col("_m.id").alias(id_name), F.col("_m.n").alias("n")).join(names, id_name))
+        g = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(name_col).alias("name"), "n"))).alias("_ls"))
     return g.select(*keys, F.concat(F.col(item), F.lit(": "), F.array_join(
         F.transform("_ls", lambda s: label(s["name"], s["n"])), ", ")).alias(out))
 
