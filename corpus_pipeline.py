@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, language, line_dedup, mixing, packing
-from quire.llm.common import stage
+from quire.llm.common import release, stage
 
 MIN_LANGUAGE_SCORE = 0.5
 BOX = "__document__"
@@ -60,6 +60,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
                    .join(names, F.col("_key") == F.col("key")).select("key", "row", "component_id"), "near-groups")
     if groups.groupBy("key").count().filter("count > 1").limit(1).count():
         raise RuntimeError("two documents share a 64-bit name")
+    release(spark)  # the links' shuffle files are not needed when the texts move
     firsts = groups.groupBy("component_id").agg(F.min_by("key", F.struct("row", "key")).alias("key")).select("key")
     return unboxed(rows.join(firsts, "key", "left_semi").dropDuplicates(["key"]), docs)
 

@@ -23,9 +23,29 @@ GRAMS_PER_LANGUAGE = 10_000  # bound of the n-gram model, for each length
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 EVIDENCE = 5                 # words that a text's words count as at most: its length alone makes nothing certain
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
+LATIN_LETTERS = "[a-zªµºß-öø-ÿ]+"  # the same in lower-case texts below U+0100, which have no combining marks
 UNKNOWN = "und"
 
 
+def letter_runs():
+    """Function from a lower-case text to its runs of letters; texts of Latin-1 letters alone, most texts of
+    western languages, take the standard library's faster matcher."""
+    import re
+
+    import regex
+
+    every, latin = regex.compile(LETTERS).findall, re.compile(LATIN_LETTERS).findall
+
+    def runs(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return every(text)
+        return latin(text)
+
+    return runs
+
+
 def _grams(word: str, k: int) -> list[str]:
     """The n-grams of a word between spaces; single letters without the spaces, which every word has."""
     padded = f" {word} " if k > 1 else word
@@ -37,9 +57,8 @@ def _word_counts(batches):
     from collections import Counter
 
     import pyarrow as pa
-    import regex
 
-    letters = regex.compile(LETTERS).findall
+    letters = letter_runs()
     for b in batches:
         found: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("_t").to_pylist()):
@@ -71,6 +90,37 @@ def _gram_counts(batches):
              pa.array(list(found.values()), pa.float64())], names=["lang", "k", "w", "n"])
 
 
+def _by_language(values: dict[str, int]) -> str:
+    """SQL for the value of the row's language; null for others."""
+    def text(lang):
+        return "'" + lang.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "CASE " + " ".join(f"WHEN lang = {text(k)} THEN {v}L" if v > -(1 << 63) else f"WHEN lang = {text(k)} THEN -9223372036854775807L" for k, v in values.items()) + " END"
+
+
+def _last_hashes(rows: DataFrame, wanted: int) -> dict[str, int]:
+    """Per language the ``wanted``-th smallest hash of its rows (lang, _h), or the largest long where it has
+    no more rows. Hashes are uniform, so a threshold by the language's count leaves about twice as many
+    rows as wanted, and only these, without their texts, are put in order. One entry per language comes
+    to the driver, as for the model."""
+    largest = (1 << 63) - 1
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    out = {k: largest for k, n in counts.items() if n <= wanted}
+    share = {k: 2 * wanted / n for k, n in counts.items() if n > wanted}
+    while share:
+        at = {k: largest if s >= 1 else int(s * (1 << 64)) - (1 << 63) for k, s in share.items()}
+        few = rows.filter("_h <= " + _by_language(at)).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
+        found = {r["lang"]: r["_h"] for r in few.filter(F.col("_r") == wanted).select("lang", "_h").collect()}
+        out |= found
+        share = {k: 4 * s for k, s in share.items() if k not in found}  # fewer than wanted: a rare chance, or repeated ids
+    return out
+
+
+def _no_rows():
+    import pyarrow as pa
+    return pa.table({"lang": pa.array([], pa.string()), "k": pa.array([], pa.int32()), "w": pa.array([], pa.string()),
+                     "n": pa.array([], pa.float64()), "_all": pa.array([], pa.float64())})
+
+
 def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
     """A model from (doc_id, text, lang): per-language log frequencies of words and n-grams.
 
@@ -82,11 +132,10 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> di
     """
     usable = (labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
               .select("lang", F.xxhash64("doc_id").alias("_h"), F.col("text").alias("_t")))
-    order = Window.partitionBy("lang").orderBy("_h")
-    # the hash of the last document of each language's sample is found without moving texts
-    last = (usable.select("lang", "_h").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_language)
-            .groupBy("lang").agg(F.max("_h").alias("_last")))
-    sample = (usable.join(last, "lang").filter("_h <= _last")
+    last = _last_hashes(usable.select("lang", "_h"), docs_per_language)
+    if not last:
+        return _tables(_no_rows())
+    sample = (usable.filter("_h <= " + _by_language(last))
               .withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t")))
               .filter(F.col("_r") <= docs_per_language))
     words = (sample.select("lang", "_t", "_h").repartition("_h").mapInArrow(_word_counts, "lang string, w string, n long")
@@ -132,11 +181,11 @@ class Scorer:
 
     def __init__(self, model: dict, kept: int = 200_000):
         import numpy as np
-        import regex
 
         self.np, self.langs, self.kept = np, model["langs"], kept
         self.places, self.logs = model["at"], model["logs"]
-        self.letters = regex.compile(LETTERS).findall
+        self.letters = letter_runs()
+        self.rows = {k: self.logs[k].tolist() for k in GRAM_LENGTHS}
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs) + 1))
 
@@ -152,8 +201,11 @@ class Scorer:
             found = [v for g in grams if (v := places.get(g)) is not None]
             if found:
                 if not degree:
-                    scores = self.logs[k][found].mean(axis=0)
+                    rows = self.rows[k]
+                    scores = [sum(x) / len(found) for x in zip(*[rows[v] for v in found])]
                 degree = max(degree, k / GRAM_LENGTHS[0] * len(found) / len(grams))
+            if degree >= (k - 1) / GRAM_LENGTHS[0]:
+                break  # shorter ones count no more than that
         return scores, degree
 
     def text(self, text: str | None) -> tuple[str, float]:

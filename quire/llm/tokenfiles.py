@@ -149,6 +149,19 @@ def by_doc_id(docs: DataFrame) -> DataFrame:
     return (rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h"))
 
 
+def file_system(path: str):
+    """(Arrow file system, name in it) of a path as Spark writes it: with a scheme, Spark's names of the
+    S3 client included, or with ``file:`` and any number of slashes, or plain."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        path, scheme = f"s3:{rest}", "s3"
+    if colon and scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat_type: str = "", literal_specials: bool = False) -> DataFrame:
     """Write the ids of every whole text (null: empty), each followed by ``end_id``, in the order of
     the rows, to packed files, or to flat files of ids of ``flat_type`` ("<u2" or "<u4"). Returns one
@@ -164,7 +177,6 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat_type: str = "
 
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
         enc = encoder(tokenizer, literal_specials)
@@ -180,7 +192,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, flat_type: str = "
             ids = np.frombuffer(b"".join(held), dtype="<u4")
             keys = [-(1 << 63) if d is None else d for d in doc_ids]
             path = f"{folder}/part-{part:06d}-{number:05d}-{uuid.uuid4().hex}"
-            where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            where, name = file_system(path)
             where.create_dir(name.rpartition("/")[0], recursive=True)
             if flat_type and len(ids) and int(ids.max()) > np.iinfo(flat_type).max:
                 raise ValueError(f"an id does not fit {flat_type}")
@@ -215,9 +227,15 @@ def files_of(manifest: DataFrame) -> DataFrame:
             .withColumn("before", F.coalesce(F.sum("file_ids").over(before), F.lit(0))))
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Number of tasks that files are dealt to. It is given to ``repartition``: without a number adaptive
+    execution would see a few bytes of paths and read all files in one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def read_documents(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, doc_id, start, n_tokens, ids_crc32) of every document, decoded from packed files;
-    ``start`` counts from the start of its file."""
+    """(path, doc_id, start, n_tokens, ids_crc32) of every document, decoded from packed files of
+    ``files`` (path, before); ``start`` counts from ``before`` at the start of its file."""
     ddl = "path string, doc_id long, start long, n_tokens long, ids_crc32 long"
     schema = arrow_schema(ddl)
 
@@ -226,11 +244,10 @@ def read_documents(spark: SparkSession, files: DataFrame) -> DataFrame:
 
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
         for b in batches:
-            for path in b.column("path").to_pylist():
-                where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            for path, before in zip(b.column("path").to_pylist(), b.column("before").to_pylist()):
+                where, name = file_system(path)
                 with where.open_input_file(name) as f:
                     doc_ids, lengths, ids = read_file(f.read())
                 stops = np.cumsum(lengths)
@@ -239,9 +256,9 @@ def read_documents(spark: SparkSession, files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a:4 * z]) for a, z in zip(starts.tolist(), stops.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(lengths)), pa.array(doc_ids, pa.int64(), mask=doc_ids == -(1 << 63)),
-                     pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64())], schema=schema)
+                     pa.array(starts + before), pa.array(lengths), pa.array(crc, pa.int64())], schema=schema)
 
-    return files.select("path").repartition("path").mapInArrow(run, ddl)
+    return files.select("path", "before").repartition(file_tasks(spark), "path").mapInArrow(run, ddl)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,10 +268,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_files(by_doc_id(docs), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    files = files_of(manifest)
-    back = read_documents(spark, files)
-    return (back.join(files.select("path", "before"), "path")
-            .select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"))
+    return read_documents(spark, files_of(manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 SCAN_BLOCK = 1_000_000  # ids that one step of the separator scan reads
@@ -271,7 +285,7 @@ def scan_flat_files(files: DataFrame, end_id: int, width: int = 4, block: int =
     """
     blocks = (files.select("path", "file_ids", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("file_ids") / block) - 1).cast("long"))).alias("block"))
-        .repartition("path", "block"))
+        .repartition(file_tasks(files.sparkSession), "path", "block"))
     ddl = "path string, block long, n long, first long, last long, ends array<long>"
     schema = arrow_schema(ddl)
     kind = {2: "<u2", 4: "<u4"}[width]
@@ -279,11 +293,10 @@ def scan_flat_files(files: DataFrame, end_id: int, width: int = 4, block: int =
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
         for b in batches:
             for path, k in zip(b.column("path").to_pylist(), b.column("block").to_pylist()):
-                where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                where, name = file_system(path)
                 with where.open_input_file(name) as f:
                     f.seek(k * block * width)
                     ids = np.frombuffer(f.read(block * width), dtype=kind)
@@ -309,11 +322,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents, as they come, to flat files of plain 16-bit ids, each ended by id 49407,
     and count every document's tokens by scanning the files for that id: doc_id, n_tokens (without
     the separator). The scan itself sees ids alone; the ordinals it finds are matched with the order
-    in which the documents were written."""
+    in which the documents were written. A null or empty text has no tokens; rows that share an id, or have
+    none, come back one by one."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=49407, flat_type="<u2",
                            literal_specials=True)
     scanned = scan_flat_files(files_of(manifest), 49407, width=2)
-    return (scanned.join(manifest.select("path", "ordinal", "doc_id"), ["path", "ordinal"]).select("doc_id", "n_tokens"))
+    # both sides grow with the documents: Spark's estimate of what Python emits must not turn one into a broadcast
+    return (scanned.hint("merge").join(manifest.select("path", "ordinal", "doc_id"), ["path", "ordinal"]).select("doc_id", "n_tokens"))

@@ -254,3 +254,18 @@ def test_word_encoder_equals_the_library():
         tok.encode_special_tokens = specials
         got = WordEncoder(path, specials).encode([None, *texts])
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[], *[tok.encode(t, add_special_tokens=False).ids for t in texts]]
+
+
+def test_paths_as_spark_writes_them(tmp_path):
+    (tmp_path / "x").write_bytes(b"ids")
+    for path in (f"{tmp_path}/x", f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
+        where, name = tokenfiles.file_system(path)
+        with where.open_input_file(name) as f:
+            assert f.read() == b"ids"
+
+
+def test_token_queries_broadcast_nothing_that_grows(spark, folder):
+    """What Python emits is no build side of a broadcast, whatever Spark estimates, and files are read by many tasks."""
+    for name in ("op6_token_files", "op8_token_counts"):
+        text = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in text and "REPARTITION_BY_NUM" in text

@@ -42,3 +42,29 @@ def test_rare_words_of_a_language_are_kept(spark):
     words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(25_000)]
     model = language.train(spark.createDataFrame([(1, " ".join(words), "en")], "doc_id long, text string, lang string"))
     assert set(words) <= set(model["at"][0])
+
+
+def test_latin_texts_have_the_same_letter_runs():
+    import regex
+
+    every = regex.compile(language.LETTERS).findall
+    runs = language.letter_runs()
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b", c * 2, f"{c} é"):
+            assert runs(text.lower()) == every(text.lower())
+
+
+def test_the_sample_is_the_first_in_hash_order(spark, monkeypatch):
+    """With few and many documents per language, quotes in a label, and a threshold that is too low at first."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "it's").when(F.col("id") % 50 == 1, "rare\\").otherwise("x").alias("lang"),
+                                    F.xxhash64("id").alias("_h"))
+    for wanted in (1, 7, 100, 1999, 2000, 2001):
+        got = language._last_hashes(rows, wanted)
+        for lang in ("it's", "rare\\", "x"):
+            hashes = sorted(r["_h"] for r in rows.filter(F.col("lang") == lang).collect())
+            assert got[lang] == (hashes[wanted - 1] if wanted < len(hashes) else (1 << 63) - 1)
+    assert language._last_hashes(rows.limit(0), 5) == {}
+    same = rows.withColumn("_h", F.lit((1 << 62)).cast("long"))
+    assert set(language._last_hashes(same, 5).values()) == {1 << 62}
