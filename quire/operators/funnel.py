@@ -128,6 +128,52 @@ def visit_summary(events: DataFrame, campaigns: DataFrame, visit: str = "visit_i
                     "impression", "click")
 
 
+SKETCH_ROWS = 2          # hash functions of the sketch of counts
+SKETCH_CELLS = 16_384    # cells of each
+
+
+def top_k_by_sketch(df: DataFrame, key: str, k: int, name: str = "n") -> DataFrame:
+    """The ``k`` most frequent values of ``key`` with their counts, ties with the k-th kept (W13, W58), for
+    keys with very many distinct values: three phases, of which only the last counts values.
+
+    1. A sketch: each task adds up its rows per cell, a few thousand cells for each hash function. The
+       smaller of a value's cells is an upper bound of its count.
+    2. A lower bound: the values of the first function's ``k`` largest cells, at least ``k`` values, are
+       counted exactly; the k-th largest of these counts is at most the k-th largest of all.
+    3. The values whose upper bound reaches the lower bound are counted exactly.
+
+    The result is exact whatever the distribution. What is saved is the shuffle of the values that
+    cannot be among the first: nearly all of them where counts are uneven, none where all are equal. The
+    sketch has ``SKETCH_ROWS`` x ``SKETCH_CELLS`` numbers at most and comes to the tasks as an array in a
+    scalar subquery. Null is no value.
+    """
+    exact = top_k_candidates(df, key, k).groupBy("_v").agg(F.count(F.lit(1)).alias(name))
+    kth = exact.select(name).orderBy(F.desc(name)).limit(k).agg(F.min(name)).scalar()
+    return exact.where(F.col(name) >= kth).select(F.col("_v").alias(key), name)
+
+
+def top_k_candidates(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows (_v) of the values that the first two phases of ``top_k_by_sketch`` leave."""
+    rows = df.select(F.col(key).alias("_v")).where("_v IS NOT NULL")
+
+    def cell(i):
+        return F.pmod(F.xxhash64(F.lit(i), F.col("_v")), F.lit(SKETCH_CELLS)).cast("int")
+
+    counted = (rows.select(F.explode(F.array(*[cell(i) + i * SKETCH_CELLS for i in range(SKETCH_ROWS)])).alias("c"))
+               .groupBy("c").agg(F.count(F.lit(1)).alias("n")))
+    every = df.sparkSession.range(SKETCH_ROWS * SKETCH_CELLS).select(F.col("id").cast("int").alias("i"))
+    sketch = (every.join(counted, F.col("i") == F.col("c"), "left")
+              .agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
+              .select(F.col("all.n").alias("a")))
+    bound = F.least(*[F.get(sketch.scalar(), cell(i) + i * SKETCH_CELLS) for i in range(SKETCH_ROWS)])
+    cells = F.sort_array(F.slice("a", 1, SKETCH_CELLS), asc=False)
+    large = sketch.select(F.greatest(F.get(cells, F.lit(k - 1)), F.lit(1)).alias("n")).scalar()
+    bounded = rows.withColumn("_upper", bound)
+    first = rows.where(F.get(sketch.scalar(), cell(0)) >= large).groupBy("_v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(k)
+    lower = first.agg(F.when(F.count(F.lit(1)) >= k, F.min("n")).otherwise(0)).scalar()
+    return bounded.where(F.col("_upper") >= lower).select("_v")
+
+
 def viewed_without_buying(events: DataFrame, page_value, visit: str = "visit_id", page: str = "page_id",
                           etype: str = "event_type") -> DataFrame:
     """Percent of visits on a page that never buy; the numerator counts distinct

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.calendar import sunday_weeks_between
 from quire.functions.numeric import mean4, mean_exact, percent, trunc_div
-from quire.operators.sequence import sequence
+from quire.operators.sequence import has_hot_key, hot_cuts, in_ranges, range_count, sequence
 
 
 def first_per_key(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
@@ -97,6 +97,52 @@ def downgrade_count(df: DataFrame, key: str, order_cols: list[str], frm, to, yea
             .agg(F.count(F.lit(1)).alias("n_downgrades")))
 
 
+def path_counts(df: DataFrame, key: str, order_cols: list[str], paths: dict[str, list[tuple]],
+                state: str = "plan_id") -> DataFrame:
+    """Keys whose history follows each of several paths (W45): (path, n_customers).
+
+    A path is a list of (wanted state, states that must not come before it); a forbidden state sends the
+    key back to the path's start. ``[(a, []), (c, [b])]`` is "a, then never b, then c", with anything
+    else in between.
+
+    A path is a small automaton. A piece of a key's history, in order, is a map from the automaton's
+    state before it to the one after it; the maps of a key's pieces are composed in order. A hot key's
+    history is cut into ranges (as in ``sequence``), so no key is gathered: what meets in one row is a
+    range's rows, then one map per range. Rows without a key are left out.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, *order_cols, state]))
+    ranges = range_count(rows)
+    if has_hot_key(rows, [key], ranges):
+        k = F.struct(F.col(key).alias("k0"))
+        place = F.struct(k.alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)])
+        rows = in_ranges(rows, hot_cuts(rows, place, ranges), place, k, ranges)
+    else:
+        rows = rows.withColumn("_b", F.lit(0))
+    pieces = rows.groupBy(key, "_b").agg(F.array_sort(F.collect_list(F.struct(*order_cols, F.col(state).alias("_s")))).alias("_h"))
+
+    def after(steps, at, event):
+        out = at
+        for i, (wanted, never) in reversed(list(enumerate(steps))):
+            moved = F.when(event == wanted, F.lit(i + 1))
+            for x in never:
+                moved = moved.when(event == x, F.lit(0))
+            out = F.when(at == i, moved.otherwise(at)).otherwise(out)
+        return out
+
+    def piece_map(steps):
+        return F.aggregate("_h", F.array(*[F.lit(i) for i in range(len(steps) + 1)]),
+                           lambda m, x: F.transform(m, lambda at: after(steps, at, x["_s"])))
+
+    def end(i):
+        return F.aggregate("_ms", F.lit(0), lambda at, x: F.get(x[f"m{i}"], at))
+
+    maps = [piece_map(p).alias(f"m{i}") for i, p in enumerate(paths.values())]
+    per = pieces.select(key, F.struct("_b", *maps).alias("_m")).groupBy(key).agg(
+        F.array_sort(F.collect_list("_m")).alias("_ms"))
+    done = per.agg(*[F.count_if(end(i) == len(p)).alias(f"n{i}") for i, p in enumerate(paths.values())])
+    return done.select(F.inline(F.array(*[F.struct(F.lit(n).alias("path"), F.col(f"n{i}").alias("n_customers")) for i, n in enumerate(paths)])))
+
+
 def state_asof_written(df: DataFrame, key: str, asof: str, trial_days: int = 7,
                        state: str = "plan_id", date_col: str = "start_date",
                        trial_state=0, end_state=4) -> DataFrame:

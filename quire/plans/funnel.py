@@ -141,3 +141,11 @@ def q_visit_summary_stream(v: Views):
     """W57 computed incrementally: the event file replayed as a stream (available-now)."""
     from quire.streaming.visits import run_visit_summary
     return run_visit_summary(v.spark, v.t.path("events"), v.v_campaign)
+
+
+@register("top_k_by_sketch", "W58", """
+SELECT part_id, n FROM (SELECT l_partkey AS part_id, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM lineitem GROUP BY l_partkey) t
+WHERE r <= 20""")
+def q_top_k_by_sketch(v: Views):
+    """The parts on most order lines, ties with the twentieth kept."""
+    return Fn.top_k_by_sketch(v.t.lineitem.select(F.col("l_partkey").alias("part_id")), "part_id", 20)

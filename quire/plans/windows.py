@@ -395,3 +395,16 @@ def q_balances_by_delta(v: Views):
         merge_late(v.spark, path, ledger.where(batch == i), *args)
     return read_balances(v.spark, path).select("customer_id", "month", F.col("monthly_balance").cast("decimal(38,2)").alias("monthly_balance"),
                                                F.col("closing_balance").cast("decimal(38,2)").alias("closing_balance"))
+
+
+# paths of plan changes: a, then never b, then c
+PATHS = {"trial to annual without churn": (TRIAL, CHURN, ANNUAL), "basic to churn without pro": (BASIC, PRO, CHURN),
+         "annual back to trial without basic": (ANNUAL, BASIC, TRIAL)}
+
+
+@register("path_counts", "W45", "WITH s AS (SELECT customer_id, plan_id, row_number() OVER (PARTITION BY customer_id ORDER BY start_date, event_id) AS rn FROM v_sub)\n"
+          + " UNION ALL ".join(f"""SELECT '{n}' AS path, count(DISTINCT customer_id) FILTER (WHERE plan_id = {c} AND la > coalesce(lb, 0)) AS n_customers
+FROM (SELECT customer_id, plan_id, max(CASE WHEN plan_id = {a} THEN rn END) OVER w AS la, max(CASE WHEN plan_id = {b} THEN rn END) OVER w AS lb
+      FROM s WINDOW w AS (PARTITION BY customer_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t""" for n, (a, b, c) in PATHS.items()))
+def q_path_counts(v: Views):
+    return Wn.path_counts(v.v_sub, "customer_id", SUB_ORDER, {n: [(a, []), (c, [b])] for n, (a, b, c) in PATHS.items()})

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import aggs, balances, joins, windows
+from quire.operators import aggs, balances, funnel, joins, windows
 from quire.operators.ranges import estimated_rows, sampled, search, split_points
 from quire.plans.cleaning import co_partitioned_orders, order_totals
 from quire.session import checkpoint_dir
@@ -207,3 +207,51 @@ def test_points_are_shuffled_at_most_once(spark):
         assert len(fact_exchanges(joins.interval_join(v.v_event, v.v_campaign, "event_time", "start_date", "end_date"), "event_time")) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+# -- composed maps (W45), three-phase top-k (W58) -----------------------------
+def walked(histories, steps):
+    n = 0
+    for h in histories.values():
+        at = 0
+        for s in h:
+            if at < len(steps):
+                wanted, never = steps[at]
+                at = at + 1 if s == wanted else 0 if s in never else at
+        n += at == len(steps)
+    return n
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_path_counts(spark, monkeypatch, hot):
+    monkeypatch.setattr(windows, "has_hot_key", lambda *a: hot)
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 97 == 1, F.lit(None)).otherwise(F.col("id") % 211).alias("customer_id"),
+                                  F.col("id").alias("event_id"), F.pmod(F.xxhash64("id"), F.lit(7)).cast("int").alias("plan_id"))
+    df = df.withColumn("plan_id", F.when(F.col("plan_id") == 6, None).otherwise(F.col("plan_id"))).repartition(5)
+    histories = {}
+    for r in sorted(df.collect(), key=lambda r: r.event_id):
+        if r.customer_id is not None:
+            histories.setdefault(r.customer_id, []).append(r.plan_id)
+    paths = {"x": [(0, []), (1, [2]), (3, [4, 5])], "y": [(5, [])], "z": [(0, []), (1, [2, 3, 4, 5]), (0, [1, 2, 3, 4, 5]), (1, [2, 3, 4, 5])], "never": [(99, [])]}
+    got = {r.path: r.n_customers for r in windows.path_counts(df, "customer_id", ["event_id"], paths).collect()}
+    assert got == {n: walked(histories, p) for n, p in paths.items()} and got["y"] > 0
+
+
+def test_top_k_by_sketch(spark, monkeypatch):
+    counts = {i: 1 + i % 4 for i in range(300)} | {1000 + i: 50 + i // 2 for i in range(12)}
+    rows_of = [(v,) for v, n in counts.items() for _ in range(n)] + [(None,)] * 500
+    df = spark.createDataFrame(rows_of, "v int").repartition(4)
+    for cells in (16_384, 64, 1):
+        monkeypatch.setattr(funnel, "SKETCH_CELLS", cells)
+        for k in (1, 2, 5, 12, 13, 400):
+            kth = sorted(counts.values(), reverse=True)[min(k, len(counts)) - 1]
+            got = {r.v: r.n for r in funnel.top_k_by_sketch(df, "v", k).collect()}
+            assert got == {v: n for v, n in counts.items() if n >= kth}, (cells, k)
+    assert funnel.top_k_by_sketch(df.where("v IS NULL"), "v", 3).count() == 0
+
+
+def test_only_candidates_are_counted(spark):
+    """Uneven counts: far fewer values pass the last bound than there are."""
+    uneven = spark.range(100_000).select(F.floor(50_000 * F.pow(F.rand(5), 6)).alias("v"))
+    left = funnel.top_k_candidates(uneven, "v", 10).distinct().count()
+    assert 10 <= left < uneven.distinct().count() / 100
