@@ -4,6 +4,7 @@ from __future__ import annotations
 
 MAX_CACHED_WORDS = 400_000
 MAX_CACHED_PIECES = 600_000
+GROUP_CHARS = 2_000_000
 
 
 class WordEncoder:
@@ -48,6 +49,7 @@ class WordEncoder:
                                r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)").fullmatch
         # a comma or full stop between a letter or digit and white space is a piece of its own
         self.stops = re.compile(r"(?<=[A-Za-z0-9])([,.])(?=[ \n])").sub
+        self.other_stop = re.compile(r"[^A-Za-z0-9][,.][ \n]").search
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -66,6 +68,13 @@ class WordEncoder:
             return [p for p in m.groups() if p]
         return None
 
+    def _words(self, text: str) -> list[str]:
+        """The text cut at spaces and line ends, and before the stops that are pieces of their own."""
+        if self.other_stop(text) or text[:1] in (",", "."):
+            return self.stops(r" \1", text).replace("\n", " ").split(" ")
+        # all stops before white space are of that kind: plain replacements do, and are faster
+        return text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
+
     def _learn_pieces(self, new: list[str]) -> None:
         self._encode_pieces(self.plain, [p for p in new if p.isascii()])
         self._encode_pieces(self.tokenizer, [p for p in new if not p.isascii()])
@@ -120,7 +129,7 @@ class WordEncoder:
         if not self.by_word:
             return self._whole([t or "" for t in texts])
         out = []
-        # in groups of about 8 million characters, so that the words of a group are all at hand
+        # in groups, so that new words of many texts are encoded together
         group: list[list[str]] = []
         chars = 0
 
@@ -137,9 +146,9 @@ class WordEncoder:
             group.clear()
 
         for t in texts:
-            group.append(self.stops(r" \1", t or "").replace("\n", " ").split(" "))
+            group.append(self._words(t or ""))
             chars += len(t or "")
-            if chars > 8_000_000:
+            if chars > GROUP_CHARS:
                 flush()
                 chars = 0
         flush()
