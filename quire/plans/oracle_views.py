@@ -8,6 +8,16 @@ from __future__ import annotations
 
 import re
 
+from quire.sources.views import CAMPAIGNS, RECIPES, TOPPINGS
+
+
+def _values(rows: list[tuple], names: str, kinds: tuple[str, ...]) -> str:
+    """A literal table of the fixed values of ``quire.sources.views``."""
+    text = ", ".join("(" + ", ".join(f"{kind} '{v}'" if kind else f"'{v}'" if isinstance(v, str) else str(v)
+                                     for v, kind in zip(row, kinds)) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {text}) AS t({names})"
+
+
 VIEW_SQL = {
     "v_sale": """
 SELECT o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS order_date, l.l_orderkey AS order_id, l.l_linenumber AS line_no,
@@ -47,16 +57,9 @@ SELECT DISTINCT CAST(event_id % 13 AS INT) AS page_id, concat('page_', CAST(even
        CASE WHEN event_id % 13 BETWEEN 3 AND 11 THEN concat('cat_', CAST((event_id % 13) % 3 AS VARCHAR(4))) END AS product_category,
        CASE WHEN event_id % 13 BETWEEN 3 AND 11 THEN CAST(event_id % 13 - 2 AS INT) END AS product_id
 FROM events""",
-    "v_campaign": """
-SELECT * FROM (VALUES ('c1', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-07 23:59:59'),
-                      ('c2', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-16 23:59:59'),
-                      ('c3', TIMESTAMP '2024-01-15 00:00:00', TIMESTAMP '2024-01-25 23:59:59')) AS t(campaign_name, start_date, end_date)""",
-    "v_recipe": """
-SELECT * FROM (VALUES ('STANDARD', '1, 2, 3, 4, 5, 6, 8, 10'), ('SMALL', '4, 6, 7, 9, 11, 12'), ('LARGE', '1, 3, 5, 7'),
-                      ('PROMO', '2, 4'), ('ECONOMY', '1'), ('MEDIUM', '3, 6, 9, 12')) AS t(item_name, toppings)""",
-    "v_topping": """
-SELECT * FROM (VALUES (1,'Bacon'),(2,'BBQ Sauce'),(3,'Beef'),(4,'Cheese'),(5,'Chicken'),(6,'Mushrooms'),(7,'Onions'),(8,'Pepperoni'),
-                      (9,'Peppers'),(10,'Salami'),(11,'Tomatoes'),(12,'Tomato Sauce')) AS t(topping_id, topping_name)""",
+    "v_campaign": _values(CAMPAIGNS, "campaign_name, start_date, end_date", ("", "TIMESTAMP", "TIMESTAMP")),
+    "v_recipe": _values(RECIPES, "item_name, toppings", ("", "")),
+    "v_topping": _values(TOPPINGS, "topping_id, topping_name", ("", "")),
     "v_item": """
 SELECT l.l_orderkey AS order_id,
        CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice, l.l_tax, l.l_discount) AS INT) AS item_no,
