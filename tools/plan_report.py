@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -42,7 +43,7 @@ def report(name: str, df) -> dict:
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     only = set(argv[1:])
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.sql.warehouse.dir": tempfile.mkdtemp()})
     qs = queries()
     print(f"{'query':32s} " + " ".join(f"{k:>7s}" for k in PATTERNS))
     for n in sorted(qs):
