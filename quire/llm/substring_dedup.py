@@ -278,7 +278,7 @@ def _pack(window: int, gram: int, hot: list[int], wanted: bool, parts: int = 0):
                         best[text] = (k, d, w, s, c)
                     # strings of one document stay for each other: their windows are judged by the first
                     elif (was[2], was[3]) != (w, s):
-                        best.setdefault((text, w, s), (k, d, w, s, c))
+                        best.setdefault((text, d, w, s), (k, d, w, s, c))
             if hot is None:
                 keys, counts = np.unique(np.array([x[0] for x in best.values()], dtype=np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "strings"])

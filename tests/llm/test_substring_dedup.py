@@ -37,8 +37,7 @@ def plain(docs, window):
 
 def check(spark, docs, window, gram):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = sd.dedup_substrings(df, window=window, gram=gram).join(df, "doc_id", "left") if False else sd.dedup_substrings(
-        df.withColumn("was", F.col("text")), carry=["was"], window=window, gram=gram)
+    got = sd.dedup_substrings(df.withColumn("was", F.col("text")), carry=["was"], window=window, gram=gram)
     rows = got.collect()
     want = plain(docs, window)
     assert len(rows) == len(docs)
@@ -87,6 +86,18 @@ def test_small_slices_and_long_texts(spark, monkeypatch):
     assert check(spark, corpus(3), 12, 3) > 0
 
 
+def test_copies_that_repeat_themselves(spark):
+    """A string twice in each of several copies: two copies meet in one task, larger id first, a smaller
+    one is in another task."""
+    rng = random.Random(5)
+    passage = " ".join(f"w{rng.randrange(9999)}" for _ in range(70))
+    text = f"{passage} middle words {passage}"
+    one = spark.createDataFrame([(5, text), (3, text)], "doc_id long, text string").coalesce(1)
+    df = one.unionByName(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1))
+    got = {r.doc_id: r.n_removed for r in sd.dedup_substrings(df).collect()}
+    assert got == {1: 0, 3: 142, 5: 142}
+
+
 def test_hashes_that_clash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(sd, "_mix", lambda x: x % 13)  # nearly all windows share a hash
     assert check(spark, corpus(4, n=40), 10, 3) > 0
