@@ -244,11 +244,17 @@ def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
-        for b in text_batches(batches):
-            found = [scorer.text(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in carry] + [pa.array([x[0] for x in found], pa.string()),
-                                                pa.array([x[1] for x in found], pa.float64())], schema=schema)
+        try:
+            for b in text_batches(batches):
+                found = [scorer.text(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(c) for c in carry] + [pa.array([x[0] for x in found], pa.string()),
+                                                    pa.array([x[1] for x in found], pa.float64())], schema=schema)
+        finally:
+            # the worker lives on through other stages: it lets go of the model, which its next task reads again
+            scorer = None
+            vars(shared).pop("_value", None)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, out)
 
