@@ -87,6 +87,18 @@ def _by_key(keys, order_also, *arrays):
         yield int(keys[s]), [x[s:e] for x in arrays]
 
 
+def _runs(values):
+    """Run-length code of an array: the values of its runs and their lengths as bytes, a run of more
+    than 255 in several parts."""
+    import numpy as np
+    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[start, len(values)])
+    parts = -(-n // 255)
+    lengths = np.full(int(parts.sum()), 255, np.uint8)
+    lengths[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
+    return np.repeat(values[start], parts), lengths
+
+
 def _bucket_keys(spark: SparkSession, parts: int) -> list[int]:
     """For each of ``parts`` hash partitions a key that lands in it, so that as many buckets as there
     are partitions are dealt evenly. Few large buckets keep the shingles of a set together, whose id
@@ -131,7 +143,8 @@ def _emit_shingles(id_col: str, k: int, bucket_keys: list[int]):
                 rows.append((bucket_keys[key], COUNT_ROW, t.tobytes(), c.astype(np.int64).tobytes(), None, None))
             cold_t, cold_s = tok[~is_hot], own[~is_hot]
             for key, (t, s) in _by_key((cold_t % np.uint64(buckets)).astype(np.int64), cold_s, cold_t, cold_s):
-                rows.append((bucket_keys[key], PAIR_ROW, t.tobytes(), s.tobytes(), None, None))
+                own_names, times = _runs(s)
+                rows.append((bucket_keys[key], PAIR_ROW, t.tobytes(), own_names.tobytes(), times.tobytes(), None))
             hot_t, hot_s = tok[is_hot], own[is_hot]
             order = np.argsort(hot_s, kind="stable")
             hot_t, hot_s = hot_t[order], hot_s[order]
@@ -190,13 +203,14 @@ def _count_shingles(bucket_keys: list[int]):
         import numpy as np
         import pyarrow as pa
 
-        tok, own, hot_t, hot_n = [], [], [], []
+        tok, own, times, hot_t, hot_n = [], [], [], [], []
         for b in batches:
             keep = []
             for r in b.to_pylist():
                 if r["kind"] == PAIR_ROW:
                     tok.append(r["a"])
                     own.append(r["b"])
+                    times.append(r["c"])
                 elif r["kind"] == COUNT_ROW:
                     hot_t.append(r["a"])
                     hot_n.append(r["b"])
@@ -204,8 +218,7 @@ def _count_shingles(bucket_keys: list[int]):
                     keep.append(tuple(r.values()))
             if keep:
                 yield _rows(keep, schema)
-        t, s = _cat(tok, np.uint64), _cat(own, np.int64)
-        del tok, own
+        t, s = _cat(tok, np.uint64), np.repeat(_cat(own, np.int64), _cat(times, np.uint8))
         order = np.lexsort((s, t))
         t, s = t[order], s[order]
         new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])] if len(t) else np.zeros(0, bool)
@@ -225,7 +238,8 @@ def _count_shingles(bucket_keys: list[int]):
         t, s, df = t[two], s[two], df[two].astype(np.uint8)
         rows = []
         for key, (x, y, z) in _by_key(s % buckets, s, t, s, df):
-            rows.append((bucket_keys[key], PAIR_ROW, x.tobytes(), y.tobytes(), z.tobytes(), None))
+            names, lengths = _runs(y)
+            rows.append((bucket_keys[key], PAIR_ROW, x.tobytes(), names.tobytes(), lengths.tobytes(), z.tobytes()))
             if len(rows) == 64:
                 yield _rows(rows, schema)
                 rows = []
@@ -247,7 +261,7 @@ def _file_sets(percent: int):
         import numpy as np
         import pyarrow as pa
 
-        tok, own, cnt, names, sizes = [], [], [], [], []
+        tok, own, times, cnt, names, sizes = [], [], [], [], [], []
         for b in batches:
             for r in b.to_pylist():
                 if r["kind"] == SET_ROW:
@@ -262,14 +276,15 @@ def _file_sets(percent: int):
                     names.append(r["a"])
                     sizes.append(r["b"])
                     tok.append(r["d"])
-                    own.append(np.repeat(a, k).tobytes())
+                    own.append(r["a"])
+                    times.append(r["c"])
                     cnt.append(np.full(int(k.sum()), HOT, np.uint8).tobytes())
                 else:
                     tok.append(r["a"])
                     own.append(r["b"])
-                    cnt.append(r["c"])
-        t, s, df = _cat(tok, np.uint64), _cat(own, np.int64), _cat(cnt, np.uint8)
-        del tok, own, cnt
+                    times.append(np.frombuffer(r["c"], np.uint8).astype(np.int64).tobytes())
+                    cnt.append(r["d"])
+        t, s, df = _cat(tok, np.uint64), np.repeat(_cat(own, np.int64), _cat(times, np.int64)), _cat(cnt, np.uint8)
         order = np.lexsort((t, df, s))
         t, s, df = t[order], s[order], df[order]
         new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])] if len(t) else np.zeros(0, bool)
