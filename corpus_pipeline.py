@@ -54,6 +54,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    release(spark)  # what the stages before shuffled is not needed any more
     rows = boxed(docs).withColumn("key", F.xxhash64("row", "text"))
     names = rows.select("key", "row").distinct()
     groups = stage(jaccard.jaccard_components(rows, "key").select(F.col("key").alias("_key"), "component_id").distinct()
