@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of work whose result is in a stage table. Spark removes them when
-    the driver's JVM collects the plans that made them, which may otherwise be long after."""
+    the driver's JVM collects the plans that made them, which may otherwise be long after. The events
+    of a job just ended hold its plan until the listeners have had them, hence the second collection."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (1, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def word_count(text: Column) -> Column:
