@@ -46,33 +46,32 @@ def pack_blocks(ids):
     rank = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
     fits = np.partition(x, rank, axis=1)[:, rank] if count else np.zeros(0, np.uint32)
     width = np.ceil(np.log2(fits.astype(np.float64) + 1)).astype(np.int64)
-    out: list[bytes] = [b""] * count
-    for w in np.unique(width).tolist():
+    high = np.zeros(x.shape, dtype=bool)
+    for w in np.unique(width[width < 32]).tolist():
+        rows = np.flatnonzero(width == w)
+        high[rows] = (x[rows] >> np.uint32(w)) > 0
+    n_high = high.sum(axis=1)
+    # every part of a block is made of whole 32-bit words
+    begin = np.concatenate([[0], np.cumsum(2 + width * LANES + (n_high + 1) // 2 + n_high)]).astype(np.int64)
+    out = np.zeros(begin[-1], dtype="<u4")
+    out[begin[:-1]] = low
+    out[begin[:-1] + 1] = width | n_high << 16
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        part = x[rows]
-        high = (part >> np.uint32(w)) > 0 if w < 32 else np.zeros(part.shape, bool)
-        body = np.where(high, np.uint32(0), part).reshape(len(rows), BLOCK // LANES, LANES)
+        body = np.where(high[rows], np.uint32(0), x[rows]).reshape(len(rows), BLOCK // LANES, LANES)
         words = np.zeros((len(rows), w, LANES), dtype=np.uint32)
-        for step in range(BLOCK // LANES if w else 0):
+        for step in range(BLOCK // LANES):
             at, shift = divmod(step * w, 32)
             words[:, at] |= body[:, step] << np.uint32(shift)
             if shift + w > 32:
                 words[:, at + 1] |= body[:, step] >> np.uint32(32 - shift)
-        packed = words.astype("<u4").reshape(len(rows), -1)
-        n_high = high.sum(axis=1)
-        head = np.zeros((len(rows), 8), dtype=np.uint8)
-        head[:, :4] = low[rows].astype("<u4").view(np.uint8).reshape(-1, 4)
-        head[:, 4] = w
-        head[:, 6:] = n_high.astype("<u2").view(np.uint8).reshape(-1, 2)
-        for k, r in enumerate(rows.tolist()):
-            block = head[k].tobytes() + packed[k].tobytes()
-            if n_high[k]:
-                at = np.flatnonzero(high[k])
-                places = at.astype("<u2").tobytes()
-                block += places + b"\0" * (-len(places) % 4) + part[k][at].astype("<u4").tobytes()
-            out[r] = block
-    starts = np.concatenate([[0], np.cumsum([len(b) for b in out])]).astype("<u8")
-    return b"".join(out), starts, width
+        out[begin[rows][:, None] + 2 + np.arange(w * LANES)] = words.reshape(len(rows), -1)
+    block, place = np.nonzero(high)
+    k = np.arange(len(block)) - (np.cumsum(n_high) - n_high)[block]
+    at = begin[block] + 2 + width[block] * LANES
+    out.view("<u2")[2 * at + k] = place
+    out[at + (n_high[block] + 1) // 2 + k] = x[block, place]
+    return out.tobytes(), (4 * begin).astype("<u8"), width
 
 
 def unpack_blocks(data, starts, n: int, first: int = 0, last: int | None = None):

@@ -13,7 +13,9 @@ class WordEncoder:
     Where the tokenizer drops white space and splits words into runs of letters, single digits and
     runs of other characters, the ids of a text are those of its words one after another. Words are
     then encoded once and kept (both tables are emptied when they reach their bound), which avoids
-    the library's slow splitter on repeated words. Any other tokenizer encodes whole texts.
+    the library's slow splitter on repeated words. A text of common characters alone is lower-cased
+    and cut into the tokenizer's pieces at once, so its words need no table of their own. Any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, literal_specials: bool = False):
@@ -35,15 +37,21 @@ class WordEncoder:
         self.by_word = (splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
                         and norms == ["NFC", "Replace", "Lowercase"]
                         and spec["model"].get("end_of_word_suffix") == "</w>")
-        # pieces of printable ASCII need no normalising, splitting or byte mapping
+        # pieces of ASCII or of lower-cased common characters need no normalising and no splitting
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(
+            add_prefix_space=False, use_regex=False)])
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 8, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        # white space, control characters, apostrophes and special tokens take the whole-word way
-        self.odd = re.compile(r"[\x00-\x20\x7f']|<\|")
+        # characters that are their own NFC and whose lower case is one character, white space and letters
+        # told apart as the tokenizer does: Latin letters without U+0130 and U+0149, common punctuation
+        self.uncommon = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u20ac]").search
+        self.cut = re.compile(r"[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼½¾]+").findall
+        # white space, control characters, apostrophes, special tokens and the letter whose lower case ends
+        # in a mark take the whole-word way
+        self.odd = re.compile(r"[\x00-\x20\x7f'\u0130]|<\|")
         self.runs = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.core = re.compile(r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.+?)"
                                r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)").fullmatch
@@ -83,13 +91,11 @@ class WordEncoder:
         np = self.np
         for i in range(0, len(new), 2000):
             part = new[i:i + 2000]
-            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                a = 0
-                for p, b in zip(part, stops.tolist()):
-                    self.pieces[p] = ids[a:b].tobytes()
-                    a = b
+                raw, cuts = ids.tobytes(), (4 * stops).tolist()
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:  # a letter that lower-cases into several pieces: one by one
                 self.pieces.update(zip(part, self._whole(part)))
 
@@ -124,30 +130,44 @@ class WordEncoder:
         self.words.update(words)
         return words
 
+    def _learn_common(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces of common characters met for the first time, among those that are kept."""
+        if len(self.pieces) > MAX_CACHED_PIECES:
+            self.pieces.clear()
+        self._encode_pieces(self.plain, [p for p in new if p not in self.pieces])
+        return self.pieces
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text; none for null."""
         if not self.by_word:
             return self._whole([t or "" for t in texts])
-        out = []
-        # in groups, so that new words of many texts are encoded together
-        group: list[list[str]] = []
+        out: list[bytes] = []
+        # in groups, so that new words of many texts are encoded together; what is known is looked up text by
+        # text, so that only the new words of a group are held
+        group: list[list[bytes | None]] = []
+        gaps: tuple[list, list] = ([], [])
         chars = 0
 
         def flush():
-            get = self.words.get
-            found = [list(map(get, ws)) for ws in group]
-            gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-            new = {ws[i] for ws, at in zip(group, gaps) for i in at}
-            learned = self._learn(new)
-            for ws, f, at in zip(group, found, gaps):
-                for i in at:
-                    f[i] = learned[ws[i]]
-                out.append(b"".join(f))
+            for new, learn in zip(gaps, (self._learn, self._learn_common)):
+                learned = learn({p for _, _, ps in new for p in ps})
+                for found, at, ps in new:
+                    for i, p in zip(at, ps):
+                        found[i] = learned[p]
+                new.clear()
+            out.extend(map(b"".join, group))
             group.clear()
 
         for t in texts:
-            group.append(self._words(t or ""))
-            chars += len(t or "")
+            t = t or ""
+            common = "<|" not in t and not self.uncommon(t)
+            parts = self.cut(t.lower()) if common else self._words(t)
+            found = list(map((self.pieces if common else self.words).get, parts))
+            if None in found:
+                at = [i for i, ids in enumerate(found) if ids is None]
+                gaps[common].append((found, at, [parts[i] for i in at]))
+            group.append(found)
+            chars += len(t)
             if chars > GROUP_CHARS:
                 flush()
                 chars = 0

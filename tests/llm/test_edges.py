@@ -256,6 +256,23 @@ def test_word_encoder_equals_the_library():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[], *[tok.encode(t, add_special_tokens=False).ids for t in texts]]
 
 
+def test_pieces_equal_the_library_and_are_kept_once():
+    import public_tokenizers
+    from quire.llm.tokens import WordEncoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), WordEncoder(path)
+    enc.encode(["Word word, WORD.\nword! (word)", "Été été"])
+    assert set(enc.pieces) == {"word", ",", ".", "!", "(", ")", "été"} and not enc.words
+    chars = [chr(c) for c in (*range(0x180), *range(0x2000, 0x2070), 0x20AC, 0x301, 0x307)]
+    texts = [f"x{c}y {c} {c.upper()}Z{c}{c}1{c}! {c}<|{c}" for c in chars]
+    texts += [f"A{a}{b}B 'S{a}'ll{b}" for a in chars for b in "aZ9é²,' \nİŉ’"]
+    texts += [" ".join(texts), "don't DON'T I'Ve!'s 'rex", "<|ENDOFTEXT|>", "mbİ< İ!"]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == want
+
+
 def test_paths_as_spark_writes_them(tmp_path):
     (tmp_path / "x").write_bytes(b"ids")
     for path in (f"{tmp_path}/x", f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
