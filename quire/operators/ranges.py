@@ -73,8 +73,9 @@ def search(df: DataFrame, splits: Column, place: Column, ranges: int, out: str)
     place is in range 0."""
     d = df.withColumns({"_splits": splits, "_place": place, out: F.lit(0)})
     for step in [1 << i for i in reversed(range(max(1, (ranges - 1).bit_length())))]:
-        # beyond the last split point there is null, which counts as above
-        d = d.withColumn(out, F.when(F.get("_splits", F.col(out) + (step - 1)) <= F.col("_place"), F.col(out) + step).otherwise(F.col(out)))
+        # beyond the last split point there is null, which counts as above. Each mention of ``out`` counts: Spark's
+        # rule for dynamic pruning follows a join key down the steps, and its copy grows as mentions ** steps
+        d = d.withColumn(out, F.col(out) + F.when(F.get("_splits", F.col(out) + (step - 1)) <= F.col("_place"), step).otherwise(0))
     # an expression that is not deterministic keeps filters and semi-joins above it: pushed down, they
     # would repeat the whole search for each mention of its result
     return d.withColumn(out, F.when(F.spark_partition_id() >= 0, F.col(out))).drop("_place")
