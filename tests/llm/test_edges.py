@@ -286,3 +286,23 @@ def test_token_queries_broadcast_nothing_that_grows(spark, folder):
     for name in ("op6_token_files", "op8_token_counts"):
         text = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in text and "REPARTITION_BY_NUM" in text
+
+
+def test_batches_of_texts_are_bounded_by_their_bytes(spark):
+    """10,000 rows of 3,000 characters went to a worker as one batch of 30 MB."""
+    import corpus_pipeline
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 3000).alias("text"))
+    corpus_pipeline.packing_stage(spark, docs.limit(1), "")
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    try:
+        found = docs.mapInArrow(sizes, "bytes long, n long").collect()
+        assert max(r["bytes"] for r in found) < 5_000_000 and sum(r["n"] for r in found) == 4000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
